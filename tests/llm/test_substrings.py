@@ -71,3 +71,51 @@ def test_words_of_long_words(monkeypatch):
     texts = [b"abc " * 20 + b"x" * 100, b"", b" \n", b"abc"]
     values, begin = rolling.words_of(texts)
     assert begin.tolist() == [0, 21, 21, 21, 22] and len({*values.tolist()}) == 2 and values[0] == values[21]
+
+
+def brute_bytes(rows, window):
+    """In order of id (null last), then of the text's hash; rows that repeat id and text are one document."""
+    order = sorted({(d is None, d or 0, hashlib.sha256((t or "").encode()).digest()[:16], (t or "").encode()) for d, t in rows})
+    seen, done = set(), {}
+    for late, d, _, data in order:
+        gone = set()
+        for i in range(len(data) - window + 1):
+            s = data[i : i + window]
+            if s in seen:
+                gone |= set(range(i, i + window))
+            seen.add(s)
+        spans = sum(1 for i in gone if i - 1 not in gone)
+        done[late, d, data] = (len(data), len(gone), spans, bytes(b for i, b in enumerate(data) if i not in gone))
+    return [(d, *done[d is None, d or 0, (t or "").encode()]) for d, t in rows]
+
+
+@pytest.mark.parametrize("window,most,seed", [(100, 4096, 1), (12, 4096, 2), (12, 2, 3), (7, 1, 4)])
+def test_later_copies_go(spark, make_docs, monkeypatch, window, most, seed):
+    from runsight.llm import suffixes
+
+    monkeypatch.setattr(suffixes, "MOST_CONTEXTS", most)
+    rows = texts_with_repeats(random.Random(seed), 25, 40)
+    rows += [(30, rows[4][1]), (4, rows[6][1]), (None, rows[5][1]), (60, "ab" * 200)]
+    out = suffixes.drop_later_copies(make_docs(rows, extra=True), window=window, least=3).collect()
+    assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept_bytes)) for r in out), key=key) == sorted(brute_bytes(rows, window), key=key)
+
+
+def test_suffix_query(spark, make_docs, sf_dir):
+    from runsight.llm import suffixes
+
+    rows = texts_with_repeats(random.Random(12), 40, 80)
+    out = suffixes.op5_suffix_array_dedup(spark, sf_dir.write(make_docs(rows)))
+    assert out.columns == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    want = [(*x, hashlib.sha256(kept).hexdigest()) for *x, kept in brute_bytes(rows, 100)]
+    assert sorted((tuple(r) for r in out.collect()), key=key) == sorted(want, key=key)
+    assert suffixes.op5_suffix_array_dedup(spark, sf_dir.write(make_docs([]))).count() == 0
+
+
+def test_suffix_ranks_are_the_order():
+    from runsight.llm import suffixes
+
+    data = np.frombuffer(b"abracadabra abracadabra banana\0\0x", dtype=np.uint8)
+    for length in (1, 3, 7, 8, 20):
+        strings = [(data.tobytes() + b"\0" * length)[i : i + length] for i in range(len(data))]
+        got = suffixes.suffix_ranks(data, length)
+        assert all((got[i] < got[j]) == (strings[i] < strings[j]) for i in range(len(data)) for j in range(len(data)))
