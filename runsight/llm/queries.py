@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, counts, packing, substrings, suffixes
+from . import bpe, counts, fingerprints, packing, substrings, suffixes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": substrings.op1_substring_dedup,
+    "op2_fingerprints": fingerprints.op2_fingerprints,
     "op3_packing": packing.op3_packing,
     "op5_suffix_array_dedup": suffixes.op5_suffix_array_dedup,
     "op9_token_counts": counts.op9_token_counts,
