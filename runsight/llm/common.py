@@ -87,3 +87,36 @@ def blocks(batches: Iterator[pa.RecordBatch], size_of: str, limit: int = BLOCK_B
 def hash_group(seed: int, n: int, *columns: Column) -> Column:
     """A number below n, drawn from the columns' values and the seed: the same on every run and retry."""
     return F.pmod(F.xxhash64(F.lit(seed), *columns), F.lit(n))
+
+
+def narrow(df: DataFrame, rows: int = 1 << 18) -> DataFrame:
+    """A staged table of short rows, marked for broadcast only if it is counted to have at most so many rows."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
+def components(links: DataFrame) -> DataFrame:
+    """(node, root) of each node in links (a, b): nodes that links connect, over however many steps, share a root.
+
+    Every round each node takes the least of its neighbours and itself in a random order as its parent, and links are
+    drawn anew between parents; those inside one parent go. The rounds, about the logarithm of the nodes, cut the
+    lineage with staged tables; nothing but whether links are left reaches the driver.
+    """
+
+    def rank(name: str) -> Column:
+        return F.struct(F.xxhash64(name).alias("r"), F.col(name).alias("n"))
+
+    left = staged(links.select("a", "b").where("a <> b").distinct(), "links")
+    roots = None
+    while True:
+        both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        parents = both.groupBy(F.col("a").alias("node")).agg(F.min(rank("b")).alias("least")).select("node", F.least(rank("node"), "least")["n"].alias("root"))
+        if roots is not None and left.isEmpty():
+            return roots
+        parents = staged(parents, "parents")
+        of = {c: parents.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")) for c in "ab"}
+        left = staged(left.join(of["a"], "a").join(of["b"], "b").select(F.col("a_root").alias("a"), F.col("b_root").alias("b")).where("a <> b").distinct(), "links")
+        if roots is None:
+            roots = parents
+        else:
+            above = parents.select(F.col("node").alias("root"), F.col("root").alias("above"))
+            roots = staged(roots.join(above, "root", "left").select("node", F.coalesce("above", "root").alias("root")), "roots")
