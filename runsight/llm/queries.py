@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, counts, fingerprints, jaccard, packing, substrings, suffixes, vectors
+from . import bpe, counts, fingerprints, jaccard, languages, packing, substrings, suffixes, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": substrings.op1_substring_dedup,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_packing": packing.op3_packing,
     "op4_embedding_near_dedup": vectors.op4_embedding_near_dedup,
     "op5_suffix_array_dedup": suffixes.op5_suffix_array_dedup,
+    "op6_language_id": languages.op6_language_id,
     "op7_jaccard_join": jaccard.op7_jaccard_join,
     "op9_token_counts": counts.op9_token_counts,
     "op10_byte_bpe": bpe.op10_byte_bpe,
@@ -21,5 +22,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_substring_dedup": substrings.OP1_SQL,
+    "op6_language_id": languages.op6_language_id,
     "op7_jaccard_join": jaccard.OP7_SQL,
 }

@@ -137,6 +137,13 @@ def drop_repeated_substrings(docs: DataFrame, *, window: int = 35, least: int =
     return rows.join(done, "__key", "left").drop("__key")
 
 
+def with_rest_as_text(docs: DataFrame, *, window: int = 35, least: int = 8, text_col: str = "text") -> DataFrame:
+    """docs with the kept words as their text; a text that loses nothing stays as it is, a document that loses all goes."""
+    done = drop_repeated_substrings(docs.withColumn("__text", docs[text_col]), window=window, least=least, text_col="__text")
+    stay = done.where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_words")))
+    return stay.withColumn(text_col, F.when(F.col("n_removed") == 0, F.col(text_col)).otherwise(F.col("kept_text"))).select(*docs.columns)
+
+
 def op1_substring_dedup(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     # the digest is taken before the join back to the documents, so that no text moves again
