@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, counts, fingerprints, jaccard, languages, packing, substrings, suffixes, vectors
+from . import bpe, counts, fingerprints, jaccard, languages, licenses, packing, substrings, suffixes, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": substrings.op1_substring_dedup,
@@ -16,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_suffix_array_dedup": suffixes.op5_suffix_array_dedup,
     "op6_language_id": languages.op6_language_id,
     "op7_jaccard_join": jaccard.op7_jaccard_join,
+    "op8_license_scan": licenses.op8_license_scan,
     "op9_token_counts": counts.op9_token_counts,
     "op10_byte_bpe": bpe.op10_byte_bpe,
 }
