@@ -23,6 +23,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_substring_dedup": substrings.OP1_SQL,
-    "op6_language_id": languages.op6_language_id,
     "op7_jaccard_join": jaccard.OP7_SQL,
 }
