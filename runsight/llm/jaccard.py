@@ -10,11 +10,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, components, narrow, staged, table, text_key
+from .blocks import block_pairs, block_roots
+from .common import blocks, components, narrow, staged, table, text_key, unstage
 from .rolling import mix, window_hashes, words_of
 
 #: Least hashes of a set under so many orders; sets that share one are compared with the centre of those that do.
 ORDERS = 8
+#: Sets of a block, and tokens of an incidence matrix at a time.
+BLOCK_ROWS, TOKENS_AT_ONCE = 512, 1 << 14
 
 MARKS = "key binary, set_key binary, n long, least array<long>"
 TOKENS = "set_key binary, gid long, n long, tokens array<long>"
@@ -66,12 +69,13 @@ def prefix_length(n: int, percent: int) -> int:
 
 
 def shared_least(n: int) -> int:
-    return 1 + n // 20
+    """More of them mean more tokens to look at, but fewer sets that pass by chance."""
+    return 1 + n // 8
 
 
 def bound(percent: int) -> Column:
     """What a set of n tokens and any partner have in common at least in their first tokens: shared_least() of the smaller."""
-    return (F.floor(F.col("n") * percent / 2000) + 1).cast("int")
+    return (F.floor(F.col("n") * percent / 800) + 1).cast("int")
 
 
 def token_pass(size: int, percent: int, prefix: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -101,11 +105,13 @@ def marks_of(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFram
     return staged(marked.groupBy("key").agg(F.first("set_key").alias("set_key"), F.first("n").alias("n"), F.first("least").alias("least"), F.min("first_id").alias("first_id")), "marks")
 
 
-def centred_pairs(sets: DataFrame) -> DataFrame:
-    """(a, b): each set with the centres of the sets that share a least hash with it, if three least hashes say so.
+def similar_groups(sets: DataFrame) -> DataFrame:
+    """(set_key, group): groups of at least two sets that are likely to be alike; staged. Other sets aren't in it.
 
-    The centre of those that share one is the set with the most company over all its least hashes: in a group of
-    edited copies the text they come from. A set has at most ORDERS pairs, however large the group is.
+    The sets that share a least hash have a centre: the one with the most company over all its least hashes, in a group
+    of edited copies the text they come from. A set joins the centre that it shares the most, at least three, least
+    hashes with; a centre that has joined another takes its own along. Groups only save work: links between them are
+    found as well.
     """
     entries = sets.select("set_key", F.posexplode("least").alias("order", "value"))
     company = staged(entries.groupBy("order", "value").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "company")
@@ -113,8 +119,12 @@ def centred_pairs(sets: DataFrame) -> DataFrame:
     weight = shared.groupBy("set_key").agg(F.round(F.sum(F.log2("c")), 6).alias("weight"))
     weighed = staged(shared.join(weight, "set_key").select("set_key", "order", "value", F.struct("weight", "set_key").alias("w")), "weighed")
     centres = staged(weighed.groupBy("order", "value").agg(F.max("w").alias("m")).select("order", "value", F.col("m.set_key").alias("b")), "centres")
-    met = weighed.join(centres, ["order", "value"]).select(F.col("set_key").alias("a"), "b").where("a <> b")
-    return staged(met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("met")).where("met >= 3").select("a", "b"), "pairs")
+    met = weighed.join(centres, ["order", "value"]).where("set_key <> b").groupBy("set_key", "b").agg(F.count(F.lit(1)).alias("met")).where("met >= 3")
+    joined = staged(met.groupBy("set_key").agg(F.max(F.struct("met", "b")).alias("m")).select("set_key", F.col("m.b").alias("group")), "joined")
+    for _ in range(2):
+        above = joined.select(F.col("set_key").alias("group"), F.col("group").alias("above"))
+        joined = staged(joined.join(above, "group", "left").select("set_key", F.coalesce("above", "group").alias("group")), "joined")
+    return staged(joined.unionByName(joined.select(F.col("group").alias("set_key"), "group").distinct().join(joined.select("set_key"), "set_key", "left_anti")), "groups")
 
 
 def token_sets(docs: DataFrame, marks: DataFrame, wanted: DataFrame, size: int, percent: int, text_col: str) -> DataFrame:
@@ -125,12 +135,40 @@ def token_sets(docs: DataFrame, marks: DataFrame, wanted: DataFrame, size: int,
     return staged(found.groupBy("set_key").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens")), "sets")
 
 
-def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) with 100 * intersection >= percent * union. The side that may be hot, b, is joined
-    first, while rows are light."""
-    of = {c: sets.select(F.col("set_key").alias(c), F.col("n").alias(f"{c}_n"), F.col("tokens").alias(f"{c}_tokens")) for c in "ab"}
-    both = pairs.join(of["b"], "b").join(of["a"], "a").withColumn("common", F.size(F.array_intersect("a_tokens", "b_tokens")))
-    return both.where(F.col("common") * 100 >= (F.col("a_n") + F.col("b_n") - F.col("common")) * percent).select("a", "b")
+def compare_sets(percent: int):
+    """Two blocks of sets of one cell to (a, b): each set with links and the least set they lead to here.
+
+    Intersections are products of the blocks' incidence matrices over the tokens that two of their sets have.
+    """
+
+    def run(rows: pa.Table) -> pa.Table:
+        side, n = np.asarray(rows.column("side")), np.asarray(rows.column("n"))
+        one = bool(rows.column("same")[0].as_py())
+        first, second = np.flatnonzero(side == 0), np.flatnonzero(side == (0 if one else 1))
+        tokens = rows.column("tokens").combine_chunks()
+        row = np.repeat(np.arange(len(tokens)), np.diff(np.asarray(tokens.offsets)))
+        _, token, times = np.unique(np.asarray(tokens.flatten()), return_inverse=True, return_counts=True)
+        often = np.flatnonzero(times > 1)
+        common = np.zeros((len(first), len(second)), dtype=np.float32)
+        for start in range(0, len(often), TOKENS_AT_ONCE):
+            column = np.full(len(times), -1)
+            some = often[start : start + TOKENS_AT_ONCE]
+            column[some] = np.arange(len(some))
+            at = column[token]
+            matrix = np.zeros((len(side), len(some)), dtype=np.float32)
+            matrix[row[at >= 0], at[at >= 0]] = 1
+            common += matrix[first] @ matrix[second].T
+        near = common * 100 >= (n[first][:, None] + n[second][None] - common) * percent
+        if one:
+            np.fill_diagonal(near, False)
+        left, right = np.flatnonzero(near.any(axis=1)), np.flatnonzero(near.any(axis=0))
+        keys = rows.column("node").to_pylist()
+        nodes = [keys[i] for i in first[left]] + ([] if one else [keys[i] for i in second[right]])
+        roots = block_roots(nodes, near[np.ix_(left, right)], one)
+        out = [(a, b) for a, b in zip(nodes, roots, strict=True) if a != b]
+        return pa.table({"a": pa.array([a for a, _ in out], pa.binary()), "b": pa.array([b for _, b in out], pa.binary())})
+
+    return run
 
 
 def surviving(docs: DataFrame, groups: DataFrame, size: int, percent: int, text_col: str) -> DataFrame:
@@ -143,48 +181,51 @@ def surviving(docs: DataFrame, groups: DataFrame, size: int, percent: int, text_
     # 31 bits tell the groups of one token apart; tokens of equal sets are folded in the map tasks
     gid = F.pmod(F.coalesce("gid", F.xxhash64("set_key")), F.lit((1 << 31) - 1)).cast("int")
     seen = first.select(gid.alias("gid"), F.explode("tokens").alias("token")).groupBy("token").agg(F.min("gid").alias("low"), F.max("gid").alias("high"))
-    shared = narrow(staged(seen.where("low <> high").select("token"), "shared"), 1 << 20)
+    shared = narrow(staged(seen.where("low <> high").select("token"), "shared"), 1 << 21)
     hits = first.select("set_key", "n", F.explode("tokens").alias("token")).join(shared, "token").distinct()
     return staged(hits.groupBy("set_key", "n").agg(F.count(F.lit(1)).alias("overlap")).where(F.col("overlap") >= bound(percent)).select("set_key"), "surviving")
 
 
-def opened_pairs(found: DataFrame, percent: int) -> DataFrame:
-    """(a, b): the sets of different groups that are to be compared; found: (set_key, gid, n, tokens).
+def opened_groups(found: DataFrame, percent: int) -> DataFrame:
+    """(set_key, cell): the other groups that a set is to be compared with; found: (set_key, home, n, tokens). Staged.
 
-    The matrix holds the union of each group's first tokens. First goes by how few groups a token is in, then by hash:
-    tokens of one group alone come first, meet no other and are left out. A query's overlap with a group is counted in
-    the matrix; groups below bound() stay closed. In those opened the sets that share a first token are compared.
+    The matrix holds the union of each group's first tokens. First goes by how few sets a token is in, then by hash:
+    tokens of one group alone come first, meet no other and are left out; a set with fewer others than a partner must
+    share has none. In a group with none of a set's first tokens no partner can be, so it stays closed.
     """
-    entries = found.select("set_key", "gid", "n", F.explode("tokens").alias("token"))
-    spread = staged(entries.select("token", "gid").distinct().groupBy("token").agg(F.count(F.lit(1)).alias("spread")).where("spread > 1"), "spread")
-    ranked = entries.join(spread, "token").groupBy("set_key", "gid", "n").agg(F.sort_array(F.collect_list(F.struct("spread", "token"))).alias("shared"))
-    take = F.least(F.size("shared"), (F.floor(F.col("n") / 20) + 1 - F.ceil(F.col("n") * percent / 100)).cast("int") + F.size("shared"))
-    entry = F.explode(F.slice("shared", 1, take)).alias("entry")
-    first = staged(ranked.where(take > 0).select("set_key", "gid", "n", entry).select("set_key", "gid", "n", F.col("entry.token").alias("token")), "first")
-    matrix = staged(first.select("token", F.col("gid").alias("group")).distinct(), "matrix")
-    overlap = first.join(matrix, "token").where("gid <> group").groupBy("set_key", "n", "group").agg(F.count(F.lit(1)).alias("overlap"))
-    opened = overlap.where(F.col("overlap") >= bound(percent)).select("set_key", "group")
-    members = first.select("token", F.col("set_key").alias("b"), F.col("gid").alias("group"), F.col("n").alias("b_n"))
-    near = first.join(members, "token").where("gid <> group and set_key < b").where(F.least("n", "b_n") * 100 >= F.greatest("n", "b_n") * percent)
-    return staged(near.select("set_key", "group", "b").distinct().join(opened, ["set_key", "group"], "left_semi").select(F.col("set_key").alias("a"), "b"), "pairs")
+    entries = found.select(F.xxhash64("set_key").alias("sid"), "home", F.explode("tokens").alias("token"))
+    spread = entries.groupBy("token").agg(F.count(F.lit(1)).alias("spread"), F.min("home").alias("low"), F.max("home").alias("high"))
+    spread = narrow(staged(spread.where("low <> high").select("token", "spread"), "spread"), 1 << 21)
+    shared = entries.select("sid", "token").join(spread, "token").groupBy("sid").agg(F.sort_array(F.collect_list(F.struct("spread", "token"))).alias("shared"))
+    ranked = found.select("set_key", "home", "n", F.xxhash64("set_key").alias("sid")).join(shared, "sid")
+    take = F.size("shared") - F.ceil(F.col("n") * percent / 100).cast("int") + 1
+    entry = F.explode(F.slice("shared", 1, F.greatest(take, F.lit(1)))).alias("entry")
+    first = staged(ranked.where(take > 0).select("set_key", "home", entry).select("set_key", "home", F.col("entry.token").alias("token")), "first")
+    matrix = staged(first.select("token", F.col("home").alias("cell")).distinct(), "matrix")
+    return staged(first.join(matrix, "token").where("home <> cell").select("set_key", "cell").distinct(), "opened")
+
+
+def links_of(docs: DataFrame, marks: DataFrame, size: int, percent: int, text_col: str) -> DataFrame:
+    """(a, b): links that lead from each set to all that it is linked with, over any number of steps; staged."""
+    groups = similar_groups(marks.where("n > 0").groupBy("set_key").agg(F.first("least").alias("least")))
+    home = groups.select("set_key", F.xxhash64("group").alias("home"))
+    gids = staged(marks.join(home, "set_key").select("key", F.col("home").alias("gid")), "gids")
+    alone = surviving(docs, narrow(gids), size, percent, text_col)
+    sets = token_sets(docs, marks, groups.select("set_key").unionByName(alone).distinct(), size, percent, text_col)
+    placed = staged(sets.join(home, "set_key", "left").withColumn("home", F.coalesce("home", F.xxhash64("set_key"))), "placed")
+    unstage(docs.sparkSession, sets)
+    opened = opened_groups(placed.join(alone, "set_key", "left_semi"), percent)
+    guests = placed.join(opened, "set_key")
+    cells = placed.withColumn("cell", F.col("home")).unionByName(guests.select(*placed.columns, "cell")).withColumnRenamed("set_key", "node")
+    pairs = block_pairs(staged(cells, "cells"), BLOCK_ROWS).groupBy("cell", "i", "j", "against_guests")
+    return staged(pairs.applyInArrow(compare_sets(percent), "a binary, b binary"), "found")
 
 
 def similar_texts(docs: DataFrame, *, size: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(key, n_shingles, component_id, head) for each different text; head (late, id, key) is the first text of the
     component. A text without words has none of both."""
     marks = marks_of(docs, size, id_col, text_col)
-    sets = marks.where("n > 0").groupBy("set_key").agg(F.first("least").alias("least"))
-    # groups: sets found alike to the centres of those they share least hashes with
-    pairs = centred_pairs(sets)
-    links = staged(linked(pairs, token_sets(docs, marks, pairs.select(F.col("a").alias("set_key")).union(pairs.select("b")).distinct(), size, percent, text_col), percent), "alike")
-    groups = components(links).select(F.col("node").alias("set_key"), F.col("root"))
-    gids = staged(marks.join(groups, "set_key").select("key", F.xxhash64("root").alias("gid")), "gids")
-    wanted = surviving(docs, narrow(gids), size, percent, text_col)
-    if not wanted.isEmpty():
-        found = token_sets(docs, marks, wanted, size, percent, text_col)
-        gid = F.xxhash64(F.coalesce("root", "set_key")).alias("gid")
-        more = linked(opened_pairs(staged(found.join(groups, "set_key", "left").select("set_key", gid, "n", "tokens"), "found"), percent), found, percent)
-        groups = components(links.unionByName(more)).select(F.col("node").alias("set_key"), F.col("root"))
+    groups = components(links_of(docs, marks, size, percent, text_col)).select(F.col("node").alias("set_key"), F.col("root"))
     rooted = staged(marks.join(groups, "set_key", "left").select("key", "n", "first_id", F.when(F.col("n") > 0, F.coalesce("root", "set_key")).alias("root")), "rooted")
     head = F.struct(F.col("first_id").isNull().alias("late"), F.col("first_id").alias("id"), "key")
     ids = staged(rooted.where("n > 0").groupBy("root").agg(F.min("first_id").alias("component_id"), F.min(head).alias("head")), "ids")

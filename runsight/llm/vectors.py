@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .blocks import block_pairs, block_roots
 from .common import components, staged, table
 
 #: Vectors of a cell, on average; most cells; vectors of the sample for each cell that the centres are fitted on.
@@ -114,22 +115,10 @@ def compare_blocks(cosine: float):
         near &= own_pairs(rows.column("cell")[0].as_py(), a, b)
         links = [near @ np.asarray(b.column("copies")), near.T @ np.asarray(a.column("copies"))]
         nodes = a.column("node").to_pylist() + ([] if one else b.column("node").to_pylist())
-        label = np.argsort(np.argsort(np.array(nodes, dtype="V16").view("S16"), kind="stable"))
-        la, lb = label[: len(left)], label[:] if one else label[len(left) :]
-        far = len(nodes)
-        while True:
-            na = np.minimum(la, np.where(near, lb[None], far).min(axis=1))
-            nb = np.minimum(lb, np.where(near, na[:, None], far).min(axis=0))
-            if one:
-                na = nb = np.minimum(na, nb)
-            if np.array_equal(na, la) and np.array_equal(nb, lb):
-                break
-            la, lb = na, nb
+        roots = block_roots(nodes, near, one)
         count = links[0] if one else np.concatenate(links)
-        root = la if one else np.concatenate([la, lb])
-        place = np.argsort(label)
         keep = np.flatnonzero(count)
-        return pa.table({"node": pa.array([nodes[i] for i in keep], pa.binary()), "links": pa.array(count[keep]), "root": pa.array([nodes[place[r]] for r in root[keep]], pa.binary())})
+        return pa.table({"node": pa.array([nodes[i] for i in keep], pa.binary()), "links": pa.array(count[keep]), "root": pa.array([roots[i] for i in keep], pa.binary())})
 
     return run
 
@@ -149,27 +138,6 @@ def fitted(units: DataFrame) -> dict[int, np.ndarray]:
     return models
 
 
-def block_rows(placed: DataFrame) -> DataFrame:
-    """A row for each pair of blocks a placed vector is in: pairs of home blocks, and of home with guest blocks."""
-    is_guest = F.col("cell") != F.col("home")
-    sizes = placed.groupBy("cell").agg(F.count_if(~is_guest).alias("own"), F.count_if(is_guest).alias("guests"))
-    blocks = {c: F.ceil(F.col(c) / BLOCK_ROWS).cast("int") for c in ("own", "guests")}
-    sized = placed.join(staged(sizes.select("cell", *[n.alias(c) for c, n in blocks.items()]).where("own > 0"), "sizes"), "cell")
-    block = F.pmod(F.xxhash64(F.lit(3), "node"), F.when(is_guest, F.col("guests")).otherwise(F.col("own"))).cast("int")
-    sized = sized.withColumn("block", block)
-
-    def entry(i, j, side, guests):
-        return F.struct(i.alias("i"), j.alias("j"), side.alias("side"), F.lit(guests).alias("against_guests"))
-
-    at, zero, one = F.col("block"), F.lit(0), F.lit(1)
-    others = F.transform(F.sequence(zero, F.col("own") - 1), lambda j: entry(F.least(at, j), F.greatest(at, j), F.when(at <= j, zero).otherwise(one), False))
-    guests = F.when(F.col("guests") > 0, F.transform(F.sequence(zero, F.greatest(F.col("guests") - 1, zero)), lambda j: entry(at, j, zero, True))).otherwise(F.array().cast("array<struct<i:int,j:int,side:int,against_guests:boolean>>"))
-    hosts = F.transform(F.sequence(zero, F.col("own") - 1), lambda i: entry(i, at, one, True))
-    dealt = sized.withColumn("pair", F.explode(F.when(is_guest, hosts).otherwise(F.concat(others, guests))))
-    same = (F.col("pair.i") == F.col("pair.j")) & ~F.col("pair.against_guests")
-    return dealt.select("cell", "pair.i", "pair.j", "pair.against_guests", "pair.side", same.alias("same"), "node", "copies", "unit", "home", "cells")
-
-
 def with_groups(vectors: DataFrame, *, cosine: float = 0.95, probes: int = PROBES, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """vectors with n_links, component_id and kept behind its columns.
 
@@ -192,7 +160,7 @@ def with_groups(vectors: DataFrame, *, cosine: float = 0.95, probes: int = PROBE
     units = staged(units.groupBy("node").agg(F.first("unit").alias("unit"), F.count(F.lit(1)).alias("copies"), F.min("id").alias("id")).withColumn("dim", F.size("unit")), "units")
     models = vectors.sparkSession.sparkContext.broadcast(fitted(units))
     placed = staged(units.select("node", "copies", "unit", "dim").mapInArrow(cell_pass(models, probes), PLACED), "placed")
-    found = staged(block_rows(placed).groupBy("cell", "i", "j", "against_guests").applyInArrow(compare_blocks(cosine), FOUND), "found")
+    found = staged(block_pairs(placed, BLOCK_ROWS).groupBy("cell", "i", "j", "against_guests").applyInArrow(compare_blocks(cosine), FOUND), "found")
     roots = components(found.select(F.col("node").alias("a"), F.col("root").alias("b"))).withColumnRenamed("root", "top")
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))
     known = units.select("node", "copies", "id").join(counts, "node", "left").join(roots, "node", "left")

@@ -58,7 +58,8 @@ def key(r):
 @pytest.mark.parametrize("met", [True, False])
 def test_components_against_brute_force(spark, make_docs, monkeypatch, seed, met):
     if not met:  # without groups all links come from the bounds alone
-        monkeypatch.setattr(jaccard, "centred_pairs", lambda sets: sets.select(sets.set_key.alias("a"), sets.set_key.alias("b")).limit(0))
+        monkeypatch.setattr(jaccard, "similar_groups", lambda sets: sets.select(sets.set_key, sets.set_key.alias("group")).limit(0))
+        monkeypatch.setattr(jaccard, "BLOCK_ROWS", 2)
     rows = corpus(random.Random(seed), 25)
     rows += [(500, None), (501, ""), (502, " \n"), rows[0], rows[0], (None, rows[1][1]), (None, "nobody has this text at all"), (0, rows[2][1]), (0, "one"), (7, "ONE")]
     out = jaccard.with_components(make_docs(rows, extra=True)).collect()
