@@ -56,19 +56,19 @@ def text_key(text: Column) -> Column:
     return F.substring(F.unhex(F.sha2(F.coalesce(text.cast("string"), F.lit("")), 256)), 1, 16)
 
 
-def distinct_texts(docs: DataFrame, text_col: str = "text", order_col: str | None = None) -> DataFrame:
-    """(key, text, copies[, first_id]): each different text once, null as the empty text.
-
-    Copies are folded before the shuffle, so a text that a third of all rows hold is one row from each map task.
-    first_id: the smallest order_col of the copies, null if all are null.
-    """
-    text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
-    columns = [text_key(docs[text_col]).alias("key"), text.alias("text")]
-    aggregates = [F.first("text").alias("text"), F.count(F.lit(1)).alias("copies")]
-    if order_col:
-        columns.append(docs[order_col].alias("first_id"))
-        aggregates.append(F.min("first_id").alias("first_id"))
-    return docs.select(*columns).groupBy("key").agg(*aggregates)
+def singles_and_copies(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(singles, copied, texts): docs whose text no other row has, and the others, both with __key and __text behind their
+    columns; and (key, text) once for each text of the others, staged. Texts of singles aren't shuffled."""
+    rows = docs.withColumn("__key", text_key(docs[text_col])).withColumn("__text", F.coalesce(docs[text_col].cast("string"), F.lit("")))
+    many = narrow(staged(rows.groupBy("__key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("__key"), "copied"))
+    copied = rows.join(many, "__key", "left_semi")
+    texts = staged(copied.groupBy(F.col("__key").alias("key")).agg(F.first("__text").alias("text")), "copied-texts")
+    return rows.join(many, "__key", "left_anti"), copied, texts
+
+
+def with_lists(texts: DataFrame, lists: DataFrame) -> DataFrame:
+    """texts (key, ...) joined with the staged lists (key, ...): the others are left behind before anything is shuffled."""
+    return texts.join(narrow(lists.select("key")), "key", "left_semi").join(lists, "key")
 
 
 def blocks(batches: Iterator[pa.RecordBatch], size_of: str, limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:

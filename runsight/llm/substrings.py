@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, distinct_texts, table, text_key
+from .common import blocks, narrow, singles_and_copies, staged, table, with_lists
 from .rolling import anchored, byte_values, covered, words_of
 
 LEVEL = "h long, g long, key binary, lo int, hi int"
@@ -66,58 +66,70 @@ def level_pass(unit: Unit, window: int, k: int, first: bool) -> Callable[[Iterat
     return run
 
 
-def repeated_windows(texts: DataFrame, unit: Unit, window: int, lengths: list[int]) -> DataFrame:
-    """(key, spans): the windows (starts lo to hi) whose anchors of all the lengths are repeated; with the window itself
-    as the last length, exactly the repeated windows.
+def repeated_windows(texts: DataFrame, unit: Unit, window: int, lengths: list[int], copies: DataFrame | None = None) -> DataFrame:
+    """(key, spans): the windows (starts lo to hi) of texts (key, text; keys differ) whose anchors of all the lengths are
+    repeated; with the window itself as the last length, exactly the repeated windows. Staged.
 
-    texts: distinct_texts(). At each length the anchors of the windows left are counted (combined in the map tasks, so
-    a passage in many documents is one row from each) and joined back; Spark splits the join's large partitions. The
-    texts are shuffled once: every level and the caller read the same exchange.
+    copies: (key, text) of texts that several documents have, so that all their windows count as repeated.
+
+    At each length the anchors of the windows left are counted, combined in the map tasks: a passage in many documents
+    is one row from each. Those that repeat go back to the texts; texts without any are left behind before the next
+    length, so they are shuffled at no time.
     """
     spans = None
     for k in lengths:
-        source = texts.select("key", "text")
-        if spans is not None:
-            source = source.join(spans, "key")
+        source = texts.select("key", "text") if spans is None else with_lists(texts.select("key", "text"), spans)
         rows = source.mapInArrow(level_pass(unit, window, k, spans is None), LEVEL)
         on = ["h", "g"] if k == window else ["h"]
-        often = rows.groupBy(*on).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*on)
-        spans = rows.select(*on, "key", "lo", "hi").join(often, on).groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+        counted = rows.select(*on, F.lit(1).alias("times"))
+        if copies is not None:
+            counted = counted.unionByName(copies.select("key", "text").mapInArrow(level_pass(unit, window, k, True), LEVEL).select(*on, F.lit(2).alias("times")))
+        often = counted.groupBy(*on).agg(F.sum("times").alias("times")).where("times > 1").select(*on)
+        again = rows.select(*on, "key", "lo", "hi").join(narrow(staged(often, "often"), 1 << 20), on)
+        spans = staged(again.groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), "spans")
     return spans
 
 
-KEPT = "key binary, n_words long, n_removed long, kept binary"
-
-
-def keep_rest(window: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(key, text, copies, spans) to the words left once those in repeated windows are gone; of copies all windows are repeated."""
+def keep_rest(window: int, kept: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(kept columns, text, whole, spans) to the kept columns, n_words, n_removed and the words left once those in repeated
+    windows are gone; whole: all windows are repeated."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in blocks(batches, "text"):
-            keys, texts, copies = (batch.column(i).to_pylist() for i in range(3))
-            row, lo, hi = ranges_of(batch.column(3))
+        for batch in blocks(batches, "__text"):
+            texts, whole = (batch.column(kept + i).to_pylist() for i in range(2))
+            row, lo, hi = ranges_of(batch.column(kept + 2))
             at = np.searchsorted(row, np.arange(len(texts) + 1))
             out: list[tuple] = []
             for i, text in enumerate(texts):
                 words = text.encode().split()
                 n = len(words)
                 gone = np.zeros(n, dtype=bool)
-                if copies[i] > 1 and n >= window:
+                if whole[i] and n >= window:
                     gone[:] = True
                 elif at[i] < at[i + 1]:
                     gone = covered(n, lo[at[i] : at[i + 1]], hi[at[i] : at[i + 1]] + window - 1)
-                out.append((keys[i], n, int(gone.sum()), b" ".join(itertools.compress(words, ~gone))))
-            k, n, r, kept = zip(*out, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(k, pa.binary()), pa.array(n, pa.int64()), pa.array(r, pa.int64()), pa.array(kept, pa.binary())], names=["key", "n_words", "n_removed", "kept"])
+                out.append((n, int(gone.sum()), b" ".join(itertools.compress(words, ~gone))))
+            n, r, rest = zip(*out, strict=True)
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(kept)), pa.array(n, pa.int64()), pa.array(r, pa.int64()), pa.array(rest, pa.binary())], names=[*batch.schema.names[:kept], "n_words", "n_removed", "kept"])
 
     return run
 
 
-def kept_words(docs: DataFrame, *, window: int = 35, least: int = 8, text_col: str = "text") -> DataFrame:
-    """(key, n_words, n_removed, kept) for each different text of docs; kept: its words left, joined by one space (UTF-8)."""
-    texts = distinct_texts(docs, text_col)
-    spans = repeated_windows(texts, words_of, window, levels(window, least))
-    return texts.join(spans, "key", "left").mapInArrow(keep_rest(window), KEPT)
+def kept_words(docs: DataFrame, *, window: int = 35, least: int = 8, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """docs' columns named in keep, with n_words, n_removed and kept: the words left, joined by one space (UTF-8)."""
+    keep = docs.columns if keep is None else keep
+    singles, copied, texts = singles_and_copies(docs, text_col)
+    spans = repeated_windows(singles.select(F.col("__key").alias("key"), F.col("__text").alias("text")), words_of, window, levels(window, least), texts)
+    mine = narrow(spans.select(F.col("key").alias("__key")))
+    none = F.array().cast("array<struct<lo:int,hi:int>>").alias("spans")
+
+    def rows(df: DataFrame, whole: bool, spans) -> DataFrame:
+        return df.select(*keep, "__text", F.lit(whole).alias("whole"), spans)
+
+    parts = rows(singles.join(mine, "__key", "left_semi").join(spans.withColumnRenamed("key", "__key"), "__key"), False, F.col("spans"))
+    parts = parts.unionByName(rows(singles.join(mine, "__key", "left_anti"), False, none)).unionByName(rows(copied, True, none))
+    schema = docs.select(*keep).schema.add("n_words", "long").add("n_removed", "long").add("kept", "binary")
+    return parts.mapInArrow(keep_rest(window, len(keep)), schema)
 
 
 def drop_repeated_substrings(docs: DataFrame, *, window: int = 35, least: int = 8, text_col: str = "text") -> DataFrame:
@@ -131,24 +143,22 @@ def drop_repeated_substrings(docs: DataFrame, *, window: int = 35, least: int =
     Windows are told apart by 95 bits of two hashes.
     """
     old = [c for c in docs.columns if c not in ("n_words", "n_removed", "kept_text")]
-    done = kept_words(docs, window=window, least=least, text_col=text_col)
-    done = done.select(F.col("key").alias("__key"), "n_words", "n_removed", F.decode("kept", "UTF-8").alias("kept_text"))
-    rows = docs.select(*[docs[c] for c in old], text_key(docs[text_col]).alias("__key"))
-    return rows.join(done, "__key", "left").drop("__key")
+    # names that the passes use may be the documents' own
+    named = docs.select(*[docs[c].alias(f"__{i}") for i, c in enumerate(old)])
+    done = kept_words(named, window=window, least=least, text_col=f"__{old.index(text_col)}")
+    return done.select(*[F.col(f"__{i}").alias(c) for i, c in enumerate(old)], "n_words", "n_removed", F.decode("kept", "UTF-8").alias("kept_text"))
 
 
 def with_rest_as_text(docs: DataFrame, *, window: int = 35, least: int = 8, text_col: str = "text") -> DataFrame:
     """docs with the kept words as their text; a text that loses nothing stays as it is, a document that loses all goes."""
-    done = drop_repeated_substrings(docs.withColumn("__text", docs[text_col]), window=window, least=least, text_col="__text")
+    done = drop_repeated_substrings(docs, window=window, least=least, text_col=text_col)
     stay = done.where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_words")))
     return stay.withColumn(text_col, F.when(F.col("n_removed") == 0, F.col(text_col)).otherwise(F.col("kept_text"))).select(*docs.columns)
 
 
 def op1_substring_dedup(spark, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    # the digest is taken before the join back to the documents, so that no text moves again
-    done = kept_words(docs).select("key", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
-    return docs.select("doc_id", text_key(docs["text"]).alias("key")).join(done, "key", "left").drop("key")
+    done = kept_words(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
+    return done.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 OP1_SQL = r"""
