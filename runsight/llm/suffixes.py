@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, distinct_texts, table, text_key
+from .common import blocks, narrow, singles_and_copies, staged, table, text_key, with_lists
 from .rolling import anchored, covered, window_hashes
 from .substrings import byte_unit, levels, living, ranges_of, repeated_windows
 
@@ -178,57 +178,67 @@ def array_pass(window: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
 
 
 def later_copies(texts: DataFrame, window: int, least: int) -> DataFrame:
-    """(key, gone): for texts (key, text, first_id), the windows of each that also start earlier, as starts lo to hi."""
+    """(key, gone): for texts (key, text, first_id; keys differ), the windows of each that also start earlier, as starts lo
+    to hi; staged. Texts without repeated anchors are left behind before anything of them is shuffled."""
     k = levels(window, least)[0]
     alive = repeated_windows(texts, byte_unit, window, levels(window, least)[:-1])
-    found = texts.select("key", "text", "first_id").join(alive, "key").mapInArrow(context_pass(window, k), CONTEXT)
-    firsts = found.groupBy("cid").agg(F.min("place").alias("head"), F.first("h").alias("h"), F.first(F.col("hi") - F.col("place.lo")).alias("more"))
+    found = with_lists(texts.select("key", "text", "first_id"), alive).select("key", "text", "first_id", "spans").mapInArrow(context_pass(window, k), CONTEXT)
+    more = F.first(F.col("hi") - F.col("place.lo")).alias("more")
+    firsts = staged(found.groupBy("cid").agg(F.min("place").alias("head"), F.first("h").alias("h"), more, F.count(F.lit(1)).alias("c")), "firsts")
     # the same bytes as an earlier context: all their windows are later ones
-    again = found.join(firsts.select("cid", "head"), "cid").where(F.col("place") != F.col("head")).select(F.col("place.key").alias("key"), F.col("place.lo").alias("lo"), "hi")
-    # different contexts of one anchor go into a suffix array
-    common = firsts.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > MOST_CONTEXTS).select("h", F.lit(True).alias("common"))
-    dealt = firsts.join(common, "h", "left").select("h", F.coalesce("common", F.lit(False)).alias("common"), "head", (F.col("head.lo") + F.col("more")).alias("hi"))
+    again = found.join(narrow(firsts.where("c > 1").select("cid", "head")), "cid").where(F.col("place") != F.col("head")).select(F.col("place.key").alias("key"), F.col("place.lo").alias("lo"), "hi")
+    # different contexts of one anchor go into a suffix array; a lone one repeats nothing, its windows hold the anchor at different places
+    sizes = narrow(staged(firsts.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "sizes"), 1 << 20)
+    dealt = firsts.join(sizes, "h").select("h", (F.col("n") > MOST_CONTEXTS).alias("common"), "head", (F.col("head.lo") + F.col("more")).alias("hi"))
 
     def heads(common: bool) -> DataFrame:
         entry = F.struct("h", "head.late", "head.first_id", "head.lo", "hi")
         lists = dealt.where(F.col("common") == common).groupBy(F.col("head.key").alias("key")).agg(F.collect_list(entry).alias("heads"))
-        return texts.select("key", "text").join(lists, "key")
+        return with_lists(texts.select("key", "text"), staged(lists, "heads"))
 
     arrays = heads(False).mapInArrow(gather_pass(window), ROW).repartition("grp").sortWithinPartitions("grp").mapInArrow(array_pass(window), GONE)
     single = heads(True).mapInArrow(single_pass(window), f"a long, b long, place {PLACE}")
-    least_place = single.groupBy("a", "b").agg(F.min("place").alias("head"))
+    least_place = staged(single.groupBy("a", "b").agg(F.min("place").alias("head")), "least")
     alone = single.join(least_place, ["a", "b"]).where(F.col("place") != F.col("head")).select(F.col("place.key").alias("key"), F.col("place.lo").alias("lo"), F.col("place.lo").alias("hi"))
     gone = again.unionByName(arrays).unionByName(alone)
-    return gone.groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias("gone"))
+    return staged(gone.groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias("gone")), "gone")
 
 
-LEFT = "key binary, n_bytes long, n_removed long, n_spans long, kept binary"
+LEFT = "key binary, first_id long, n_bytes long, n_removed long, n_spans long, kept binary"
 
 
 def keep_bytes(window: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(key, text, first_id, gone) to LEFT."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches, "text"):
-            row, lo, hi = ranges_of(batch.column(2))
+            row, lo, hi = ranges_of(batch.column(3))
             at = np.searchsorted(row, np.arange(batch.num_rows + 1))
             out: list[tuple] = []
-            for i, (key, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+            for i, text in enumerate(batch.column(1).to_pylist()):
                 data = text.encode()
                 if at[i] == at[i + 1]:
-                    out.append((key, len(data), 0, 0, data))
+                    out.append((len(data), 0, 0, data))
                     continue
                 gone = covered(len(data), lo[at[i] : at[i + 1]], hi[at[i] : at[i + 1]] + window - 1)
-                out.append((key, len(data), int(gone.sum()), len(runs(gone)[0]), np.frombuffer(data, dtype=np.uint8)[~gone].tobytes()))
-            kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], names=[c.split()[0] for c in LEFT.split(", ")])
+                out.append((len(data), int(gone.sum()), len(runs(gone)[0]), np.frombuffer(data, dtype=np.uint8)[~gone].tobytes()))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+            columns = [pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *columns], names=[c.split()[0] for c in LEFT.split(", ")])
 
     return run
 
 
 def first_copies(docs: DataFrame, *, window: int = 100, least: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(key, first_id, n_bytes, n_removed, n_spans, kept) for the first document of each different text; kept: its bytes left."""
-    texts = distinct_texts(docs, text_col, id_col)
-    left = texts.select("key", "text").join(later_copies(texts, window, least), "key", "left").mapInArrow(keep_bytes(window), LEFT)
-    return left.join(docs.select(text_key(docs[text_col]).alias("key"), docs[id_col].alias("first_id")).groupBy("key").agg(F.min("first_id").alias("first_id")), "key")
+    """LEFT for the first document of each different text; kept: its bytes left."""
+    named = docs.select(docs[id_col].cast("long").alias("__id"), docs[text_col].alias("__whole"))
+    singles, copied, whole = singles_and_copies(named, "__whole")
+    ids = copied.groupBy(F.col("__key").alias("key")).agg(F.min("__id").alias("first_id"))
+    texts = singles.select(F.col("__key").alias("key"), F.col("__text").alias("text"), F.col("__id").alias("first_id"))
+    texts = texts.unionByName(staged(whole.join(ids, "key").select("key", "text", "first_id"), "first-texts"))
+    gone = later_copies(texts, window, least)
+    rest = texts.join(narrow(gone.select("key")), "key", "left_anti").withColumn("gone", F.array().cast("array<struct<lo:int,hi:int>>"))
+    return with_lists(texts, gone).select("key", "text", "first_id", "gone").unionByName(rest).mapInArrow(keep_bytes(window), LEFT)
 
 
 def with_results(docs: DataFrame, done: DataFrame, kept: str, nothing: Column, window: int, id_col: str, text_col: str) -> DataFrame:
