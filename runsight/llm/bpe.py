@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,46 +14,47 @@ from pyspark.sql import functions as F
 from .common import blocks, table
 from .pieces import PieceCache, pieces
 
+#: Matches of the split pattern, and pieces of a few matches, that a process keeps the ids of; about 200 bytes each.
+MATCHES, PIECES = 1_200_000, 200_000
+
 _codecs: dict[tuple[str, str], Codec] = {}
 
 
 class RankQueue:
-    """Places waiting in a bucket for each merge rank, and a bitmap of three levels, 64 wide, of the buckets in use.
+    """Places waiting in a bucket for each merge rank, and a bitmap of two levels of the buckets in use, the lower 256 wide.
 
     The lowest rank in use is found by find-first-set from the top level down; adding and emptying a bucket touch one
-    bit a level. Ranks run to 64 ** 3.
+    bit a level.
     """
 
+    __slots__ = ("buckets", "low", "top")
+
     def __init__(self):
-        self.top, self.middle, self.low, self.buckets = 0, {}, {}, {}
+        self.top, self.low, self.buckets = 0, {}, {}
 
     def add(self, rank: int, place: int) -> None:
         bucket = self.buckets.get(rank)
-        if bucket is not None:
+        if bucket is None:
+            self.buckets[rank] = [place]
+            part = rank >> 8
+            self.low[part] = self.low.get(part, 0) | 1 << (rank & 255)
+            self.top |= 1 << part
+        else:
             bucket.append(place)
-            return
-        self.buckets[rank] = [place]
-        a, b = rank >> 12, rank >> 6
-        self.low[b] = self.low.get(b, 0) | 1 << (rank & 63)
-        self.middle[a] = self.middle.get(a, 0) | 1 << (b & 63)
-        self.top |= 1 << a
 
     def pop(self) -> tuple[int, list[int]]:
         """The lowest rank in use and its places, ascending; their bucket is empty from now on."""
-        a = (self.top & -self.top).bit_length() - 1
-        bits = self.middle[a]
-        b = a << 6 | (bits & -bits).bit_length() - 1
-        bits = self.low[b]
-        rank = b << 6 | (bits & -bits).bit_length() - 1
-        self.low[b] = bits = bits & (bits - 1)
-        if not bits:
-            self.middle[a] = bits = self.middle[a] & ~(1 << (b & 63))
-            if not bits:
-                self.top &= ~(1 << a)
-        return rank, sorted(self.buckets.pop(rank))
-
-    def __bool__(self) -> bool:
-        return self.top != 0
+        part = (self.top & -self.top).bit_length() - 1
+        bits = self.low[part]
+        first = bits & -bits
+        self.low[part] = bits ^ first
+        if bits == first:
+            self.top ^= 1 << part
+        rank = part << 8 | first.bit_length() - 1
+        places = self.buckets.pop(rank)
+        if len(places) > 1:
+            places.sort()
+        return rank, places
 
 
 def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -70,7 +72,7 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
         if rank is not None:
             pair_rank[i] = rank
             queue.add(rank, i)
-    while queue:
+    while queue.top:
         rank, places = queue.pop()
         for i in places:
             if pair_rank[i] != rank:
@@ -107,8 +109,9 @@ class Codec:
             self.ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
         self.tokens = {rank: token for token, rank in self.ranks.items()}
         self.pattern = regex.compile(pattern)
-        self.matches = PieceCache(lambda found: [np.array(merge(m.encode(), self.ranks), dtype="<u4").tobytes() for m in found])
-        self.cache = PieceCache(self._encode)
+        # a match that has left its cache costs a merge, a piece only its matches' look-up: most of the room is for matches
+        self.matches = PieceCache(lambda found: [struct.pack(f"<{len(x)}I", *x) for x in (merge(m.encode(), self.ranks) for m in found)], MATCHES)
+        self.cache = PieceCache(self._encode, PIECES)
 
     @staticmethod
     def of(path: str, pattern: str) -> Codec:

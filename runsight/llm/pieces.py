@@ -35,6 +35,6 @@ class PieceCache:
         """After it, known has all of wanted."""
         new = [p for p in wanted if p not in self.known]
         if len(self.known) + len(new) > self.limit:
-            self.known = {}
-            new = list(wanted)
+            # what is wanted now is likely to be wanted again
+            self.known = {p: self.known[p] for p in wanted if p in self.known}
         self.known.update(zip(new, self.encode(new), strict=True))

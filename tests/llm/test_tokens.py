@@ -70,7 +70,7 @@ def test_rank_queue_orders():
         queue.add(rank, i)
         put[rank].append(i)
     seen = []
-    while queue:
+    while queue.top:
         seen.append(queue.pop())
     assert seen == sorted(put.items())
 
