@@ -10,13 +10,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import blocks, narrow, singles_and_copies, staged, table, text_key, with_lists
-from .rolling import anchored, covered, window_hashes
+from .rolling import BASES, anchored, covered, mix, powers, sums, window_hashes
 from .substrings import byte_unit, levels, living, ranges_of, repeated_windows
 
 #: Different contexts of one anchor that are put into one suffix array; the windows of commoner anchors meet one by one.
 MOST_CONTEXTS = 4096
 #: Bytes of contexts in a suffix array, once the groups in it are whole.
-ARRAY_BYTES = 1 << 20
+ARRAY_BYTES = 1 << 17
 
 PLACE = "struct<late boolean, first_id long, key binary, lo int>"
 
@@ -74,9 +74,7 @@ def context_pass(window: int, k: int) -> Callable[[Iterator[pa.RecordBatch]], It
             h, lo, hi = anchored(values, living(begin, window, batch.column(3)), window, k)
             row = np.searchsorted(begin, lo, side="right") - 1
             cid = np.empty(len(h), dtype=[("a", "<u8"), ("b", "<u8")])
-            for size in np.unique(hi - lo):  # contexts of one length at a time
-                these = np.flatnonzero(hi - lo == size)
-                cid["a"][these], cid["b"][these] = span_hashes(values, lo[these], int(size) + window)
+            cid["a"], cid["b"] = (span_hashes(values, lo, hi - lo + window, which) for which in (0, 1))
             first_id = batch.column(2).take(pa.array(row))
             place = pa.StructArray.from_arrays([first_id.is_null(), first_id, batch.column(0).take(pa.array(row)), pa.array((lo - begin[row]).astype(np.int32))], names=["late", "first_id", "key", "lo"])
             ids = pa.array(cid.view("V16").tolist() if len(cid) else [], pa.binary())
@@ -85,12 +83,11 @@ def context_pass(window: int, k: int) -> Callable[[Iterator[pa.RecordBatch]], It
     return run
 
 
-def span_hashes(values: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two hashes of length values from each place."""
-    if not len(at):
-        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.uint64)
-    part = values[at[0] : at[-1] + length]
-    return tuple(window_hashes(part, length, which)[at - at[0]] ^ np.uint64(length) for which in (0, 1))
+def span_hashes(values: np.ndarray, at: np.ndarray, lengths: np.ndarray, which: int) -> np.ndarray:
+    """A hash of so many values from each place, by differences of running sums."""
+    running = sums(values, which)
+    size = lengths.astype(np.uint64)
+    return mix((running[at + lengths] - running[at]) * powers(which, len(values) + 1)[1][at] + size * np.uint64(BASES[1 - which]))
 
 
 ROW = f"grp long, place {PLACE}, bytes binary"
