@@ -17,9 +17,21 @@ LAST_GROUPS, LAST_STEPS, LEAST_STEPS = 3, 20, 3
 DEGRADED, NEGLIGIBLE = 5.0, 1e-12
 
 
-def last_groups(residuals: DataFrame, groups: int = LAST_GROUPS) -> DataFrame:
-    """residuals of the last so many (segment, simulation_time), with back: 1 for the last. Ranks are taken over the
-    different groups, not over the rows."""
+def finalized(rows: DataFrame, current: tuple[Column, Column] | None, completed: Column | None = None) -> DataFrame:
+    """rows without those of the current (segment, simulation_time), which is still being written; all of them if the run
+    has completed or no time is current."""
+    if current is None:
+        return rows
+    segment, time = current
+    running = rows["segment"].eqNullSafe(segment) & rows["simulation_time"].eqNullSafe(time)
+    done = F.lit(False) if completed is None else F.coalesce(completed, F.lit(False))
+    return rows.where(done | time.isNull() | ~running)
+
+
+def last_groups(residuals: DataFrame, groups: int = LAST_GROUPS, current: tuple[Column, Column] | None = None, completed: Column | None = None) -> DataFrame:
+    """residuals of the last so many finalized() (segment, simulation_time), with back: 1 for the last. Ranks are taken over
+    the different groups, not over the rows."""
+    residuals = finalized(residuals, current, completed)
     keys = residuals.select("segment", "simulation_time").distinct()
     last = keys.orderBy(F.desc("segment"), F.desc("simulation_time")).limit(groups)
     ranked = last.withColumn("back", F.row_number().over(Window.orderBy(F.desc("segment"), F.desc("simulation_time"))))
@@ -41,10 +53,10 @@ def field_matches(pattern: pd.Series, field: pd.Series) -> pd.Series:
     return pd.Series(out, dtype="Int32")
 
 
-def target_checks(residuals: DataFrame, targets: list[tuple[str, float]], groups: int = LAST_GROUPS) -> DataFrame:
+def target_checks(residuals: DataFrame, targets: list[tuple[str, float]], groups: int = LAST_GROUPS, current: tuple[Column, Column] | None = None, completed: Column | None = None) -> DataFrame:
     """(pos, pattern, threshold, observed, complete, valid, passed) for each of the targets (pattern, threshold) over the
-    last groups: passed if residuals match in each of them and all are finite and within the threshold."""
-    window = last_groups(residuals, groups)
+    last_groups(): passed if residuals match in each of them and all are finite and within the threshold."""
+    window = last_groups(residuals, groups, current, completed)
     peaks = window.groupBy("field", "back").agg(F.max("initial").alias("most"), F.bool_and(finite(F.col("initial"))).alias("good"))
     spark = residuals.sparkSession
     rows = spark.createDataFrame([(i, p, float(t)) for i, (p, t) in enumerate(targets)], "pos int, pattern string, threshold double")
@@ -67,10 +79,10 @@ def steady_verdict(checks: DataFrame, groups: Column, declared: Column, failure:
     return n.select(status.when(F.col("all"), "passing").otherwise("failing").alias("status"))
 
 
-def healthy_steps(steps: DataFrame, residuals: DataFrame, limit: float, last: int = LAST_STEPS) -> DataFrame:
-    """The last steps (segment, simulation_time, courant_max, continuity_global, ...) with healthy: Courant number within
+def healthy_steps(steps: DataFrame, residuals: DataFrame, limit: float, last: int = LAST_STEPS, current: tuple[Column, Column] | None = None, completed: Column | None = None) -> DataFrame:
+    """The last finalized() steps (segment, simulation_time, courant_max, continuity_global, ...) with healthy: Courant number within
     the limit, continuity finite where given, and no solve of the step that didn't converge."""
-    late = steps.orderBy(F.desc("segment"), F.desc("simulation_time")).limit(last)
+    late = finalized(steps, current, completed).orderBy(F.desc("segment"), F.desc("simulation_time")).limit(last)
     unsolved = residuals.where("converged = false").select("segment", "simulation_time").distinct().withColumn("unsolved", F.lit(True))
     good = at_most(F.col("courant_max"), F.lit(limit)) & (F.col("continuity_global").isNull() | finite(F.col("continuity_global")))
     return late.join(unsolved, ["segment", "simulation_time"], "left").withColumn("healthy", good & F.col("unsolved").isNull()).drop("unsolved")
