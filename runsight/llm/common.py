@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -35,20 +36,46 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dirs[app]
 
 
-def staged(df: DataFrame, label: str, *, by: list[str] | None = None) -> DataFrame:
+@contextlib.contextmanager
+def tidied(spark: SparkSession) -> Iterator[None]:
+    """Within it, the shuffle files of a query go as soon as the query ends, not when the driver collects its garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def staged(df: DataFrame, label: str) -> DataFrame:
     """df written as Parquet in the shared folder and read back: cuts the lineage, survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(*by) if by else writer).parquet(path)
+    with tidied(df.sparkSession):
+        df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def unstage(spark: SparkSession, df: DataFrame) -> None:
-    """Deletes a staged table that nothing reads any more."""
-    jvm = spark.sparkContext._jvm
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+def unstage(*tables: DataFrame) -> None:
+    """Deletes staged tables that nothing reads any more."""
+    for df in tables:
+        context = df.sparkSession.sparkContext
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            at = context._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def numbered(docs: DataFrame, new: tuple[str, ...] = ()) -> tuple[DataFrame, list[str]]:
+    """docs without the columns named in new, the others as c0, c1, ..., which no operator uses otherwise; and their names."""
+    named = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    kept = [i for i, c in enumerate(docs.columns) if c not in new]
+    return named.select(*[F.col(f"c{i}").alias(f"c{n}") for n, i in enumerate(kept)]), [docs.columns[i] for i in kept]
+
+
+def renamed(df: DataFrame, names: list[str], *more: Column | str) -> DataFrame:
+    """The columns c0, c1, ... of df under their names again, and more behind them."""
+    out = df.select(*[F.col(f"c{i}") for i in range(len(names))], *more)
+    return out.toDF(*names, *out.columns[len(names) :])
 
 
 def text_key(text: Column) -> Column:
@@ -56,19 +83,18 @@ def text_key(text: Column) -> Column:
     return F.substring(F.unhex(F.sha2(F.coalesce(text.cast("string"), F.lit("")), 256)), 1, 16)
 
 
-def singles_and_copies(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(singles, copied, texts): docs whose text no other row has, and the others, both with __key and __text behind their
-    columns; and (key, text) once for each text of the others, staged. Texts of singles aren't shuffled."""
-    rows = docs.withColumn("__key", text_key(docs[text_col])).withColumn("__text", F.coalesce(docs[text_col].cast("string"), F.lit("")))
-    many = narrow(staged(rows.groupBy("__key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("__key"), "copied"))
-    copied = rows.join(many, "__key", "left_semi")
-    texts = staged(copied.groupBy(F.col("__key").alias("key")).agg(F.first("__text").alias("text")), "copied-texts")
-    return rows.join(many, "__key", "left_anti"), copied, texts
-
+def distinct_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(no, key, text, copies, first_id) for each different text, staged; null is the empty text.
 
-def with_lists(texts: DataFrame, lists: DataFrame) -> DataFrame:
-    """texts (key, ...) joined with the staged lists (key, ...): the others are left behind before anything is shuffled."""
-    return texts.join(narrow(lists.select("key")), "key", "left_semi").join(lists, "key")
+    no numbers the texts in order of their least id (null ids last), those of one id in order of their key. Copies are
+    folded in the map tasks, so a text with any number of them is one row from each task.
+    """
+    rows = docs.select(text_key(docs[text_col]).alias("key"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"), docs[id_col].alias("id"))
+    heads = rows.groupBy("key").agg(F.count(F.lit(1)).alias("copies"), F.min("id").alias("first_id"))
+    heads = staged(heads.orderBy(F.col("first_id").asc_nulls_last(), "key").withColumn("no", F.monotonically_increasing_id()), "heads")
+    texts = staged(rows.groupBy("key").agg(F.first("text").alias("text")).join(heads, "key").select("no", "key", "text", "copies", "first_id"), "texts")
+    unstage(heads)
+    return texts
 
 
 def blocks(batches: Iterator[pa.RecordBatch], size_of: str, limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
@@ -89,11 +115,6 @@ def hash_group(seed: int, n: int, *columns: Column) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), *columns), F.lit(n))
 
 
-def narrow(df: DataFrame, rows: int = 1 << 18) -> DataFrame:
-    """A staged table of short rows, marked for broadcast only if it is counted to have at most so many rows."""
-    return F.broadcast(df) if df.count() <= rows else df
-
-
 def components(links: DataFrame) -> DataFrame:
     """(node, root) of each node in links (a, b): nodes that links connect, over however many steps, share a root.
 
@@ -111,12 +132,15 @@ def components(links: DataFrame) -> DataFrame:
         both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
         parents = both.groupBy(F.col("a").alias("node")).agg(F.min(rank("b")).alias("least")).select("node", F.least(rank("node"), "least")["n"].alias("root"))
         if roots is not None and left.isEmpty():
+            unstage(left)
             return roots
         parents = staged(parents, "parents")
         of = {c: parents.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")) for c in "ab"}
-        left = staged(left.join(of["a"], "a").join(of["b"], "b").select(F.col("a_root").alias("a"), F.col("b_root").alias("b")).where("a <> b").distinct(), "links")
+        before, left = left, staged(left.join(of["a"], "a").join(of["b"], "b").select(F.col("a_root").alias("a"), F.col("b_root").alias("b")).where("a <> b").distinct(), "links")
+        unstage(before)
         if roots is None:
             roots = parents
         else:
             above = parents.select(F.col("node").alias("root"), F.col("root").alias("above"))
-            roots = staged(roots.join(above, "root", "left").select("node", F.coalesce("above", "root").alias("root")), "roots")
+            before, roots = roots, staged(roots.join(above, "root", "left").select("node", F.coalesce("above", "root").alias("root")), "roots")
+            unstage(before, parents)

@@ -10,10 +10,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, narrow, singles_and_copies, staged, table, with_lists
+from .common import blocks, distinct_texts, numbered, renamed, staged, table, text_key, unstage
 from .rolling import anchored, byte_values, covered, words_of
 
-LEVEL = "h long, g long, key binary, lo int, hi int"
+LEVEL = "h long, g long, no long, lo int, hi int"
 
 #: A unit gives, for texts as bytes, one value for each word or byte of all of them and where each text's begin.
 Unit = Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]
@@ -50,7 +50,7 @@ def living(begin: np.ndarray, window: int, spans: pa.Array | None) -> np.ndarray
 
 
 def level_pass(unit: Unit, window: int, k: int, first: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(key, text[, spans]) to a row for each anchor of length k of the windows that are left."""
+    """(no, text[, spans]) to a row for each anchor of length k of the windows that are left."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches, "text"):
@@ -61,33 +61,40 @@ def level_pass(unit: Unit, window: int, k: int, first: bool) -> Callable[[Iterat
             row = np.searchsorted(begin, lo, side="right") - 1
             lo, hi = (lo - begin[row]).astype(np.int32), (hi - begin[row]).astype(np.int32)
             g = g[0] if g else np.zeros(len(h), dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(g), batch.column(0).take(pa.array(row)), pa.array(lo), pa.array(hi)], names=["h", "g", "key", "lo", "hi"])
+            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(g), batch.column(0).take(pa.array(row)), pa.array(lo), pa.array(hi)], names=["h", "g", "no", "lo", "hi"])
 
     return run
 
 
-def repeated_windows(texts: DataFrame, unit: Unit, window: int, lengths: list[int], copies: DataFrame | None = None) -> DataFrame:
-    """(key, spans): the windows (starts lo to hi) of texts (key, text; keys differ) whose anchors of all the lengths are
-    repeated; with the window itself as the last length, exactly the repeated windows. Staged.
+def repeated_windows(texts: DataFrame, unit: Unit, window: int, lengths: list[int], copies: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(no, spans), and the same with text: the windows (starts lo to hi) of texts (no, text; numbers differ) whose anchors of
+    all the lengths are repeated; with the window itself as the last length, exactly the repeated windows. Both are staged,
+    but with the window as the last length the second is what that was tried on.
 
-    copies: (key, text) of texts that several documents have, so that all their windows count as repeated.
+    copies: (no, text) of texts that several documents have, so that all their windows count as repeated.
 
     At each length the anchors of the windows left are counted, combined in the map tasks: a passage in many documents
     is one row from each. Those that repeat go back to the texts; texts without any are left behind before the next
-    length, so they are shuffled at no time.
+    length. All joins go by the anchor or the text's number, at every size.
     """
-    spans = None
+    source, spans = texts.select("no", "text"), None
     for k in lengths:
-        source = texts.select("key", "text") if spans is None else with_lists(texts.select("key", "text"), spans)
         rows = source.mapInArrow(level_pass(unit, window, k, spans is None), LEVEL)
         on = ["h", "g"] if k == window else ["h"]
         counted = rows.select(*on, F.lit(1).alias("times"))
         if copies is not None:
-            counted = counted.unionByName(copies.select("key", "text").mapInArrow(level_pass(unit, window, k, True), LEVEL).select(*on, F.lit(2).alias("times")))
-        often = counted.groupBy(*on).agg(F.sum("times").alias("times")).where("times > 1").select(*on)
-        again = rows.select(*on, "key", "lo", "hi").join(narrow(staged(often, "often"), 1 << 20), on)
-        spans = staged(again.groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), "spans")
-    return spans
+            counted = counted.unionByName(copies.select("no", "text").mapInArrow(level_pass(unit, window, k, True), LEVEL).select(*on, F.lit(2).alias("times")))
+        often = staged(counted.groupBy(*on).agg(F.sum("times").alias("times")).where("times > 1").select(*on), "often")
+        again = rows.select(*on, "no", "lo", "hi").join(often, on)
+        before, spans = spans, staged(again.groupBy("no").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), "spans")
+        unstage(often)
+        if before is not None:
+            unstage(before)
+        if k != window:
+            tried, source = source, staged(source.select("no", "text").join(spans, "no"), "alive")
+            if before is not None:
+                unstage(tried)
+    return spans, source
 
 
 def keep_rest(window: int, kept: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -116,44 +123,45 @@ def keep_rest(window: int, kept: int) -> Callable[[Iterator[pa.RecordBatch]], It
 
 
 def kept_words(docs: DataFrame, *, window: int = 35, least: int = 8, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """docs' columns named in keep, with n_words, n_removed and kept: the words left, joined by one space (UTF-8)."""
+    """docs' columns named in keep (none of them __key, __text, whole or spans), with n_words, n_removed and kept: the words
+    left, joined by one space (UTF-8)."""
     keep = docs.columns if keep is None else keep
-    singles, copied, texts = singles_and_copies(docs, text_col)
-    spans = repeated_windows(singles.select(F.col("__key").alias("key"), F.col("__text").alias("text")), words_of, window, levels(window, least), texts)
-    mine = narrow(spans.select(F.col("key").alias("__key")))
-    none = F.array().cast("array<struct<lo:int,hi:int>>").alias("spans")
-
-    def rows(df: DataFrame, whole: bool, spans) -> DataFrame:
-        return df.select(*keep, "__text", F.lit(whole).alias("whole"), spans)
-
-    parts = rows(singles.join(mine, "__key", "left_semi").join(spans.withColumnRenamed("key", "__key"), "__key"), False, F.col("spans"))
-    parts = parts.unionByName(rows(singles.join(mine, "__key", "left_anti"), False, none)).unionByName(rows(copied, True, none))
+    texts = distinct_texts(docs.withColumn("__none", F.lit(None).cast("long")), "__none", text_col)
+    copied = texts.where("copies > 1")
+    spans, tried = repeated_windows(texts.where("copies = 1"), words_of, window, levels(window, least), copied)
+    none = F.array().cast("array<struct<lo:int,hi:int>>")
+    marks = texts.select("no", F.col("key").alias("__key"), (F.col("copies") > 1).alias("whole")).join(spans, "no", "left").where("whole or spans is not null")
+    marks = staged(marks.select("__key", "whole", F.coalesce("spans", none).alias("spans")), "marks")
+    unstage(texts, spans, *([tried] if len(levels(window, least)) > 1 else []))
+    rows = docs.select(*keep, text_key(docs[text_col]).alias("__key"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("__text")).join(marks, "__key", "left")
+    rows = rows.select(*keep, "__text", F.coalesce("whole", F.lit(False)).alias("whole"), F.coalesce("spans", none).alias("spans"))
     schema = docs.select(*keep).schema.add("n_words", "long").add("n_removed", "long").add("kept", "binary")
-    return parts.mapInArrow(keep_rest(window, len(keep)), schema)
+    return rows.mapInArrow(keep_rest(window, len(keep)), schema)
 
 
 def drop_repeated_substrings(docs: DataFrame, *, window: int = 35, least: int = 8, text_col: str = "text") -> DataFrame:
     """docs with n_words, n_removed and kept_text behind its columns.
 
     A word goes if a window of so many words covers it whose words also start anywhere else, in the same document too;
-    windows are judged on the input. Words are runs of other characters than \\x20 and \\x09-\\x0D, unchanged.
+    windows are judged on the input. Words are runs of other characters than \x20 and \x09-\x0D, unchanged.
 
     A null text has no words: 0, 0 and the empty text. Repeated rows are documents of their own, so their windows are
-    repeated; null and repeated ids don't matter. Columns with the new names are replaced; an empty table stays empty.
-    Windows are told apart by 95 bits of two hashes.
+    repeated; null and repeated ids don't matter. Columns with the new names are replaced, any other may have any name;
+    an empty table stays empty. Windows are told apart by 95 bits of two hashes.
     """
-    old = [c for c in docs.columns if c not in ("n_words", "n_removed", "kept_text")]
-    # names that the passes use may be the documents' own
-    named = docs.select(*[docs[c].alias(f"__{i}") for i, c in enumerate(old)])
-    done = kept_words(named, window=window, least=least, text_col=f"__{old.index(text_col)}")
-    return done.select(*[F.col(f"__{i}").alias(c) for i, c in enumerate(old)], "n_words", "n_removed", F.decode("kept", "UTF-8").alias("kept_text"))
+    named, old = numbered(docs, ("n_words", "n_removed", "kept_text"))
+    done = kept_words(named, window=window, least=least, text_col=f"c{old.index(text_col)}")
+    return renamed(done, old, "n_words", "n_removed", F.decode("kept", "UTF-8").alias("kept_text"))
 
 
 def with_rest_as_text(docs: DataFrame, *, window: int = 35, least: int = 8, text_col: str = "text") -> DataFrame:
-    """docs with the kept words as their text; a text that loses nothing stays as it is, a document that loses all goes."""
-    done = drop_repeated_substrings(docs, window=window, least=least, text_col=text_col)
+    """docs with the kept words as their text; a text that loses nothing stays as it is, a document that loses all goes.
+    Null and empty texts and texts without words stay; any column may have any name."""
+    named, old = numbered(docs)
+    text = f"c{old.index(text_col)}"
+    done = kept_words(named, window=window, least=least, text_col=text)
     stay = done.where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_words")))
-    return stay.withColumn(text_col, F.when(F.col("n_removed") == 0, F.col(text_col)).otherwise(F.col("kept_text"))).select(*docs.columns)
+    return renamed(stay.withColumn(text, F.when(F.col("n_removed") == 0, F.col(text)).otherwise(F.decode("kept", "UTF-8"))), old)
 
 
 def op1_substring_dedup(spark, sf_dir: str) -> DataFrame:

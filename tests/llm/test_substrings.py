@@ -111,11 +111,40 @@ def test_suffix_query(spark, make_docs, sf_dir):
     assert suffixes.op5_suffix_array_dedup(spark, sf_dir.write(make_docs([]))).count() == 0
 
 
-def test_suffix_ranks_are_the_order():
+@pytest.mark.parametrize("seed", range(6))
+def test_longest_previous_factors(seed):
     from runsight.llm import suffixes
 
-    data = np.frombuffer(b"abracadabra abracadabra banana\0\0x", dtype=np.uint8)
-    for length in (1, 3, 7, 8, 20):
-        strings = [(data.tobytes() + b"\0" * length)[i : i + length] for i in range(len(data))]
-        got = suffixes.suffix_ranks(data, length)
-        assert all((got[i] < got[j]) == (strings[i] < strings[j]) for i in range(len(data)) for j in range(len(data)))
+    draw = random.Random(seed)
+    data = draw.choice(["ab" * 30, "a" * 40, "".join(draw.choices("ab", k=70)), "".join(draw.choices("abc", k=200)) * 2])
+    place = list(range(len(data)))
+    if seed % 2:
+        draw.shuffle(place)
+    window = draw.choice([1, 5, 16, 33])
+
+    def common(i, j):
+        n = 0
+        while n < window and max(i, j) + n < len(data) and data[i + n] == data[j + n]:
+            n += 1
+        return n
+
+    want = [max([common(i, j) for j in range(len(data)) if place[j] < place[i]], default=0) for i in range(len(data))]
+    got = suffixes.longest_previous(np.frombuffer(data.encode(), dtype=np.uint8).astype(np.int64), np.array(place), window)
+    assert got.tolist() == want
+
+
+def test_string_ids_and_texts_beyond_a_segment(spark, make_docs):
+    from runsight.llm import suffixes
+
+    draw = random.Random(5)
+    passage = "".join(draw.choices("abcdefgh ", k=400))
+    long = "".join(draw.choices("xyz ", k=rolling.SEGMENT - 150)) + passage + "".join(draw.choices("uvw ", k=900))
+    rows = [(1, long), (2, passage + "!"), (3, long + passage)]
+    docs = make_docs(rows)
+    named = docs.withColumn("doc_id", docs.doc_id.cast("string")).withColumnRenamed("lang", "__key").withColumnRenamed("source", "__text")
+    out = suffixes.drop_later_copies(named).collect()
+    assert sorted((int(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept_bytes)) for r in out) == sorted(brute_bytes(rows, 100))
+    assert {r["__key"] for r in out} == {"en"} and {r["__text"] for r in out} == {"src"}
+    out = substrings.drop_repeated_substrings(named).collect()
+    assert sorted((int(r.doc_id), r.n_words, r.n_removed, r.kept_text) for r in out) == sorted(brute_words(rows, 35))
+    assert {r["__key"] for r in out} == {"en"}
