@@ -33,9 +33,27 @@ def block_pairs(placed: DataFrame, block_rows: int) -> DataFrame:
     return dealt.select(*placed.columns, "pair.i", "pair.j", "pair.against_guests", "pair.side", same.alias("same"))
 
 
-def block_roots(nodes: list[bytes], near: np.ndarray, one: bool) -> list[bytes]:
+def hosts_and_guests(hosts: DataFrame, guests: DataFrame, block_rows: int) -> DataFrame:
+    """hosts and guests (sid, cell, ...; alike) with i, j and side: a row for each pair of a block of guests (side 0) and one
+    of hosts (1) of a cell that a row is in. Cells without guests are left out."""
+
+    def counted(rows: DataFrame, name: str) -> DataFrame:
+        return rows.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias(name))
+
+    sizes = staged(counted(hosts, "own").join(counted(guests, "others"), "cell"), "sizes")
+
+    def dealt(rows: DataFrame, mine: str, theirs: str, side: int) -> DataFrame:
+        block = F.pmod(F.xxhash64(F.lit(3), "sid"), F.col(mine)).cast("int")
+        met = F.explode(F.sequence(F.lit(0), F.col(theirs) - 1))
+        return rows.join(sizes, "cell").select(*rows.columns, block.alias("i" if side else "j"), met.alias("j" if side else "i"), F.lit(side).alias("side"))
+
+    return dealt(hosts, "own", "others", 1).unionByName(dealt(guests, "others", "own", 0))
+
+
+def block_roots(nodes: list[bytes] | np.ndarray, near: np.ndarray, one: bool) -> list[bytes] | np.ndarray:
     """For each node the least one that links lead to. nodes: those of near's rows, and unless both are one block, of its columns."""
-    label = np.argsort(np.argsort(np.array([n.hex() for n in nodes]), kind="stable"))
+    some = np.asarray([n.hex() for n in nodes]) if isinstance(nodes, list) else nodes
+    _, at, label = np.unique(some, return_index=True, return_inverse=True)
     rows, columns = near.shape
     a, b = label[:rows], label if one else label[rows:]
     far = len(nodes)
@@ -47,5 +65,5 @@ def block_roots(nodes: list[bytes], near: np.ndarray, one: bool) -> list[bytes]:
         if np.array_equal(new_a, a) and np.array_equal(new_b, b):
             break
         a, b = new_a, new_b
-    place = np.argsort(label)
-    return [nodes[place[r]] for r in (a if one else np.concatenate([a, b]))]
+    found = at[a if one else np.concatenate([a, b])]
+    return [nodes[i] for i in found] if isinstance(nodes, list) else nodes[found]

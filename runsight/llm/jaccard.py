@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import block_pairs, block_roots
-from .common import blocks, components, narrow, staged, table, text_key, unstage
+from .blocks import block_roots, hosts_and_guests
+from .common import blocks, components, numbered, renamed, staged, table, text_key, unstage
 from .rolling import mix, window_hashes, words_of
 
 #: Least hashes of a set under so many orders; sets that share one are compared with the centre of those that do.
@@ -19,8 +19,8 @@ ORDERS = 8
 #: Sets of a block, and tokens of an incidence matrix at a time.
 BLOCK_ROWS, TOKENS_AT_ONCE = 512, 1 << 14
 
-MARKS = "key binary, set_key binary, n long, least array<long>"
-TOKENS = "set_key binary, gid long, n long, tokens array<long>"
+MARKS = "key binary, set_key binary, n long, least array<long>, first array<long>"
+NO_WORD = r"\A[\x20\x09-\x0D]*\z"
 
 
 def shingles(texts: list[str], size: int) -> list[np.ndarray]:
@@ -47,109 +47,143 @@ def least_hashes(sets: list[np.ndarray]) -> np.ndarray:
     return np.stack([np.minimum.reduceat(mix(flat ^ np.uint64(0x9E3779B97F4A7C15 * (j + 1) % (1 << 64))), at) for j in range(ORDERS)], axis=1).view(np.int64)
 
 
-def mark_pass(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(key, text, first_id) to MARKS and first_id."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in blocks(batches, "text"):
-            sets = shingles(batch.column(1).to_pylist(), size)
-            least: list[list[int]] = [[] for _ in sets]
-            if full := [i for i, s in enumerate(sets) if len(s)]:
-                for i, row in zip(full, least_hashes([sets[i] for i in full]).tolist(), strict=True):
-                    least[i] = row
-            keys, n = pa.array([set_key(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), keys, n, pa.array(least, pa.list_(pa.int64())), batch.column(2)], names=["key", "set_key", "n", "least", "first_id"])
-
-    return run
+def needed(n: int, percent: int) -> int:
+    """So many tokens at least a set of n shares with any that it links with."""
+    return -(-percent * n // 100)
 
 
-def prefix_length(n: int, percent: int) -> int:
-    """So many first tokens, in any order common to all sets, hold shared_least() of a partner's first ones."""
-    return min(n, n - -(-percent * n // 100) + shared_least(n))
+def spare(n: int) -> int:
+    """So many tokens beyond the first that must meet are looked at: more of them let fewer sets pass by chance."""
+    return n // 8
 
 
-def shared_least(n: int) -> int:
-    """More of them mean more tokens to look at, but fewer sets that pass by chance."""
-    return 1 + n // 8
+def first_tokens(n: int, percent: int) -> int:
+    """So many first tokens, in any order common to all sets, hold 1 + spare(n) of a partner's first ones."""
+    return min(n, n - needed(n, percent) + 1 + spare(n))
 
 
 def bound(percent: int) -> Column:
-    """What a set of n tokens and any partner have in common at least in their first tokens: shared_least() of the smaller."""
+    """What a set of n tokens and any partner have in common at least in their first tokens: 1 + spare() of the smaller."""
     return (F.floor(F.col("n") * percent / 800) + 1).cast("int")
 
 
-def token_pass(size: int, percent: int, prefix: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(key, text, gid) to TOKENS: all tokens, or with prefix the least prefix_length() of them."""
+def lists(sets: list[np.ndarray]) -> pa.Array:
+    offsets = np.cumsum([0] + [len(s) for s in sets]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets).view(np.int64)))
+
+
+def mark_pass(size: int, percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(key, text, first_id) to MARKS and first_id; first: the least first_tokens() tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches, "text"):
             sets = shingles(batch.column(1).to_pylist(), size)
-            keys, n = [set_key(s) for s in sets], [len(s) for s in sets]
-            if prefix:
-                sets = [s[: prefix_length(len(s), percent)] for s in sets]
-            offsets = np.cumsum([0] + [len(s) for s in sets]).astype(np.int32)
-            tokens = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), batch.column(2), pa.array(n, pa.int64()), tokens], names=["set_key", "gid", "n", "tokens"])
+            least: list[list[int]] = [[] for _ in sets]
+            if full := [i for i, s in enumerate(sets) if len(s)]:
+                for i, row in zip(full, least_hashes([sets[i] for i in full]).tolist(), strict=True):
+                    least[i] = row
+            keys, n = pa.array([set_key(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64())
+            first = lists([s[: first_tokens(len(s), percent)] for s in sets])
+            yield pa.RecordBatch.from_arrays([batch.column(0), keys, n, pa.array(least, pa.list_(pa.int64())), first, batch.column(2)], names=["key", "set_key", "n", "least", "first", "first_id"])
 
     return run
 
 
-def text_rows(docs: DataFrame, text_col: str) -> DataFrame:
-    return docs.select(text_key(docs[text_col]).alias("key"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
+def token_pass(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(sid, home, n, text) to (sid, home, n, tokens)."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in blocks(batches, "text"):
+            tokens = lists(shingles(batch.column(3).to_pylist(), size))
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), tokens], names=["sid", "home", "n", "tokens"])
 
-def marks_of(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
-    """(key, set_key, n, least, first_id) for each different text; staged. Texts aren't shuffled."""
-    rows = docs.select(text_key(docs[text_col]).alias("key"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"), docs[id_col].alias("first_id"))
-    marked = rows.mapInArrow(mark_pass(size), f"{MARKS}, first_id {rows.schema['first_id'].dataType.simpleString()}")
-    return staged(marked.groupBy("key").agg(F.first("set_key").alias("set_key"), F.first("n").alias("n"), F.first("least").alias("least"), F.min("first_id").alias("first_id")), "marks")
+    return run
 
 
 def similar_groups(sets: DataFrame) -> DataFrame:
-    """(set_key, group): groups of at least two sets that are likely to be alike; staged. Other sets aren't in it.
+    """(sid, home): groups of at least two sets that are likely to be alike, home their centre; staged. Other sets aren't in it.
 
     The sets that share a least hash have a centre: the one with the most company over all its least hashes, in a group
     of edited copies the text they come from. A set joins the centre that it shares the most, at least three, least
     hashes with; a centre that has joined another takes its own along. Groups only save work: links between them are
     found as well.
     """
-    entries = sets.select("set_key", F.posexplode("least").alias("order", "value"))
-    company = staged(entries.groupBy("order", "value").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "company")
+    entries = sets.select("sid", F.posexplode("least").alias("order", "value"))
+    company = entries.groupBy("order", "value").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     shared = staged(entries.join(company, ["order", "value"]), "shared")
-    weight = shared.groupBy("set_key").agg(F.round(F.sum(F.log2("c")), 6).alias("weight"))
-    weighed = staged(shared.join(weight, "set_key").select("set_key", "order", "value", F.struct("weight", "set_key").alias("w")), "weighed")
-    centres = staged(weighed.groupBy("order", "value").agg(F.max("w").alias("m")).select("order", "value", F.col("m.set_key").alias("b")), "centres")
-    met = weighed.join(centres, ["order", "value"]).where("set_key <> b").groupBy("set_key", "b").agg(F.count(F.lit(1)).alias("met")).where("met >= 3")
-    joined = staged(met.groupBy("set_key").agg(F.max(F.struct("met", "b")).alias("m")).select("set_key", F.col("m.b").alias("group")), "joined")
+    weight = shared.groupBy("sid").agg(F.round(F.sum(F.log2("c")), 6).alias("weight"))
+    weighed = staged(shared.join(weight, "sid").select("sid", "order", "value", F.struct("weight", F.xxhash64("sid").alias("r"), "sid").alias("w")), "weighed")
+    centres = weighed.groupBy("order", "value").agg(F.max("w").alias("m")).select("order", "value", F.col("m.sid").alias("b"))
+    met = weighed.join(centres, ["order", "value"]).where("sid <> b").groupBy("sid", "b").agg(F.count(F.lit(1)).alias("met")).where("met >= 3")
+    joined = staged(met.groupBy("sid").agg(F.max(F.struct("met", "b")).alias("m")).select("sid", F.col("m.b").alias("home")), "joined")
+    unstage(shared, weighed)
     for _ in range(2):
-        above = joined.select(F.col("set_key").alias("group"), F.col("group").alias("above"))
-        joined = staged(joined.join(above, "group", "left").select("set_key", F.coalesce("above", "group").alias("group")), "joined")
-    return staged(joined.unionByName(joined.select(F.col("group").alias("set_key"), "group").distinct().join(joined.select("set_key"), "set_key", "left_anti")), "groups")
+        above = joined.select(F.col("sid").alias("home"), F.col("home").alias("above"))
+        before, joined = joined, staged(joined.join(above, "home", "left").select("sid", F.coalesce("above", "home").alias("home")), "joined")
+        unstage(before)
+    # who is joined has its home; a centre that has joined nothing is its own
+    centre = joined.select(F.col("home").alias("sid"), "home").distinct().join(joined.select("sid"), "sid", "left_anti")
+    groups = staged(joined.unionByName(centre), "groups")
+    unstage(joined)
+    return groups
+
+
+def surviving(sets: DataFrame, percent: int) -> DataFrame:
+    """(sid): the sets (sid, home, n, first) that may be alike to one of another group; staged.
+
+    It bounds the overlap of a set with all other groups at once: a partner shares bound() tokens among the first
+    of both, so at least as many of a set's first tokens must be another group's as well.
+    """
+    tokens = sets.select("sid", "home", F.explode("first").alias("token"))
+    seen = tokens.groupBy("token").agg(F.min("home").alias("low"), F.max("home").alias("high"))
+    shared = staged(seen.where("low <> high").select("token"), "shared")
+    hits = tokens.select("sid", "token").join(shared, "token").groupBy("sid").agg(F.count(F.lit(1)).alias("overlap"))
+    out = staged(hits.join(sets.select("sid", "n"), "sid").where(F.col("overlap") >= bound(percent)).select("sid"), "surviving")
+    unstage(shared)
+    return out
+
 
+def opened_groups(found: DataFrame, percent: int) -> DataFrame:
+    """(sid, cell): the other groups that a set is to be compared with; found: (sid, home, n, tokens). Staged.
 
-def token_sets(docs: DataFrame, marks: DataFrame, wanted: DataFrame, size: int, percent: int, text_col: str) -> DataFrame:
-    """(set_key, n, tokens) of the sets wanted (set_key); staged. One text stands for each set."""
-    chosen = marks.join(wanted, "set_key").groupBy("set_key").agg(F.min("key").alias("key")).select("key")
-    rows = text_rows(docs, text_col).join(narrow(staged(chosen, "chosen")), "key", "left_semi").withColumn("gid", F.lit(None).cast("long"))
-    found = rows.mapInArrow(token_pass(size, percent, False), TOKENS)
-    return staged(found.groupBy("set_key").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens")), "sets")
+    The matrix holds the union of each group's tokens, but for those of one group alone, which meet no other. A partner
+    shares needed() tokens with a set; all are among the set's tokens in the matrix. These go by how few groups they are
+    in, then by hash. However a group's tokens lie, all but needed() of them may be missed, so at least 1 + spare() of the
+    first so many more must be in the group's union: else the group stays closed.
+    """
+    entries = found.select("sid", "home", F.explode("tokens").alias("token"))
+    union = staged(entries.select("token", "home").distinct(), "union")
+    spread = union.groupBy("token").agg(F.count(F.lit(1)).alias("spread")).where("spread > 1")
+    matrix = staged(union.join(spread, "token").select("token", F.col("home").alias("cell"), "spread"), "matrix")
+    unstage(union)
+    common = matrix.groupBy("token").agg(F.first("spread").alias("spread"))
+    shared = entries.join(common, "token").groupBy("sid").agg(F.sort_array(F.collect_list(F.struct("spread", "token"))).alias("shared"))
+    ranked = found.select("sid", "home", "n").join(shared, "sid")
+    over = F.size("shared") - F.ceil(F.col("n") * percent / 100).cast("int")
+    take = F.least(F.size("shared"), F.col("over") + 1 + F.floor(F.col("n") / 8).cast("int"))
+    ranked = ranked.withColumn("over", over).where("over >= 0").withColumn("take", take)
+    first = ranked.select("sid", "home", (F.col("take") - F.col("over")).alias("least"), F.explode(F.slice("shared", 1, F.col("take"))).alias("entry"))
+    first = staged(first.select("sid", "home", "least", F.col("entry.token").alias("token")), "first")
+    overlap = first.join(matrix, "token").where("home <> cell").groupBy("sid", "cell").agg(F.count(F.lit(1)).alias("c"), F.first("least").alias("least"))
+    out = staged(overlap.where("c >= least").select("sid", "cell"), "opened")
+    unstage(first, matrix)
+    return out
 
 
 def compare_sets(percent: int):
-    """Two blocks of sets of one cell to (a, b): each set with links and the least set they lead to here.
+    """Guests and hosts of one cell to (a, b): each set with links and the least set they lead to here.
 
     Intersections are products of the blocks' incidence matrices over the tokens that two of their sets have.
     """
 
     def run(rows: pa.Table) -> pa.Table:
-        side, n = np.asarray(rows.column("side")), np.asarray(rows.column("n"))
-        one = bool(rows.column("same")[0].as_py())
-        first, second = np.flatnonzero(side == 0), np.flatnonzero(side == (0 if one else 1))
+        side, n, sid = (np.asarray(rows.column(c)) for c in ("side", "n", "sid"))
+        first, second = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         tokens = rows.column("tokens").combine_chunks()
         row = np.repeat(np.arange(len(tokens)), np.diff(np.asarray(tokens.offsets)))
         _, token, times = np.unique(np.asarray(tokens.flatten()), return_inverse=True, return_counts=True)
         often = np.flatnonzero(times > 1)
-        common = np.zeros((len(first), len(second)), dtype=np.float32)
+        common = np.zeros((len(first), len(second)), dtype=np.int64)
         for start in range(0, len(often), TOKENS_AT_ONCE):
             column = np.full(len(times), -1)
             some = often[start : start + TOKENS_AT_ONCE]
@@ -157,113 +191,119 @@ def compare_sets(percent: int):
             at = column[token]
             matrix = np.zeros((len(side), len(some)), dtype=np.float32)
             matrix[row[at >= 0], at[at >= 0]] = 1
-            common += matrix[first] @ matrix[second].T
+            common += (matrix[first] @ matrix[second].T).astype(np.int64)
         near = common * 100 >= (n[first][:, None] + n[second][None] - common) * percent
-        if one:
-            np.fill_diagonal(near, False)
+        near &= sid[first][:, None] != sid[second][None]
         left, right = np.flatnonzero(near.any(axis=1)), np.flatnonzero(near.any(axis=0))
-        keys = rows.column("node").to_pylist()
-        nodes = [keys[i] for i in first[left]] + ([] if one else [keys[i] for i in second[right]])
-        roots = block_roots(nodes, near[np.ix_(left, right)], one)
-        out = [(a, b) for a, b in zip(nodes, roots, strict=True) if a != b]
-        return pa.table({"a": pa.array([a for a, _ in out], pa.binary()), "b": pa.array([b for _, b in out], pa.binary())})
+        nodes = np.concatenate([sid[first[left]], sid[second[right]]])
+        roots = block_roots(nodes, near[np.ix_(left, right)], False)
+        out = np.unique(np.stack([nodes, roots], axis=1), axis=0)
+        out = out[out[:, 0] != out[:, 1]]
+        return pa.table({"a": pa.array(out[:, 0], pa.int64()), "b": pa.array(out[:, 1], pa.int64())})
 
     return run
 
 
-def surviving(docs: DataFrame, groups: DataFrame, size: int, percent: int, text_col: str) -> DataFrame:
-    """(set_key): the sets that may be alike to one of another group; staged. groups: (key, gid) of texts in groups.
+def linked_with_centre(members: DataFrame, percent: int) -> DataFrame:
+    """members (sid, home, n, tokens) with near: whether a set links with its group's centre; staged, tokens are left out.
 
-    It bounds the overlap of a set with all other groups at once: a partner shares bound() tokens among the first
-    prefix_length() of both, so at least as many of a set's must be in another group's union.
+    Those that do are in one component, whatever else links them. A group whose centre has gone to another has none.
     """
-    first = text_rows(docs, text_col).join(groups, "key", "left").select("key", "text", "gid").mapInArrow(token_pass(size, percent, True), TOKENS)
-    # 31 bits tell the groups of one token apart; tokens of equal sets are folded in the map tasks
-    gid = F.pmod(F.coalesce("gid", F.xxhash64("set_key")), F.lit((1 << 31) - 1)).cast("int")
-    seen = first.select(gid.alias("gid"), F.explode("tokens").alias("token")).groupBy("token").agg(F.min("gid").alias("low"), F.max("gid").alias("high"))
-    shared = narrow(staged(seen.where("low <> high").select("token"), "shared"), 1 << 21)
-    hits = first.select("set_key", "n", F.explode("tokens").alias("token")).join(shared, "token").distinct()
-    return staged(hits.groupBy("set_key", "n").agg(F.count(F.lit(1)).alias("overlap")).where(F.col("overlap") >= bound(percent)).select("set_key"), "surviving")
+    centre = members.where("sid = home").select("home", F.col("n").alias("m"), F.col("tokens").alias("others"))
+    common = F.size(F.array_intersect("tokens", "others")).cast("long")
+    near = common * 100 >= (F.col("n") + F.col("m") - common) * percent
+    return staged(members.where("sid <> home").join(centre, "home", "left").select("sid", "home", F.coalesce(near, F.lit(False)).alias("near")), "near")
 
 
-def opened_groups(found: DataFrame, percent: int) -> DataFrame:
-    """(set_key, cell): the other groups that a set is to be compared with; found: (set_key, home, n, tokens). Staged.
+def links_of(docs: DataFrame, raw: DataFrame, size: int, percent: int, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(a, b): links that lead from each set to all that it is linked with, over any number of steps; and (sid, set_key, n),
+    the sets by number. Both staged.
 
-    The matrix holds the union of each group's first tokens. First goes by how few sets a token is in, then by hash:
-    tokens of one group alone come first, meet no other and are left out; a set with fewer others than a partner must
-    share has none. In a group with none of a set's first tokens no partner can be, so it stays closed.
+    Within a group each set is compared with the centre first. Only a set that doesn't link with it, and the guests from
+    other groups, are compared with all of the group, two blocks at a time.
     """
-    entries = found.select(F.xxhash64("set_key").alias("sid"), "home", F.explode("tokens").alias("token"))
-    spread = entries.groupBy("token").agg(F.count(F.lit(1)).alias("spread"), F.min("home").alias("low"), F.max("home").alias("high"))
-    spread = narrow(staged(spread.where("low <> high").select("token", "spread"), "spread"), 1 << 21)
-    shared = entries.select("sid", "token").join(spread, "token").groupBy("sid").agg(F.sort_array(F.collect_list(F.struct("spread", "token"))).alias("shared"))
-    ranked = found.select("set_key", "home", "n", F.xxhash64("set_key").alias("sid")).join(shared, "sid")
-    take = F.size("shared") - F.ceil(F.col("n") * percent / 100).cast("int") + 1
-    entry = F.explode(F.slice("shared", 1, F.greatest(take, F.lit(1)))).alias("entry")
-    first = staged(ranked.where(take > 0).select("set_key", "home", entry).select("set_key", "home", F.col("entry.token").alias("token")), "first")
-    matrix = staged(first.select("token", F.col("home").alias("cell")).distinct(), "matrix")
-    return staged(first.join(matrix, "token").where("home <> cell").select("set_key", "cell").distinct(), "opened")
-
-
-def links_of(docs: DataFrame, marks: DataFrame, size: int, percent: int, text_col: str) -> DataFrame:
-    """(a, b): links that lead from each set to all that it is linked with, over any number of steps; staged."""
-    groups = similar_groups(marks.where("n > 0").groupBy("set_key").agg(F.first("least").alias("least")))
-    home = groups.select("set_key", F.xxhash64("group").alias("home"))
-    gids = staged(marks.join(home, "set_key").select("key", F.col("home").alias("gid")), "gids")
-    alone = surviving(docs, narrow(gids), size, percent, text_col)
-    sets = token_sets(docs, marks, groups.select("set_key").unionByName(alone).distinct(), size, percent, text_col)
-    placed = staged(sets.join(home, "set_key", "left").withColumn("home", F.coalesce("home", F.xxhash64("set_key"))), "placed")
-    unstage(docs.sparkSession, sets)
-    opened = opened_groups(placed.join(alone, "set_key", "left_semi"), percent)
-    guests = placed.join(opened, "set_key")
-    cells = placed.withColumn("cell", F.col("home")).unionByName(guests.select(*placed.columns, "cell")).withColumnRenamed("set_key", "node")
-    pairs = block_pairs(staged(cells, "cells"), BLOCK_ROWS).groupBy("cell", "i", "j", "against_guests")
-    return staged(pairs.applyInArrow(compare_sets(percent), "a binary, b binary"), "found")
+    counted = raw.where("n > 0").groupBy("set_key").agg(F.first("n").alias("n"), F.first("least").alias("least"))
+    sets = staged(counted.withColumn("sid", F.monotonically_increasing_id()), "sets")
+    groups = similar_groups(sets.select("sid", "least"))
+    placed = sets.select("sid", "set_key", "n").join(groups, "sid", "left").withColumn("home", F.coalesce("home", "sid"))
+    placed = staged(placed.withColumn("alone", F.col("sid") == F.col("home")), "placed")
+    firsts = raw.where("n > 0").groupBy("set_key").agg(F.first("first").alias("first")).join(placed.select("set_key", "sid", "home", "n"), "set_key")
+    firsts = staged(firsts.select("sid", "home", "n", "first"), "firsts")
+    alone = surviving(firsts, percent)
+    unstage(firsts)
+    # one text stands for each set that is in a group or may be alike to one of another
+    wanted = groups.select("sid").unionByName(alone).distinct()
+    chosen = raw.where("n > 0").groupBy("set_key").agg(F.min("key").alias("key")).join(placed, "set_key").join(wanted, "sid", "left_semi")
+    chosen = staged(chosen.select("key", "sid", "home", "n"), "chosen")
+    rows = docs.select(text_key(docs[text_col]).alias("key"), docs[text_col].cast("string").alias("text"))
+    texts = rows.groupBy("key").agg(F.first("text").alias("text")).join(chosen, "key").select("sid", "home", "n", "text")
+    found = staged(texts.mapInArrow(token_pass(size), "sid long, home long, n long, tokens array<long>"), "tokens")
+    unstage(placed, chosen)
+    near = linked_with_centre(found.join(groups, ["sid", "home"], "left_semi"), percent)
+    opened = opened_groups(found.join(alone, "sid", "left_semi"), percent)
+    asking = opened.unionByName(near.where("not near").select("sid", F.col("home").alias("cell")))
+    guests = found.join(asking, "sid").select("sid", "cell", "n", "tokens")
+    hosts = found.select("sid", F.col("home").alias("cell"), "n", "tokens")
+    pairs = hosts_and_guests(hosts, guests, BLOCK_ROWS).groupBy("cell", "i", "j")
+    met = staged(pairs.applyInArrow(compare_sets(percent), "a long, b long"), "met")
+    links = staged(met.unionByName(near.where("near").select(F.col("sid").alias("a"), F.col("home").alias("b"))), "links")
+    unstage(groups, alone, found, near, opened, met)
+    return links, sets
 
 
 def similar_texts(docs: DataFrame, *, size: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(key, n_shingles, component_id, head) for each different text; head (late, id, key) is the first text of the
-    component. A text without words has none of both."""
-    marks = marks_of(docs, size, id_col, text_col)
-    groups = components(links_of(docs, marks, size, percent, text_col)).select(F.col("node").alias("set_key"), F.col("root"))
-    rooted = staged(marks.join(groups, "set_key", "left").select("key", "n", "first_id", F.when(F.col("n") > 0, F.coalesce("root", "set_key")).alias("root")), "rooted")
+    component. A text without words has none of both. Staged."""
+    rows = docs.select(text_key(docs[text_col]).alias("key"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"), docs[id_col].alias("first_id"))
+    marked = rows.mapInArrow(mark_pass(size, percent), f"{MARKS}, first_id {rows.schema['first_id'].dataType.simpleString()}")
+    raw = staged(marked, "marks")
+    texts = staged(raw.groupBy("key", "set_key", "n").agg(F.min("first_id").alias("first_id")), "keys")
+    links, sets = links_of(docs, raw, size, percent, text_col)
+    unstage(raw)
+    roots = components(links).select(F.col("node").alias("sid"), "root")
+    named = sets.select("set_key", "sid").join(roots, "sid", "left").select("set_key", F.coalesce("root", "sid").alias("root"))
+    rooted = staged(texts.join(named, "set_key", "left").select("key", "n", "first_id", "root"), "rooted")
     head = F.struct(F.col("first_id").isNull().alias("late"), F.col("first_id").alias("id"), "key")
-    ids = staged(rooted.where("n > 0").groupBy("root").agg(F.min("first_id").alias("component_id"), F.min(head).alias("head")), "ids")
-    return rooted.join(ids, "root", "left").select("key", F.col("n").alias("n_shingles"), "component_id", "head")
+    ids = rooted.where("n > 0").groupBy("root").agg(F.min("first_id").alias("component_id"), F.min(head).alias("head"))
+    out = staged(rooted.join(ids, "root", "left").select("key", F.col("n").alias("n_shingles"), "component_id", "head"), "similar")
+    unstage(texts, links, sets, rooted)
+    return out
 
 
 def with_components(docs: DataFrame, *, size: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with n_shingles and component_id behind its columns: the size of the text's set of different shingles, and
     the smallest id of the documents reachable by links. Documents link at 100 * intersection >= percent * union.
 
-    Words are runs of other characters than \\x20 and \\x09-\\x0D, A-Z in lower case; a text of fewer than size words has
+    Words are runs of other characters than \x20 and \x09-\x0D, A-Z in lower case; a text of fewer than size words has
     its whole sequence as one shingle. No link between different texts is lost: what the groups leave out is found by
     exact bounds.
 
-    A null text or one without words has no shingles and links with nothing: its component is its own id. Null ids
-    don't count for the smallest; without any other it is null. Repeated rows and ids stay. Columns with the new names
-    are replaced; an empty table stays empty. Shingles are told apart by 64 bits, sets by 128.
+    A null text or one without words has no shingles and links with nothing: its component is its own id. Ids are of any
+    type that can be ordered. Null ids don't count for the smallest; without any other it is null. Repeated rows and ids
+    stay. Columns with the new names are replaced, any other may have any name; an empty table stays empty. Shingles are
+    told apart by 64 bits, sets by 128.
     """
-    old = [c for c in docs.columns if c not in ("n_shingles", "component_id")]
-    found = similar_texts(docs, size=size, percent=percent, id_col=id_col, text_col=text_col).withColumnsRenamed({"key": "__key", "n_shingles": "__n", "component_id": "__component"})
-    rows = docs.select(*[docs[c] for c in old], text_key(docs[text_col]).alias("__key"), docs[id_col].alias("__id"))
-    component = F.when(F.col("__n") == 0, F.col("__id")).otherwise(F.col("__component"))
-    return rows.join(found, "__key", "left").select(*old, F.col("__n").alias("n_shingles"), component.alias("component_id"))
+    named, old = numbered(docs, ("n_shingles", "component_id"))
+    id_name, text_name = f"c{old.index(id_col)}", f"c{old.index(text_col)}"
+    found = similar_texts(named, size=size, percent=percent, id_col=id_name, text_col=text_name)
+    rows = named.withColumn("key", text_key(named[text_name])).join(found, "key", "left")
+    component = F.when(F.col("n_shingles") == 0, F.col(id_name)).otherwise(F.col("component_id"))
+    return renamed(rows, old, "n_shingles", component.alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, *, size: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one document of each component: that of the smallest id (null ids last), of several the one whose text
-    hashes lowest, of repeated rows any one. Documents without shingles all stay."""
-    found = similar_texts(docs, size=size, percent=percent, id_col=id_col, text_col=text_col)
-    stay = staged(found.select(F.col("key").alias("__key"), F.col("n_shingles").alias("__n"), F.col("head.id").alias("__first")).where((F.col("__n") == 0) | (F.col("head.key") == F.col("__key"))), "stay")
-    rows = docs.withColumn("__key", text_key(docs[text_col]))
-    kept = rows.join(narrow(stay), "__key").where((F.col("__n") == 0) | F.col(id_col).eqNullSafe(F.col("__first")))
-    repeated = rows.groupBy("__key", F.col(id_col).alias("__first")).agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    repeated = staged(repeated.join(stay.where("__n > 0"), "__key", "left_semi").select("__key"), "repeated")
-    if not repeated.isEmpty():
-        many = narrow(repeated)
-        kept = kept.join(many, "__key", "left_anti").unionByName(kept.join(many, "__key", "left_semi").dropDuplicates(["__key"]))
-    return kept.select(*docs.columns)
+    hashes lowest, of repeated rows any one. Documents without words, null texts too, all stay. Ids are of any type that
+    can be ordered; any column may have any name; an empty table stays empty."""
+    named, old = numbered(docs)
+    id_name, text_name = f"c{old.index(id_col)}", f"c{old.index(text_col)}"
+    found = similar_texts(named, size=size, percent=percent, id_col=id_name, text_col=text_name)
+    stay = found.where("n_shingles > 0 and head.key = key").select(F.col("key").alias("head"), F.col("head.id").alias("head_id"))
+    empty = F.coalesce(F.col(text_name).cast("string"), F.lit("")).rlike(NO_WORD)
+    rows = named.where(~empty).withColumn("key", text_key(named[text_name]))
+    # rows are dealt by key and id, so copies of one text aren't dealt to one task
+    kept = rows.join(stay, (F.col("key") == F.col("head")) & F.col(id_name).eqNullSafe(F.col("head_id"))).dropDuplicates(["key", id_name])
+    return renamed(named.where(empty).unionByName(kept.select(*named.columns)), old)
 
 
 def op7_jaccard_join(spark, sf_dir: str) -> DataFrame:

@@ -58,7 +58,7 @@ def key(r):
 @pytest.mark.parametrize("met", [True, False])
 def test_components_against_brute_force(spark, make_docs, monkeypatch, seed, met):
     if not met:  # without groups all links come from the bounds alone
-        monkeypatch.setattr(jaccard, "similar_groups", lambda sets: sets.select(sets.set_key, sets.set_key.alias("group")).limit(0))
+        monkeypatch.setattr(jaccard, "similar_groups", lambda sets: spark.createDataFrame([], "sid long, home long"))
         monkeypatch.setattr(jaccard, "BLOCK_ROWS", 2)
     rows = corpus(random.Random(seed), 25)
     rows += [(500, None), (501, ""), (502, " \n"), rows[0], rows[0], (None, rows[1][1]), (None, "nobody has this text at all"), (0, rows[2][1]), (0, "one"), (7, "ONE")]
@@ -97,3 +97,24 @@ def test_components_of_chains_and_stars(spark):
         by.setdefault(r.root, set()).add(r.node)
     assert sorted(map(len, by.values())) == [100, 151] and set(nodes[:151]) in by.values()
     assert common.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_hot_groups_and_clashing_names(spark, make_docs, monkeypatch):
+    """Many edited copies of one text, some too far from it to link with it but linked with others; string ids."""
+    monkeypatch.setattr(jaccard, "BLOCK_ROWS", 4)
+    draw = random.Random(11)
+    words = [f"w{i}" for i in range(400)]
+    base = [draw.choice(words) for _ in range(150)]
+    rows = [(1000, " ".join(base))]
+    for i in range(70):
+        c = list(base)
+        for at in draw.sample(range(150), draw.choice([1, 2, 3, 4, 5, 7])):
+            c[at] = draw.choice(words)
+        rows.append((1001 + i, " ".join(c)))
+    docs = make_docs(rows)
+    named = docs.withColumn("doc_id", docs.doc_id.cast("string")).withColumnsRenamed({"lang": "__key", "source": "key", "n_chars": "home"})
+    out = jaccard.with_components(named).collect()
+    assert sorted((int(r.doc_id), r.n_shingles, int(r.component_id)) for r in out) == sorted(brute(rows))
+    assert {(r["__key"], r["key"]) for r in out} == {("en", "src")}
+    stay = jaccard.one_of_each(named)
+    assert stay.columns == named.columns and sorted(int(r.doc_id) for r in stay.collect()) == sorted({c for _, _, c in brute(rows)})
