@@ -101,29 +101,26 @@ def token_pass(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
 
 
 def similar_groups(sets: DataFrame) -> DataFrame:
-    """(sid, home): groups of at least two sets that are likely to be alike, home their centre; staged. Other sets aren't in it.
+    """(sid, home): groups of at least two sets that are somewhat alike, home their centre; staged. Other sets aren't in it.
 
     The sets that share a least hash have a centre: the one with the most company over all its least hashes, in a group
-    of edited copies the text they come from. A set joins the centre that it shares the most, at least three, least
-    hashes with; a centre that has joined another takes its own along. Groups only save work: links between them are
-    found as well.
+    of edited copies the text they come from. A set joins the centre that it shares the most, at least two, least hashes
+    with, unless it is the centre of others itself. Groups only save work: links between them are found as well.
     """
     entries = sets.select("sid", F.posexplode("least").alias("order", "value"))
     company = entries.groupBy("order", "value").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     shared = staged(entries.join(company, ["order", "value"]), "shared")
     weight = shared.groupBy("sid").agg(F.round(F.sum(F.log2("c")), 6).alias("weight"))
     weighed = staged(shared.join(weight, "sid").select("sid", "order", "value", F.struct("weight", F.xxhash64("sid").alias("r"), "sid").alias("w")), "weighed")
-    centres = weighed.groupBy("order", "value").agg(F.max("w").alias("m")).select("order", "value", F.col("m.sid").alias("b"))
-    met = weighed.join(centres, ["order", "value"]).where("sid <> b").groupBy("sid", "b").agg(F.count(F.lit(1)).alias("met")).where("met >= 3")
-    joined = staged(met.groupBy("sid").agg(F.max(F.struct("met", "b")).alias("m")).select("sid", F.col("m.b").alias("home")), "joined")
+    centres = weighed.groupBy("order", "value").agg(F.max("w").alias("centre"))
+    met = weighed.join(centres, ["order", "value"]).where("sid <> centre.sid").groupBy("sid", "centre").agg(F.count(F.lit(1)).alias("met")).where("met >= 2")
+    joined = staged(met.groupBy("sid").agg(F.max(F.struct("met", "centre")).alias("m")).select("sid", F.col("m.centre.sid").alias("home")), "joined")
     unstage(shared, weighed)
-    for _ in range(2):
-        above = joined.select(F.col("sid").alias("home"), F.col("home").alias("above"))
-        before, joined = joined, staged(joined.join(above, "home", "left").select("sid", F.coalesce("above", "home").alias("home")), "joined")
-        unstage(before)
-    # who is joined has its home; a centre that has joined nothing is its own
-    centre = joined.select(F.col("home").alias("sid"), "home").distinct().join(joined.select("sid"), "sid", "left_anti")
-    groups = staged(joined.unionByName(centre), "groups")
+    centre = joined.select("home").distinct()
+    member = joined.join(centre.select(F.col("home").alias("sid")), "sid", "left_anti")
+    # a centre whose only company are centres of others has none left
+    lasting = member.select("home").distinct()
+    groups = staged(member.unionByName(lasting.select(F.col("home").alias("sid"), "home")), "groups")
     unstage(joined)
     return groups
 
@@ -143,29 +140,40 @@ def surviving(sets: DataFrame, percent: int) -> DataFrame:
     return out
 
 
-def opened_groups(found: DataFrame, percent: int) -> DataFrame:
-    """(sid, cell): the other groups that a set is to be compared with; found: (sid, home, n, tokens). Staged.
+def pair_needed(n: Column, others: Column, percent: int) -> Column:
+    """So many tokens at least a set of n shares with a linked one of a group whose smallest has so many."""
+    least = F.greatest(others, F.ceil(n * percent / 100))
+    return F.ceil(percent * (n + least) / (100 + percent)).cast("int")
+
+
+def opened_groups(found: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """(sid, cell): the other groups that a set is to be compared with; found: (sid, home, n, tokens), sizes: (home, sets,
+    smallest) of the groups. Staged. Of two groups the one of fewer sets asks.
 
     The matrix holds the union of each group's tokens, but for those of one group alone, which meet no other. A partner
     shares needed() tokens with a set; all are among the set's tokens in the matrix. These go by how few groups they are
-    in, then by hash. However a group's tokens lie, all but needed() of them may be missed, so at least 1 + spare() of the
-    first so many more must be in the group's union: else the group stays closed.
+    in, then by hash. However a group's tokens lie, all but pair_needed() of them may be missed, so of the first so many
+    a number that follows from it must be in the group's union: else the group stays closed.
     """
     entries = found.select("sid", "home", F.explode("tokens").alias("token"))
     union = staged(entries.select("token", "home").distinct(), "union")
     spread = union.groupBy("token").agg(F.count(F.lit(1)).alias("spread")).where("spread > 1")
-    matrix = staged(union.join(spread, "token").select("token", F.col("home").alias("cell"), "spread"), "matrix")
+    cell = sizes.select(F.col("home").alias("cell"), F.struct("sets", F.col("home").alias("at")).alias("theirs"), "smallest")
+    matrix = staged(union.join(spread, "token").select("token", F.col("home").alias("cell"), "spread").join(cell, "cell"), "matrix")
     unstage(union)
     common = matrix.groupBy("token").agg(F.first("spread").alias("spread"))
     shared = entries.join(common, "token").groupBy("sid").agg(F.sort_array(F.collect_list(F.struct("spread", "token"))).alias("shared"))
-    ranked = found.select("sid", "home", "n").join(shared, "sid")
-    over = F.size("shared") - F.ceil(F.col("n") * percent / 100).cast("int")
-    take = F.least(F.size("shared"), F.col("over") + 1 + F.floor(F.col("n") / 8).cast("int"))
-    ranked = ranked.withColumn("over", over).where("over >= 0").withColumn("take", take)
-    first = ranked.select("sid", "home", (F.col("take") - F.col("over")).alias("least"), F.explode(F.slice("shared", 1, F.col("take"))).alias("entry"))
-    first = staged(first.select("sid", "home", "least", F.col("entry.token").alias("token")), "first")
-    overlap = first.join(matrix, "token").where("home <> cell").groupBy("sid", "cell").agg(F.count(F.lit(1)).alias("c"), F.first("least").alias("least"))
-    out = staged(overlap.where("c >= least").select("sid", "cell"), "opened")
+    mine = sizes.select("home", F.struct("sets", F.col("home").alias("at")).alias("mine"))
+    ranked = found.select("sid", "home", "n").join(shared, "sid").join(mine, "home").withColumn("all", F.size("shared"))
+    least = F.ceil(F.col("n") * percent / 100).cast("int")
+    take = F.least(F.col("all"), F.col("all") - least + 1 + F.floor(F.col("n") / 8).cast("int"))
+    ranked = ranked.where(F.col("all") >= least).withColumn("take", take)
+    first = ranked.select("sid", "mine", "n", F.struct("take", "all").alias("of"), F.explode(F.slice("shared", 1, F.col("take"))).alias("entry"))
+    first = staged(first.select("sid", "mine", "n", "of", F.col("entry.token").alias("token")), "first")
+    met = first.join(matrix, "token").where("mine < theirs").groupBy("sid", "cell")
+    overlap = met.agg(F.count(F.lit(1)).alias("c"), *[F.first(c).alias(c) for c in ("n", "of", "smallest")])
+    out = overlap.where(F.col("c") >= F.col("of.take") - F.col("of.all") + pair_needed(F.col("n"), F.col("smallest"), percent))
+    out = staged(out.select("sid", "cell"), "opened")
     unstage(first, matrix)
     return out
 
@@ -204,29 +212,43 @@ def compare_sets(percent: int):
     return run
 
 
-def linked_with_centre(members: DataFrame, percent: int) -> DataFrame:
-    """members (sid, home, n, tokens) with near: whether a set links with its group's centre; staged, tokens are left out.
+def linked_with_centre(members: DataFrame, sizes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(a, b): sets that link with their group's centre, and it; and (sid, cell): those that don't but may link with others
+    of their group, cell its name. members: (sid, home, n, tokens), sizes: (home, sets, smallest). Both staged.
 
-    Those that do are in one component, whatever else links them. A group whose centre has gone to another has none.
+    Sets linked with the centre are in one component, whatever else links them. For another one the group's union, without
+    what it has alone, bounds what it shares with any: the tokens of the centre, and those of others that two have.
     """
-    centre = members.where("sid = home").select("home", F.col("n").alias("m"), F.col("tokens").alias("others"))
-    common = F.size(F.array_intersect("tokens", "others")).cast("long")
-    near = common * 100 >= (F.col("n") + F.col("m") - common) * percent
-    return staged(members.where("sid <> home").join(centre, "home", "left").select("sid", "home", F.coalesce(near, F.lit(False)).alias("near")), "near")
+    centre = members.where("sid = home").select("home", F.col("tokens").alias("others"), F.col("n").alias("m"))
+    own = members.where("sid <> home").join(centre, "home").withColumn("common", F.size(F.array_intersect("tokens", "others")).cast("long"))
+    near = F.col("common") * 100 >= (F.col("n") + F.col("m") - F.col("common")) * percent
+    own = staged(own.select("sid", "home", "n", "common", near.alias("near"), F.array_except("tokens", "others").alias("rest")), "own")
+    entries = own.select("home", F.explode("rest").alias("token"))
+    twice = staged(entries.groupBy("home", "token").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("home", "token"), "twice")
+    far = own.where("not near").select("sid", "home", F.explode("rest").alias("token")).join(twice, ["home", "token"])
+    more = far.groupBy("sid").agg(F.count(F.lit(1)).alias("more"))
+    asking = own.where("not near").select("sid", "home", "n", "common").join(more, "sid", "left").join(sizes, "home")
+    enough = F.col("common") + F.coalesce("more", F.lit(0)) >= pair_needed(F.col("n"), F.col("smallest"), percent)
+    asking = staged(asking.where(enough).select("sid", F.col("home").alias("cell")), "asking")
+    links = staged(own.where("near").select(F.col("sid").alias("a"), F.col("home").alias("b")), "centre-links")
+    unstage(own, twice)
+    return links, asking
 
 
 def links_of(docs: DataFrame, raw: DataFrame, size: int, percent: int, text_col: str) -> tuple[DataFrame, DataFrame]:
     """(a, b): links that lead from each set to all that it is linked with, over any number of steps; and (sid, set_key, n),
     the sets by number. Both staged.
 
-    Within a group each set is compared with the centre first. Only a set that doesn't link with it, and the guests from
-    other groups, are compared with all of the group, two blocks at a time.
+    Within a group each set is compared with the centre first. Only sets that don't link with it and whose overlap with
+    the group's union is large enough, and such guests from other groups, are compared with all of the group, two blocks
+    at a time.
     """
     counted = raw.where("n > 0").groupBy("set_key").agg(F.first("n").alias("n"), F.first("least").alias("least"))
     sets = staged(counted.withColumn("sid", F.monotonically_increasing_id()), "sets")
     groups = similar_groups(sets.select("sid", "least"))
     placed = sets.select("sid", "set_key", "n").join(groups, "sid", "left").withColumn("home", F.coalesce("home", "sid"))
-    placed = staged(placed.withColumn("alone", F.col("sid") == F.col("home")), "placed")
+    placed = staged(placed, "placed")
+    sizes = staged(placed.groupBy("home").agg(F.count(F.lit(1)).alias("sets"), F.min("n").alias("smallest")), "group-sizes")
     firsts = raw.where("n > 0").groupBy("set_key").agg(F.first("first").alias("first")).join(placed.select("set_key", "sid", "home", "n"), "set_key")
     firsts = staged(firsts.select("sid", "home", "n", "first"), "firsts")
     alone = surviving(firsts, percent)
@@ -239,15 +261,14 @@ def links_of(docs: DataFrame, raw: DataFrame, size: int, percent: int, text_col:
     texts = rows.groupBy("key").agg(F.first("text").alias("text")).join(chosen, "key").select("sid", "home", "n", "text")
     found = staged(texts.mapInArrow(token_pass(size), "sid long, home long, n long, tokens array<long>"), "tokens")
     unstage(placed, chosen)
-    near = linked_with_centre(found.join(groups, ["sid", "home"], "left_semi"), percent)
-    opened = opened_groups(found.join(alone, "sid", "left_semi"), percent)
-    asking = opened.unionByName(near.where("not near").select("sid", F.col("home").alias("cell")))
-    guests = found.join(asking, "sid").select("sid", "cell", "n", "tokens")
+    near, asking = linked_with_centre(found.join(groups, ["sid", "home"], "left_semi"), sizes, percent)
+    opened = opened_groups(found.join(alone, "sid", "left_semi"), sizes, percent)
+    guests = found.join(opened.unionByName(asking), "sid").select("sid", "cell", "n", "tokens")
     hosts = found.select("sid", F.col("home").alias("cell"), "n", "tokens")
     pairs = hosts_and_guests(hosts, guests, BLOCK_ROWS).groupBy("cell", "i", "j")
     met = staged(pairs.applyInArrow(compare_sets(percent), "a long, b long"), "met")
-    links = staged(met.unionByName(near.where("near").select(F.col("sid").alias("a"), F.col("home").alias("b"))), "links")
-    unstage(groups, alone, found, near, opened, met)
+    links = staged(met.unionByName(near), "links")
+    unstage(groups, sizes, alone, found, near, asking, opened, met)
     return links, sets
 
 
