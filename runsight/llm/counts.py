@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import blocks, table, text_key
-from .pieces import PieceCache, pieces
+from .pieces import PieceCache, every_space_cuts, other_characters, pieces
 
 #: Characters of a chunk, and by how many each chunk reaches into its neighbours.
 CHUNK, OVERLAP = 1 << 16, 1 << 10
@@ -23,6 +23,27 @@ MARGIN = 64
 _libraries: dict[str, Library] = {}
 
 
+def ascii_encoder(spec: dict) -> Callable[[str], list[int]] | None:
+    """tiktoken for a vocabulary of the tokenizers library whose merges come in order of their ids, and only for ASCII: there
+    the classes of the split pattern don't depend on a library's version of Unicode. None if the vocabulary differs."""
+    import public_tokenizers
+    import tiktoken
+
+    model = spec["model"]
+    pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    ids = [model["vocab"].get(a + b, -1) for a, b in pairs]
+    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
+    other = [b for b in range(256) if b not in plain]
+    byte_of = {chr(b): b for b in plain} | {chr(256 + n): b for n, b in enumerate(other)}
+    odd = any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+    if odd or -1 in ids or any(a >= b for a, b in zip(ids, ids[1:], strict=False)) or not byte_of.keys() <= model["vocab"].keys():
+        return None
+    ranks = {bytes(map(byte_of.__getitem__, t)): i for t, i in model["vocab"].items() if set(t) <= byte_of.keys()}
+    reached = {*ids, *(model["vocab"][c] for c in byte_of)}
+    ranks = {t: i for t, i in ranks.items() if i in reached}
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+
 class Library:
     """The tokenizers library for one vocabulary file, one for each process."""
 
@@ -41,6 +62,7 @@ class Library:
         self.tokenizer.no_padding()
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.cache = PieceCache(self._encode)
+        self.ascii = ascii_encoder(spec) if self.byte_level else None
 
     @staticmethod
     def of(path: str) -> Library:
@@ -54,13 +76,17 @@ class Library:
     def packed(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
         whole = [not self.byte_level or any(a in t for a in self.added) for t in texts]
-        cut = [[] if w else pieces(t) for t, w in zip(texts, whole, strict=True)]
-        self.cache.learn({p for ps in cut for p in ps})
-        known = self.cache.known
-        out = [b"".join(map(known.__getitem__, ps)) for ps in cut]
-        for i in (i for i, w in enumerate(whole) if w):
-            out[i] = self._encode([texts[i]])[0]
-        return out
+        return [self._encode([t])[0] if w else b"".join(self.parts(t)) for t, w in zip(texts, whole, strict=True)]
+
+    def parts(self, text: str) -> list[bytes]:
+        """The ids of parts of a text that the split pattern keeps apart."""
+        if self.ascii is None or not (text.isascii() or every_space_cuts(text)):
+            return self.cache.of(pieces(text))
+        cut = list(other_characters(text))
+        other = [n for n, part in enumerate(cut) if not part.isascii()]
+        for n, found in zip(other, self.cache.of([cut[n] for n in other]), strict=True):
+            cut[n] = found
+        return [part if isinstance(part, bytes) else np.array(self.ascii(part), dtype="<u4").tobytes() for part in cut]
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.frombuffer(b, dtype="<u4") for b in self.packed(texts)]

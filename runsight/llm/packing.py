@@ -7,14 +7,16 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, hash_group, table
+from .common import blocks, table
 from .counts import Library
+from .rolling import mix
 
-#: Documents in a group, on average. Groups are drawn by hash, so they are alike in size however the rows are dealt.
-GROUP_DOCS = 2048
+#: Tokens in a group, about. Groups are drawn by hash, so they are alike in size however the rows are dealt.
+GROUP_TOKENS = 1 << 21
 
 PIECES = "grp long, doc_id long, start long, length long, doc_tokens long, ids binary"
 PACKED = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
@@ -106,6 +108,7 @@ def tail_by_powers(pieces: list[tuple[int, int, int]], capacity: int) -> list[li
 
 def pack_group(pdf: pd.DataFrame, capacity: int, width: int) -> pd.DataFrame:
     """One group's pieces, in sequences numbered from grp * 2^32."""
+    kind = "Int64" if pd.api.types.is_numeric_dtype(pdf["doc_id"]) or pdf["doc_id"].isna().all() else "object"
     pdf = pdf.sort_values(["doc_id", "start", "doc_tokens", "ids"], na_position="first", kind="stable").reset_index(drop=True)
     sizes = pdf["length"].tolist()
     small = [i for i, n in enumerate(sizes) if n < capacity]
@@ -123,47 +126,65 @@ def pack_group(pdf: pd.DataFrame, capacity: int, width: int) -> pd.DataFrame:
             rows.append((doc_id[i], start_of[i] + start, n, doc_tokens[i], base + b, offset, piece))
             offset += n
     out = pd.DataFrame(rows, columns=["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"])
-    return out.astype({"doc_id": "Int64"})
+    return out.astype({"doc_id": kind})
 
 
-def token_pieces(capacity: int, width: int, end_id: int, tokenizer: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Tokenises and cuts each document into pieces of capacity and a rest."""
+def drawn(row: int, times: int, task: int, start: int, groups: int) -> int:
+    """The group of a piece: of a row by its hash, the copy of it in the task, the task and, for a full piece, its place."""
+    with np.errstate(over="ignore"):
+        x = np.array([row], dtype=np.int64).view(np.uint64)
+        for part in (times, task, start):
+            x = mix(x + np.uint64(part + 1) * np.uint64(0x9E3779B97F4A7C15))
+    return int(x[0] % np.uint64(groups))
+
+
+def token_pieces(capacity: int, width: int, end_id: int, tokenizer: str, groups: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(row, doc_id, text) to PIECES: tokenises and cuts each document into pieces of capacity and a rest.
+
+    Full pieces, which are sequences, go to any group, so a long document isn't one group's. Repeated rows are told apart
+    by their number in the task: whatever order the task reads them in, the same pieces go to the same groups.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        library = Library.of(tokenizer)
+        library, task = Library.of(tokenizer), TaskContext.get().partitionId()
+        seen: dict[int, int] = {}
         for batch in blocks(batches, "text"):
             cols: dict[str, list] = {c: [] for c in ("grp", "doc_id", "start", "length", "doc_tokens", "ids")}
-            grp, doc_id = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for g, d, ids in zip(grp, doc_id, library.ids(batch.column(2).to_pylist()), strict=True):
+            row, doc_id = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for r, d, ids in zip(row, doc_id, library.ids(batch.column(2).to_pylist()), strict=True):
+                seen[r] = times = seen.get(r, -1) + 1
                 ids = np.append(ids, np.uint32(end_id))
-                for start in range(0, len(ids), capacity):
-                    part = ids[start : start + capacity]
-                    for c, v in zip(cols, (g, d, start, len(part), len(ids), part.astype(f"<u{width}").tobytes()), strict=True):
+                packed, n = ids.astype(f"<u{width}").tobytes(), len(ids)
+                for start in range(0, n, capacity):
+                    length = min(capacity, n - start)
+                    g = drawn(r, times, task, start if length == capacity else -1, groups)
+                    for c, v in zip(cols, (g, d, start, length, n, packed[start * width : (start + length) * width]), strict=True):
                         cols[c].append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(v, pa.binary() if c == "ids" else pa.int64()) for c, v in cols.items()], names=list(cols))
+            yield pa.RecordBatch.from_arrays([pa.array(v, pa.binary() if c == "ids" else batch.column(1).type if c == "doc_id" else pa.int64()) for c, v in cols.items()], names=list(cols))
 
     return run
 
 
-def pack_documents(docs: DataFrame, *, tokenizer: str, capacity: int = 2048, end_id: int = 1, group_docs: int = GROUP_DOCS, seed: int = 7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, *, tokenizer: str, capacity: int = 2048, end_id: int = 1, group_tokens: int = GROUP_TOKENS, seed: int = 7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each piece of a document in a sequence: doc_id, start, length, doc_tokens, sequence_id, offset, ids
     (little-endian unsigned 32-bit).
 
     A document's ids, with end_id behind them, are cut into pieces of capacity and a rest. Each randomised group of
-    documents is packed by itself: full pieces are sequences; rests go first-fit decreasing into bins found by a
-    tournament tree, then the emptiest bins' pieces are cut into the other bins' gaps; the one bin left over is cut
-    into sequences of a power of two, which aren't padded. So no sequence of a group needs padding.
+    documents, of about group_tokens tokens, is packed by itself: full pieces are sequences; rests go first-fit decreasing
+    into bins found by a tournament tree, then the emptiest bins' pieces are cut into the other bins' gaps; the one bin
+    left over is cut into sequences of a power of two, which aren't padded. So no sequence of a group needs padding.
 
-    A null or empty text is end_id alone; a null id stays null; repeated rows are documents of their own; an empty
-    table gives no rows; other columns are left out.
+    A null or empty text is end_id alone; ids are of any type, a null one stays null; repeated rows are documents of their
+    own and go to different groups; an empty table gives no rows; other columns are left out.
     """
     width = 2 if Library.of(tokenizer).size <= 1 << 16 else 4
-    groups = max(1, -(-docs.count() // group_docs))
-    text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
-    rows = docs.select(hash_group(seed, groups, docs[id_col], text).alias("grp"), docs[id_col].cast("long").alias("doc_id"), text.alias("text"))
-    pieces = rows.mapInArrow(token_pieces(capacity, width, end_id, tokenizer), PIECES)
-    return pieces.groupBy("grp").applyInPandas(lambda pdf: pack_group(pdf, capacity, width), PACKED)
-
+    named = docs.select(docs[id_col].alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
+    total = named.agg(F.sum(F.octet_length("text")).alias("size"), F.count(F.lit(1)).alias("rows")).first()
+    groups = max(1, -(-((total["size"] or 0) // 4 + total["rows"]) // group_tokens))
+    rows = named.select(F.xxhash64(F.lit(seed), "doc_id", "text").alias("row"), "doc_id", "text")
+    kind = named.schema["doc_id"].dataType.simpleString()
+    pieces = rows.mapInArrow(token_pieces(capacity, width, end_id, tokenizer, groups), PIECES.replace("doc_id long", f"doc_id {kind}"))
+    return pieces.groupBy("grp").applyInPandas(lambda pdf: pack_group(pdf, capacity, width), PACKED.replace("doc_id long", f"doc_id {kind}"))
 
 
 def with_digest(packed: DataFrame) -> DataFrame:

@@ -8,10 +8,11 @@ match ends at white space. So a text's tokens are those of its pieces between su
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 #: A space with white space behind it is no such place. Python's class of white space holds the pattern's.
 _RUN = re.compile(r" (?=\s|\Z)")
+_OTHER = re.compile(r"[^\x00-\x7f]+")
 _CUT = re.compile(r"(?= \S)")
 
 
@@ -19,18 +20,48 @@ def pieces(text: str) -> list[str]:
     """The text in pieces; joined they give the text."""
     if not text:
         return []
-    if _RUN.search(text):
+    if "\0" in text or _RUN.search(text):
         return [p for p in _CUT.split(text) if p]
-    head, *rest = text.split(" ")
-    return ([head] if head else []) + [" " + p for p in rest]
+    cut = text.replace(" ", "\0 ").split("\0")
+    return cut if cut[0] else cut[1:]
+
+
+def every_space_cuts(text: str) -> bool:
+    """Whether a match starts at every space: none has white space or the end behind it."""
+    return _RUN.search(text) is None
+
+
+def other_characters(text: str) -> Iterator[str]:
+    """A text in which every space cuts, or of ASCII alone, in parts between spaces: each piece that isn't ASCII is one, and
+    all between two such pieces."""
+    at = 0
+    for found in _OTHER.finditer(text):
+        if found.start() < at:
+            continue
+        a = max(text.rfind(" ", at, found.start()), at)
+        b = text.find(" ", found.end())
+        if a > at:
+            yield text[at:a]
+        at = b if b >= 0 else len(text)
+        yield text[a:at]
+    if at < len(text):
+        yield text[at:]
 
 
 class PieceCache:
-    """piece -> value by encode(list of pieces), kept for at most limit pieces; encode is asked once a batch."""
+    """piece -> value by encode(list of pieces), kept for at most limit pieces; encode is asked once a text for all that are new."""
 
     def __init__(self, encode: Callable[[list[str]], list], limit: int = 400_000):
         self.encode, self.limit, self.known = encode, limit, {}
 
+    def of(self, wanted: list[str]) -> list:
+        """The values of the pieces wanted, in order."""
+        try:
+            return list(map(self.known.__getitem__, wanted))
+        except KeyError:
+            self.learn({*wanted})
+            return list(map(self.known.__getitem__, wanted))
+
     def learn(self, wanted: set[str]) -> None:
         """After it, known has all of wanted."""
         new = [p for p in wanted if p not in self.known]

@@ -154,7 +154,7 @@ def test_packing_query(spark, make_docs, sf_dir, library):
 
 def test_packing_many_groups(spark, make_docs, library):
     rows = [(i, "w " * (i % 70)) for i in range(300)]
-    out = packing.pack_documents(make_docs(rows, extra=True), tokenizer=JSON, capacity=64, group_docs=40)
+    out = packing.pack_documents(make_docs(rows, extra=True), tokenizer=JSON, capacity=64, group_tokens=512)
     assert out.select((packing.F.col("sequence_id") / 2**32).cast("int").alias("g")).distinct().count() > 3
     check_packing(packing.with_digest(out).collect(), rows, library, 64)
 
@@ -171,3 +171,16 @@ def test_first_fit_decreasing_is_the_plain_one():
             else:
                 bins.append([i])
         assert packing.first_fit_decreasing(sizes, 100) == bins
+
+
+def test_parts_of_other_characters():
+    from runsight.llm.pieces import every_space_cuts, other_characters
+
+    draw = random.Random(6)
+    for _ in range(400):
+        text = "".join(draw.choices(["a", "Bc", " ", " ", "é", "日", "\n", ".", "'s", "1", "  ", " ", "ß x", "\r\n", "'"], k=draw.randrange(40)))
+        if every_space_cuts(text):
+            assert "".join(other_characters(text)) == text
+        library = counts.Library.of(JSON)
+        assert library.packed([text])[0] == np.array(library.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+    assert library.ascii is not None
