@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import blocks, table, text_key
-from .pieces import PieceCache, every_space_cuts, other_characters, pieces
+from .pieces import PieceCache, every_space_cuts, is_settled, pieces, settled_parts
 
 #: Characters of a chunk, and by how many each chunk reaches into its neighbours.
 CHUNK, OVERLAP = 1 << 16, 1 << 10
@@ -23,9 +23,9 @@ MARGIN = 64
 _libraries: dict[str, Library] = {}
 
 
-def ascii_encoder(spec: dict) -> Callable[[str], list[int]] | None:
-    """tiktoken for a vocabulary of the tokenizers library whose merges come in order of their ids, and only for ASCII: there
-    the classes of the split pattern don't depend on a library's version of Unicode. None if the vocabulary differs."""
+def direct_encoder(spec: dict) -> Callable[[str], list[int]] | None:
+    """tiktoken for a vocabulary of the tokenizers library whose merges come in order of their ids, and only for settled
+    texts: there the classes of the split pattern don't depend on a library's version of Unicode. None for other vocabularies."""
     import public_tokenizers
     import tiktoken
 
@@ -62,7 +62,7 @@ class Library:
         self.tokenizer.no_padding()
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.cache = PieceCache(self._encode)
-        self.ascii = ascii_encoder(spec) if self.byte_level else None
+        self.direct = direct_encoder(spec) if self.byte_level else None
 
     @staticmethod
     def of(path: str) -> Library:
@@ -80,13 +80,17 @@ class Library:
 
     def parts(self, text: str) -> list[bytes]:
         """The ids of parts of a text that the split pattern keeps apart."""
-        if self.ascii is None or not (text.isascii() or every_space_cuts(text)):
+        if self.direct is None:
             return self.cache.of(pieces(text))
-        cut = list(other_characters(text))
-        other = [n for n, part in enumerate(cut) if not part.isascii()]
+        if is_settled(text):
+            return [np.array(self.direct(text), dtype="<u4").tobytes()]
+        if not every_space_cuts(text):
+            return self.cache.of(pieces(text))
+        cut = list(settled_parts(text))
+        other = [n for n, part in enumerate(cut) if not is_settled(part)]
         for n, found in zip(other, self.cache.of([cut[n] for n in other]), strict=True):
             cut[n] = found
-        return [part if isinstance(part, bytes) else np.array(self.ascii(part), dtype="<u4").tobytes() for part in cut]
+        return [part if isinstance(part, bytes) else np.array(self.direct(part), dtype="<u4").tobytes() for part in cut]
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.frombuffer(b, dtype="<u4") for b in self.packed(texts)]

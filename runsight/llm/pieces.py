@@ -12,7 +12,8 @@ from collections.abc import Callable, Iterator
 
 #: A space with white space behind it is no such place. Python's class of white space holds the pattern's.
 _RUN = re.compile(r" (?=\s|\Z)")
-_OTHER = re.compile(r"[^\x00-\x7f]+")
+# ASCII, and letters (Latin, Cyrillic, kana, Han, Hangul) that are letters in every version of Unicode.
+_OTHER = re.compile("[^\\x00-\\x7f\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f\u0400-\u0481\u048a-\u04ff\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3]+")
 _CUT = re.compile(r"(?= \S)")
 
 
@@ -31,9 +32,14 @@ def every_space_cuts(text: str) -> bool:
     return _RUN.search(text) is None
 
 
-def other_characters(text: str) -> Iterator[str]:
-    """A text in which every space cuts, or of ASCII alone, in parts between spaces: each piece that isn't ASCII is one, and
-    all between two such pieces."""
+def is_settled(text: str) -> bool:
+    """Whether all libraries put each character into the same class: it holds ASCII and settled letters alone."""
+    return _OTHER.search(text) is None
+
+
+def settled_parts(text: str) -> Iterator[str]:
+    """A text in which every space cuts, in parts between spaces: each piece that isn't settled is one, and all between two
+    such pieces."""
     at = 0
     for found in _OTHER.finditer(text):
         if found.start() < at:

@@ -173,14 +173,22 @@ def test_first_fit_decreasing_is_the_plain_one():
         assert packing.first_fit_decreasing(sizes, 100) == bins
 
 
-def test_parts_of_other_characters():
-    from runsight.llm.pieces import every_space_cuts, other_characters
+def test_settled_parts():
+    from runsight.llm.pieces import every_space_cuts, is_settled, settled_parts
+
+    library, draw = counts.Library.of(JSON), random.Random(6)
+    assert library.direct is not None
+
+    def want(text):
+        return np.array(library.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    draw = random.Random(6)
     for _ in range(400):
-        text = "".join(draw.choices(["a", "Bc", " ", " ", "é", "日", "\n", ".", "'s", "1", "  ", " ", "ß x", "\r\n", "'"], k=draw.randrange(40)))
+        text = "".join(draw.choices(["a", "Bc", " ", " ", "é", "日", "\n", ".", "'s", "1", "  ", "\u00a0", "ß x", "\r\n", "'", "٣", "😀"], k=draw.randrange(40)))
         if every_space_cuts(text):
-            assert "".join(other_characters(text)) == text
-        library = counts.Library.of(JSON)
-        assert library.packed([text])[0] == np.array(library.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-    assert library.ascii is not None
+            assert "".join(settled_parts(text)) == text
+        assert library.packed([text])[0] == want(text)
+    settled = [chr(c) for c in range(0x20, 0xE000) if is_settled(chr(c))]
+    assert len(settled) > 32000
+    for at in range(0, len(settled), 500):
+        text = "".join(f"a{c}1 {c}.{c}" for c in settled[at : at + 500])
+        assert library.packed([text])[0] == want(text)
