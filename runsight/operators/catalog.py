@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from runsight.functions.columns import finite
+
 # Words that mark what a series measures, by what they are worth.
 WORTH = (
     (80, ("force", "flow", "flux", "pressuredifference", "pressure_difference", "power")),
@@ -57,14 +59,86 @@ def ranked_logs(logs: DataFrame) -> DataFrame:
     return logs.withColumn("rank", F.row_number().over(Window.partitionBy("case").orderBy(first, known, F.desc("modified_ns"), "path")))
 
 
+# The tools that prepare a case, the mesher among them, and what only a solver writes.
+MESHER = r"(?i)\bsnappyHexMesh\b"
+UTILITY = r"(?i)\b(?:blockMesh|checkMesh|decomposePar|reconstructPar|foamToVTK|renumberMesh|snappyHexMesh)\b"
+SOLVER_RECORD = r"(?i)(?:\bTime\s*=|\bSolving for\b|\bInitial residual\b|\bFinal residual\b)"
+
+
+def log_workflow(logs: DataFrame) -> DataFrame:
+    """logs (name, head, tail, application, ...) with workflow. head and tail: the first and last 64 KiB of a log's text.
+
+    The mesher's name anywhere makes it the mesher's log, another tool's in its name or head a utility's; a solver's record in
+    the tail, or the application in the name or, as a word, in the head a solver's.
+    """
+    application = F.lower(F.coalesce("application", F.lit("")))
+    word = F.concat(F.lit(r"(?i)\b\Q"), "application", F.lit(r"\E\b"))
+    applied = (application != "") & (F.contains(F.lower("name"), application) | F.coalesce(F.rlike("head", word), F.lit(False)))
+    everywhere = F.concat_ws("\n", "name", "head", "tail")
+    workflow = (
+        F.when(everywhere.rlike(MESHER), "snappy_hex_mesh").when(F.col("name").rlike(UTILITY) | F.col("head").rlike(UTILITY), "utility")
+        .when(F.col("tail").rlike(SOLVER_RECORD) | applied, "solver").otherwise("unknown")
+    )
+    return logs.withColumn("workflow", workflow)
+
+
+def chosen_log(logs: DataFrame, active: Column | None = None) -> DataFrame:
+    """The log of each case that is followed, of ranked_logs() with score: the explicit one, else the saved one, else the first
+    whose workflow is active; else the newest mesher's if it is newer than the best solver's (by score, then age), else that,
+    else the first in rank."""
+    active = F.lit(False) if active is None else F.coalesce(active, F.lit(False))
+    solver, mesher = F.col("workflow") == "solver", F.col("workflow") == "snappy_hex_mesh"
+    row = F.struct("path", "modified_ns")
+
+    def first(flag: Column) -> Column:
+        return F.min_by(row, F.when(flag, F.col("rank")))
+
+    best = F.max_by(row, F.when(solver, F.struct("score", "modified_ns", (-F.col("rank")).alias("early"))))
+    newest = F.max_by(row, F.when(mesher, F.struct("modified_ns", (-F.col("rank")).alias("early"))))
+    of = logs.groupBy("case").agg(first(F.col("explicit")).alias("e"), first(F.col("saved")).alias("s"), first(active).alias("a"), best.alias("b"), newest.alias("m"), first(F.lit(True)).alias("any"))
+    newer = F.when(F.col("m").isNotNull() & (F.col("b").isNull() | (F.col("m.modified_ns") > F.col("b.modified_ns"))), F.col("m"))
+    return of.select("case", F.coalesce("e", "s", "a", newer, "b", "any")["path"].alias("path"))
+
+
+#: Seconds after which a solver's and a mesher's log are no longer a running process's.
+SOLVER_STALE, MESHER_STALE = 90.0, 300.0
+
+
+def process_state(runs: DataFrame) -> DataFrame:
+    """runs (found, has_log, mesher, age_seconds, mesher_failed, mesher_completed, failed, completed, current_time, end_time,
+    parsed, ...) with state; found: whether the process is there, parsed: whether anything was read from the log."""
+    def is_(name: str) -> Column:
+        return F.coalesce(F.col(name), F.lit(False))
+
+    limit = F.when(is_("mesher"), MESHER_STALE).otherwise(SOLVER_STALE)
+    fresh = is_("has_log") & F.coalesce(F.col("age_seconds") <= limit, F.lit(False))
+    state = (
+        F.when(is_("found"), "running").when(is_("mesher") & is_("mesher_failed"), "failed").when(is_("mesher") & is_("mesher_completed"), "completed")
+        .when(is_("failed"), "failed").when(is_("completed") | F.coalesce(F.col("current_time") >= F.col("end_time"), F.lit(False)), "completed")
+        .when(fresh, "running").when(is_("mesher") & is_("has_log") & F.coalesce(F.col("age_seconds") > limit, F.lit(False)), "stale")
+        .when(is_("has_log") & (is_("parsed") | is_("mesher")), "stopped").otherwise("not_started")
+    )
+    return runs.withColumn("state", state)
+
+
+def record_signal(*fields: Column) -> Column:
+    """The largest absolute value of a record's finite fields, 0 without any: what its envelope goes by."""
+    return F.coalesce(F.greatest(F.lit(0.0), *[F.when(finite(f), F.abs(f)) for f in fields]), F.lit(0.0))
+
+
+def missing_selected(selected: DataFrame, known: DataFrame) -> DataFrame:
+    """selected (case, id, ...) whose series isn't among known (case, id)."""
+    return selected.join(known, ["case", "id"], "left_anti")
+
+
 def bounded_notices(notices: DataFrame, most: int = 300) -> DataFrame:
     """(seq, severity, source, message, total) of notices (case, seq, ...): the first of equal ones, and of more than
     most the errors, then those that aren't from the solver's log, then the newest; total counts all different ones."""
     once = notices.groupBy("case", "severity", "source", "message").agg(F.min("seq").alias("seq"))
-    total = once.groupBy("case").agg(F.count(F.lit(1)).alias("total"))
+    once = once.withColumn("total", F.count(F.lit(1)).over(Window.partitionBy("case")))
     order = [F.when(F.col("severity") == "error", 0).otherwise(1), F.when(F.col("source") == "solver_log", 1).otherwise(0), F.desc("seq")]
     kept = once.withColumn("rank", F.row_number().over(Window.partitionBy("case").orderBy(*order))).where(F.col("rank") <= most)
-    return kept.join(F.broadcast(total), "case").select("case", "seq", "severity", "source", "message", "total")
+    return kept.select("case", "seq", "severity", "source", "message", "total")
 
 
 def retained_output(lines: DataFrame, important: Column, most: int = 200) -> DataFrame:

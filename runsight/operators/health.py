@@ -80,11 +80,14 @@ def steady_verdict(checks: DataFrame, groups: Column, declared: Column, failure:
 
 
 def healthy_steps(steps: DataFrame, residuals: DataFrame, limit: float, last: int = LAST_STEPS, current: tuple[Column, Column] | None = None, completed: Column | None = None) -> DataFrame:
-    """The last finalized() steps (segment, simulation_time, courant_max, continuity_global, ...) with healthy: Courant number within
-    the limit, continuity finite where given, and no solve of the step that didn't converge."""
+    """The last finalized() steps (segment, simulation_time, courant_max, continuity_local, continuity_global,
+    continuity_cumulative, ...) with healthy: Courant number within the limit, all three continuity errors there and finite,
+    and no solve of the step that didn't converge."""
     late = finalized(steps, current, completed).orderBy(F.desc("segment"), F.desc("simulation_time")).limit(last)
     unsolved = residuals.where("converged = false").select("segment", "simulation_time").distinct().withColumn("unsolved", F.lit(True))
-    good = at_most(F.col("courant_max"), F.lit(limit)) & (F.col("continuity_global").isNull() | finite(F.col("continuity_global")))
+    good = at_most(F.col("courant_max"), F.lit(limit))
+    for part in ("local", "global", "cumulative"):
+        good = good & finite(F.col(f"continuity_{part}"))
     return late.join(unsolved, ["segment", "simulation_time"], "left").withColumn("healthy", good & F.col("unsolved").isNull()).drop("unsolved")
 
 

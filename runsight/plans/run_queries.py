@@ -14,29 +14,34 @@ from runsight.plans.registry import query
 from runsight.sources import fixtures as fx
 from runsight.streaming import logs as stream
 
-LOG = """Create time
-Region fluid
-Time = 0.25
-deltaT = 0.005
-Courant Number mean: 0.12 max: 0.73
-smoothSolver:  Solving for Ux, Initial residual = 1e-03, Final residual = 2e-07, No Iterations 3
-solid: GAMG:  Solving for T, Initial residual = 0.5, Final residual = .01, No Iterations = 12 not converged
+LOG = """Build  : demo run on 4 ranks
+Region air
+Time = 1.5
+deltaT = 0.0125
+Courant Number mean: 0.031 max: 0.47
+DILUPBiCGStab:  Solving for Uy, Initial residual = 4.2e-02, Final residual = 3.1e-05, No Iterations 2
 PIMPLE: iteration 1
-GAMG:  Solving for p, Initial residual = 0.02, Final residual = 1e-6, No Iterations 9 converged
+porous: PCG:  Solving for T, Initial residual = 0.33, Final residual = .004, No Iterations = 40 failed
+PCG:  Solving for p_rgh, Initial residual = 0.07, Final residual = 8e-4, No Iterations 21 converged
+time step continuity errors : sum local = 3.5e-07, global = 6e-09, cumulative = -2.1e-07
+PIMPLE: iteration 3
 PIMPLE: iteration 2
-time step continuity errors : sum local = 1e-08, global = -2e-09, cumulative = 4e-08
---> FOAM Warning : something is odd
-ExecutionTime = 12 s  ClockTime = 13 s
-Time = 0.5
-Mesh Courant Number mean: 0.01 max: 0.2
-Courant Number mean: 0.2 max: 1.4
-smoothSolver:  Solving for Ux, Initial residual = nan, Final residual = 2e-07, No Iterations 3
-smoothSolver:  Solving for Ux, Initial residual = 8e-04, Final residual = 2e-07, No Iterations 2
-trap: Floating point exception trapping enabled
-The solution has not met the convergence criteria
-SIMPLE solution converged: convergence criteria satisfied
-ExecutionTime = 20 s  ClockTime = 22 s
-[3] Floating point exception (core dumped)
+--> FOAM Warning : patch outlet has back flow
+ExecutionTime = 4.75 s  ClockTime = 6 s
+water: Time = 1.5125
+Region: water
+Mesh Courant Number mean: 0.002 max: 0.09
+water: Courant Number mean: 0.05 max: 2.25
+DILUPBiCGStab:  Solving for Uy, Initial residual = inf, Final residual = 1e-05, No Iterations 2
+DILUPBiCGStab:  Solving for Uz, Initial residual = 6.5e-03, Final residual = 4e-06, No Iterations 1
+time step continuity errors : sum local = 2e-07, global = -4e-09, cumulative = -2.5e-07
+trap for Floating point exception is on
+Time = 1.525
+deltaT = 0.0130
+It's failed: convergence criteria not met yet
+PIMPLE: convergence criteria satisfied in 3 loops
+ExecutionTime = 9.5 s  ClockTime = 12 s
+[2] Segmentation fault
 End""".split("\n")
 
 LOG_VALUES = ", ".join("({}, '{}')".format(i, line.replace("'", "''")) for i, line in enumerate(LOG))
@@ -123,13 +128,12 @@ def dedupe_consecutive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.dedupe_consecutive(rows, "event_type", "event_id").select("event_id", "event_type", "total")
 
 
-RESIDUALS = "residuals AS (SELECT l_linenumber AS segment, CAST(l_orderkey AS DOUBLE) AS simulation_time, 'U' || lower(substr('XYZ', CAST(l_partkey % 3 AS INT) + 1, 1)) AS field, l_discount AS initial, l_returnflag <> 'R' AS converged FROM lineitem WHERE l_linenumber < 3)"
+RESIDUALS = "residuals AS (SELECT l_linenumber AS segment, CAST(l_orderkey AS DOUBLE) AS simulation_time, 'U' || lower(substr('XYZ', CAST(l_partkey % 3 AS INT) + 1, 1)) AS field, l_discount AS initial, l_returnflag <> 'R' AS converged FROM lineitem)"
 LAST3 = "last3 AS (SELECT *, row_number() OVER (ORDER BY segment DESC, simulation_time DESC) AS back FROM (SELECT DISTINCT segment, simulation_time FROM residuals) ORDER BY segment DESC, simulation_time DESC LIMIT 3), late AS (SELECT residuals.*, back FROM residuals JOIN last3 USING (segment, simulation_time))"
 
 
-def residual_rows(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    """Residuals of the segments that the SQL has, or of the whole table."""
-    rows = fx.table(spark, sf_dir, "lineitem").where("true" if whole else "l_linenumber < 3")
+def residual_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fx.table(spark, sf_dir, "lineitem")
     field = F.concat(F.lit("U"), F.lower(F.expr("substr('XYZ', CAST(l_partkey % 3 AS INT) + 1, 1)")))
     return rows.select(F.col("l_linenumber").alias("segment"), F.col("l_orderkey").cast("double").alias("simulation_time"), field.alias("field"), F.col("l_discount").alias("initial"), (F.col("l_returnflag") != "R").alias("converged"))
 
@@ -150,17 +154,17 @@ def target_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return H.target_checks(residual_rows(spark, sf_dir), TARGETS)
 
 
-STEP_ROWS = "steps AS (SELECT 0 AS segment, CAST(o_orderkey AS DOUBLE) AS simulation_time, o_totalprice AS courant_max, CASE WHEN o_custkey % 5 = 0 THEN NULL ELSE o_totalprice / 1e12 END AS continuity_global FROM orders)"
-UNSOLVED = "bad AS (SELECT DISTINCT CAST(l_orderkey AS DOUBLE) AS simulation_time FROM lineitem WHERE l_returnflag = 'R' AND l_linenumber = 1)"
-HEALTH = "health AS (SELECT late.*, courant_max <= 200000 AND bad.simulation_time IS NULL AS healthy FROM (SELECT * FROM steps ORDER BY simulation_time DESC LIMIT 20) late LEFT JOIN bad USING (simulation_time))"
+STEP_ROWS = "steps AS (SELECT 0 AS segment, CAST(o_orderkey AS DOUBLE) AS simulation_time, o_totalprice AS courant_max, CASE WHEN o_custkey % 5 = 0 THEN NULL ELSE o_totalprice / 1e12 END AS continuity_global, o_totalprice / 1e13 AS continuity_local, CASE WHEN o_custkey % 11 = 0 THEN NULL ELSE o_totalprice / 1e11 END AS continuity_cumulative FROM orders)"
+UNSOLVED = "bad AS (SELECT DISTINCT CAST(l_orderkey AS DOUBLE) AS simulation_time FROM lineitem WHERE l_returnflag = 'R')"
+HEALTH = "health AS (SELECT late.*, courant_max <= 200000 AND continuity_local IS NOT NULL AND continuity_global IS NOT NULL AND continuity_cumulative IS NOT NULL AND bad.simulation_time IS NULL AS healthy FROM (SELECT * FROM steps ORDER BY simulation_time DESC LIMIT 20) late LEFT JOIN bad USING (simulation_time))"
 TREND = """seq AS (SELECT row_number() OVER (ORDER BY simulation_time) AS i, count(*) OVER () AS n, abs(continuity_global) AS e FROM health WHERE continuity_global IS NOT NULL),
 trend AS (SELECT count(*) AS n, median(e) FILTER (i <= n // 2) AS earlier, median(e) FILTER (i > n // 2) AS later FROM seq)"""
 
 
 def step_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     price = F.col("o_totalprice")
-    steps = fx.table(spark, sf_dir, "orders").select(F.lit(0).alias("segment"), F.col("o_orderkey").cast("double").alias("simulation_time"), price.alias("courant_max"), F.when(F.col("o_custkey") % 5 != 0, price / 1e12).alias("continuity_global"))
-    solves = fx.table(spark, sf_dir, "lineitem").where("l_linenumber = 1").select(F.lit(0).alias("segment"), F.col("l_orderkey").cast("double").alias("simulation_time"), (F.col("l_returnflag") != "R").alias("converged"))
+    steps = fx.table(spark, sf_dir, "orders").select(F.lit(0).alias("segment"), F.col("o_orderkey").cast("double").alias("simulation_time"), price.alias("courant_max"), F.when(F.col("o_custkey") % 5 != 0, price / 1e12).alias("continuity_global"), (price / 1e13).alias("continuity_local"), F.when(F.col("o_custkey") % 11 != 0, price / 1e11).alias("continuity_cumulative"))
+    solves = fx.table(spark, sf_dir, "lineitem").select(F.lit(0).alias("segment"), F.col("l_orderkey").cast("double").alias("simulation_time"), (F.col("l_returnflag") != "R").alias("converged"))
     return steps, solves
 
 
@@ -184,11 +188,34 @@ def transient_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("healthy_percent", F.round("healthy_percent", 6))
 
 
-@query("steady_verdict", "SELECT 'failing' AS status")
+OUTCOMES = [("loose", 0.2, False, None), ("tight", 0.001, False, None), ("declared", 0.001, True, None), ("broken", 0.2, True, "Fatal error"), ("none", None, False, None)]
+OUTCOME_VALUES = ", ".join("('{}', {}, {}, {})".format(n, "NULL" if t is None else t, str(d).upper(), "NULL" if f is None else f"'{f}'") for n, t, d, f in OUTCOMES)
+
+
+@query("steady_verdict", f"""WITH {RESIDUALS}, {LAST3}, runs AS (SELECT * FROM (VALUES {OUTCOME_VALUES}) x(run, threshold, declared, failure)),
+seen AS (SELECT max(initial) AS observed, count(DISTINCT back) AS met, (SELECT count(*) FROM (SELECT DISTINCT segment, simulation_time FROM residuals)) AS groups FROM late WHERE regexp_full_match(field, 'U[xyz]'))
+SELECT run, CASE WHEN failure IS NOT NULL THEN 'failing' WHEN declared THEN 'passing' WHEN threshold IS NULL THEN 'not_configured' WHEN groups < 3 THEN 'insufficient_data' WHEN met = 3 AND observed <= threshold THEN 'passing' ELSE 'failing' END AS status FROM runs, seen""")
 def steady_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A run whose targets hold a pattern that matches nothing doesn't pass."""
-    checks = H.target_checks(residual_rows(spark, sf_dir, whole=True), TARGETS)
-    return H.steady_verdict(checks, F.lit(3), F.lit(False), F.lit(None).cast("string"))
+    """Runs of the same residuals with other targets, declarations and failures."""
+    rows, out = residual_rows(spark, sf_dir), None
+    for run, threshold, declared, failure in OUTCOMES:
+        checks = H.target_checks(rows, [] if threshold is None else [("U[xyz]", threshold)])
+        one = H.steady_verdict(checks, F.lit(3), F.lit(declared), F.lit(failure).cast("string")).select(F.lit(run).alias("run"), "status")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("unhealthy_antijoin", f"WITH {STEP_ROWS}, {UNSOLVED} SELECT simulation_time FROM steps WHERE simulation_time NOT IN (SELECT simulation_time FROM bad)")
+def unhealthy_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Steps without a solve that didn't converge."""
+    steps, solves = step_rows(spark, sf_dir)
+    return steps.join(solves.where("converged = false"), ["segment", "simulation_time"], "left_anti").select("simulation_time")
+
+
+@query("health_percent", f"WITH {STEP_ROWS}, {UNSOLVED}, {HEALTH} SELECT count(*) AS n_steps, round(CAST(100.0 * count(*) FILTER (healthy) / count(*) AS DOUBLE), 6) AS healthy_percent FROM health")
+def health_percent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    late = H.healthy_steps(*step_rows(spark, sf_dir), 200000.0)
+    return late.agg(F.count(F.lit(1)).alias("n_steps"), F.round(100.0 * F.count_if("healthy") / F.count(F.lit(1)), 6).alias("healthy_percent"))
 
 
 RUNS = [(0.0, 5.0, 10.0, 50.0, 40.0), (0.0, 12.0, 10.0, 0.0, 60.0), (2.0, 1.0, 10.0, None, None), (1.0, 1.0, 1.0, 3.0, 3.0), (0.0, 3.0, 9.0, 6.0, None)]
@@ -251,10 +278,10 @@ def log_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 REQUESTS = [("BUILDING", 3), ("HOUSE.*", 2), ("MACHINERY", 0), ("(bad", 1), (".*", 4)]
 
 
-@query("layer_match", """WITH r AS (SELECT c_custkey, c_mktsegment AS patch FROM customer WHERE c_custkey <= 200) SELECT c_custkey, patch, CASE WHEN patch IN ('BUILDING', 'MACHINERY') THEN patch WHEN patch LIKE 'HOUSE%' THEN 'HOUSE.*' ELSE '.*' END AS selector,
+@query("layer_match", """WITH r AS (SELECT c_custkey, c_mktsegment AS patch FROM customer) SELECT c_custkey, patch, CASE WHEN patch IN ('BUILDING', 'MACHINERY') THEN patch WHEN patch LIKE 'HOUSE%' THEN 'HOUSE.*' ELSE '.*' END AS selector,
 CAST(CASE WHEN patch = 'BUILDING' THEN 3 WHEN patch = 'MACHINERY' THEN 0 WHEN patch LIKE 'HOUSE%' THEN 2 ELSE 4 END AS INT) AS requested_layers FROM r""")
 def layer_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = fx.table(spark, sf_dir, "customer").where("c_custkey <= 200").select("c_custkey", F.col("c_mktsegment").alias("patch"))
+    rows = fx.table(spark, sf_dir, "customer").select("c_custkey", F.col("c_mktsegment").alias("patch"))
     return M.match_layers(rows, REQUESTS)
 
 

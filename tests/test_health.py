@@ -4,9 +4,11 @@ from pyspark.sql import functions as F
 
 from runsight.operators import health as H
 
+CONTINUITY = "continuity_local double, continuity_global double, continuity_cumulative double"
+
 
 def test_running_time_is_left_out(spark):
-    steps = spark.createDataFrame([(1, float(t), 0.5 if t < 4 else None, None) for t in (1, 2, 3, 4)] + [(0, 4.0, 0.5, None)], "segment int, simulation_time double, courant_max double, continuity_global double")
+    steps = spark.createDataFrame([(1, float(t), 0.5 if t < 4 else None, 1e-9, 1e-9, 1e-9) for t in (1, 2, 3, 4)] + [(0, 4.0, 0.5, 1e-9, 1e-9, 1e-9)], f"segment int, simulation_time double, courant_max double, {CONTINUITY}")
     fields = [(1, float(t), f, 1e-6, True) for t in (1, 2, 3) for f in ("p", "T")] + [(1, 4.0, "p", 1e-6, True)]
     residuals = spark.createDataFrame(fields, "segment int, simulation_time double, field string, initial double, converged boolean")
     now, none = (F.lit(1), F.lit(4.0)), (F.lit(1), F.lit(None).cast("double"))
@@ -17,3 +19,12 @@ def test_running_time_is_left_out(spark):
 
     assert judged(now) == judged(now, F.lit(False)) == judged(now, F.lit(None).cast("boolean")) == (4, 0, [True])
     assert judged(now, F.lit(True)) == judged(none) == judged() == (5, 1, [False])
+
+
+def test_all_three_continuity_errors_must_be_finite(spark):
+    nan, inf = float("nan"), float("inf")
+    errors = [(1e-9, 1e-9, 1e-9), (None, 1e-9, 1e-9), (1e-9, None, 1e-9), (1e-9, 1e-9, nan), (inf, 1e-9, 1e-9)]
+    steps = spark.createDataFrame([(0, float(i), 0.5, *e) for i, e in enumerate(errors)], f"segment int, simulation_time double, courant_max double, {CONTINUITY}")
+    residuals = spark.createDataFrame([], "segment int, simulation_time double, converged boolean")
+    out = {r.simulation_time: r.healthy for r in H.healthy_steps(steps, residuals, 1.0).collect()}
+    assert out == {0.0: True, 1.0: False, 2.0: False, 3.0: False, 4.0: False}
