@@ -124,12 +124,21 @@ def residual_targets(solution: dict) -> list[tuple[str, float]]:
     return out
 
 
-def mode_of(solution: dict, schemes: str) -> str:
-    """The kind of run by its algorithm; a steady one with a time scheme is pseudo-transient."""
-    if "PIMPLE" in solution:
-        return "transient_pimple"
-    if "PISO" in solution:
-        return "transient_piso"
-    if "SIMPLE" in solution:
-        return "pseudo_transient" if any(m in schemes for m in ("Euler", "backward", "CrankNicolson", "localEuler", "rDeltaT")) else "steady_simple"
-    return "unknown"
+# The algorithms with the kind of run each makes, and what marks a scheme or setting that advances in time.
+MODES = {"PIMPLE": "transient_pimple", "PISO": "transient_piso", "SIMPLE": "steady_simple"}
+TIME_MARKERS = ("Euler", "backward", "CrankNicolson", "localEuler", "rDeltaT")
+
+
+def words_in(value) -> str:
+    """All keys and words of nested entries, for a search."""
+    if isinstance(value, dict):
+        return " ".join(f"{k} {words_in(v)}" for k, v in value.items())
+    return " ".join(map(words_in, value)) if isinstance(value, tuple) else value if isinstance(value, str) else ""
+
+
+def mode_of(solution: dict, schemes: dict | str) -> str:
+    """The kind of run by the first algorithm that has a dictionary; a steady one with a time marker in the schemes or the
+    solution is pseudo-transient."""
+    kind = next((kind for name, kind in MODES.items() if isinstance(solution.get(name), dict)), "unknown")
+    text = f"{words_in(schemes)} {words_in(solution)}"
+    return "pseudo_transient" if kind == "steady_simple" and any(m in text for m in TIME_MARKERS) else kind

@@ -34,6 +34,8 @@ def test_targets_and_modes():
     assert casedict.residual_targets(solution) == [("T", 0.5), ("p", 1e-3), ("U", 1e-4)]
     assert casedict.mode_of(solution, "") == "transient_pimple" and casedict.mode_of({}, "") == "unknown"
     assert casedict.mode_of({"SIMPLE": {}}, "default Euler;") == "pseudo_transient" and casedict.mode_of({"SIMPLE": {}}, "steadyState") == "steady_simple"
+    assert casedict.mode_of({"SIMPLE": {"momentumPredictor": "rDeltaT"}}, {"ddtSchemes": {"default": "steadyState"}}) == "pseudo_transient"
+    assert casedict.mode_of({"PIMPLE": "yes", "SIMPLE": {}}, {"default": ("none", "Euler")}) == "pseudo_transient"
 
 
 @pytest.mark.parametrize(
