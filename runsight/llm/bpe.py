@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, table
+from .common import blocks, numbered, renamed, table
 from .pieces import PieceCache, pieces
 
 #: Matches of the split pattern, and pieces of a few matches, that a process keeps the ids of; about 200 bytes each.
@@ -143,9 +143,10 @@ def bpe_encode(docs: DataFrame, *, ranks: str, pattern: str, text_col: str = "te
     of the workers over the texts, no shuffle. A null or empty text has empty ids; repeated rows stay; columns named
     ids or decoded are replaced; an empty table stays empty.
     """
-    kept = [c for c in docs.columns if c not in ("ids", "decoded")]
-    # the text goes under a name of its own, so that any name may clash
-    source = docs.select(*[docs[c] for c in kept], F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("__text"))
+    # columns go under names of their own, so that any name may clash
+    docs, old = numbered(docs, ("ids", "decoded"))
+    kept = docs.columns
+    source = docs.select(*kept, F.coalesce(F.col(f"c{old.index(text_col)}").cast("string"), F.lit("")).alias("__text"))
     added = ["ids", "decoded"] if decode else ["ids"]
     schema = source.drop("__text").schema
     for name in added:
@@ -160,13 +161,14 @@ def bpe_encode(docs: DataFrame, *, ranks: str, pattern: str, text_col: str = "te
                 columns.append(pa.array([codec.decode(b) for b in ids], pa.binary()))
             yield pa.RecordBatch.from_arrays(columns, names=[*kept, *added])
 
-    return source.mapInArrow(run, schema)
+    return renamed(source.mapInArrow(run, schema), old, *added)
 
 
 def bpe_decode(encoded: DataFrame, *, ranks: str, pattern: str, ids_col: str = "ids") -> DataFrame:
     """encoded with the column decoded (binary) behind its columns; null ids decode to no bytes."""
-    kept = [c for c in encoded.columns if c != "decoded"]
-    source = encoded.select(*[encoded[c] for c in kept], F.coalesce(encoded[ids_col], F.lit(b"")).alias("__ids"))
+    encoded, old = numbered(encoded, ("decoded",))
+    kept = encoded.columns
+    source = encoded.select(*kept, F.coalesce(F.col(f"c{old.index(ids_col)}"), F.lit(b"")).alias("__ids"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec.of(ranks, pattern)
@@ -174,7 +176,7 @@ def bpe_decode(encoded: DataFrame, *, ranks: str, pattern: str, ids_col: str = "
             decoded = [codec.decode(b) for b in batch.column(len(kept)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(kept))), pa.array(decoded, pa.binary())], names=[*kept, "decoded"])
 
-    return source.mapInArrow(run, source.drop("__ids").schema.add("decoded", "binary"))
+    return renamed(source.mapInArrow(run, source.drop("__ids").schema.add("decoded", "binary")), old, "decoded")
 
 
 def op10_byte_bpe(spark, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import blocks, table, text_key
+from .common import blocks, numbered, renamed, table, text_key
 from .pieces import PieceCache, every_space_cuts, is_settled, pieces, settled_parts
 
 #: Characters of a chunk, and by how many each chunk reaches into its neighbours.
@@ -162,12 +162,13 @@ def token_counts(docs: DataFrame, *, tokenizer: str, chunk: int = CHUNK, overlap
     what follows alone. Counts are spliced there. Texts with neighbours that share none are counted with wider
     overlaps, at last whole.
 
-    Null is the empty text: 0 and 0. Repeated rows and ids stay; columns named n_bytes or n_tokens are replaced; an
-    empty table stays empty. For tokenizers that aren't byte-level every text is encoded whole.
+    Null is the empty text: 0 and 0. Repeated rows and ids stay; columns named n_bytes or n_tokens are replaced, any
+    other may have any name; an empty table stays empty. For tokenizers that aren't byte-level every text is encoded whole.
     """
     byte_level = Library.of(tokenizer).byte_level
+    docs, old = numbered(docs, ("n_bytes", "n_tokens"))
+    text_col = f"c{old.index(text_col)}"
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
-    kept = [c for c in docs.columns if c not in ("n_bytes", "n_tokens")]
     texts = docs.select(text_key(docs[text_col]).alias("key"), text.alias("text"))
     is_short = F.char_length("text") <= chunk if byte_level else F.lit(True)
 
@@ -223,9 +224,8 @@ def token_counts(docs: DataFrame, *, tokenizer: str, chunk: int = CHUNK, overlap
         )
         widened = huge.join(spliced.where("open").select("key"), "key", "left_semi").mapInArrow(count_widened, "key binary, n_tokens long")
         counted = short.unionByName(spliced.where("not open").select("key", "n_tokens")).unionByName(widened)
-    rows = docs.select(*[docs[c] for c in kept], F.octet_length(text).cast("long").alias("n_bytes"), text_key(docs[text_col]).alias("__key"))
-    counted = counted.select(F.col("key").alias("__key"), "n_tokens")
-    return rows.join(counted, "__key", "left").drop("__key")
+    rows = docs.select("*", F.octet_length(text).cast("long").alias("n_bytes"), text_key(docs[text_col]).alias("key"))
+    return renamed(rows.join(counted, "key", "left"), old, "n_bytes", "n_tokens")
 
 
 def op9_token_counts(spark, sf_dir: str) -> DataFrame:

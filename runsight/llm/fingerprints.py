@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, table
+from .common import blocks, numbered, renamed, table
 from .rolling import mix, powers, sums
 
 #: Hashes in a fingerprint. The likeness of two larger sets has a standard error of about 0.04.
@@ -76,8 +76,9 @@ def fingerprints(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
     without a shuffle. Equal texts have equal fingerprints; a null or empty text has the empty one. Repeated rows stay,
     a column named fingerprint is replaced, an empty table stays empty.
     """
-    kept = [c for c in docs.columns if c != "fingerprint"]
-    source = docs.select(*[docs[c] for c in kept], F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("__text"))
+    docs, old = numbered(docs, ("fingerprint",))
+    kept = docs.columns
+    source = docs.select(*kept, F.coalesce(F.col(f"c{old.index(text_col)}").cast("string"), F.lit("")).alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches, "__text"):
@@ -85,7 +86,7 @@ def fingerprints(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
             found = signatures(texts, [parse(t, set(), 0, 0)[0] for t in texts])
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(kept))), pa.array(map(as_string, found), pa.string())], names=[*kept, "fingerprint"])
 
-    return source.mapInArrow(run, source.drop("__text").schema.add("fingerprint", "string"))
+    return renamed(source.mapInArrow(run, source.drop("__text").schema.add("fingerprint", "string")), old, "fingerprint")
 
 
 def with_next(docs: DataFrame, id_col: str, text_col: str, buckets: int) -> DataFrame:
@@ -172,7 +173,8 @@ def edited_fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: st
     The edited text ends, instead of in its last n_chars // 4 characters, in the first as many of the next document's.
     Next goes by ascending id (equal ids by text, null ids last), behind the last comes the first; a lone document is
     its own next. Texts are shuffled once, to buckets of neighbouring ids; a third of all rows may not share one id.
-    Null is the empty text; two empty texts are alike (1), an empty one and another are not (0).
+    Null is the empty text; two empty texts are alike (1), an empty one and another are not (0). Ids are whole numbers;
+    others stop the job.
     """
     buckets = buckets or 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return with_next(docs, id_col, text_col, buckets).mapInArrow(edit_pass, EDITED)

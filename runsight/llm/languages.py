@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, staged, table
+from .common import blocks, numbered, renamed, staged, table
 from .rolling import mix
 
 #: Longest n-gram of characters, and about how many documents of each language the models are fitted and calibrated on.
@@ -262,8 +262,9 @@ def identify(docs: DataFrame, models: Models, *, text_col: str = "text") -> Data
     0 for `und`. rejected: `und`, or more bits than the language's own texts take. Rows aren't moved. Repeated rows
     stay, columns with the new names are replaced, an empty table stays empty.
     """
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score", "rejected")]
-    source = docs.select(*[docs[c] for c in kept], F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("__text"))
+    docs, old = numbered(docs, ("lang_pred", "score", "rejected"))
+    kept = docs.columns
+    source = docs.select(*kept, F.coalesce(F.col(f"c{old.index(text_col)}").cast("string"), F.lit("")).alias("__text"))
     shared, name = docs.sparkSession.sparkContext.broadcast(models), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -281,7 +282,8 @@ def identify(docs: DataFrame, models: Models, *, text_col: str = "text") -> Data
                 pred[known], score[known], rejected[known] = decide(shared.value, bits[known], size[known])
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(kept))), pa.array(names[pred], pa.string()), pa.array(score), pa.array(rejected)], names=[*kept, "lang_pred", "score", "rejected"])
 
-    return source.mapInArrow(run, source.drop("__text").schema.add("lang_pred", "string").add("score", "double").add("rejected", "boolean"))
+    found = source.mapInArrow(run, source.drop("__text").schema.add("lang_pred", "string").add("score", "double").add("rejected", "boolean"))
+    return renamed(found, old, "lang_pred", "score", "rejected")
 
 
 def held_out(docs: DataFrame, id_col: str = "doc_id") -> Column:
@@ -296,7 +298,8 @@ def fit_on_documents(docs: DataFrame) -> Models:
 
 def keep_identified(docs: DataFrame) -> DataFrame:
     """docs (as the table of that name) without those whose language is rejected, by models of docs itself."""
-    return identify(docs, fit_on_documents(docs)).where("not rejected").select(*docs.columns)
+    named, old = numbered(docs)
+    return renamed(identify(named, fit_on_documents(docs), text_col=f"c{old.index('text')}").where("not rejected"), old)
 
 
 def op6_language_id(spark, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import block_pairs, block_roots
-from .common import components, staged, table
+from .common import components, numbered, renamed, staged, table
 
 #: Vectors of a cell, on average; most cells; vectors of the sample for each cell that the centres are fitted on.
 CELL_ROWS, MOST_CELLS, SAMPLE_PER_CELL = 256, 1 << 14, 32
@@ -124,9 +124,10 @@ def compare_blocks(cosine: float):
 
 
 def fitted(units: DataFrame) -> dict[int, np.ndarray]:
-    """Centres for the four commonest lengths of vectors, each on a bounded sample; other vectors have one cell a length."""
+    """Centres for each length of which there are vectors for more than one cell, each on a bounded sample. A table of
+    vectors has one length, or a few."""
     models = {}
-    for dim, n in units.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "dim").limit(4).collect():
+    for dim, n in units.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= 2 * CELL_ROWS).orderBy("dim").collect():
         cells = min(MOST_CELLS, n // CELL_ROWS)
         if cells > 1:
             share = min(1.0, SAMPLE_PER_CELL * cells / n)
@@ -153,8 +154,8 @@ def with_groups(vectors: DataFrame, *, cosine: float = 0.95, probes: int = PROBE
     length. Null ids don't count for the smallest. Repeated rows and ids are vectors of their own. Columns with the
     new names are replaced; an empty table stays empty.
     """
-    old = [c for c in vectors.columns if c not in ("n_links", "component_id", "kept")]
-    known_as = vectors.select(*[vectors[c] for c in old], vectors[id_col].alias("__id"), vectors[vec_col].alias("__vec"))
+    named, old = numbered(vectors, ("n_links", "component_id", "kept"))
+    known_as = named.select("*", F.col(f"c{old.index(id_col)}").alias("__id"), F.col(f"c{old.index(vec_col)}").alias("__vec"))
     rows = with_units(known_as, "__vec")
     units = rows.select(F.col("__node").alias("node"), F.col("__unit").alias("unit"), F.col("__id").alias("id")).where("node is not null")
     units = staged(units.groupBy("node").agg(F.first("unit").alias("unit"), F.count(F.lit(1)).alias("copies"), F.min("id").alias("id")).withColumn("dim", F.size("unit")), "units")
@@ -169,7 +170,7 @@ def with_groups(vectors: DataFrame, *, cosine: float = 0.95, probes: int = PROBE
     results = known.join(tops, "top").select(F.col("node").alias("__node"), F.col("n_links").alias("__n"), F.col("component_id").alias("__component"))
     component = F.when(F.col("__node").isNull(), F.col("__id")).otherwise(F.col("__component"))
     out = rows.join(results, "__node", "left").withColumn("component_id", component)
-    return out.select(*old, F.coalesce("__n", F.lit(0)).cast("long").alias("n_links"), "component_id", F.col("__id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return renamed(out, old, F.coalesce("__n", F.lit(0)).cast("long").alias("n_links"), "component_id", F.col("__id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def op4_embedding_near_dedup(spark, sf_dir: str) -> DataFrame:

@@ -192,3 +192,12 @@ def test_settled_parts():
     for at in range(0, len(settled), 500):
         text = "".join(f"a{c}1 {c}.{c}" for c in settled[at : at + 500])
         assert library.packed([text])[0] == want(text)
+
+
+def test_clashing_names(spark, make_docs):
+    docs = make_docs([(1, "a b"), (2, None), (3, "ü " * 50)]).withColumnsRenamed({"lang": "__key", "source": "__text", "n_chars": "c0"})
+    from runsight.llm import fingerprints
+
+    for out in (counts.token_counts(docs, tokenizer=JSON), bpe.bpe_encode(docs, ranks=P.path("byte_bpe_50k.tiktoken"), pattern=P.PATTERN), fingerprints.fingerprints(docs)):
+        assert out.columns[:5] == docs.columns
+        assert sorted((r.doc_id, r["__key"], r["__text"], r.c0) for r in out.collect()) == [(1, "en", "src", 3), (2, "en", "src", 0), (3, "en", "src", 100)]
