@@ -142,3 +142,48 @@ def mode_of(solution: dict, schemes: dict | str) -> str:
     kind = next((kind for name, kind in MODES.items() if isinstance(solution.get(name), dict)), "unknown")
     text = f"{words_in(schemes)} {words_in(solution)}"
     return "pseudo_transient" if kind == "steady_simple" and any(m in text for m in TIME_MARKERS) else kind
+
+
+#: The version in the head of a dictionary file.
+VERSION = re.compile(r"(?:Version|OpenFOAM)[^0-9]*([0-9]+(?:\.[0-9]+)*)", re.I)
+
+
+def _of(kind: type, value):
+    return value if isinstance(value, kind) else None
+
+
+def declared_functions(control: dict) -> list[tuple]:
+    """(name, type, fields, region, operation) of the functions that a control dictionary declares; entries that are no
+    dictionaries declare none."""
+    out = []
+    for name, given in (_of(dict, control.get("functions")) or {}).items():
+        if isinstance(given, dict):
+            fields = given.get("fields", given.get("field"))
+            fields = [fields] if isinstance(fields, str) else [x for x in _of(tuple, fields) or () if isinstance(x, str)]
+            out.append((name, _of(str, given.get("type")) or "", fields, _of(str, given.get("region")), _of(str, given.get("operation"))))
+    return out
+
+
+def inspect_case(case: str | Path) -> dict:
+    """What a case's dictionaries say of a run, by name: application, version, mode, times and limits (None where not
+    given as a number or a switch), parallel_ranks (folders named processor and a number), multi_region, targets
+    (residual_targets), functions (declared_functions) and notices. Files that are missing say nothing."""
+    case = Path(case)
+    control_file = case / "system" / "controlDict"
+    files = (control_file, case / "system" / "fvSolution", case / "system" / "fvSchemes", case / "constant" / "regionProperties")
+    (control, a), (solution, b), (schemes, c), (regions, d) = (read_dictionary(f, case) if f.is_file() else ({}, []) for f in files)
+    head = VERSION.search(control_file.read_text(encoding="utf-8", errors="replace")) if control_file.is_file() else None
+    # a name in the list of regions stands for one; lists behind it are its parts
+    named = [x for x in _of(tuple, regions.get("regions")) or () if isinstance(x, str)]
+    out = {"application": _of(str, control.get("application")), "version": head and head[1], "mode": mode_of(solution, schemes)}
+    # The names of the entries.
+    for key, entry in (("start_time", "startTime"), ("end_time", "endTime"), ("delta_t", "deltaT"), ("max_co", "maxCo"), ("max_delta_t", "maxDeltaT")):
+        out[key] = _of(float, control.get(entry))
+    return out | {
+        "adjust_time_step": _of(bool, control.get("adjustTimeStep")),
+        "parallel_ranks": sum(f.is_dir() and bool(re.fullmatch(r"processor[0-9]+", f.name)) for f in case.iterdir()),
+        "multi_region": len(named) > 1,
+        "targets": residual_targets(solution),
+        "functions": declared_functions(control),
+        "notices": [*a, *b, *c, *d],
+    }
