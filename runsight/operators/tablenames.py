@@ -55,6 +55,13 @@ def with_functions(paths: DataFrame, specs: DataFrame) -> DataFrame:
     )
 
 
+def source_functions(paths: DataFrame, specs: DataFrame) -> DataFrame:
+    """(source, function, type, region, files): with_functions() for each source, whose restarts' tables are merged; of
+    different answers that of the last start counts, then of the greatest path."""
+    last = F.max_by(F.struct("function", "type", "region"), F.struct("start", "path"))
+    return with_functions(paths, specs).groupBy("source").agg(last.alias("m"), F.count(F.lit(1)).alias("files")).select("source", "m.*", "files")
+
+
 def constant_series(points: DataFrame) -> DataFrame:
     """(series_id, n, constant): whether all of at least LEAST_CONSTANT values of a series are equal; null values don't count."""
     n = F.count("v")

@@ -187,3 +187,38 @@ def inspect_case(case: str | Path) -> dict:
         "functions": declared_functions(control),
         "notices": [*a, *b, *c, *d],
     }
+
+
+# Words that stand for a switch.
+SWITCHES = {"true": True, "yes": True, "on": True, "false": False, "no": False, "off": False}
+
+
+def switch(value) -> bool | None:
+    return value if isinstance(value, bool) else SWITCHES.get(value.lower()) if isinstance(value, str) else None
+
+
+def whole(value) -> int | None:
+    """A whole number from 0 on."""
+    return int(value) if isinstance(value, float) and value >= 0 and value.is_integer() else None
+
+
+def mesher_settings(case: str | Path) -> dict:
+    """What the mesher's dictionary says of its progress: add_layers, n_solve_iter, n_relax_iter, max_global_cells,
+    stage_count (without layers one less), layer_requests (patch selector, layers) in the file's order, and notices."""
+    case = Path(case)
+    file = case / "system" / "snappyHexMeshDict"
+    given, notices = read_dictionary(file, case) if file.is_file() else ({}, [])
+    snap, refine = (_of(dict, given.get(k)) or {} for k in ("snapControls", "castellatedMeshControls"))
+    # the older spelling stands in for the newer one
+    layers = next((v for k in ("addLayersControls", "addLayerControls") if isinstance(v := given.get(k), dict)), {})
+    requests = [(patch, whole(own.get("nSurfaceLayers"))) for patch, own in (_of(dict, layers.get("layers")) or {}).items() if isinstance(own, dict)]
+    add = switch(given.get("addLayers"))
+    return {
+        "add_layers": add,
+        "n_solve_iter": whole(snap.get("nSolveIter")),
+        "n_relax_iter": whole(snap.get("nRelaxIter")),
+        "max_global_cells": whole(refine.get("maxGlobalCells")),
+        "stage_count": 2 if add is False else 3,
+        "layer_requests": [(patch, n) for patch, n in requests if n is not None],
+        "notices": notices,
+    }

@@ -138,7 +138,7 @@ def table_series(rows: DataFrame) -> DataFrame:
     which its run started; the rest of it names the source, and with the component's label the series."""
     parts = F.split("path", "/")
     number = r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$"
-    folder = F.array_max(F.transform(parts, lambda p, i: F.when(p.rlike(number), i)))
+    folder = F.array_max(F.transform(parts, lambda p, i: F.when((i < F.size(parts) - 1) & p.rlike(number), i)))
     placed = usual_shape(rows).withColumn("at", folder)
     placed = placed.withColumns({"start": F.coalesce(F.get(parts, F.col("at")).try_cast("double"), F.lit(0.0)), "source": F.array_join(F.filter(parts, lambda p, i: F.col("at").isNull() | (i != F.col("at"))), "/")})
     named = largest_shape(placed).select("source", "start", "path", "row_no", "t", components(F.lower("source").contains("force")))

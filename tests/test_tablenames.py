@@ -51,6 +51,21 @@ def test_functions_of_paths(spark):
     }
 
 
+def test_mesher_settings(tmp_path):
+    text = 'addLayers off; snapControls { nSolveIter 30; nRelaxIter 2.5; } castellatedMeshControls { maxGlobalCells 1e6; }'
+    put(tmp_path / "system/snappyHexMeshDict", text + ' addLayerControls { layers { wall { nSurfaceLayers 3; } "p.*" { nSurfaceLayers -1; } in 2; out { nSurfaceLayers 0; } } }')
+    got = casedict.mesher_settings(tmp_path)
+    assert got == {"add_layers": False, "n_solve_iter": 30, "n_relax_iter": None, "max_global_cells": 1000000, "stage_count": 2, "layer_requests": [("wall", 3), ("out", 0)], "notices": []}
+    assert casedict.mesher_settings(tmp_path / "none") == {"add_layers": None, "n_solve_iter": None, "n_relax_iter": None, "max_global_cells": None, "stage_count": 3, "layer_requests": [], "notices": []}
+
+
+def test_functions_of_sources(spark):
+    specs = T.function_specs(spark, [("1", "late", [], "r", None)])
+    paths = spark.createDataFrame([("a/0/x",), ("a/2/x",), ("b/x",), ("1/2/x",), ("2/1/x",)], "path string")
+    got = sorted(tuple(r) for r in T.source_functions(paths, specs).collect())
+    assert got == [("postProcessing/1/x", "1", "late", "r", 1), ("postProcessing/2/x", "2", "generic_table", None, 1), ("postProcessing/a/x", "a", "generic_table", None, 2), ("postProcessing/b/x", "b", "generic_table", None, 1)]
+
+
 def test_constant_and_unknown(spark):
     rows = [("a", 1.0)] * 20 + [("b", 1.0)] * 19 + [("c", float(i)) for i in range(30)] + [("d", None)] * 25
     assert {r.series_id: (r.n, r.constant) for r in T.constant_series(spark.createDataFrame(rows, "series_id string, v double")).collect()} == {"a": (20, True), "b": (19, False), "c": (30, False), "d": (0, False)}
