@@ -1,62 +1,186 @@
-"""A streaming source of appended log lines: format("log_tail").option("path", ...).
+"""Lines of growing logs by byte ranges: spark.readStream.format("log_tail").load(path), or spark.read for what is there.
 
-Spark's own file stream takes a file once and never sees what is appended, so this source keeps byte offsets.
+Spark's own file stream takes a file once and never sees what is appended, so this source keeps byte offsets. The driver
+looks at sizes alone; ranges of bytes are read by the executors.
 """
 
 from __future__ import annotations
 
+import glob
 import os
+import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
-from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
+import numpy as np
+import pyarrow as pa
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
+
+from runsight.sources.logs import LOG_NAME
 
 SCHEMA = "path string, segment int, line_no long, line string"
-#: Bytes read at a time; a batch takes as many whole lines as fit, so that a large log comes in bounded batches.
-MOST_BYTES = 64 << 20
+ARROW = pa.schema([("path", pa.string()), ("segment", pa.int32()), ("line_no", pa.int64()), ("line", pa.string())])
+#: Bytes of a range, unless the option split has another number; bytes read at a time.
+SPLIT_BYTES, READ_BYTES = 64 << 20, 1 << 20
+
+
+@dataclass
+class Range(InputPartition):
+    """Bytes from begin up to end of a file, which is known by device and inode."""
+
+    path: str
+    segment: int
+    begin: int
+    end: int
+    device: int
+    inode: int
+
+
+def cut(path: str, state: dict, begin: int, split: int) -> list[Range]:
+    """The ranges of at most split bytes from begin to the size that state has."""
+    size = state["size"]
+    return [Range(path, state["segment"], a, min(a + split, size), state["device"], state["inode"]) for a in range(begin, size, split)]
+
+
+def line_start(f, place: int) -> int:
+    """Where the line begins that the byte in front of place belongs to: behind the last \\n before it."""
+    while place > 0:
+        step = min(READ_BYTES, place)
+        f.seek(place - step)
+        found = f.read(step).rfind(b"\n")
+        if found >= 0:
+            return place - step + found + 1
+        place -= step
+    return 0
+
+
+def lines_ending_in(f, begin: int, end: int) -> Iterator[tuple[np.ndarray, list[str]]]:
+    """(places, lines) of the lines whose \\n stands in [begin, end), some at a time; a place is where a line begins.
+
+    A range without a \\n gives nothing and holds nothing; the one that has a line's end reads the line back to its
+    begin, whichever ranges that is in. So any cuts give the same lines, and what stands behind the last \\n waits.
+    """
+    at, start, pieces = begin, None, []
+    while at < end:
+        f.seek(at)
+        data = f.read(min(READ_BYTES, end - at))
+        if not data:
+            return  # the file is shorter by now
+        stop = data.rfind(b"\n")
+        if stop < 0:
+            if start is not None:
+                pieces.append(data)
+            at += len(data)
+            continue
+        if start is None:
+            start = line_start(f, begin)
+            f.seek(start)
+            pieces = [f.read(at - start)] if start < at else []
+        block = b"".join([*pieces, data[: stop + 1]])
+        ends = np.flatnonzero(np.frombuffer(block, dtype=np.uint8) == 10)
+        places = start + np.concatenate([[0], ends[:-1] + 1])
+        yield places, [line.rstrip("\r") for line in block.decode("utf-8", "replace").split("\n")[:-1]]
+        at, start, pieces = at + len(data), at + stop + 1, [data[stop + 1 :]]
+
+
+def read_range(part: Range) -> Iterator[pa.RecordBatch]:
+    """Rows of SCHEMA. A file that is gone or another one by now gives none: its bytes are no more."""
+    try:
+        f = open(part.path, "rb")
+    except OSError:
+        return
+    with f:
+        s = os.fstat(f.fileno())
+        if (s.st_dev, s.st_ino) != (part.device, part.inode):
+            return
+        for places, lines in lines_ending_in(f, part.begin, part.end):
+            n = len(lines)
+            columns = [pa.array([part.path] * n, pa.string()), pa.array(np.full(n, part.segment, dtype=np.int32)), pa.array(places, pa.int64()), pa.array(lines, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, schema=ARROW)
+
+
+def log_paths(where: str) -> list[str]:
+    """The files that a path means: the logs below a folder, by their names; a file; or what a pattern matches."""
+    if os.path.isdir(where):
+        found = [os.path.join(folder, name) for folder, _, names in os.walk(where) for name in names if re.search(LOG_NAME, name)]
+    else:
+        found = [where] if os.path.exists(where) else [p for p in glob.glob(where, recursive=True) if os.path.isfile(p)]
+    return sorted(found)
+
+
+def look(where: str, known: dict) -> dict:
+    """path: {segment, size, device, inode} of each log. A log that shrank or is another file than the known one begins a
+    new segment; one that is gone keeps what was known."""
+    out = dict(known)
+    for path in log_paths(where):
+        try:
+            s = os.stat(path)
+        except OSError:
+            continue
+        before = known.get(path)
+        segment = 0
+        if before:
+            again = (s.st_dev, s.st_ino) == (before["device"], before["inode"]) and s.st_size >= before["size"]
+            segment = before["segment"] + (not again)
+        out[path] = {"segment": segment, "size": s.st_size, "device": s.st_dev, "inode": s.st_ino}
+    return out
+
+
+class LogReader(DataSourceReader):
+    """The lines that are there, in ranges."""
+
+    def __init__(self, where: str, split: int):
+        self.where, self.split = where, split
+
+    def partitions(self) -> list[Range]:
+        return [r for path, state in look(self.where, {}).items() for r in cut(path, state, 0, self.split)]
+
+    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
+        return read_range(partition)
 
 
-class TailReader(SimpleDataSourceStreamReader):
-    """Offsets are a segment, a byte place and the file's identity. line_no is the byte place at which a line starts: it
-    grows with the file, and a replay gives the same. A file that shrinks or is another begins a new segment."""
+class TailReader(DataSourceStreamReader):
+    """Offsets have each log's segment, size and identity, about 100 bytes a log. A batch is the bytes between two sizes,
+    or the new segment's from its begin; a replay reads the same bytes. What was known is taken from the checkpoint: Spark
+    plans or commits the last batch again before it asks for the latest offset."""
 
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, where: str, split: int):
+        self.where, self.split = where, split
+        self.known: dict | None = None
 
     def initialOffset(self) -> dict:
-        return {"segment": 0, "at": 0, "device": -1, "inode": -1}
+        return {}
 
-    def _chunk(self, start: int, end: int | None = None) -> tuple[int, list[tuple[int, str]]]:
-        with open(self.path, "rb") as f:
-            f.seek(start)
-            data = f.read(MOST_BYTES if end is None else end - start)
-        whole = data[: data.rfind(b"\n") + 1]
-        at, out = start, []
-        for line in whole.split(b"\n")[:-1]:
-            out.append((at, line.rstrip(b"\r").decode("utf-8", "replace")))
-            at += len(line) + 1
-        return at, out
-
-    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        try:
-            s = os.stat(self.path)
-        except OSError:
-            return iter(()), start
-        segment, at = start["segment"], start["at"]
-        known = start["inode"] >= 0
-        if known and ((s.st_dev, s.st_ino) != (start["device"], start["inode"]) or s.st_size < at):
-            segment, at = segment + 1, 0
-        end, lines = self._chunk(at)
-        offset = {"segment": segment, "at": end, "device": s.st_dev, "inode": s.st_ino}
-        return iter([(self.path, segment, n, line) for n, line in lines]), offset
+    def latestOffset(self) -> dict:
+        self.known = look(self.where, self.known or {})
+        return self.known
+
+    def partitions(self, start: dict, end: dict) -> list[Range]:
+        if self.known is None:
+            self.known = end
+        found = []
+        for path, state in end.items():
+            before = start.get(path)
+            begin = before["size"] if before and before["segment"] == state["segment"] else 0
+            found += cut(path, state, begin, self.split)
+        return found
 
-    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        first = start["at"] if start["segment"] == end["segment"] else 0
-        _, lines = self._chunk(first, end["at"])
-        return iter([(self.path, end["segment"], n, line) for n, line in lines])
+    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
+        return read_range(partition)
+
+    def commit(self, end: dict) -> None:
+        if self.known is None:
+            self.known = end
 
 
 class LogTail(DataSource):
-    """One log file; its path must be one that the driver can open. For many logs run a stream of each."""
+    """Lines of logs: path is a file, a folder or a pattern, on a mount that the driver and the executors share; split, the
+    bytes of a range. line_no is the byte at which a line begins: it orders a log's lines, and a replay gives the same.
+
+    Lines end with \\n, a \\r before it goes, bytes that aren't UTF-8 are replaced, and what stands behind a log's last
+    \\n isn't a line yet. A line may be of any length, as far as it fits a row, and no line holds up others. Logs, however
+    many, are read in parallel, and a large one by many tasks.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -65,8 +189,14 @@ class LogTail(DataSource):
     def schema(self) -> str:
         return SCHEMA
 
-    def simpleStreamReader(self, schema) -> TailReader:
-        return TailReader(self.options["path"])
+    def _how(self) -> tuple[str, int]:
+        return self.options["path"], int(self.options.get("split", SPLIT_BYTES))
+
+    def reader(self, schema) -> LogReader:
+        return LogReader(*self._how())
+
+    def streamReader(self, schema) -> TailReader:
+        return TailReader(*self._how())
 
 
 def register(spark) -> None:

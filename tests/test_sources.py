@@ -1,10 +1,8 @@
-"""Dictionaries, numeric tables, log lines and the tail of a growing log."""
-
-import math
+"""Dictionaries, numeric tables and log lines."""
 
 import pytest
 
-from runsight.sources import casedict, logs, tables, tail
+from runsight.sources import casedict, logs, tables
 
 
 def write(path, text):
@@ -68,38 +66,3 @@ def test_whole_lines_of_logs(spark, tmp_path):
     assert [(r.line_no, r.line) for r in logs.log_lines(spark, str(f)).orderBy("line_no").collect()] == [(0, "one"), (1, "two"), (2, "")]
     (row,) = logs.log_files(spark, str(tmp_path)).collect()
     assert row.size == 13 and row.path.endswith("log.run")
-
-
-def test_tail_of_a_growing_log(tmp_path):
-    f = tmp_path / "log"
-    reader = tail.TailReader(str(f))
-    offset = reader.initialOffset()
-    rows, offset = reader.read(offset)
-    assert list(rows) == []
-    seen = []
-    for text, mode in (("a\nb", "w"), ("c\r\nd\n", "a"), ("", "a"), ("e\n", "w"), ("f\ng", "a")):
-        with open(f, mode, newline="") as out:
-            out.write(text)
-        before = offset
-        rows, offset = reader.read(before)
-        rows = list(rows)
-        assert list(reader.readBetweenOffsets(before, offset)) == rows
-        seen += [(segment, line) for _, segment, _, line in rows]
-    assert seen == [(0, "a"), (0, "bc"), (0, "d"), (1, "e"), (1, "f")]
-
-
-def test_tail_as_a_stream(spark, tmp_path):
-    f = write(tmp_path / "log", "Time = 1\npart")
-    tail.register(spark)
-
-    def run():
-        query = spark.readStream.format("log_tail").option("path", str(f)).load().writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/cp").start()
-        query.processAllAvailable()
-        query.stop()
-
-    run()
-    with open(f, "a") as out:
-        out.write("ly\nEnd\n")
-    run()
-    got = sorted((r.line_no, r.line) for r in spark.read.schema(tail.SCHEMA).parquet(f"{tmp_path}/out").collect())
-    assert got == [(0, "Time = 1"), (9, "partly"), (16, "End")] and math.isfinite(got[0][0])
