@@ -76,7 +76,8 @@ def extract(lines: DataFrame) -> DataFrame:
 def in_steps(events: DataFrame) -> DataFrame:
     """events with step (the Time records so far in the segment), simulation_time, region_so_far and corrector_so_far.
 
-    Region lines hold until the segment ends, also over Time records; the corrector number runs up within a step.
+    A region, of a Region line or in front of a Time record, holds until the segment ends; the corrector number runs up
+    within a step.
     """
     order = Window.partitionBy("path", "segment").orderBy("line_no")
     rows = events.withColumn("step", F.sum(F.when(F.col("kind") == "time", 1).otherwise(0)).over(order))
@@ -84,7 +85,7 @@ def in_steps(events: DataFrame) -> DataFrame:
     return rows.withColumns(
         {
             "simulation_time": F.last(F.when(F.col("kind") == "time", F.col("x")), ignorenulls=True).over(order),
-            "region_so_far": F.last(F.when(F.col("kind") == "region", F.col("region")), ignorenulls=True).over(order),
+            "region_so_far": F.last(F.when(F.col("kind").isin("region", "time"), F.col("region")), ignorenulls=True).over(order),
             "corrector_so_far": F.coalesce(F.max(F.when(F.col("kind") == "corrector", F.col("x"))).over(within), F.lit(0.0)).cast("int"),
         }
     )

@@ -12,108 +12,6 @@ from runsight.operators import health as H
 from runsight.operators import mesh as M
 from runsight.plans.registry import query
 from runsight.sources import fixtures as fx
-from runsight.streaming import logs as stream
-
-LOG = """Build  : demo run on 4 ranks
-Region air
-Time = 1.5
-deltaT = 0.0125
-Courant Number mean: 0.031 max: 0.47
-DILUPBiCGStab:  Solving for Uy, Initial residual = 4.2e-02, Final residual = 3.1e-05, No Iterations 2
-PIMPLE: iteration 1
-porous: PCG:  Solving for T, Initial residual = 0.33, Final residual = .004, No Iterations = 40 failed
-PCG:  Solving for p_rgh, Initial residual = 0.07, Final residual = 8e-4, No Iterations 21 converged
-time step continuity errors : sum local = 3.5e-07, global = 6e-09, cumulative = -2.1e-07
-PIMPLE: iteration 3
-PIMPLE: iteration 2
---> FOAM Warning : patch outlet has back flow
-ExecutionTime = 4.75 s  ClockTime = 6 s
-water: Time = 1.5125
-Region: water
-Mesh Courant Number mean: 0.002 max: 0.09
-water: Courant Number mean: 0.05 max: 2.25
-DILUPBiCGStab:  Solving for Uy, Initial residual = inf, Final residual = 1e-05, No Iterations 2
-DILUPBiCGStab:  Solving for Uz, Initial residual = 6.5e-03, Final residual = 4e-06, No Iterations 1
-time step continuity errors : sum local = 2e-07, global = -4e-09, cumulative = -2.5e-07
-trap for Floating point exception is on
-Time = 1.525
-deltaT = 0.0130
-It's failed: convergence criteria not met yet
-PIMPLE: convergence criteria satisfied in 3 loops
-ExecutionTime = 9.5 s  ClockTime = 12 s
-[2] Segmentation fault
-End""".split("\n")
-
-LOG_VALUES = ", ".join("({}, '{}')".format(i, line.replace("'", "''")) for i, line in enumerate(LOG))
-LINES = f"lines AS (SELECT 'log.run' AS path, 0 AS segment, line_no, line FROM (VALUES {LOG_VALUES}) x(line_no, line))"
-
-
-def log_lines(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([("log.run", 0, i, x) for i, x in enumerate(LOG)], "path string, segment int, line_no long, line string")
-
-
-def _q(pattern: str) -> str:
-    return "'" + pattern.replace("'", "''") + "'"
-
-
-def events_sql() -> str:
-    """SQL: the table events, by the same formats."""
-    label = "CASE " + " ".join(f"WHEN regexp_matches(line, {_q(p)}) THEN '{name}'" for name, p in E.FATAL) + " END"
-    kind = "CASE WHEN label IS NOT NULL THEN 'fatal' " + " ".join(f"WHEN regexp_matches(line, {_q(p)}) THEN '{name}'" for name, p in E.FORMATS)
-    kind += f" WHEN regexp_matches(line, {_q(E.CONVERGED)}) AND NOT regexp_matches(line, {_q(E.NOT_CONVERGED)}) THEN 'converged' WHEN regexp_matches(line, {_q(E.END)}) THEN 'end' END"
-
-    def group(i: int) -> str:
-        return "CASE kind " + " ".join(f"WHEN '{name}' THEN TRY_CAST(regexp_extract(line, {_q(E.PATTERN[name])}, {g[i]}) AS DOUBLE)" for name, g in E.GROUPS.items() if i < len(g)) + " END"
-
-    region = f"CASE kind WHEN 'region' THEN regexp_extract(line, {_q(E.PATTERN['region'])}, 1) " + " ".join(f"WHEN '{name}' THEN nullif(regexp_extract(line, {_q(E.PATTERN[name])}, 1), '')" for name in ("time", "delta_t", "solve", "mesh_courant", "courant", "continuity", "corrector")) + " END"
-    solve = _q(E.PATTERN["solve"])
-    suffix = f"lower(regexp_extract(line, {solve}, 7))"
-    return f"""{LINES}, labelled AS (SELECT *, {label} AS label FROM lines), kinds AS (SELECT *, {kind} AS kind FROM labelled),
-events AS (SELECT path, segment, line_no, kind, label, {region} AS region, CASE WHEN kind = 'solve' THEN trim(regexp_extract(line, {solve}, 3)) END AS field, {group(0)} AS x, {group(1)} AS y, {group(2)} AS z,
-  CASE WHEN kind = 'solve' AND regexp_matches({suffix}, {_q(E.UNSOLVED)}) THEN false WHEN kind = 'solve' AND regexp_matches({suffix}, {_q(E.SOLVED)}) THEN true END AS converged,
-  label IS NULL AND regexp_matches(line, {_q(E.WARNING)}) AS warning FROM kinds)"""
-
-
-STEPS = f"""{events_sql()}, stepped AS (SELECT *, sum(CASE WHEN kind = 'time' THEN 1 ELSE 0 END) OVER o AS step, last_value(CASE WHEN kind = 'time' THEN x END IGNORE NULLS) OVER o AS simulation_time,
-  last_value(CASE WHEN kind = 'region' THEN region END IGNORE NULLS) OVER o AS region_so_far FROM events WINDOW o AS (PARTITION BY path, segment ORDER BY line_no)),
-placed AS (SELECT *, CAST(coalesce(max(CASE WHEN kind = 'corrector' THEN x END) OVER (PARTITION BY path, segment, step ORDER BY line_no), 0) AS INT) AS corrector FROM stepped)"""
-
-
-@query("event_extract", f"WITH {events_sql()} SELECT * FROM events")
-def event_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.extract(log_lines(spark)).drop("line")
-
-
-@query("forward_fill_region", f"WITH {STEPS} SELECT line_no, CAST(step AS BIGINT) AS step, simulation_time, region_so_far FROM placed")
-def forward_fill_region(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.in_steps(E.extract(log_lines(spark))).select("line_no", "step", "simulation_time", "region_so_far")
-
-
-@query("running_corrector", f"WITH {STEPS} SELECT line_no, CAST(step AS BIGINT) AS step, simulation_time, field, x AS initial, y AS final, CAST(z AS INT) AS iterations, converged, coalesce(region, region_so_far) AS region, corrector AS outer_corrector FROM placed WHERE kind = 'solve' AND step > 0")
-def running_corrector(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.residuals(E.extract(log_lines(spark))).drop("path", "segment")
-
-
-def _latest(kind: str, c: str) -> str:
-    return f"arg_max({c}, CASE WHEN kind = '{kind}' THEN line_no END)"
-
-
-@query("step_assembly", f"""WITH {STEPS} SELECT CAST(step AS BIGINT) AS step, {_latest('time', 'x')} AS simulation_time, {_latest('delta_t', 'x')} AS delta_t, {_latest('courant', 'y')} AS courant_max, {_latest('mesh_courant', 'y')} AS mesh_courant_max,
-  {_latest('continuity', 'y')} AS continuity_global, max(corrector) AS outer_correctors FROM placed WHERE step > 0 GROUP BY step""")
-def step_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.time_steps(E.extract(log_lines(spark))).select("step", "simulation_time", "delta_t", "courant_max", "mesh_courant_max", "continuity_global", "outer_correctors")
-
-
-@query("log_flags", f"""WITH {events_sql()} SELECT path, bool_or(coalesce(kind = 'end', false)) AS completed, bool_or(coalesce(kind = 'converged', false)) AS declared_converged, {_latest('fatal', 'label')} AS failure, {_latest('timing', 'x')} AS execution_time, {_latest('timing', 'y')} AS clock_time FROM events GROUP BY path""")
-def log_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.run_flags(E.extract(log_lines(spark)))
-
-
-@query("stream_log_equality", None)
-def stream_log_equality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stateful form of the log job, run as a batch: what a stream of the same lines ends with."""
-    return stream.states(log_lines(spark))
-
 
 @query("monotone_stage", """SELECT event_id, max(CASE event_type WHEN 'view' THEN 1 WHEN 'click' THEN 2 WHEN 'signup' THEN 3 WHEN 'purchase' THEN 4 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id) AS stage FROM events""")
 def monotone_stage(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -108,9 +108,9 @@ def log_paths(where: str) -> list[str]:
     return sorted(found)
 
 
-def look(where: str, known: dict) -> dict:
+def look(where: str, known: dict, most: int | None = None) -> dict:
     """path: {segment, size, device, inode} of each log. A log that shrank or is another file than the known one begins a
-    new segment; one that is gone keeps what was known."""
+    new segment; one that is gone keeps what was known. size grows by at most most bytes."""
     out = dict(known)
     for path in log_paths(where):
         try:
@@ -118,11 +118,12 @@ def look(where: str, known: dict) -> dict:
         except OSError:
             continue
         before = known.get(path)
-        segment = 0
+        segment, begin = 0, 0
         if before:
             again = (s.st_dev, s.st_ino) == (before["device"], before["inode"]) and s.st_size >= before["size"]
-            segment = before["segment"] + (not again)
-        out[path] = {"segment": segment, "size": s.st_size, "device": s.st_dev, "inode": s.st_ino}
+            segment, begin = (before["segment"], before["size"]) if again else (before["segment"] + 1, 0)
+        size = s.st_size if most is None else min(s.st_size, begin + most)
+        out[path] = {"segment": segment, "size": size, "device": s.st_dev, "inode": s.st_ino}
     return out
 
 
@@ -144,15 +145,15 @@ class TailReader(DataSourceStreamReader):
     or the new segment's from its begin; a replay reads the same bytes. What was known is taken from the checkpoint: Spark
     plans or commits the last batch again before it asks for the latest offset."""
 
-    def __init__(self, where: str, split: int):
-        self.where, self.split = where, split
+    def __init__(self, where: str, split: int, most: int | None = None):
+        self.where, self.split, self.most = where, split, most
         self.known: dict | None = None
 
     def initialOffset(self) -> dict:
         return {}
 
     def latestOffset(self) -> dict:
-        self.known = look(self.where, self.known or {})
+        self.known = look(self.where, self.known or {}, self.most)
         return self.known
 
     def partitions(self, start: dict, end: dict) -> list[Range]:
@@ -175,7 +176,7 @@ class TailReader(DataSourceStreamReader):
 
 class LogTail(DataSource):
     """Lines of logs: path is a file, a folder or a pattern, on a mount that the driver and the executors share; split, the
-    bytes of a range. line_no is the byte at which a line begins: it orders a log's lines, and a replay gives the same.
+    bytes of a range; most, of a stream, the bytes that a batch takes of a log. line_no is the byte at which a line begins: it orders a log's lines, and a replay gives the same.
 
     Lines end with \\n, a \\r before it goes, bytes that aren't UTF-8 are replaced, and what stands behind a log's last
     \\n isn't a line yet. A line may be of any length, as far as it fits a row, and no line holds up others. Logs, however
@@ -196,7 +197,8 @@ class LogTail(DataSource):
         return LogReader(*self._how())
 
     def streamReader(self, schema) -> TailReader:
-        return TailReader(*self._how())
+        most = self.options.get("most")
+        return TailReader(*self._how(), int(most) if most else None)
 
 
 def register(spark) -> None:
