@@ -17,8 +17,8 @@ SHARDS, SEED = 16, 20
 BUCKET_BYTES = 16 << 20
 #: Fewest buckets, so that a small table is the work of several tasks too.
 FEWEST_BUCKETS = 64
-#: Buckets whose numbers of rows are added up together.
-RUN = 4096
+#: Buckets whose numbers of rows are added up together; most buckets whose starts are broadcast, 16 bytes each.
+RUN, MOST_BROADCAST = 4096, 1 << 20
 
 
 def fisher_yates(n: int, seed: int, bucket: int) -> np.ndarray:
@@ -94,7 +94,8 @@ def shuffled(docs: DataFrame, *, shards: int = SHARDS, seed: int = SEED, id_col:
     front = F.lit(more * (few + 1))
     shard = F.when(at < front, F.floor(at / (few + 1))).otherwise(more + F.floor((at - front) / max(few, 1)))
     slot = F.when(at < front, at % (few + 1)).otherwise((at - front) % max(few, 1))
-    out = written.join(bucket_starts(written), "bucket")
+    starts = bucket_starts(written)
+    out = written.join(F.broadcast(starts) if buckets <= MOST_BROADCAST else starts, "bucket")
     return renamed(out, old, shard.cast("int").alias("shard"), slot.cast("long").alias("slot"))
 
 
