@@ -40,18 +40,25 @@ def layer_status(average: Column, requested: Column) -> Column:
     )
 
 
-def layer_coverage(rows: DataFrame, requests: list[tuple[str, int]]) -> DataFrame:
-    """One row (rows, missing, partial, unmatched, status) over (patch, average_layers): a missing layer weighs more than a
-    partial one, that more than a request for layers that no patch has taken."""
+def layer_coverage(rows: DataFrame, requests: list[tuple[str, int]], cases: DataFrame) -> DataFrame:
+    """(path, rows, missing, partial, unmatched, status) for each of cases (path, add_layers), over rows (path, patch,
+    average_layers) as layer_table gives them.
+
+    Without rows a case is not_configured where layers are switched off, else unavailable. A missing layer weighs more than
+    a partial one, that more than requests for layers that no patch has taken: unmatched, by name in the file's order. A
+    patch without a request is unknown, and so is then the case.
+    """
     of = match_layers(rows, requests).withColumn("status", layer_status(F.col("average_layers"), F.col("requested_layers")))
-    wanted = F.array(*[F.lit(s) for s, n in requests if n > 0]).cast("array<string>")
-    out = of.agg(
+    counted = of.groupBy("path").agg(
         F.count(F.lit(1)).alias("rows"), F.count_if(F.col("status") == "missing").alias("missing"), F.count_if(F.col("status") == "partial").alias("partial"),
-        F.size(F.array_except(wanted, F.coalesce(F.collect_set("selector"), F.array().cast("array<string>")))).alias("unmatched"),
-        F.count_if(~F.col("status").isin("met", "not_requested")).alias("open"),
+        F.count_if(~F.col("status").isin("met", "not_requested")).alias("open"), F.collect_set("selector").alias("taken"),
     )
+    out = cases.join(counted, "path", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("rows", "missing", "partial", "open")})
+    wanted = F.array(*[F.lit(s) for s, n in requests if n > 0]).cast("array<string>")
+    taken = F.coalesce("taken", F.array().cast("array<string>"))
+    out = out.withColumn("unmatched", F.filter(wanted, lambda s: ~F.array_contains(taken, s)))
     status = (
-        F.when(F.col("rows") == 0, "unavailable").when(F.lit(not requests), "not_configured").when(F.col("missing") > 0, "missing").when(F.col("partial") > 0, "partial")
-        .when((F.col("unmatched") > 0) | (F.col("open") > 0), "unknown").otherwise("met")
+        F.when((F.col("rows") == 0) & ~F.coalesce("add_layers", F.lit(True)), "not_configured").when(F.col("rows") == 0, "unavailable").when(F.col("missing") > 0, "missing")
+        .when(F.col("partial") > 0, "partial").when((F.size("unmatched") > 0) | (F.col("open") > 0), "unknown").otherwise("met")
     )
-    return out.select("rows", "missing", "partial", "unmatched", status.alias("status"))
+    return out.select("path", "rows", "missing", "partial", "unmatched", status.alias("status"))

@@ -30,6 +30,13 @@ METRICS = (
     ("concavity_max", rf"(?i)\bMax(?:imum)? concav(?:e|ity)\s*=\s*({NUMBER})", 1, True),
     ("cell_openness_max", rf"(?i)\bMax(?:imum)? cell openness\s*=\s*({NUMBER})", 1, True),
 )
+BOX = rf"(?i)\bOverall domain bounding box\s*\(\s*({NUMBER})\s+({NUMBER})\s+({NUMBER})\s*\)\s*\(\s*({NUMBER})\s+({NUMBER})\s+({NUMBER})\s*\)"
+_ONES = r"\(\s*([01])\s+([01])\s+([01])\s*\)"
+#: Directions in the newer and the older writing, of the mesh's geometry and of its solution.
+DIRECTIONS = {
+    "geometric": (rf"(?i)\bMesh has \d+\s+geometric\s+\([^)]*\) directions\s*{_ONES}", rf"(?i)\bMesh \(non-empty, non-wedge\) directions\s*{_ONES}"),
+    "solution": (rf"(?i)\bMesh has \d+\s+solution\s+\([^)]*\) directions\s*{_ONES}", rf"(?i)\bMesh \(non-empty\) directions\s*{_ONES}"),
+}
 ORTHOGONAL_OK = "non-orthogonality check ok"
 FATAL = r"(?i)(?:^(?:-->\s*)?FOAM FATAL (?:IO )?ERROR\s*:?$|^Floating point exception(?:\s+\(core dumped\))?$|^Segmentation fault(?:\s+\(core dumped\))?$|^MPI_ABORT was invoked on rank \d+\b)"
 MESH_OK = r"(?i)\bMesh OK\s*\."
@@ -58,10 +65,16 @@ JUDGES = {
 }
 
 
+def stripped(lines: DataFrame) -> DataFrame:
+    """lines without blanks at either end of a line, and without empty ones: reports are indented."""
+    return lines.withColumn("line", F.regexp_replace("line", r"^\s+|\s+$", "")).where("line <> ''")
+
+
 def counts(lines: DataFrame) -> DataFrame:
-    """(report, points, faces, internal_faces, cells, regions) of lines (report, line_no, line): the last value of each."""
-    name = F.regexp_replace(F.lower(F.regexp_extract("line", COUNT, 1)), r"\s+", "_")
-    rows = lines.withColumns({"name": name, "of": F.regexp_extract("line", COUNT, 2).try_cast("long"), "regions": F.regexp_extract("line", REGIONS, 1).try_cast("long")})
+    """(report, points, faces, internal_faces, cells, regions) of lines (report, line_no, line): the last value of each.
+    Internal faces count where one blank is between the words. A report of empty lines alone has no row."""
+    name = F.replace(F.lower(F.regexp_extract("line", COUNT, 1)), F.lit(" "), F.lit("_"))
+    rows = stripped(lines).withColumns({"name": name, "of": F.regexp_extract("line", COUNT, 2).try_cast("long"), "regions": F.regexp_extract("line", REGIONS, 1).try_cast("long")})
 
     def last(value: Column) -> Column:
         return F.max_by(value, F.when(value.isNotNull(), F.col("line_no")))
@@ -69,9 +82,26 @@ def counts(lines: DataFrame) -> DataFrame:
     return rows.groupBy("report").agg(*[last(F.when(F.col("name") == c, F.col("of"))).alias(c) for c in ("points", "faces", "internal_faces", "cells")], last(F.col("regions")).alias("regions"))
 
 
+def geometry(lines: DataFrame) -> DataFrame:
+    """(report, box_min, box_max, geometric_directions, solution_directions): the last bounding box and, as 0 and 1 for x, y
+    and z, the last directions in either writing; null where none is reported."""
+
+    def group(pattern: str, i: int, kind: str) -> Column:
+        return F.regexp_extract("line", pattern, i).try_cast(kind)
+
+    def last(pattern: str, groups: range, kind: str) -> Column:
+        return F.when(F.col("line").rlike(pattern), F.array(*[group(pattern, i, kind) for i in groups]))
+
+    found = {"box_min": last(BOX, range(1, 4), "double"), "box_max": last(BOX, range(4, 7), "double")}
+    found |= {f"{name}_directions": F.coalesce(*[last(p, range(1, 4), "int") for p in patterns]) for name, patterns in DIRECTIONS.items()}
+    rows = stripped(lines).select("report", "line_no", *[c.alias(name) for name, c in found.items()])
+    return rows.groupBy("report").agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("line_no"))).alias(c) for c in found])
+
+
 def problems(lines: DataFrame) -> DataFrame:
     """(report, line_no, code, n, limit): the lines that count faulty faces or cells: starred ones or with a marker, and a
     whole number at the end. limit: the number behind < or > in front of it."""
+    lines = stripped(lines)
     clean = F.regexp_replace("line", r"^[* ]+", "")
     low = F.lower(clean)
     marked = F.col("line").startswith("*")
@@ -95,6 +125,7 @@ def metrics(lines: DataFrame) -> DataFrame:
     A failing metric stays so when it is reported again; a judgement in front of the first report doesn't count, and a
     target holds until the next report.
     """
+    lines = stripped(lines)
     ok = F.when(F.col("line").rlike(r"(?i)\bOK\b"), "passing").otherwise("informational")
     entry = [F.when(F.col("line").rlike(p), F.struct(F.lit(code).alias("code"), F.regexp_extract("line", p, g).try_cast("double").alias("observed"), (ok if says else F.lit("informational")).alias("said"))) for code, p, g, says in METRICS]
     none = F.lit(None)
@@ -117,7 +148,7 @@ def metrics(lines: DataFrame) -> DataFrame:
 
 def verdict(lines: DataFrame, exits: DataFrame) -> DataFrame:
     """(report, mesh_ok, failed_checks, status) by the lines and exits (report, exit_code)."""
-    rows = lines.select("report", "line_no", F.col("line").rlike(FATAL).alias("fatal"), F.when(F.col("line").rlike(FAILED), False).when(F.col("line").rlike(MESH_OK), True).alias("ok"), F.regexp_extract("line", FAILED, 1).try_cast("long").alias("failed"))
+    rows = stripped(lines).select("report", "line_no", F.col("line").rlike(FATAL).alias("fatal"), F.when(F.col("line").rlike(FAILED), False).when(F.col("line").rlike(MESH_OK), True).alias("ok"), F.regexp_extract("line", FAILED, 1).try_cast("long").alias("failed"))
     of = rows.groupBy("report").agg(F.bool_or("fatal").alias("fatal"), F.max_by("ok", F.when(F.col("ok").isNotNull(), F.col("line_no"))).alias("mesh_ok"), F.max_by("failed", F.when(F.col("failed").isNotNull(), F.col("line_no"))).alias("failed_checks"))
     out = exits.join(of, "report", "left")
     bad = ~F.coalesce(F.col("exit_code") == 0, F.lit(False)) | F.coalesce("fatal", F.lit(False)) | F.coalesce(~F.col("mesh_ok"), F.lit(False))
@@ -138,28 +169,70 @@ STAGES = (
 )
 
 
-def mesher_progress(lines: DataFrame, relax: Column) -> DataFrame:
-    """(path, stage, morph, smoothing, cells, faces, points, most_cells, completed, percent) of a segment's lines (path,
-    line_no, line): the furthest stage, the last numbers, and while snapping the percentage of relax morph iterations."""
+TIMING = rf"(?i)^ExecutionTime\s*=\s*({NUMBER})\s+s\s+ClockTime\s*=\s*({NUMBER})\s+s$"
+WARNING = r"(?i)^(?:-->)?\s*(?:FOAM\s+)?Warning\b"
+_RANK = r"(?i)^(?:\[\d+\]\s*)?"
+FAILURES = (
+    ("FOAM fatal error", _RANK + r"(?:-->\s*)?FOAM FATAL (?:IO )?ERROR\s*:$"),
+    ("floating point exception", _RANK + r"Floating point exception(?:\s+\(core dumped\))?$"),
+    ("segmentation fault", _RANK + r"Segmentation fault(?:\s+\(core dumped\))?$"),
+    ("MPI abort", _RANK + r"MPI_ABORT was invoked on rank \d+\b"),
+)
+DONE = "snappyHexMesh completed"
+
+
+def mesher_progress(lines: DataFrame, relax: Column, most_warnings: int = 200) -> DataFrame:
+    """(path, stage, morph, smoothing, cells, faces, points, most_cells, completed, percent, current_work, execution_seconds,
+    clock_seconds, failure, warning_count, warnings) of the latest segment in each path's lines (path, segment, line_no,
+    line; without segment all are one).
+
+    The furthest stage, the last numbers (of a count that a line has several times the last), while snapping the percentage
+    of relax morph iterations; the last line that says what is worked on; warnings without immediate repeats, the last
+    most_warnings of them and how many there were. A failure's line says nothing else.
+    """
+    if "segment" in lines.columns:
+        lines = lines.withColumn("latest", F.max("segment").over(Window.partitionBy("path"))).where("segment = latest").drop("latest")
+    rows = lines.withColumn("line", F.regexp_replace("line", r"^\s+|\s+$", "")).where("line <> ''")
+    failure = F.coalesce(*[F.when(F.col("line").rlike(p), F.lit(label)) for label, p in FAILURES])
+    rows = rows.withColumn("failure", failure)
+    told = F.when(F.col("failure").isNull(), F.col("line"))
     rank = F.lit(0)
     for _, n, pattern in reversed(STAGES):
-        rank = F.when(F.col("line").rlike(pattern), n).otherwise(rank)
+        rank = F.when(told.rlike(pattern), n).otherwise(rank)
+    going = ~told.rlike(STAGES[0][2])  # the line that ends it has nothing else
 
-    def last(pattern: str) -> Column:
-        value = F.regexp_extract("line", pattern, 1).try_cast("int")
-        return F.max_by(value, F.when(value.isNotNull(), F.col("line_no")))
+    def number(pattern: str, kind: str = "int", group: int = 1) -> Column:
+        return F.when(going, F.regexp_extract(told, pattern, group).try_cast(kind))
 
-    smoothing = F.coalesce(F.regexp_extract("line", SMOOTHING, 1).try_cast("int"), F.regexp_extract("line", DISPLACEMENT, 1).try_cast("int"))
-    of = lines.groupBy("path").agg(
-        F.max(rank).alias("rank"), last(MORPH).alias("morph"), F.max_by(smoothing, F.when(smoothing.isNotNull(), F.col("line_no"))).alias("smoothing"),
-        *[last(rf"(?i)^(?:.*\b)?{c}\s*:\s*(\d+)\b").alias(c) for c in ("cells", "faces", "points")],
-        F.bool_or(F.col("line").rlike(MOST_CELLS)).alias("most_cells"),
-    )
+    rows = rows.withColumns({
+        "rank": rank, "morph": number(MORPH), "smoothing": F.coalesce(number(SMOOTHING), number(DISPLACEMENT)), "execution_seconds": number(TIMING, "double"), "clock_seconds": number(TIMING, "double", 2),
+        **{c: F.when(going, F.try_element_at(F.regexp_extract_all(told, F.lit(rf"(?i)\b{c}\s*:\s*(\d+)\b"), F.lit(1)), F.lit(-1)).try_cast("int")) for c in ("cells", "faces", "points")},
+        "full": F.coalesce(told.rlike(MOST_CELLS), F.lit(False)), "warns": F.coalesce(told.rlike(WARNING), F.lit(False)),
+    })
+    order = Window.partitionBy("path").orderBy("line_no")
+    # only lines that say something are put in order
+    rows = rows.where((F.col("rank") > 0) | F.col("failure").isNotNull() | F.col("full") | F.col("warns") | F.coalesce("morph", "smoothing", "cells", "faces", "points").isNotNull() | F.col("clock_seconds").isNotNull())
+    rows = rows.withColumn("before", F.coalesce(F.max("rank").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    work = F.when(F.col("rank") == 5, F.lit(DONE)).when(((F.col("rank") > 0) & (F.col("rank") >= F.col("before"))) | F.col("morph").isNotNull() | F.col("smoothing").isNotNull(), F.col("line"))
+    rows = rows.withColumn("work", work)
+    # a line may warn twice, by its word and by its limit; the second is a repeat of the first
+    warned = rows.where(F.col("warns") | F.col("full")).withColumn("previous", F.lag("line").over(order)).where(~F.col("line").eqNullSafe(F.col("previous")))
+    warned = warned.withColumns({"k": F.row_number().over(Window.partitionBy("path").orderBy(F.desc("line_no"))), "n": F.count(F.lit(1)).over(Window.partitionBy("path"))})
+    warned = warned.where(F.col("k") <= most_warnings).groupBy("path").agg(F.first("n").alias("warning_count"), F.transform(F.sort_array(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]).alias("warnings"))
+
+    def last(name: str) -> Column:
+        return F.max_by(name, F.when(F.col(name).isNotNull(), F.col("line_no"))).alias(name)
+
+    of = rows.groupBy("path").agg(F.max("rank").alias("rank"), *[last(c) for c in ("morph", "smoothing", "cells", "faces", "points", "execution_seconds", "clock_seconds", "failure", "work")], F.bool_or("full").alias("most_cells"))
+    of = lines.select("path").distinct().join(of, "path", "left").join(warned, "path", "left")
     stage = F.lit("initialization")
     for name, n, _ in STAGES:
         stage = F.when(F.col("rank") == n, name).otherwise(stage)
     percent = F.when((F.col("rank") == 2) & (relax > 0), F.least(F.lit(100.0), 100.0 * F.col("morph") / relax))
-    return of.select("path", stage.alias("stage"), "morph", "smoothing", "cells", "faces", "points", "most_cells", (F.col("rank") == 5).alias("completed"), percent.alias("percent"))
+    return of.select(
+        "path", stage.alias("stage"), "morph", "smoothing", "cells", "faces", "points", F.coalesce("most_cells", F.lit(False)).alias("most_cells"), F.coalesce(F.col("rank") == 5, F.lit(False)).alias("completed"), percent.alias("percent"),
+        F.col("work").alias("current_work"), "execution_seconds", "clock_seconds", "failure", F.coalesce("warning_count", F.lit(0)).cast("long").alias("warning_count"), F.coalesce("warnings", F.array().cast("array<string>")).alias("warnings"),
+    )
 
 
 LAYER_HEADER = r"(?i)^patch\s+faces\s+layers\s+overall\s+thickness$"
@@ -175,7 +248,7 @@ def layer_table(lines: DataFrame) -> DataFrame:
     A header opens a table, ruled and processor lines don't count, and the first other line that isn't a row closes it. A
     table that a cut-off row closes, that nothing has closed yet or that has no rows doesn't count.
     """
-    text = F.trim(F.regexp_replace("line", r"^\[\d+\]\s*", ""))
+    text = F.regexp_replace(F.regexp_replace("line", r"^\s+|\s+$", ""), r"^\[\d+\]\s*", "")
     order = Window.partitionBy("path").orderBy("line_no")
     rows = lines.withColumn("text", text).where("text <> ''").withColumn("table", F.count_if(F.col("text").rlike(LAYER_HEADER)).over(order)).where("table > 0")
     head, row = F.col("text").rlike(LAYER_HEADER), F.col("text").rlike(LAYER_ROW)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runsight.operators import events as E
+from runsight.operators import meshcheck as MC
 from runsight.plans.registry import query
 from runsight.sources import fixtures as fx
 from runsight.streaming import logs as stream
@@ -181,3 +182,31 @@ def stream_log_equality(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{at}/out")
     last = rows.groupBy("path").agg(F.max_by(F.struct(*stream.OUT_NAMES[1:]), "batch_number").alias("r")).select("path", "r.*")
     return said(last)
+
+
+#: A line of the mesher's log of event number e, with n = e % 41; half of the users' logs end.
+MESHER_LINE = """CASE e * 5 % 19 WHEN 0 THEN 'Castellated mesh generation' WHEN 1 THEN '  Morph iteration ' || n WHEN 2 THEN 'smoothing displacement iteration ' || n WHEN 3 THEN 'Solving for pointDisplacementY, No Iterations = ' || n
+ WHEN 4 THEN 'cells: ' || n || ' faces : ' || e || ' cells: ' || e WHEN 5 THEN 'points:' || n WHEN 6 THEN '--> FOAM Warning : ' || n % 3 WHEN 7 THEN 'warning ' || n % 2 WHEN 8 THEN CASE WHEN user_id % 3 = 0 THEN 'maxGlobalCells ' || n || ' reached' ELSE 'x' END
+ WHEN 9 THEN 'ExecutionTime = ' || n || '.5 s  ClockTime = ' || e || ' s ' WHEN 10 THEN CASE WHEN user_id % 4 > 1 THEN ' Adding layers ' || n ELSE 'layer' END WHEN 11 THEN CASE WHEN n = 7 THEN '[3] Segmentation fault (core dumped)' ELSE 'Segmentation faults' END
+ WHEN 12 THEN CASE WHEN user_id % 4 > 2 AND n > 20 THEN 'Checking final mesh' ELSE '' END WHEN 13 THEN CASE WHEN user_id % 8 = 7 AND n > 30 THEN 'End' ELSE 'End of it' END WHEN 14 THEN 'Refinement phase ' || n ELSE 'other ' || n END"""
+MESHER_LINES = f"lines AS (SELECT user_id AS path, CAST(CASE WHEN day(ts) > 20 THEN 1 ELSE 0 END AS INT) AS segment, e AS line_no, {MESHER_LINE} AS line FROM (SELECT user_id, ts, event_id AS e, event_id % 41 AS n FROM events))"
+
+
+def _last_of(pattern: str, kind: str = "INT") -> str:
+    value = f"TRY_CAST(nullif(regexp_extract(low, '{pattern}', 1), '') AS {kind})"
+    return f"arg_max({value}, CASE WHEN failure IS NULL AND low <> 'end' AND {value} IS NOT NULL THEN line_no END)"
+
+
+@query("mesher_progress", f"""WITH {MESHER_LINES}, bare AS (SELECT path, segment, line_no, trim(line) AS line, lower(trim(line)) AS low FROM lines QUALIFY segment = max(segment) OVER (PARTITION BY path)),
+f AS (SELECT *, CASE WHEN starts_with(low, '[3] segmentation fault (core') THEN 'segmentation fault' END AS failure, CASE WHEN failure IS NOT NULL THEN 0 WHEN low = 'end' THEN 5 WHEN low LIKE '%final mesh%' THEN 4 WHEN low LIKE '%adding layers%' THEN 3 WHEN low LIKE '%morph iteration%' THEN 2 WHEN low LIKE 'castellated%' OR low LIKE 'refinement phase%' THEN 1 ELSE 0 END AS rank FROM bare),
+s AS (SELECT *, coalesce(max(rank) OVER (PARTITION BY path ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM f), w AS (SELECT *, CASE WHEN rank = 5 THEN 'snappyHexMesh completed' WHEN rank > 0 AND rank >= before OR rank = 2 OR regexp_matches(low, '^smoothing|pointdisplacement') THEN line END AS work FROM s),
+warned AS (SELECT path, line_no, line FROM (SELECT path, line_no, line FROM f WHERE regexp_matches(low, '^(--> )?(foam )?warning |^maxglobalcells')) QUALIFY lag(line) OVER (PARTITION BY path ORDER BY line_no) IS DISTINCT FROM line),
+told AS (SELECT path, count(*) AS warning_count FROM warned GROUP BY path), kept AS (SELECT path, string_agg(line, '/' ORDER BY line_no) AS warnings FROM (SELECT * FROM warned QUALIFY row_number() OVER (PARTITION BY path ORDER BY line_no DESC) <= 4) GROUP BY path),
+g AS (SELECT path, max(rank) AS rank, {_last_of('morph iteration ([0-9]+)')} AS morph, {_last_of('(?:^smoothing displacement iteration |no iterations = )([0-9]+)')} AS smoothing, {_last_of('cells: [0-9]+ faces : [0-9]+ cells: ([0-9]+)')} AS cells, {_last_of('faces : ([0-9]+)')} AS faces, {_last_of('points:([0-9]+)')} AS points,
+  bool_or(low LIKE 'maxglobalcells%') AS most_cells, arg_max(work, CASE WHEN work IS NOT NULL THEN line_no END) AS current_work, {_last_of('executiontime = ([0-9.]+)', 'DOUBLE')} AS execution_seconds, {_last_of('clocktime = ([0-9.]+)', 'DOUBLE')} AS clock_seconds, arg_max(failure, CASE WHEN failure IS NOT NULL THEN line_no END) AS failure FROM w GROUP BY path)
+SELECT g.path, ['initialization', 'castellation', 'snapping', 'layers', 'finalizing', 'completed'][rank + 1] AS stage, morph, smoothing, cells, faces, points, most_cells, rank = 5 AS completed, CASE WHEN rank = 2 THEN least(100.0, CAST(100.0 * morph / 25 AS DOUBLE)) END AS percent, current_work, execution_seconds, clock_seconds, failure,
+  coalesce(warning_count, 0) AS warning_count, coalesce(warnings, '') AS warnings FROM g LEFT JOIN told USING (path) LEFT JOIN kept USING (path)""".replace("least(100.0, CAST", "least(CAST(100 AS DOUBLE), CAST"))
+def mesher_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fx.table(spark, sf_dir, "events").select("user_id", F.col("user_id").alias("path"), F.when(F.dayofmonth("ts") > 20, 1).otherwise(0).alias("segment"), F.col("event_id").alias("line_no"), F.col("event_id").alias("e"), (F.col("event_id") % 41).alias("n"))
+    lines = rows.select("path", "segment", "line_no", F.expr(MESHER_LINE).alias("line"))
+    return MC.mesher_progress(lines, F.lit(25), most_warnings=4).withColumn("warnings", F.array_join("warnings", "/"))

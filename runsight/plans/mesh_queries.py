@@ -11,16 +11,17 @@ from runsight.operators import series as S
 from runsight.plans.registry import query
 from runsight.sources import fixtures as fx
 
-# A line of a mesh report from each part; both engines read the same expression.
-LINE = """CASE p_partkey % 17
- WHEN 0 THEN concat('cells: ', p_size) WHEN 1 THEN concat('internal faces: ', p_size * 3) WHEN 2 THEN concat('Number of regions: ', p_size)
+# A line of a mesh report from each part, indented and ended by blanks as they come; both engines read the same expression.
+LINE = """concat(substr('      ', 1, CAST(p_partkey % 6 AS INT)), CASE p_partkey % 23
+ WHEN 0 THEN concat('cells:   ', p_size) WHEN 1 THEN concat('internal faces: ', p_size * 3) WHEN 2 THEN concat('Number of regions: ', p_size, ' (OK).')
  WHEN 3 THEN concat('Max skewness = ', p_size, CASE WHEN p_size % 3 = 0 THEN ' OK.' ELSE '' END) WHEN 4 THEN concat('Max aspect ratio = ', p_size, '.5 OK')
  WHEN 5 THEN concat('Mesh non-orthogonality Max: ', p_size, '.25 average: 4.5') WHEN 6 THEN 'Non-orthogonality check OK.'
- WHEN 7 THEN concat('***Number of severely non-orthogonal (> 70 degrees) faces: ', p_size % 4, '.') WHEN 8 THEN concat('***Max skewness, highly skew faces > 4.5: ', p_size % 3)
+ WHEN 7 THEN concat('***Number of severely non-orthogonal (> 70 degrees) faces: ', p_size % 4, '.') WHEN 8 THEN concat('* Max skewness, highly skew faces > 4.5: ', p_size % 3)
  WHEN 9 THEN concat('Min volume = 1e-', p_size, '. Max volume = ', p_size, '. Total volume = 1. Cell volumes OK.') WHEN 10 THEN concat('* negative volume cells = ', p_size % 2)
- WHEN 11 THEN concat('disconnected things: ', p_size) WHEN 12 THEN concat('Minimum determinant = 0.', p_size) WHEN 13 THEN concat('faces: ', p_size)
- WHEN 14 THEN CASE WHEN p_size % 5 = 0 THEN concat('Failed ', p_size, ' mesh checks.') ELSE 'Mesh OK.' END WHEN 15 THEN CASE WHEN p_size = 7 THEN 'Segmentation fault' ELSE p_name END ELSE p_comment END"""
-LINE = LINE.replace("p_comment", "p_type")
+ WHEN 11 THEN concat('*Some odd things: ', p_size) WHEN 12 THEN concat('Minimum determinant = 0.', p_size) WHEN 13 THEN concat('faces: ', p_size)
+ WHEN 14 THEN CASE WHEN p_size % 5 = 0 THEN concat('Failed ', p_size, ' mesh checks.') ELSE 'Mesh OK.' END WHEN 15 THEN CASE WHEN p_size = 7 THEN 'Segmentation fault' WHEN p_size = 8 THEN 'Floating point exception' ELSE p_name END
+ WHEN 16 THEN concat('Overall domain bounding box (-', p_size, ' 0 .5) (1 2e1 ', p_size, '.25)') WHEN 17 THEN concat('Mesh has 2 geometric (non-empty/wedge) directions (1 ', p_size % 2, ' 1)') WHEN 18 THEN concat('Mesh has 3 solution (non-empty) directions (', p_size % 2, ' 1 1)')
+ WHEN 19 THEN concat('Min determinant = 0.5. Mesh (non-empty, non-wedge) directions (1 1 ', p_size % 2, ')') WHEN 20 THEN concat('Mesh (non-empty) directions (0 ', p_size % 2, ' 1)') WHEN 21 THEN '' ELSE p_type END, substr('   ', 1, CAST(p_partkey % 4 AS INT)))"""
 REPORT = "CAST(p_partkey % 97 % 23 AS INT)"
 LINES = f"lines AS (SELECT {REPORT} AS report, p_partkey AS line_no, {LINE} AS line FROM part)"
 
@@ -29,29 +30,43 @@ def report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.table(spark, sf_dir, "part").select(F.expr(REPORT).alias("report"), F.col("p_partkey").alias("line_no"), F.expr(LINE).alias("line"))
 
 
+def _last(value: str) -> str:
+    return f"arg_max({value}, CASE WHEN {value} IS NOT NULL THEN line_no END)"
+
+
 def _q(pattern: str) -> str:
     return "'" + pattern.replace("'", "''") + "'"
 
 
-def _last(value: str) -> str:
-    return f"arg_max({value}, CASE WHEN {value} IS NOT NULL THEN line_no END)"
+_BARE = "bare AS (SELECT report, line_no, regexp_replace(line, '^\\s+|\\s+$', '', 'g') AS line FROM lines), clean_lines AS (SELECT *, lower(line) AS low FROM bare WHERE line <> '')"
 
 
-def _count(name: str) -> str:
-    return _last(f"CASE WHEN name = '{name}' THEN n END")
+def _count(words: str) -> str:
+    value = f"CASE WHEN starts_with(low, '{words}') THEN TRY_CAST(regexp_extract(low, '^{words} *: *([0-9]+)', 1) AS BIGINT) END"
+    return f"{_last(value)} AS {words.replace(' ', '_')}"
 
 
-@query("mesh_counts", f"""WITH {LINES}, named AS (SELECT *, regexp_replace(lower(regexp_extract(line, {_q(M.COUNT)}, 1)), '\\s+', '_', 'g') AS name, TRY_CAST(regexp_extract(line, {_q(M.COUNT)}, 2) AS BIGINT) AS n, TRY_CAST(regexp_extract(line, {_q(M.REGIONS)}, 1) AS BIGINT) AS g FROM lines)
-SELECT report, {', '.join(f'{_count(c)} AS {c}' for c in ('points', 'faces', 'internal_faces', 'cells'))}, {_last('g')} AS regions FROM named GROUP BY report""")
+@query("mesh_counts", f"""WITH {LINES}, {_BARE} SELECT report, {', '.join(_count(c) for c in ('points', 'faces', 'internal faces', 'cells'))}, {_last("TRY_CAST(regexp_extract(low, 'number of regions *: *([0-9]+)', 1) AS BIGINT)")} AS regions FROM clean_lines GROUP BY report""")
 def mesh_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.counts(report_lines(spark, sf_dir))
 
 
-_CODE = "CASE " + " ".join("WHEN " + " AND ".join(f"contains(low, '{w}')" for w in words) + f" THEN '{code}'" for words, code in M.CODES)
-_CODE += " ELSE regexp_replace(regexp_replace(lower(label), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') END"
-PROBLEMS = f"""cleaned AS (SELECT report, line_no, line, regexp_replace(line, '^[* ]+', '') AS clean, lower(regexp_replace(line, '^[* ]+', '')) AS low FROM lines),
-found AS (SELECT *, trim(regexp_extract(clean, {_q(M.PROBLEM)}, 1)) AS label FROM cleaned WHERE regexp_matches(clean, {_q(M.PROBLEM)}) AND NOT contains(low, 'number of regions') AND (line LIKE '*%' OR {' OR '.join(f"contains(low, '{m}')" for m in M.MARKERS)})),
-problems AS (SELECT report, line_no, {_CODE} AS code, TRY_CAST(regexp_extract(clean, {_q(M.PROBLEM)}, 2) AS BIGINT) AS n, TRY_CAST(regexp_extract(label, {_q(M.LIMIT)}, 1) AS DOUBLE) AS lim FROM found)"""
+@query("mesh_geometry", f"""WITH {LINES}, {_BARE}, w AS (SELECT report, line_no, CASE WHEN contains(low, 'bounding box (') THEN replace(replace(split_part(low, 'bounding box (', 2), ') (', ' '), ')', '') END AS box,
+  CASE WHEN contains(low, ' geometric ') OR contains(low, 'mesh (non-empty, non-wedge)') THEN split_part(split_part(low, 'directions (', 2), ')', 1) END AS g, CASE WHEN contains(low, ' solution ') OR contains(low, 'mesh (non-empty) ') THEN split_part(split_part(low, 'directions (', 2), ')', 1) END AS s FROM clean_lines)
+SELECT report, CAST(split_part({_last('box')}, ' ', 1) AS DOUBLE) AS x_min, CAST(split_part({_last('box')}, ' ', 6) AS DOUBLE) AS z_max, {_last('g')} AS geometric, {_last('s')} AS solution FROM w GROUP BY report""")
+def mesh_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    of = M.geometry(report_lines(spark, sf_dir))
+    return of.select("report", F.element_at("box_min", 1).alias("x_min"), F.element_at("box_max", 3).alias("z_max"), *[F.array_join(F.col(f"{c}_directions").cast("array<string>"), " ").alias(c) for c in ("geometric", "solution")])
+
+
+# The problems, metrics and verdicts in a writing of their own, so that a fault in the library's shows.
+_CODE = """CASE WHEN contains(low, 'severely') AND contains(low, 'non-orthogonal') THEN 'severely_non_orthogonal_faces' WHEN contains(low, 'non-orthogonal') THEN 'non_orthogonality_faces' WHEN contains(low, 'face pyramid') THEN 'face_pyramid_faces'
+ WHEN contains(low, 'concav') THEN 'concave_faces' WHEN contains(low, 'skew') THEN 'highly_skew_faces' WHEN contains(low, 'interpolation weight') THEN 'interpolation_weight_faces' WHEN contains(low, 'volume ratio') THEN 'volume_ratio_faces'
+ WHEN contains(low, 'face twist') THEN 'face_twist_faces' WHEN contains(low, 'determinant') THEN 'low_determinant_cells' WHEN contains(low, 'negative') AND contains(low, 'volume') THEN 'negative_volume_cells'
+ ELSE trim(regexp_replace(label, '[^a-z0-9]+', '_', 'g'), '_') END"""
+_MARKS = "regexp_matches(low, 'non-orthogonal|skew|negative volume|face pyramid|concav|interpolation weight|volume ratio|face twist|determinant|illegal|disconnected|duplicate|zero area')"
+PROBLEMS = f"""{_BARE}, found AS (SELECT report, line_no, ltrim(low, '* ') AS low, trim(regexp_extract(ltrim(low, '* '), '^(.+?) *[:=] *[0-9]+[.]?$', 1)) AS label, TRY_CAST(regexp_extract(low, '[:=] *([0-9]+)[.]?$', 1) AS BIGINT) AS n FROM clean_lines WHERE NOT contains(low, 'number of regions') AND (starts_with(low, '*') OR {_MARKS})),
+problems AS (SELECT report, line_no, {_CODE} AS code, n, TRY_CAST(regexp_extract(label, '[<>] *([-+0-9.e]+)', 1) AS DOUBLE) AS lim FROM found WHERE n IS NOT NULL AND label <> '')"""
 
 
 @query("mesh_problems", f'WITH {LINES}, {PROBLEMS} SELECT report, line_no, code, n, lim AS "limit" FROM problems')
@@ -59,17 +74,29 @@ def mesh_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.problems(report_lines(spark, sf_dir))
 
 
-def _told(code: str, pattern: str, group: int, says: bool) -> str:
-    said = "CASE WHEN regexp_matches(line, '(?i)\\bOK\\b') THEN 'passing' ELSE 'informational' END" if says else "'informational'"
-    return f"SELECT report, line_no * 4 AS pos, '{code}' AS code, TRY_CAST(regexp_extract(line, {_q(pattern)}, {group}) AS DOUBLE) AS observed, {said} AS said, NULL AS judged, NULL AS lim FROM lines WHERE regexp_matches(line, {_q(pattern)})"
+_X = "([-+]?[0-9]*[.]?[0-9]+(?:e[-+]?[0-9]+)?)"
+#: Code, pattern of a line in lower case, and whether OK in the line passes it.
+_METRICS = (
+    ("aspect_ratio_max", f"max aspect ratio = {_X}", True), ("face_area_min", f"minimum face area = {_X}[.] maximum", True), ("face_area_max", f"maximum face area = {_X}", True),
+    ("cell_volume_min", f"min volume = {_X}[.]? ", True), ("cell_volume_max", f"max volume = {_X}", True), ("non_orthogonality_max", f"non-orthogonality max: {_X}", False),
+    ("non_orthogonality_average", f"non-orthogonality max: .*average: {_X}", False), ("skewness_max", f"max skewness = {_X}", True), ("determinant_min", f"min(?:imum)? determinant = {_X}", True),
+    ("face_weight_min", f"min face weight = {_X}", True), ("volume_ratio_min", f"min volume ratio = {_X}", True), ("tet_quality_min", f"min tet quality = {_X}", True),
+    ("concavity_max", f"max concavity = {_X}", True), ("cell_openness_max", f"max cell openness = {_X}", True),
+)
+
+
+def _told(code: str, pattern: str, says: bool) -> str:
+    said = "CASE WHEN regexp_matches(low, '\\bok\\b') THEN 'passing' ELSE 'informational' END" if says else "'informational'"
+    return f"SELECT report, line_no * 4 AS pos, '{code}' AS code, TRY_CAST(regexp_extract(low, '{pattern}', 1) AS DOUBLE) AS observed, {said} AS said FROM clean_lines WHERE regexp_matches(low, '{pattern}')"
 
 
-_JUDGES = "CASE code " + " ".join(f"WHEN '{c}' THEN '{m}'" for c, m in M.JUDGES.items()) + " END"
+_JUDGED = """CASE code WHEN 'severely_non_orthogonal_faces' THEN 'non_orthogonality_max' WHEN 'non_orthogonality_faces' THEN 'non_orthogonality_max' WHEN 'highly_skew_faces' THEN 'skewness_max' WHEN 'concave_faces' THEN 'concavity_max'
+ WHEN 'interpolation_weight_faces' THEN 'face_weight_min' WHEN 'volume_ratio_faces' THEN 'volume_ratio_min' WHEN 'low_determinant_cells' THEN 'determinant_min' WHEN 'negative_volume_cells' THEN 'cell_volume_min' END"""
 
 
-@query("mesh_metrics", f"""WITH {LINES}, {PROBLEMS}, told AS ({' UNION ALL '.join(_told(*m) for m in M.METRICS)}),
-judgements AS (SELECT report, line_no * 4 + 1 AS pos, c.code, 'passing' AS judged, CAST(NULL AS DOUBLE) AS lim FROM lines, (VALUES ('non_orthogonality_max'), ('non_orthogonality_average')) c(code) WHERE contains(lower(line), '{M.ORTHOGONAL_OK}')
-  UNION ALL SELECT report, line_no * 4 + 2, {_JUDGES}, CASE WHEN n > 0 THEN 'failing' ELSE 'passing' END, lim FROM problems WHERE {_JUDGES} IS NOT NULL),
+@query("mesh_metrics", f"""WITH {LINES}, {PROBLEMS}, told AS ({' UNION ALL '.join(_told(*m) for m in _METRICS)}),
+judgements AS (SELECT report, line_no * 4 + 1 AS pos, c.code, 'passing' AS judged, CAST(NULL AS DOUBLE) AS lim FROM clean_lines, (VALUES ('non_orthogonality_max'), ('non_orthogonality_average')) c(code) WHERE contains(low, 'non-orthogonality check ok')
+  UNION ALL SELECT report, line_no * 4 + 2, {_JUDGED}, CASE WHEN n > 0 THEN 'failing' ELSE 'passing' END, lim FROM problems WHERE {_JUDGED} IS NOT NULL),
 ends AS (SELECT report, code, min(pos) AS a, max(pos) AS z, arg_max(observed, pos) AS observed, arg_max(said, pos) AS said FROM told GROUP BY report, code),
 judged AS (SELECT j.report, j.code, arg_max(j.judged, j.pos) AS judged, max(j.pos) AS pos, arg_max(CASE WHEN j.pos > e.z THEN j.lim END, CASE WHEN j.pos > e.z AND j.lim IS NOT NULL THEN j.pos END) AS target FROM judgements j JOIN ends e ON j.report = e.report AND j.code = e.code AND j.pos > e.a GROUP BY 1, 2)
 SELECT e.report, e.code, e.observed, CASE WHEN j.judged = 'failing' OR j.pos > e.z THEN j.judged ELSE e.said END AS status, j.target FROM ends e LEFT JOIN judged j ON e.report = j.report AND e.code = j.code""")
@@ -77,7 +104,8 @@ def mesh_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.metrics(report_lines(spark, sf_dir))
 
 
-@query("mesh_verdict", f"""WITH {LINES}, marked AS (SELECT report, line_no, regexp_matches(line, {_q(M.FATAL)}) AS fatal, CASE WHEN regexp_matches(line, {_q(M.FAILED)}) THEN false WHEN regexp_matches(line, {_q(M.MESH_OK)}) THEN true END AS ok, TRY_CAST(regexp_extract(line, {_q(M.FAILED)}, 1) AS BIGINT) AS failed FROM lines),
+@query("mesh_verdict", f"""WITH {LINES}, {_BARE}, marked AS (SELECT report, line_no, regexp_full_match(low, '(--> *)?foam fatal (io )?error *:?|floating point exception( +\\(core dumped\\))?|segmentation fault( +\\(core dumped\\))?|mpi_abort was invoked on rank [0-9]+\\b.*') AS fatal,
+  CASE WHEN regexp_matches(low, '\\bfailed +[0-9]+ +mesh checks? *[.]') THEN false WHEN regexp_matches(low, '\\bmesh ok *[.]') THEN true END AS ok, TRY_CAST(regexp_extract(low, '\\bfailed +([0-9]+) +mesh check', 1) AS BIGINT) AS failed FROM clean_lines),
 of AS (SELECT report, bool_or(fatal) AS fatal, {_last('ok')} AS mesh_ok, {_last('failed')} AS failed_checks FROM marked GROUP BY report)
 SELECT report, mesh_ok, failed_checks, CASE WHEN report % 11 = 3 OR fatal OR mesh_ok = false THEN 'failing' WHEN mesh_ok THEN 'passing' ELSE 'indeterminate' END AS status FROM of""")
 def mesh_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,6 +10,7 @@ from runsight.operators import catalog as C
 from runsight.operators import events as E
 from runsight.operators import health as H
 from runsight.operators import mesh as M
+from runsight.operators import meshcheck as MC
 from runsight.plans.registry import query
 from runsight.sources import fixtures as fx
 
@@ -183,12 +184,38 @@ def layer_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.match_layers(rows, REQUESTS)
 
 
-@query("layer_coverage", """WITH r AS (SELECT c_mktsegment AS patch, count(*) % 5 AS a FROM customer GROUP BY 1), s AS (SELECT a, CASE WHEN patch = 'BUILDING' THEN 3 WHEN patch = 'MACHINERY' THEN 0 WHEN patch LIKE 'HOUSE%' THEN 2 ELSE 4 END AS n FROM r),
-t AS (SELECT CASE WHEN n = 0 THEN 'not_requested' WHEN a <= 0 THEN 'missing' WHEN a < n THEN 'partial' ELSE 'met' END AS st FROM s), u AS (SELECT count(*) AS rows, count(*) FILTER (st = 'missing') AS missing, count(*) FILTER (st = 'partial') AS partial FROM t)
-SELECT rows, missing, partial, 1 AS unmatched, CASE WHEN missing > 0 THEN 'missing' WHEN partial > 0 THEN 'partial' ELSE 'unknown' END AS status FROM u""")
+LAYER_REQUESTS = [("BUILDING", 3), ("HOUSE.*", 2), ("MACHINERY", 0), ("AUTO.*", 1)]
+PATCH = "CASE WHEN c_nationkey % 3 = 0 AND c_mktsegment = 'FURNITURE' THEN 'MACHINERY' WHEN c_nationkey % 5 = 4 AND c_mktsegment = 'HOUSEHOLD' THEN 'BUILDING' ELSE c_mktsegment END"
+AVERAGE = "CASE WHEN c_nationkey % 6 < 2 AND c_custkey % 50 = 0 THEN c_nationkey % 2 ELSE 3 + c_custkey % 2 END"
+#: Log lines of a table of each nation's customers: closed by another line, not closed, or by a row that is cut off.
+TABLE_LINE = {0: "patch faces layers overall thickness", 1: "-----  -----"}
+
+
+def table_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    customers = fx.table(spark, sf_dir, "customer").select("c_nationkey", "c_custkey", F.expr(PATCH).alias("patch"), F.expr(AVERAGE).alias("average"))
+    row = F.concat(F.lit("  "), "patch", F.lit("   "), F.col("c_custkey").cast("string"), F.lit(" "), F.col("average").cast("string"), F.lit(" 0.5 90 "))
+    rows = customers.select(F.col("c_nationkey").alias("path"), (F.col("c_custkey") + 10).alias("line_no"), row.alias("line"))
+    k = F.col("n_nationkey") % 4
+    end = F.when(k == 0, "Layer mesh : cells:3").when(k == 2, "inlet 4 1").when(k == 3, "")
+    frame = F.array(*[F.struct(F.lit(n).cast("long").alias("line_no"), F.lit(x).alias("line")) for n, x in TABLE_LINE.items()], F.struct(F.lit(1 << 60).alias("line_no"), end.alias("line")), F.struct(F.lit((1 << 60) + 1).alias("line_no"), F.when(k == 3, "End").alias("line")))
+    frames = fx.table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("path"), F.inline(frame)).where("line IS NOT NULL")
+    return rows.unionByName(frames)
+
+
+@query("layer_table", f"SELECT c_nationkey AS path, c_custkey + 10 AS line_no, {PATCH} AS patch, CAST(c_custkey AS INT) AS faces, CAST({AVERAGE} AS DOUBLE) AS average_layers, 0.5 AS thickness, CAST(90 AS DOUBLE) AS percent FROM customer WHERE c_nationkey % 4 IN (0, 3)".replace("0.5 AS", "CAST(0.5 AS DOUBLE) AS"))
+def layer_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return MC.layer_table(table_lines(spark, sf_dir))
+
+
+@query("layer_coverage", f"""WITH r AS (SELECT c_nationkey AS path, {PATCH} AS patch, {AVERAGE} AS a FROM customer WHERE c_nationkey % 4 IN (0, 3)),
+s AS (SELECT path, patch, CASE WHEN patch = 'FURNITURE' THEN 'unknown' WHEN patch = 'MACHINERY' THEN 'not_requested' WHEN a <= 0 THEN 'missing' WHEN a < CASE patch WHEN 'BUILDING' THEN 3 WHEN 'HOUSEHOLD' THEN 2 ELSE 1 END THEN 'partial' ELSE 'met' END AS st FROM r),
+c AS (SELECT path, count(*) AS n, count(*) FILTER (st = 'missing') AS missing, count(*) FILTER (st = 'partial') AS partial, count(*) FILTER (st = 'unknown') AS loose, bool_or(patch = 'BUILDING') AS b, bool_or(patch = 'HOUSEHOLD') AS h, bool_or(patch = 'AUTOMOBILE') AS u FROM s GROUP BY path),
+j AS (SELECT n_nationkey AS path, coalesce(n, 0) AS n, coalesce(missing, 0) AS missing, coalesce(partial, 0) AS partial, coalesce(loose, 0) AS loose, concat_ws(' ', CASE WHEN NOT coalesce(b, false) THEN 'BUILDING' END, CASE WHEN NOT coalesce(h, false) THEN 'HOUSE.*' END, CASE WHEN NOT coalesce(u, false) THEN 'AUTO.*' END) AS unmatched FROM nation LEFT JOIN c ON path = n_nationkey)
+SELECT path, n AS rows, missing, partial, unmatched, CASE WHEN n = 0 AND path % 8 = 1 THEN 'not_configured' WHEN n = 0 THEN 'unavailable' WHEN missing > 0 THEN 'missing' WHEN partial > 0 THEN 'partial' WHEN unmatched <> '' OR loose > 0 THEN 'unknown' ELSE 'met' END AS status FROM j""")
 def layer_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = fx.table(spark, sf_dir, "customer").groupBy(F.col("c_mktsegment").alias("patch")).agg((F.count(F.lit(1)) % 5).cast("double").alias("average_layers"))
-    return M.layer_coverage(rows, REQUESTS)
+    """The tables found in the lines, against the requests; layers are switched off for some nations."""
+    cases = fx.table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("path"), (F.col("n_nationkey") % 8 != 1).alias("add_layers"))
+    return M.layer_coverage(MC.layer_table(table_lines(spark, sf_dir)), LAYER_REQUESTS, cases).withColumn("unmatched", F.array_join("unmatched", " "))
 
 
 @query("vector_magnitude", "SELECT vec_id, round(sqrt(CAST(embedding[1] AS DOUBLE) ** 2 + CAST(embedding[2] AS DOUBLE) ** 2 + CAST(embedding[3] AS DOUBLE) ** 2), 9) AS magnitude FROM embeddings")

@@ -63,9 +63,12 @@ class _Reader:
                 at += 1
             elif key.startswith("#"):
                 self.notices.append(f"{path.name}: {key} isn't supported")
-                while at < len(tokens) and tokens[at] not in (";", "}"):
+                while at < len(tokens) and tokens[at] not in (";", "{", "}"):
                     at += 1
-                at += at < len(tokens) and tokens[at] == ";"
+                if at < len(tokens) and tokens[at] == "{":
+                    at = self.behind_block(tokens, at + 1, path)
+                else:
+                    at += at < len(tokens) and tokens[at] == ";"
             elif key in (";", "(", ")", "{"):
                 continue
             elif at < len(tokens) and tokens[at] == "{":
@@ -74,15 +77,25 @@ class _Reader:
                     self.notices.append(f"{path.name}: {key} isn't closed")
                 at += 1
             else:
-                out[key], at = self.plain(tokens, at)
+                out[key], at = self.plain(tokens, at, path)
         return out, at
 
-    def plain(self, tokens: list[str], at: int):
+    def behind_block(self, tokens: list[str], at: int, path: Path) -> int:
+        """The place behind the brace that closes an open one, whatever blocks are inside."""
+        depth = 1
+        while at < len(tokens) and depth:
+            depth += (tokens[at] == "{") - (tokens[at] == "}")
+            at += 1
+        if depth:
+            self.notices.append(f"{path.name}: a directive's block isn't closed")
+        return at
+
+    def plain(self, tokens: list[str], at: int, path: Path):
         """A value up to the semicolon: one token, a list, or several words joined."""
         values: list = []
         while at < len(tokens) and tokens[at] not in (";", "}"):
             if tokens[at] == "(":
-                items, at = self.items(tokens, at + 1)
+                items, at = self.items(tokens, at + 1, path)
                 values.append(items)
             else:
                 values.append(tokens[at].strip('"') if tokens[at].startswith('"') else value_of(tokens[at]))
@@ -92,14 +105,18 @@ class _Reader:
             return values[0], at
         return " ".join(f"{v:g}" if isinstance(v, float) else str(v) for v in values), at
 
-    def items(self, tokens: list[str], at: int) -> tuple[tuple, int]:
+    def items(self, tokens: list[str], at: int, path: Path) -> tuple[tuple, int]:
+        """A list's items: values, lists in it, and dictionaries in it."""
         out: list = []
         while at < len(tokens) and tokens[at] != ")":
             if tokens[at] == "(":
-                inner, at = self.items(tokens, at + 1)
+                inner, at = self.items(tokens, at + 1, path)
                 out.append(inner)
                 continue
-            if tokens[at] not in (";", "{", "}"):
+            if tokens[at] == "{":
+                inner, at = self.entries(tokens, at + 1, path)
+                out.append(inner)
+            elif tokens[at] not in (";", "}"):
                 out.append(value_of(tokens[at].strip('"')))
             at += 1
         return tuple(out), at + 1

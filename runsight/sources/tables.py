@@ -62,9 +62,9 @@ def parse_table(text: str) -> tuple[list[str], list[tuple[float, list[float], li
         line = line.strip()
         if line.startswith("#"):
             words = header_of(line[1:])
-            if words and words[0] == "Probe":
+            if words and words[0].lower() == "probe":
                 probes += 1
-            elif words and words[0] == "Time":
+            elif words and words[0].lower() == "time":
                 headers = words[1:]
             continue
         tokens = tokens_of(line)

@@ -3,11 +3,12 @@
 from pyspark.sql import functions as F
 
 from runsight.operators import catalog as C
+from runsight.operators import mesh
 from runsight.operators import meshcheck as M
 
 
 def frame(spark, text, name="report"):
-    return spark.createDataFrame([("r", i, x.strip()) for i, x in enumerate(text.split("\n"))], f"{name} string, line_no long, line string")
+    return spark.createDataFrame([("r", i, f"{' ' * (i % 5)}{x}{' ' * (i % 3)}") for i, x in enumerate(text.split("\n"))], f"{name} string, line_no long, line string")
 
 
 REPORT = """points: 120
@@ -38,6 +39,45 @@ def test_mesh_report(spark):
     assert [(r.code, r.n, r.limit) for r in M.problems(lines).orderBy("line_no").collect()] == [("severely_non_orthogonal_faces", 3, 70.0), ("highly_skew_faces", 2, 4.0), ("illegal_thing", 7, None)]
 
 
+INDENTED = """Mesh stats
+    points:           120
+    faces:            330
+    internal faces:   270
+    cells:            100
+\t
+    Number of regions: 1 (OK).
+    Overall domain bounding box (0 -1e-3 .5) (1 2 3)
+    Mesh has 3 geometric (non-empty/wedge) directions (1 1 0)
+    Mesh has 3 solution (non-empty) directions (1 1 1)
+   *Number of faces with skewness > 4 = 3
+ ***Some odd things: 4 \nMesh OK. """
+
+
+def test_indented_reports(spark):
+    lines = spark.createDataFrame([("r", i, x) for i, x in enumerate(INDENTED.split("\n"))], "report string, line_no long, line string")
+    assert M.counts(lines).collect()[0].asDict() == {"report": "r", "points": 120, "faces": 330, "internal_faces": 270, "cells": 100, "regions": 1}
+    assert [(r.code, r.n, r.limit) for r in M.problems(lines).orderBy("line_no").collect()] == [("highly_skew_faces", 3, 4.0), ("some_odd_things", 4, None)]
+    assert tuple(M.geometry(lines).collect()[0])[1:] == ([0.0, -0.001, 0.5], [1.0, 2.0, 3.0], [1, 1, 0], [1, 1, 1])
+    old = spark.createDataFrame([("r", 0, "  Mesh (non-empty, non-wedge) directions (1 0 1)"), ("r", 1, " Mesh (non-empty) directions (0 0 1) ")], lines.schema)
+    assert tuple(M.geometry(old).collect()[0])[1:] == (None, None, [1, 0, 1], [0, 0, 1])
+    exits = spark.createDataFrame([("r", 0)], "report string, exit_code int")
+    assert M.verdict(lines, exits).collect()[0].status == "passing"
+    assert M.verdict(spark.createDataFrame([("r", 0, "  Floating point exception ")], lines.schema), exits).collect()[0].status == "failing"
+
+
+def test_layer_coverage_states(spark):
+    cases = spark.createDataFrame([(c, None if c == "none" else c != "off") for c in ("met", "part", "miss", "lone", "free", "none", "off", "on")], "path string, add_layers boolean")
+    rows = [("met", "a", 2.0), ("met", "b", 3.0), ("part", "a", 1.5), ("part", "b", 9.0), ("miss", "a", 0.0), ("miss", "b", 1.0), ("lone", "a", 2.0), ("free", "a", 2.0), ("free", "b", 3.0), ("free", "x", 1.0)]
+    table = spark.createDataFrame(rows, "path string, patch string, average_layers double")
+    out = {r.path: (r.status, r.unmatched, r.rows) for r in mesh.layer_coverage(table, [("a", 2), ("[bc]", 3), ("zero", 0)], cases).collect()}
+    assert out == {
+        "met": ("met", [], 2), "part": ("partial", [], 2), "miss": ("missing", [], 2), "lone": ("unknown", ["[bc]"], 1), "free": ("unknown", [], 3),
+        "none": ("unavailable", ["a", "[bc]"], 0), "off": ("not_configured", ["a", "[bc]"], 0), "on": ("unavailable", ["a", "[bc]"], 0),
+    }
+    without = {r.path: r.status for r in mesh.layer_coverage(table, [], cases).collect()}
+    assert without["met"] == "unknown" and without["off"] == "not_configured"
+
+
 def test_mesh_verdicts(spark):
     texts = {"ok": "Mesh OK.", "failed": "Failed 2 mesh checks.", "fatal": "Mesh OK.\nSegmentation fault", "none": "cells: 3", "exit": "Mesh OK.", "empty": None}
     rows = [(k, i, x) for k, t in texts.items() for i, x in enumerate((t or "").split("\n")) if t]
@@ -50,7 +90,19 @@ def test_mesher_progress(spark):
     text = "Castellated mesh generation\ncells: 10 faces: 30\nMorph iteration 0\nsmoothing displacement iteration 4\nMorph iteration 3\nrefinement phase\nmaxGlobalCells reached"
     r = M.mesher_progress(frame(spark, text, "path"), F.lit(5)).collect()[0]
     assert (r.stage, r.morph, r.smoothing, r.cells, r.faces, r.most_cells, r.completed, r.percent) == ("snapping", 3, 4, 10, 30, True, False, 60.0)
-    assert M.mesher_progress(frame(spark, text + "\nEnd", "path"), F.lit(5)).collect()[0].stage == "completed"
+    assert (r.current_work, r.failure, r.warning_count, r.warnings) == ("Morph iteration 3", None, 1, ["maxGlobalCells reached"])
+    r = M.mesher_progress(frame(spark, text + "\nEnd", "path"), F.lit(5)).collect()[0]
+    assert (r.stage, r.completed, r.current_work, r.percent) == ("completed", True, "snappyHexMesh completed", None)
+
+
+def test_mesher_failures_warnings_and_segments(spark):
+    log = ["add layers", "Warning : a", "Warning : a", "--> FOAM Warning b", "Warning : a", "cells: 1 cells : 2", "ExecutionTime = 1.5 s  ClockTime = 2 s", "mesh refinement", "Solving for pointDisplacementX, No Iterations 7", "[1] Segmentation fault (core dumped)"]
+    rows = [("p", 0, 0, "End"), *[("p", 1, i, f" {x} ") for i, x in enumerate(log)], ("q", 0, 0, "nothing")]
+    lines = spark.createDataFrame(rows, "path string, segment int, line_no long, line string")
+    p, q = M.mesher_progress(lines, F.lit(5), most_warnings=2).orderBy("path").collect()
+    assert (p.stage, p.completed, p.cells, p.execution_seconds, p.clock_seconds, p.failure) == ("layers", False, 2, 1.5, 2.0, "segmentation fault")
+    assert (p.warning_count, p.warnings, p.smoothing) == (3, ["--> FOAM Warning b", "Warning : a"], 7) and p.current_work.startswith("Solving")
+    assert (q.stage, q.warning_count, q.warnings, q.current_work) == ("initialization", 0, [], None)
 
 
 def test_layer_table(spark):

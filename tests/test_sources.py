@@ -19,6 +19,15 @@ def test_dictionary(tmp_path):
     assert len(notices) == 1 and "#calc" in notices[0]
 
 
+def test_directive_blocks_are_skipped_whole(tmp_path):
+    f = write(tmp_path / "dict", "SIMPLE { #calc { x 1; deep { y 2; } } residualControl { U 1e-3; } }\nlist (a { k 1; in { z 2; } } (b { m no; }));\n#ifeq a b { q 1; }\nend 5;")
+    got, notices = casedict.read_dictionary(f, tmp_path)
+    assert got == {"SIMPLE": {"residualControl": {"U": 1e-3}}, "list": ("a", {"k": 1.0, "in": {"z": 2.0}}, ("b", {"m": False})), "end": 5.0} and len(notices) == 2
+    assert casedict.residual_targets(got) == [("U", 1e-3)]
+    got, notices = casedict.read_dictionary(write(tmp_path / "open", "a 1; #calc { b { c 2; }"), tmp_path)
+    assert got == {"a": 1.0} and len(notices) == 2
+
+
 def test_dictionary_faults(tmp_path):
     inner = tmp_path / "case"
     write(tmp_path / "outside", "x 1;")
@@ -41,6 +50,8 @@ def test_targets_and_modes():
     [
         ("# Time volAverage(T)\n0 300\n1 nan\n2\n3 (1\nx 4\n", ["volAverage(T)"], [(0, [300], [1])]),
         ('# Time "areaAverage(p)" "a b(c d)"\n0 1 2\n', ["areaAverage(p)", "a b(c d)"], [(0, [1, 2], [1, 1])]),
+        ("# TIME volAverage(T)\n0 300\n", ["volAverage(T)"], [(0, [300], [1])]),
+        ("# PROBE 0 (0 0 0)\n0 10\n", ["probe 0"], [(0, [10], [1])]),
         ("# Probe 0 (0 0 0)\n# Probe 1 (1 0 0)\n# Time\n0 10 20\n", ["probe 0", "probe 1"], [(0, [10, 20], [1, 1])]),
         ("# Time f\n1 ((1 2 3) (4 5 6) (7 8 9))\n", ["f"], [(1, list(range(1, 10)), [9])]),
     ],
