@@ -33,7 +33,7 @@ LINES = f"lines AS (SELECT 'log.' || user_id AS path, CAST(CASE WHEN day(ts) > 1
 def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = F.col("event_id")
     rows = fx.table(spark, sf_dir, "events").select("user_id", "ts", e.alias("e"), (e % 97).alias("n"), (e % 9).alias("a"), (e % 7).alias("b"))
-    return rows.select(F.concat(F.lit("log."), "user_id").alias("path"), F.when(F.dayofmonth("ts") > 15, 1).otherwise(0).alias("segment"), F.col("e").alias("line_no"), F.expr(LINE).alias("line"))
+    return rows.select(F.concat(F.lit("log."), "user_id").alias("path"), F.when(F.dayofmonth("ts") > 15, 1).otherwise(0).alias("segment"), F.col("e").alias("line_no"), fx.made(F.expr(LINE)).alias("line"))
 
 
 # The formats in a writing of their own, so that a fault in the library's shows.
@@ -208,5 +208,5 @@ SELECT g.path, ['initialization', 'castellation', 'snapping', 'layers', 'finaliz
   coalesce(warning_count, 0) AS warning_count, coalesce(warnings, '') AS warnings FROM g LEFT JOIN told USING (path) LEFT JOIN kept USING (path)""".replace("least(100.0, CAST", "least(CAST(100 AS DOUBLE), CAST"))
 def mesher_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = fx.table(spark, sf_dir, "events").select("user_id", F.col("user_id").alias("path"), F.when(F.dayofmonth("ts") > 20, 1).otherwise(0).alias("segment"), F.col("event_id").alias("line_no"), F.col("event_id").alias("e"), (F.col("event_id") % 41).alias("n"))
-    lines = rows.select("path", "segment", "line_no", F.expr(MESHER_LINE).alias("line"))
+    lines = rows.select("path", "segment", "line_no", fx.made(F.expr(MESHER_LINE)).alias("line"))
     return MC.mesher_progress(lines, F.lit(25), most_warnings=4).withColumn("warnings", F.array_join("warnings", "/"))

@@ -27,7 +27,7 @@ LINES = f"lines AS (SELECT {REPORT} AS report, p_partkey AS line_no, {LINE} AS l
 
 
 def report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fx.table(spark, sf_dir, "part").select(F.expr(REPORT).alias("report"), F.col("p_partkey").alias("line_no"), F.expr(LINE).alias("line"))
+    return fx.table(spark, sf_dir, "part").select(F.expr(REPORT).alias("report"), F.col("p_partkey").alias("line_no"), fx.made(F.expr(LINE)).alias("line"))
 
 
 def _last(value: str) -> str:

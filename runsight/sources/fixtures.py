@@ -24,6 +24,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def made(line):
+    """A made line as a column that later expressions read instead of repeating what makes it."""
+    return F.explode(F.array(line))
+
+
 def cents(x: str):
     """Whole cents, so that sums don't depend on their order."""
     return F.round(F.col(x) * 100).cast("long")
