@@ -2,23 +2,25 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from runsight.functions.columns import finite
+from runsight.functions.staging import staged
+from runsight.operators.ranks import exact_median, numbered
 
 #: Most samples of a view, and the longest lag of an autocorrelation time.
 MOST_SAMPLES, MOST_LAGS = 2048, 200
+#: Samples of a block of lag products.
+BLOCK = 4096
 #: Fewest samples of a window.
 LEAST_WINDOW = 30
 #: A gap of more than so many median gaps begins a new segment.
 GAP_FACTOR = 5.0
 
 
-def by_time():
-    return Window.partitionBy("series_id").orderBy("t")
-
-
 def dedup_latest(points: DataFrame) -> DataFrame:
     """(series_id, t, v): of (series_id, t, v, pos) with finite t and v the one of largest pos for each t. Null or
     non-finite samples go; the aggregation combines in the map tasks, so a hot series is no burden."""
@@ -32,22 +34,32 @@ def restart_upsert(rows: DataFrame) -> DataFrame:
     return rows.groupBy("series_id", "t").agg(F.max_by("v", F.struct("start", "path", "row_no")).alias("v"))
 
 
+def gaps(points: DataFrame) -> DataFrame:
+    """points (series_id, t, v) with i from 0 in order of t, n and gap, the time since the sample in front; staged. A series
+    is dealt over as many tasks as its size asks for."""
+    return numbered(points.select("series_id", "t", "v"), "series_id", "t", previous=True).withColumn("gap", F.col("t") - F.col("before")).drop("before")
+
+
+def median_gap(rows: DataFrame) -> DataFrame:
+    """(series_id, median) of the gaps above zero."""
+    return exact_median(rows.where("gap > 0").select("series_id", "gap"), "series_id", "gap")
+
+
 def gap_stats(points: DataFrame) -> DataFrame:
     """(series_id, n, median_gap, largest_gap) over gaps above zero."""
-    gaps = points.withColumn("gap", F.col("t") - F.lag("t").over(by_time()))
-    positive = F.when(F.col("gap") > 0, F.col("gap"))
-    return gaps.groupBy("series_id").agg(F.count(F.lit(1)).alias("n"), F.median(positive).alias("median_gap"), F.max(positive).alias("largest_gap"))
+    rows = gaps(points)
+    of = rows.groupBy("series_id").agg(F.max("n").alias("n"), F.max(F.when(F.col("gap") > 0, F.col("gap"))).alias("largest_gap"))
+    return of.join(median_gap(rows), "series_id", "left").select("series_id", "n", F.col("median").alias("median_gap"), "largest_gap")
 
 
 def latest_segment(points: DataFrame) -> DataFrame:
     """(series_id, t, v, i, n, raw_samples): the samples behind the last gap of more than GAP_FACTOR median gaps,
-    numbered from 0; n: how many, raw_samples: how many the series has."""
-    gaps = points.withColumn("gap", F.col("t") - F.lag("t").over(by_time()))
-    typical = gaps.groupBy("series_id").agg(F.median(F.when(F.col("gap") > 0, F.col("gap"))).alias("typical"), F.count(F.lit(1)).alias("raw_samples"))
-    wide = gaps.join(typical, "series_id")
-    begin = wide.groupBy("series_id").agg(F.max(F.when(F.col("gap") > GAP_FACTOR * F.col("typical"), F.col("t"))).alias("begin"), F.first("raw_samples").alias("raw_samples"))
-    segment = points.join(begin, "series_id").where(F.col("begin").isNull() | (F.col("t") >= F.col("begin")))
-    return segment.select("series_id", "t", "v", (F.row_number().over(by_time()) - 1).alias("i"), F.count(F.lit(1)).over(Window.partitionBy("series_id")).alias("n"), "raw_samples")
+    numbered from 0; n: how many, raw_samples: how many the series has. No task holds a whole series."""
+    rows = gaps(points)
+    wide = rows.join(median_gap(rows), "series_id").where(F.col("gap") > GAP_FACTOR * F.col("median"))
+    begin = wide.groupBy("series_id").agg(F.max("i").alias("begin"))
+    segment = rows.join(begin, "series_id", "left").withColumn("begin", F.coalesce("begin", F.lit(0))).where("i >= begin")
+    return staged(segment.select("series_id", "t", "v", (F.col("i") - F.col("begin")).alias("i"), (F.col("n") - F.col("begin")).alias("n"), F.col("n").alias("raw_samples")), "segment")
 
 
 def horizon(segment: DataFrame) -> DataFrame:
@@ -103,17 +115,43 @@ def detrended(points: DataFrame) -> DataFrame:
     """points with r, what a least-squares line of its series leaves; all zero where that is rounding alone."""
     line = points.groupBy("series_id").agg(F.coalesce(F.regr_slope("v", "t"), F.lit(0.0)).alias("slope"), F.avg("t").alias("mean_t"), F.avg("v").alias("mean_v"), F.max(F.abs("v")).alias("most"))
     rest = points.join(line, "series_id").withColumn("r", F.col("v") - F.col("mean_v") - F.col("slope") * (F.col("t") - F.col("mean_t")))
-    largest = F.max(F.abs("r")).over(Window.partitionBy("series_id"))
-    return rest.withColumn("r", F.when(largest <= F.greatest("most", F.lit(1.0)) * 1e-14, 0.0).otherwise(F.col("r"))).select(*points.columns, "r")
+    largest = rest.groupBy("series_id").agg(F.max(F.abs("r")).alias("largest"))
+    return rest.join(largest, "series_id").withColumn("r", F.when(F.col("largest") <= F.greatest("most", F.lit(1.0)) * 1e-14, 0.0).otherwise(F.col("r"))).select(*points.columns, "r")
+
+
+def lag_products(lags: int, size: int):
+    """Samples of a block and of the one behind it to (lag, total, pairs): sums of products at each distance."""
+
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        at = np.asarray(rows.column("i")) - key[1].as_py() * size
+        r, there = np.zeros(size + lags), np.zeros(size + lags)
+        r[at], there[at] = np.asarray(rows.column("r")), 1.0
+
+        def products(x: np.ndarray) -> np.ndarray:
+            # entry k is the sum over the block's own samples m of x[m] * x[m + k]
+            return np.correlate(x, x[:size], "valid")
+
+        total, pairs = products(r)[1:], np.rint(products(there)[1:]).astype(np.int64)
+        k = np.flatnonzero(pairs)
+        return pa.table({"series_id": pa.array([key[0].as_py()] * len(k), pa.string()), "lag": pa.array((k + 1).astype(np.int32)), "total": pa.array(total[k]), "pairs": pa.array(pairs[k])})
+
+    return run
 
 
 def autocorrelation(rows: DataFrame, lags: int) -> DataFrame:
-    """(series_id, lag, c) for lags from 1: the mean product of r at that distance in i, over its mean square. Each row
-    meets only those lags behind it: a join on (series_id, i), no cross join."""
-    square = rows.groupBy("series_id").agg(F.avg(F.col("r") * F.col("r")).alias("variance"), F.max("i").alias("last"))
-    ahead = rows.select("series_id", F.explode(F.sequence(F.lit(1), F.lit(lags))).alias("lag"), F.col("i"), F.col("r").alias("other")).withColumn("i", F.col("i") + F.col("lag"))
-    pairs = rows.select("series_id", "i", "r").join(ahead, ["series_id", "i"])
-    means = pairs.groupBy("series_id", "lag").agg(F.avg(F.col("r") * F.col("other")).alias("m"))
+    """(series_id, lag, c) for lags from 1: the mean product of r at that distance in i, over its mean square.
+
+    Blocks of BLOCK samples, or of lags if that is more, are one task's each; a sample goes to its block, and the first
+    lags of a block to the one in front too. So each is shuffled at most twice, whatever the lags, and a block gives a row
+    for each lag.
+    """
+    size = max(BLOCK, lags)
+    block = F.floor(F.col("i") / size)
+    own = rows.select("series_id", block.alias("block"), F.col("i").cast("long").alias("i"), F.col("r").cast("double").alias("r"))
+    halo = own.where((F.col("i") % size < lags) & (F.col("block") > 0)).withColumn("block", F.col("block") - 1)
+    sums = own.unionByName(halo).groupBy("series_id", "block").applyInArrow(lag_products(lags, size), "series_id string, lag int, total double, pairs long")
+    means = sums.groupBy("series_id", "lag").agg((F.sum("total") / F.sum("pairs")).alias("m"))
+    square = rows.groupBy("series_id").agg(F.avg(F.col("r") * F.col("r")).alias("variance"))
     return means.join(square, "series_id").where("variance > 0").select("series_id", "lag", (F.col("m") / F.col("variance")).alias("c"))
 
 

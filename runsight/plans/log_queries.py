@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from runsight.functions.staging import scratch
 from runsight.operators import events as E
 from runsight.operators import meshcheck as MC
 from runsight.plans.registry import query
@@ -161,7 +162,7 @@ CHUNKS = 3
 @query("stream_log_equality", TELEMETRY)
 def stream_log_equality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lines as a stream of files, a chunk of each log in each; the last row that the stream gives for a log."""
-    at = f"{fx.scratch(spark)}/log-stream-{uuid.uuid4().hex}"
+    at = f"{scratch(spark)}/log-stream-{uuid.uuid4().hex}"
     lines = log_lines(spark, sf_dir)
     order = F.col("segment") * (1 << 40) + F.col("line_no")
     ends = lines.agg(F.min("line_no").alias("a"), F.max("line_no").alias("b")).first()
