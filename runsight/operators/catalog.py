@@ -23,20 +23,39 @@ def _any(text: Column, words: tuple[str, ...]) -> Column:
     return out
 
 
-def candidate_score(series: DataFrame) -> DataFrame:
-    """series (function_name, function_type, field, operation, n, constant, stale, ...) with score, confidence and recommended."""
+# What a candidate's explanation says of each of its points.
+REASONS = {
+    80: "Force, flow, flux, pressure-difference, or power output (+80).", 70: "Average, integral, heat-transfer, species, phase, or interface output (+70).", 60: "Named probe output (+60).",
+    20: "At least 50 finite samples (+20).", 10: "At least 20 finite samples (+10).", -60: "Numerical-only diagnostic (-60).", "constant": "Constant series after 20 samples (-20).",
+    "stale": "Stale post-processing output (-20).", None: "No candidate-ranking factor applied.",
+}
+
+
+def _points() -> list[Column]:
+    """The points of a series, each a number or null: for what it measures, its samples, diagnostics, being constant, being stale."""
     text = F.lower(F.concat_ws(" ", "function_name", "function_type", "field", F.coalesce("operation", F.lit(""))))
-    worth = F.lit(0)
+    worth = F.lit(None).cast("int")
     for points, words in reversed(WORTH):
         worth = F.when(_any(text, words), points).otherwise(worth)
-    score = (
-        worth
-        + F.when(F.col("n") >= 50, 20).when(F.col("n") >= 20, 10).otherwise(0)
-        - F.when(_any(text, DIAGNOSTIC), 60).otherwise(0)
-        - F.when((F.col("n") >= 20) & F.col("constant"), 20).otherwise(0)
-        - F.when(F.col("stale"), 20).otherwise(0)
-    )
-    out = series.withColumn("score", score)
+    return [
+        worth, F.when(F.col("n") >= 50, 20).when(F.col("n") >= 20, 10), F.when(_any(text, DIAGNOSTIC), -60),
+        F.when((F.col("n") >= 20) & F.col("constant"), -20), F.when(F.col("stale"), -20),
+    ]
+
+
+def explanation() -> Column:
+    """Why a series has its score: a sentence for each of its points. Over the columns that candidate_score takes."""
+    worth, samples, diagnostic, constant, stale_ = _points()
+    of_worth = F.when(worth == 80, REASONS[80]).when(worth == 70, REASONS[70]).when(worth == 60, REASONS[60])
+    of_samples = F.when(samples == 20, REASONS[20]).when(samples == 10, REASONS[10])
+    said = F.concat_ws(" ", of_worth, of_samples, F.when(diagnostic.isNotNull(), REASONS[-60]), F.when(constant.isNotNull(), REASONS["constant"]), F.when(stale_.isNotNull(), REASONS["stale"]))
+    return F.when(said == "", REASONS[None]).otherwise(said)
+
+
+def candidate_score(series: DataFrame) -> DataFrame:
+    """series (function_name, function_type, field, operation, n, constant, stale, ...) with score, confidence and recommended."""
+    first, *others = [F.coalesce(p, F.lit(0)) for p in _points()]
+    out = series.withColumn("score", sum(others, first))
     return out.withColumn("confidence", F.when(F.col("score") >= 70, "high").when(F.col("score") >= 40, "medium").otherwise("low")).withColumn("recommended", F.col("score") >= 70)
 
 

@@ -7,16 +7,22 @@ import shlex
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from runsight.operators.series import restart_upsert
+from runsight.functions.columns import series_id
+from runsight.functions.staging import staged
+from runsight.operators import tablenames
+from runsight.sources import tail
 
-ROWS = "path string, row_no long, headers array<string>, t double, v array<double>, widths array<int>"
+ROWS = "path string, row_no long, headers array<string>, probes int, t double, v array<double>, widths array<int>"
 
 
 def tokens_of(text: str) -> list[str] | None:
     """Top-level tokens: words, and whole groups in parentheses; None if these don't balance."""
+    if "(" not in text and ")" not in text:
+        return text.split()
     out, depth, word = [], 0, ""
     for c in text:
         depth += (c == "(") - (c == ")")
@@ -54,45 +60,63 @@ def header_of(text: str) -> list[str]:
     return out
 
 
-def parse_table(text: str) -> tuple[list[str], list[tuple[float, list[float], list[int]]]]:
-    """(headers, rows): headers without the time; a row is (t, values, numbers in each group). Rows that aren't whole or
-    hold anything but finite numbers are left out."""
-    headers, probes, rows = [], 0, []
-    for line in text.split("\n"):
-        line = line.strip()
-        if line.startswith("#"):
-            words = header_of(line[1:])
-            if words and words[0].lower() == "probe":
-                probes += 1
-            elif words and words[0].lower() == "time":
-                headers = words[1:]
-            continue
-        tokens = tokens_of(line)
-        groups = [numbers_of(x) for x in tokens] if tokens else []
-        if len(groups) < 2 or any(g is None for g in groups) or len(groups[0]) != 1:
-            continue
-        rows.append((groups[0][0], [x for g in groups[1:] for x in g], [len(g) for g in groups[1:]]))
-    return headers or [f"probe {i}" for i in range(probes)], rows
+def row_of(text: str) -> tuple[float, list[float], list[int]] | None:
+    """(t, values, numbers in each group) of a row; None for one that isn't whole or holds anything but finite numbers."""
+    tokens = tokens_of(text)
+    groups = [numbers_of(x) for x in tokens] if tokens else []
+    if len(groups) < 2 or any(g is None for g in groups) or len(groups[0]) != 1:
+        return None
+    return groups[0][0], [x for g in groups[1:] for x in g], [len(g) for g in groups[1:]]
 
 
-def table_rows(spark: SparkSession, *paths: str) -> DataFrame:
-    """ROWS of the files: a row for each table row; files are parsed in the tasks."""
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def header_words(text: pd.Series) -> pd.Series:
+    return text.map(header_of)
+
+
+def rows_of_lines(lines: DataFrame) -> DataFrame:
+    """ROWS of the lines (path, line_no, line) of tables, in any partitioning: row_no is the line's number.
+
+    A table's header is its last one that begins with Time, in any case, and its probes are counted over all of it, so both
+    hold for every row whichever part of the file it was read in. Of headers only the names behind the time are kept.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for path, text in zip(frame["path"], frame["value"], strict=True):
-                headers, rows = parse_table(text)
-                yield pd.DataFrame([(path, i, headers, t, v, w) for i, (t, v, w) in enumerate(rows)], columns=[c.split()[0] for c in ROWS.split(", ")])
+            found = [(p, n, *r) for p, n, x in zip(frame["path"], frame["line_no"], frame["line"], strict=True) if (r := row_of(x)) is not None]
+            yield pd.DataFrame(found, columns=["path", "row_no", "t", "v", "widths"])
 
-    files = spark.read.text(list(paths), wholetext=True).select(F.input_file_name().alias("path"), "value")
-    return files.mapInPandas(run, ROWS)
+    text = lines.select("path", "line_no", F.regexp_replace("line", r"^\s+|\s+$", "").alias("line")).where("line <> ''")
+    marked = text.where(F.col("line").startswith("#")).withColumn("words", header_words(F.expr("substring(line, 2)")))
+    first = F.lower(F.get("words", F.lit(0)))
+    heads = marked.withColumn("first", first).groupBy("path").agg(
+        F.max_by(F.expr("slice(words, 2, size(words))"), F.when(F.col("first") == "time", F.col("line_no"))).alias("headers"), F.count_if(F.col("first") == "probe").cast("int").alias("probes")
+    )
+    rows = text.where(~F.col("line").startswith("#")).mapInPandas(run, "path string, row_no long, t double, v array<double>, widths array<int>")
+    headers, probes = F.coalesce("headers", F.array().cast("array<string>")).alias("headers"), F.coalesce("probes", F.lit(0)).alias("probes")
+    return rows.join(heads, "path", "left").select("path", "row_no", headers, probes, "t", "v", "widths")
+
+
+def table_rows(spark: SparkSession, *paths: str) -> DataFrame:
+    """ROWS of the files, from any store that Spark reads; a file is read by one task."""
+    whole = spark.read.text(list(paths), wholetext=True).select(F.input_file_name().alias("path"), "value")
+    return rows_of_lines(whole.select("path", F.posexplode(F.split("value", "\n")).alias("line_no", "line")))
+
+
+def split_table_rows(spark: SparkSession, where: str, split: int = tail.SPLIT_BYTES) -> DataFrame:
+    """ROWS of the files that where means (a file or a pattern), on a mount that all share, read in ranges of split bytes."""
+    tail.register(spark)
+    return rows_of_lines(spark.read.format("log_tail").option("split", split).option("rest", True).load(where))
 
 
 def usual_shape(rows: DataFrame) -> DataFrame:
-    """rows of each path's most frequent shape, of equally frequent ones that which comes first."""
-    shapes = rows.groupBy("path", "widths").agg(F.count(F.lit(1)).alias("c"), F.min("row_no").alias("first"))
+    """rows of each path's most frequent shape, of equally frequent ones that which comes first. With names in the header
+    only shapes with as many groups count, or as there are probes."""
+    groups = F.when(F.col("probes") > 0, F.col("probes")).otherwise(F.size("headers"))
+    fit = rows.where((F.size("headers") == 0) | (F.size("widths") == groups))
+    shapes = fit.groupBy("path", "widths").agg(F.count(F.lit(1)).alias("c"), F.min("row_no").alias("first"))
     best = shapes.groupBy("path").agg(F.max(F.struct("c", (-F.col("first")).alias("order"), "widths")).alias("m")).select("path", F.col("m.widths").alias("widths"))
-    return rows.join(best, ["path", "widths"])
+    return fit.join(best, ["path", "widths"])
 
 
 def largest_shape(rows: DataFrame, source: str = "source") -> DataFrame:
@@ -105,42 +129,79 @@ def largest_shape(rows: DataFrame, source: str = "source") -> DataFrame:
 # The components of a group, by its size.
 VECTOR = ("x", "y", "z")
 TENSOR = tuple(a + b for a in VECTOR for b in VECTOR)
-FORCE = tuple(f"{part}.{c}" for part in ("pressure", "viscous", "porous") for c in VECTOR)
-
-
-def components(force: Column) -> Column:
-    """(label, v) of each row's numbers and of vectors' magnitudes; columns v, widths, headers and, for groups of nine, whether
-    they are force parts."""
-    starts = F.transform(F.sequence(F.lit(0), F.size("widths") - 1), lambda i: F.aggregate(F.slice("widths", 1, i), F.lit(0), lambda a, x: a + x))
-    groups = F.transform(F.arrays_zip(F.col("widths").alias("w"), starts.alias("s")), lambda g, i: F.struct(g["w"].alias("w"), g["s"].alias("s"), F.coalesce(F.get("headers", i), F.lit("value")).alias("h")))
-
-    def names(g: Column) -> Column:
-        plain = F.transform(F.sequence(F.lit(0), g["w"] - 1), lambda k: F.concat(g["h"], F.lit("["), k.cast("string"), F.lit("]")))
-
-        def dotted(parts: tuple[str, ...]) -> Column:
-            return F.transform(F.array(*map(F.lit, parts)), lambda c: F.concat(g["h"], F.lit("."), c))
-
-        return F.when(g["w"] == 1, F.array(g["h"])).when(g["w"] == 3, dotted(VECTOR)).when((g["w"] == 9) & force, dotted(FORCE)).when(g["w"] == 9, dotted(TENSOR)).otherwise(plain)
-
-    def values(g: Column) -> Column:
-        return F.slice("v", g["s"] + 1, g["w"])
-
-    def entries(g: Column) -> Column:
-        own = F.zip_with(names(g), values(g), lambda n, x: F.struct(n.alias("label"), x.alias("v")))
-        norm = F.sqrt(F.aggregate(values(g), F.lit(0.0), lambda a, x: a + x * x))
-        return F.when(g["w"] == 3, F.concat(own, F.array(F.struct(F.concat(g["h"], F.lit(".magnitude")).alias("label"), norm.alias("v"))))).otherwise(own)
-
-    return F.inline(F.flatten(F.transform(groups, entries)))
-
-
-def table_series(rows: DataFrame) -> DataFrame:
-    """(series_id, t, v): the series of rows (ROWS), restarts merged. A path's last folder that is a number is the time at
-    which its run started; the rest of it names the source, and with the component's label the series."""
-    parts = F.split("path", "/")
-    number = r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$"
-    folder = F.array_max(F.transform(parts, lambda p, i: F.when((i < F.size(parts) - 1) & p.rlike(number), i)))
-    placed = usual_shape(rows).withColumn("at", folder)
-    placed = placed.withColumns({"start": F.coalesce(F.get(parts, F.col("at")).try_cast("double"), F.lit(0.0)), "source": F.array_join(F.filter(parts, lambda p, i: F.col("at").isNull() | (i != F.col("at"))), "/")})
-    named = largest_shape(placed).select("source", "start", "path", "row_no", "t", components(F.lower("source").contains("force")))
-    return restart_upsert(named.select(F.concat_ws("#", "source", "label").alias("series_id"), "start", "path", "row_no", "t", "v"))
-
+FORCE_PARTS = ("pressure", "viscous", "porous")
+DESCRIPTOR = T.ArrayType(T.StructType([T.StructField(c, T.IntegerType() if c == "at" else T.StringType()) for c in ("field", "operation", "component", "at")]))
+
+
+def named(header: str, function: str, declared: list[str], operation: str | None, start: int, width: int) -> list[tuple]:
+    """(field, operation, component, place) of a group of width numbers from place start on, under its header."""
+    if "(" in header and header.endswith(")"):
+        operation, field = header[:-1].split("(", 1)
+    else:
+        field = declared[0] if len(declared) == 1 and header.lower() in ("value", "values") else header
+    if width == 1:
+        return [(field, operation, None, start)]
+    if width == 3:
+        return [(field, operation, c, start + i) for i, c in enumerate(VECTOR)] + [(field, operation, "magnitude", start)]
+    kind = "moment" if "moment" in header.lower() else "force"
+    if width == 9 and ("force" in function.lower() or kind in header.lower()):
+        return [(f"{kind} {part}", None, c, start + 3 * i + k) for i, part in enumerate(FORCE_PARTS) for k, c in enumerate(VECTOR)]
+    if width == 9:
+        return [(field, operation, c, start + i) for i, c in enumerate(TENSOR)]
+    return [(f"{field}[{i}]", operation, None, start + i) for i in range(width)]
+
+
+def described(headers: list[str], probes: int, widths: list[int], function: str, declared: list[str], operation: str | None) -> list[tuple]:
+    """What a row's numbers are: by the header's names, if each group has one; else all are one group, of probes if there are
+    as many, under the first name, the declared field or value."""
+    if headers and len(headers) == len(widths):
+        starts = [sum(widths[:i]) for i in range(len(widths))]
+        return [d for h, s, w in zip(headers, starts, widths, strict=True) for d in named(h, function, declared, operation, s, w)]
+    base, width = headers[0] if headers else (declared[0] if declared else "value"), sum(widths)
+    if probes and probes == width:
+        field, said, _, _ = named(base, function, declared, operation, 0, 1)[0]
+        return [(field, said, f"probe {i}", i) for i in range(width)]
+    return named(base, function, declared, operation, 0, width)
+
+
+@F.pandas_udf(DESCRIPTOR)
+def descriptors(headers: pd.Series, probes: pd.Series, widths: pd.Series, function: pd.Series, declared: pd.Series, operation: pd.Series) -> pd.Series:
+    """described() for each row; called for the different tables, not for their rows."""
+    columns = zip(headers, probes, widths, function, declared, operation, strict=True)
+    return pd.Series([[dict(zip(("field", "operation", "component", "at"), d, strict=True)) for d in described(list(h), int(n), [int(x) for x in w], f, list(d) if d is not None else [], o)] for h, n, w, f, d, o in columns])
+
+
+SERIES = "series_id string, label string, function_name string, function_type string, source string, region string, field string, operation string, component string"
+
+
+def discovered(rows: DataFrame, files: DataFrame, specs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(points, series) of table rows (ROWS), whose paths are below the folder of tables; files: (path, modified_ns); specs:
+    the declared functions (tablenames.SPECS).
+
+    A source's files are its restarts: the last one's folders name the function. Of its shapes the largest counts, the
+    first file that has it gives header and probes, later samples replace earlier ones of the same time. Numbers become
+    series by descriptors(), vectors have a magnitude besides. series: SERIES and modified_ns, the newest of the files
+    that count; points: (series_id, t, v), each row of a table read once. A source without rows has no series.
+    """
+    placed = tablenames.with_functions(files.select("path"), specs)
+    owner = tablenames.source_functions(files.select("path"), specs).drop("files")
+    usual = usual_shape(rows).join(placed.select("path", "source", "start"), "path")
+    usual = largest_shape(usual)
+    first = usual.groupBy("source").agg(F.min_by(F.struct("headers", "probes", "widths"), F.struct("start", "path")).alias("h"))
+    newest = usual.select("source", "path").distinct().join(files.select("path", "modified_ns"), "path").groupBy("source").agg(F.max("modified_ns").alias("modified_ns"))
+    known = specs.dropDuplicates(["function"]).select("function", "fields", "operation")
+    tables = first.join(owner, "source").join(known, "function", "left").join(newest, "source")
+    told = tables.withColumn("d", F.explode(descriptors("h.headers", "h.probes", "h.widths", "type", F.coalesce("fields", F.array().cast("array<string>")), "operation")))
+    parts = ["function", "type", "region", "d.field", "d.operation", "d.component", "source"]
+    label = F.array_join(F.filter(F.array(F.col("function"), F.col("d.operation"), F.col("d.field"), F.col("d.component")), lambda x: x.isNotNull() & (x != "")), " ")
+    series = told.select(
+        series_id(*[F.col(c) for c in parts]).alias("series_id"), label.alias("label"), F.col("function").alias("function_name"), F.col("type").alias("function_type"), "source", "region",
+        F.col("d.field").alias("field"), F.col("d.operation").alias("operation"), F.col("d.component").alias("component"), "modified_ns", F.col("d.at").alias("at"),
+    )
+    series = staged(series, "series")
+    merged = usual.groupBy("source", "t").agg(F.max_by("v", F.struct("start", "path", "row_no")).alias("v"))
+    ids = series.groupBy("source").agg(F.collect_list(F.struct("series_id", "component", "at")).alias("ids"))  # a few of each source
+    each = merged.join(ids, "source").select("t", "v", F.explode("ids").alias("s")).where(F.col("s.at") < F.size("v"))
+    norm = F.sqrt(F.aggregate(F.slice("v", F.col("s.at") + 1, F.lit(3)), F.lit(0.0), lambda a, x: a + x * x))
+    value = F.when(F.col("s.component") == "magnitude", norm).otherwise(F.get("v", F.col("s.at")))
+    return each.select(F.col("s.series_id").alias("series_id"), "t", value.alias("v")), series.drop("at")

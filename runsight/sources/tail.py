@@ -34,6 +34,7 @@ class Range(InputPartition):
     end: int
     device: int
     inode: int
+    rest: bool = False
 
 
 def cut(path: str, state: dict, begin: int, split: int) -> list[Range]:
@@ -54,11 +55,12 @@ def line_start(f, place: int) -> int:
     return 0
 
 
-def lines_ending_in(f, begin: int, end: int) -> Iterator[tuple[np.ndarray, list[str]]]:
+def lines_ending_in(f, begin: int, end: int, rest: bool = False) -> Iterator[tuple[np.ndarray, list[str]]]:
     """(places, lines) of the lines whose \\n stands in [begin, end), some at a time; a place is where a line begins.
 
     A range without a \\n gives nothing and holds nothing; the one that has a line's end reads the line back to its
-    begin, whichever ranges that is in. So any cuts give the same lines, and what stands behind the last \\n waits.
+    begin, whichever ranges that is in. So any cuts give the same lines, and what stands behind the last \\n waits; with
+    rest it is a line too.
     """
     at, start, pieces = begin, None, []
     while at < end:
@@ -81,6 +83,11 @@ def lines_ending_in(f, begin: int, end: int) -> Iterator[tuple[np.ndarray, list[
         places = start + np.concatenate([[0], ends[:-1] + 1])
         yield places, [line.rstrip("\r") for line in block.decode("utf-8", "replace").split("\n")[:-1]]
         at, start, pieces = at + len(data), at + stop + 1, [data[stop + 1 :]]
+    if rest:
+        start = line_start(f, end) if start is None else start
+        f.seek(start)
+        if data := f.read(end - start):
+            yield np.array([start]), [data.decode("utf-8", "replace").rstrip("\r")]
 
 
 def read_range(part: Range) -> Iterator[pa.RecordBatch]:
@@ -93,7 +100,7 @@ def read_range(part: Range) -> Iterator[pa.RecordBatch]:
         s = os.fstat(f.fileno())
         if (s.st_dev, s.st_ino) != (part.device, part.inode):
             return
-        for places, lines in lines_ending_in(f, part.begin, part.end):
+        for places, lines in lines_ending_in(f, part.begin, part.end, part.rest):
             n = len(lines)
             columns = [pa.array([part.path] * n, pa.string()), pa.array(np.full(n, part.segment, dtype=np.int32)), pa.array(places, pa.int64()), pa.array(lines, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, schema=ARROW)
@@ -130,11 +137,15 @@ def look(where: str, known: dict, most: int | None = None) -> dict:
 class LogReader(DataSourceReader):
     """The lines that are there, in ranges."""
 
-    def __init__(self, where: str, split: int):
-        self.where, self.split = where, split
+    def __init__(self, where: str, split: int, rest: bool):
+        self.where, self.split, self.rest = where, split, rest
 
     def partitions(self) -> list[Range]:
-        return [r for path, state in look(self.where, {}).items() for r in cut(path, state, 0, self.split)]
+        found = [cut(path, state, 0, self.split) for path, state in look(self.where, {}).items()]
+        for ranges in found:
+            if ranges:
+                ranges[-1].rest = self.rest
+        return [r for ranges in found for r in ranges]
 
     def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
         return read_range(partition)
@@ -176,7 +187,8 @@ class TailReader(DataSourceStreamReader):
 
 class LogTail(DataSource):
     """Lines of logs: path is a file, a folder or a pattern, on a mount that the driver and the executors share; split, the
-    bytes of a range; most, of a stream, the bytes that a batch takes of a log. line_no is the byte at which a line begins: it orders a log's lines, and a replay gives the same.
+    bytes of a range; most, of a stream, the bytes that a batch takes of a log; rest, of a table
+    that isn't a stream, whether what stands behind the last \\n is a line. line_no is the byte at which a line begins: it orders a log's lines, and a replay gives the same.
 
     Lines end with \\n, a \\r before it goes, bytes that aren't UTF-8 are replaced, and what stands behind a log's last
     \\n isn't a line yet. A line may be of any length, as far as it fits a row, and no line holds up others. Logs, however
@@ -194,7 +206,7 @@ class LogTail(DataSource):
         return self.options["path"], int(self.options.get("split", SPLIT_BYTES))
 
     def reader(self, schema) -> LogReader:
-        return LogReader(*self._how())
+        return LogReader(*self._how(), self.options.get("rest", "false").lower() == "true")
 
     def streamReader(self, schema) -> TailReader:
         most = self.options.get("most")

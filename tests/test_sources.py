@@ -1,8 +1,6 @@
-"""Dictionaries, numeric tables and log lines."""
+"""Dictionaries and log lines."""
 
-import pytest
-
-from runsight.sources import casedict, logs, tables
+from runsight.sources import casedict, logs
 
 
 def write(path, text):
@@ -45,32 +43,6 @@ def test_targets_and_modes():
     assert casedict.mode_of({"PIMPLE": "yes", "SIMPLE": {}}, {"default": ("none", "Euler")}) == "pseudo_transient"
 
 
-@pytest.mark.parametrize(
-    "text,headers,rows",
-    [
-        ("# Time volAverage(T)\n0 300\n1 nan\n2\n3 (1\nx 4\n", ["volAverage(T)"], [(0, [300], [1])]),
-        ('# Time "areaAverage(p)" "a b(c d)"\n0 1 2\n', ["areaAverage(p)", "a b(c d)"], [(0, [1, 2], [1, 1])]),
-        ("# TIME volAverage(T)\n0 300\n", ["volAverage(T)"], [(0, [300], [1])]),
-        ("# PROBE 0 (0 0 0)\n0 10\n", ["probe 0"], [(0, [10], [1])]),
-        ("# Probe 0 (0 0 0)\n# Probe 1 (1 0 0)\n# Time\n0 10 20\n", ["probe 0", "probe 1"], [(0, [10, 20], [1, 1])]),
-        ("# Time f\n1 ((1 2 3) (4 5 6) (7 8 9))\n", ["f"], [(1, list(range(1, 10)), [9])]),
-    ],
-)
-def test_table_text(text, headers, rows):
-    assert tables.parse_table(text) == (headers, rows)
-
-
-def test_series_of_restarted_tables(spark, tmp_path):
-    a = write(tmp_path / "fn/0/U.dat", "# Time U\n0 (1 2 2)\n1 (2 3 6)\n2 5\n")
-    b = write(tmp_path / "fn/1/U.dat", "# Time U\n1 (0 3 4)\n2 (0 0 1)\n")
-    c = write(tmp_path / "forces/0/force.dat", "# Time force\n0 ((1 2 3) (4 5 6) (7 8 9))\n")
-    got = {}
-    for r in tables.table_series(tables.table_rows(spark, str(a), str(b), str(c))).collect():
-        got.setdefault(r.series_id.rpartition("#")[2], {})[r.t] = r.v
-    assert got["U.magnitude"] == {0: 3, 1: 5, 2: 1} and got["U.x"] == {0: 1, 1: 0, 2: 0}
-    assert got["force.pressure.x"] == {0: 1} and got["force.porous.z"] == {0: 9} and len(got) == 13
-
-
 def test_whole_lines_of_logs(spark, tmp_path):
     f = write(tmp_path / "case/log.run", "one\r\ntwo\n\nthr")
     write(tmp_path / "case/other.txt", "x\n")
