@@ -185,6 +185,7 @@ def discovered(rows: DataFrame, files: DataFrame, specs: DataFrame) -> tuple[Dat
     """
     placed = tablenames.with_functions(files.select("path"), specs)
     owner = tablenames.source_functions(files.select("path"), specs).drop("files")
+    rows = staged(rows, "table-rows")  # parsed once
     usual = usual_shape(rows).join(placed.select("path", "source", "start"), "path")
     usual = largest_shape(usual)
     first = usual.groupBy("source").agg(F.min_by(F.struct("headers", "probes", "widths"), F.struct("start", "path")).alias("h"))
