@@ -113,6 +113,57 @@ def transient_verdict(steps: DataFrame, trend: DataFrame, failure: Column, confi
     return of.select("n_steps", "healthy_percent", "courant_max", "degraded", status.alias("status"))
 
 
+def last_of_runs(rows: DataFrame, most: int) -> DataFrame:
+    """(run, segment, simulation_time, back, n): the last most different times of each run, back 1 for the last; n: how many
+    a run has. Ranks are limited within the tasks before they are shuffled."""
+    times = rows.select("run", "segment", "simulation_time").distinct()
+    n = times.groupBy("run").agg(F.count(F.lit(1)).alias("n"))
+    back = F.row_number().over(Window.partitionBy("run").orderBy(F.desc("segment"), F.desc("simulation_time")))
+    return times.withColumn("back", back).where(F.col("back") <= most).join(n, "run")
+
+
+def steady_verdicts(residuals: DataFrame, targets: DataFrame, runs: DataFrame, groups: int = LAST_GROUPS) -> DataFrame:
+    """(run, targets, met, status) of each of runs (run, declared, failure), by residuals (run, segment, simulation_time,
+    field, initial) and targets (run, pos, pattern, threshold): what target_checks and steady_verdict say of one run, for
+    all in one plan. Patterns meet the different fields of their run. Times that still run are taken out before."""
+    last = last_of_runs(residuals, groups)
+    peaks = residuals.join(last, ["run", "segment", "simulation_time"]).groupBy("run", "field", "back").agg(F.max("initial").alias("most"), F.bool_and(finite(F.col("initial"))).alias("good"))
+    matched = peaks.select("run", "field").distinct().join(targets, "run").withColumn("match", field_matches("pattern", "field"))
+    hits = matched.where("match = 1").join(peaks, ["run", "field"]).groupBy("run", "pos").agg(F.max("most").alias("observed"), F.count_distinct("back").alias("met"), F.bool_and("good").alias("good"))
+    bad = matched.groupBy("run", "pos").agg(F.bool_or(F.col("match").isNull()).alias("invalid"))
+    checks = targets.join(hits, ["run", "pos"], "left").join(bad, ["run", "pos"], "left")
+    passed = F.coalesce(F.col("met") == groups, F.lit(False)) & ~F.coalesce("invalid", F.lit(False)) & F.coalesce("good", F.lit(False)) & at_most(F.col("observed"), F.col("threshold"))
+    of = checks.withColumn("passed", passed).groupBy("run").agg(F.count(F.lit(1)).alias("targets"), F.count_if("passed").alias("met"))
+    out = runs.join(of, "run", "left").join(last.groupBy("run").agg(F.max("n").alias("n")), "run", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("targets", "met", "n")})
+    status = F.when(F.col("failure").isNotNull(), "failing").when(F.coalesce("declared", F.lit(False)), "passing").when(F.col("targets") == 0, "not_configured").when(F.col("n") < groups, "insufficient_data")
+    return out.select("run", "targets", "met", status.when(F.col("targets") == F.col("met"), "passing").otherwise("failing").alias("status"))
+
+
+def transient_verdicts(steps: DataFrame, residuals: DataFrame, runs: DataFrame, most: int = LAST_STEPS) -> DataFrame:
+    """(run, n_steps, healthy_percent, courant_max, degraded, status) of each of runs (run, limit, failure), limit null where
+    none is configured: what healthy_steps, continuity_trend and transient_verdict say of one run, for all in one plan.
+    After the last most steps of each run are found, a run is a few rows."""
+    last = last_of_runs(steps, most).drop("n")
+    unsolved = residuals.where("converged = false").select("run", "segment", "simulation_time").distinct().withColumn("unsolved", F.lit(True))
+    good = at_most(F.col("courant_max"), F.col("limit"))
+    for part in ("local", "global", "cumulative"):
+        good = good & finite(F.col(f"continuity_{part}"))
+    key = ["run", "segment", "simulation_time"]
+    late = steps.join(last, key).join(unsolved, key, "left").join(runs.select("run", "limit"), "run").withColumn("healthy", good & F.col("unsolved").isNull())
+    of = late.groupBy("run").agg(F.count(F.lit(1)).alias("n_steps"), F.count_if("healthy").alias("good"), F.max(F.when(finite(F.col("courant_max")), F.col("courant_max"))).alias("courant_max"))
+    errors = late.where(finite(F.col("continuity_global"))).select("run", F.abs("continuity_global").alias("e"), F.row_number().over(Window.partitionBy("run").orderBy(F.desc("back"))).alias("i"), F.count(F.lit(1)).over(Window.partitionBy("run")).alias("m"))
+    half = F.col("i") <= F.floor(F.col("m") / 2)
+    trend = errors.groupBy("run").agg(F.median(F.when(half, F.col("e"))).alias("earlier"), F.median(F.when(~half, F.col("e"))).alias("later"))
+    worse = (F.col("later") > DEGRADED * F.col("earlier")) & (F.col("later") - F.col("earlier") > NEGLIGIBLE)
+    out = runs.join(of, "run", "left").join(trend, "run", "left").withColumns({"n_steps": F.coalesce("n_steps", F.lit(0)), "degraded": F.coalesce(worse, F.lit(False))})
+    out = out.withColumn("healthy_percent", F.when(F.col("n_steps") > 0, 100.0 * F.col("good") / F.greatest("n_steps", F.lit(1))))
+    status = (
+        F.when(F.col("failure").isNotNull(), "failing").when(F.col("limit").isNull(), "not_configured").when(F.col("n_steps") < LEAST_STEPS, "insufficient_data")
+        .when(F.col("healthy_percent") < 80, "failing").when((F.col("healthy_percent") < 95) | F.col("degraded"), "warning").otherwise("passing")
+    )
+    return out.select("run", "n_steps", "healthy_percent", "courant_max", "degraded", status.alias("status"))
+
+
 def progress(rows: DataFrame) -> DataFrame:
     """(..., fraction, rate, eta_seconds) of rows (start, current, end, clock_time, execution_time): the fraction done, the
     simulated time a second of wall time, and the seconds left while there are some."""

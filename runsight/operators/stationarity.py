@@ -249,17 +249,29 @@ def classify(points: DataFrame, *, settings: Settings = Settings(), overrides: D
     return found.withColumn("state", state_of(F.col("stale"))).drop("said", "age_seconds")
 
 
-def aggregate_verdict(selected: DataFrame, states: DataFrame, accepted: tuple[str, ...] = ACCEPTED) -> DataFrame:
-    """One row over the selected (pos, series_id) and (series_id, state): state, and the ids missing, indeterminate and
-    rejected in order of selection. Nothing selected, anything missing or indeterminate is indeterminate."""
-    once = selected.groupBy("series_id").agg(F.min("pos").alias("pos"))
-    known = once.join(states.select("series_id", "state"), "series_id", "left")
+def _verdict_of(known: DataFrame, accepted: tuple[str, ...], by: list[str]) -> DataFrame:
     kinds = {
         "missing": F.col("state").isNull(),
         "indeterminate": F.col("state") == "indeterminate",
         "rejected": (F.col("state") != "indeterminate") & ~F.col("state").isin(*accepted),
     }
     ids = [F.transform(F.array_sort(F.collect_list(F.when(c, F.struct("pos", "series_id")))), lambda x: x["series_id"]).alias(f"{k}_ids") for k, c in kinds.items()]
-    out = known.agg(F.count(F.lit(1)).alias("n_selected"), *ids)
+    out = known.groupBy(*by).agg(F.count(F.lit(1)).alias("n_selected"), *ids)
     lacking = (F.col("n_selected") == 0) | (F.size("missing_ids") > 0) | (F.size("indeterminate_ids") > 0)
     return out.withColumn("state", F.when(lacking, "indeterminate").when(F.size("rejected_ids") > 0, "failing").otherwise("passing"))
+
+
+def aggregate_verdict(selected: DataFrame, states: DataFrame, accepted: tuple[str, ...] = ACCEPTED) -> DataFrame:
+    """One row over the selected (pos, series_id) and (series_id, state): state, and the ids missing, indeterminate and
+    rejected in order of selection. Nothing selected, anything missing or indeterminate is indeterminate."""
+    once = selected.groupBy("series_id").agg(F.min("pos").alias("pos"))
+    return _verdict_of(once.join(states.select("series_id", "state"), "series_id", "left"), accepted, [])
+
+
+def case_verdicts(selected: DataFrame, states: DataFrame, cases: DataFrame, accepted: tuple[str, ...] = ACCEPTED) -> DataFrame:
+    """aggregate_verdict() of each of cases (case), over selected (case, pos, series_id), in one plan; a selection is bounded
+    by its configuration. A case that selects nothing is indeterminate."""
+    once = selected.groupBy("case", "series_id").agg(F.min("pos").alias("pos"))
+    of = _verdict_of(once.join(states.select("series_id", "state"), "series_id", "left"), accepted, ["case"])
+    none = F.array().cast("array<string>")
+    return cases.join(of, "case", "left").select("case", F.coalesce("n_selected", F.lit(0)).alias("n_selected"), *[F.coalesce(f"{k}_ids", none).alias(f"{k}_ids") for k in ("missing", "indeterminate", "rejected")], F.coalesce("state", F.lit("indeterminate")).alias("state"))

@@ -134,14 +134,14 @@ def log_workflow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return case_logs(spark, sf_dir).select("c_custkey", "workflow")
 
 
-@query("log_choice", f"""WITH {LOGS}, kinds AS (SELECT c_nationkey AS k, c_custkey AS path, c_custkey % 5000 = 4999 AS e, c_custkey % 3001 = 3000 AS s, {WORKFLOW} AS workflow, CAST(round(c_acctbal * 100) AS BIGINT) AS m, CAST(c_custkey % 13 AS INT) AS score FROM logs),
+@query("log_choice", f"""WITH {LOGS}, kinds AS (SELECT c_nationkey AS k, c_custkey AS path, c_nationkey % 6 = 5 AND c_custkey % 4 = 3 AS e, c_nationkey % 6 = 4 AND c_custkey % 3 = 2 AS s, c_nationkey % 6 = 3 AND c_custkey % 5 = 1 AS act, {WORKFLOW} AS workflow, CAST(round(c_acctbal * 100) AS BIGINT) AS m, CAST(c_custkey % 13 AS INT) AS score FROM logs),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY CASE WHEN e THEN 0 WHEN s THEN 1 ELSE 2 END, CASE WHEN workflow = 'unknown' THEN 1 ELSE 0 END, m DESC, path) AS r FROM kinds),
-of AS (SELECT k, min(CASE WHEN e THEN r END) AS e, min(CASE WHEN s THEN r END) AS s, min(r) AS f FROM ranked GROUP BY k),
+of AS (SELECT k, min(CASE WHEN e THEN r END) AS e, min(CASE WHEN s THEN r END) AS s, min(CASE WHEN act THEN r END) AS t, min(r) AS f FROM ranked GROUP BY k),
 b AS (SELECT k, path, m FROM ranked WHERE workflow = 'solver' QUALIFY row_number() OVER (PARTITION BY k ORDER BY score DESC, m DESC, r) = 1), n AS (SELECT k, path, m FROM ranked WHERE workflow = 'snappy_hex_mesh' QUALIFY row_number() OVER (PARTITION BY k ORDER BY m DESC, r) = 1)
-SELECT of.k AS "case", coalesce(x.path, y.path, CASE WHEN n.path IS NOT NULL AND (b.path IS NULL OR n.m > b.m) THEN n.path END, b.path, z.path) AS path FROM of LEFT JOIN ranked x ON x.k = of.k AND x.r = of.e LEFT JOIN ranked y ON y.k = of.k AND y.r = of.s LEFT JOIN b ON b.k = of.k LEFT JOIN n ON n.k = of.k LEFT JOIN ranked z ON z.k = of.k AND z.r = of.f""")
+SELECT of.k AS "case", coalesce(x.path, y.path, q.path, CASE WHEN n.path IS NOT NULL AND (b.path IS NULL OR n.m > b.m) THEN n.path END, b.path, z.path) AS path FROM of LEFT JOIN ranked x ON x.k = of.k AND x.r = of.e LEFT JOIN ranked y ON y.k = of.k AND y.r = of.s LEFT JOIN ranked q ON q.k = of.k AND q.r = of.t LEFT JOIN b ON b.k = of.k LEFT JOIN n ON n.k = of.k LEFT JOIN ranked z ON z.k = of.k AND z.r = of.f""")
 def log_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    of = case_logs(spark, sf_dir).select(F.col("c_nationkey").alias("case"), F.col("c_custkey").alias("path"), (F.col("c_custkey") % 5000 == 4999).alias("explicit"), (F.col("c_custkey") % 3001 == 3000).alias("saved"), "workflow", fx.cents("c_acctbal").alias("modified_ns"), (F.col("c_custkey") % 13).cast("int").alias("score"))
-    return C.chosen_log(C.ranked_logs(of))
+    of = case_logs(spark, sf_dir).select(F.col("c_nationkey").alias("case"), F.col("c_custkey").alias("path"), F.expr("c_nationkey % 6 = 5 AND c_custkey % 4 = 3").alias("explicit"), F.expr("c_nationkey % 6 = 4 AND c_custkey % 3 = 2").alias("saved"), F.expr("c_nationkey % 6 = 3 AND c_custkey % 5 = 1").alias("active"), "workflow", fx.cents("c_acctbal").alias("modified_ns"), (F.col("c_custkey") % 13).cast("int").alias("score"))
+    return C.chosen_log(C.ranked_logs(of), F.col("active"))
 
 
 @query("process_state", """SELECT o_orderkey, CASE WHEN o_orderkey % 19 = 0 THEN 'running' WHEN o_custkey % 2 = 0 AND o_orderkey % 7 = 0 THEN 'failed' WHEN o_custkey % 2 = 0 AND o_orderkey % 5 = 0 THEN 'completed'
@@ -156,21 +156,23 @@ def process_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.process_state(runs).select("o_orderkey", "state")
 
 
-@query("record_envelope", """WITH r AS (SELECT o_orderstatus AS seg, o_orderkey AS t, CASE WHEN o_custkey % 7 = 0 THEN abs(CAST(o_custkey % 10 AS DOUBLE)) ELSE greatest(abs(CAST(o_totalprice AS DOUBLE)), abs(CAST(o_custkey % 10 AS DOUBLE))) END AS v,
-  row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) - 1 AS i, count(*) OVER (PARTITION BY o_orderstatus) AS n FROM orders) SELECT seg, t, v FROM r WHERE n <= 2 OR i = 0 OR i = n - 1""")
+@query("record_envelope", """WITH r AS (SELECT o_orderstatus AS seg, o_orderkey AS t, CASE WHEN o_custkey % 7 = 0 THEN CAST(o_custkey % 10 AS DOUBLE) ELSE greatest(o_totalprice, CAST(o_custkey % 10 AS DOUBLE)) END AS v, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) - 1 AS i, count(*) OVER (PARTITION BY o_orderstatus) AS n FROM orders),
+ends AS (SELECT seg, arg_min(v, i) AS v0, arg_max(v, i) AS v1 FROM r GROUP BY seg), placed AS (SELECT r.*, v0, v1, CASE WHEN n > 50 AND i BETWEEN 1 AND n - 2 THEN (i * 24 - 1) // (n - 2) END AS b FROM r JOIN ends USING (seg)),
+ranked AS (SELECT *, b IS NOT NULL AND (row_number() OVER (PARTITION BY seg, b ORDER BY v, i) = 1 OR row_number() OVER (PARTITION BY seg, b ORDER BY v DESC, i) = 1) AS extreme FROM placed), marked AS (SELECT *, n <= 50 OR i = 0 OR i = n - 1 OR extreme AS kept FROM ranked),
+far AS (SELECT *, row_number() OVER (PARTITION BY seg, kept ORDER BY abs(v - (v0 + (v1 - v0) * i / (n - 1))) DESC, i) AS rank, count(*) FILTER (kept) OVER (PARTITION BY seg) AS have FROM marked) SELECT seg, t, v FROM far WHERE kept OR rank <= 50 - have""")
 def record_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records of each segment cut to two by their signal: the first and the last."""
+    """Records of each segment cut to fifty by their signal: in each stretch the smallest and the largest decide."""
     price = F.when(F.col("o_custkey") % 7 != 0, F.col("o_totalprice").cast("double")).otherwise(float("nan"))
     signal = C.record_signal(price, (F.col("o_custkey") % 10).cast("double"))
     records = fx.table(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("series_id"), F.col("o_orderkey").alias("t"), signal.alias("v"))
     w = Window.partitionBy("series_id")
     placed = records.withColumns({"i": F.row_number().over(w.orderBy("t")) - 1, "n": F.count(F.lit(1)).over(w)})
-    return S.envelope(placed, 2).select(F.col("series_id").alias("seg"), "t", "v")
+    return S.envelope(placed, 50).select(F.col("series_id").alias("seg"), "t", "v")
 
 
-@query("missing_selected", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("missing_selected", "SELECT c_custkey * 2 AS id FROM customer WHERE c_custkey * 2 NOT IN (SELECT o_custkey FROM orders)")
 def missing_selected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers, as selected series, that no order, as known series, has."""
-    selected = fx.table(spark, sf_dir, "customer").select(F.lit("c").alias("case"), F.col("c_custkey").alias("id"))
+    """Twice the customers' numbers, as selected series, that no order, as known series, has."""
+    selected = fx.table(spark, sf_dir, "customer").select(F.lit("c").alias("case"), (F.col("c_custkey") * 2).alias("id"))
     known = fx.table(spark, sf_dir, "orders").select(F.lit("c").alias("case"), F.col("o_custkey").alias("id"))
-    return C.missing_selected(selected, known).select(F.col("id").alias("c_custkey"))
+    return C.missing_selected(selected, known).select("id")

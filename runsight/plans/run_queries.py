@@ -78,30 +78,56 @@ def continuity_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trend.withColumns({c: F.round(F.col(c) * 1e12, 4) for c in ("earlier", "later")})
 
 
-@query("transient_verdict", f"""WITH {STEP_ROWS}, {UNSOLVED}, {HEALTH}, {TREND}, total AS (SELECT count(*) AS n_steps, 100.0 * count(*) FILTER (healthy) / count(*) AS p, max(courant_max) AS courant_max FROM health)
-SELECT n_steps, round(CAST(p AS DOUBLE), 6) AS healthy_percent, courant_max, coalesce(later > 5 * earlier AND later - earlier > 1e-12, false) AS degraded,
-  CASE WHEN n_steps < 3 THEN 'insufficient_data' WHEN p < 80 THEN 'failing' WHEN p < 95 THEN 'warning' WHEN coalesce(later > 5 * earlier AND later - earlier > 1e-12, false) THEN 'warning' ELSE 'passing' END AS status FROM total, trend""")
-def transient_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    steps = H.healthy_steps(*step_rows(spark, sf_dir), 200000.0)
-    out = H.transient_verdict(steps, H.continuity_trend(steps.withColumnRenamed("simulation_time", "seq")), F.lit(None).cast("string"))
-    return out.withColumn("healthy_percent", F.round("healthy_percent", 6))
+RUN = "CASE WHEN o_orderkey < 3 THEN 99 ELSE o_custkey % 50 END"
+RUN_LIMIT = "CASE WHEN run % 10 <> 8 THEN CAST(100000 + run % 5 * 100000 AS DOUBLE) END"
 
 
-OUTCOMES = [("loose", 0.2, False, None), ("tight", 0.001, False, None), ("declared", 0.001, True, None), ("broken", 0.2, True, "Fatal error"), ("none", None, False, None)]
-OUTCOME_VALUES = ", ".join("('{}', {}, {}, {})".format(n, "NULL" if t is None else t, str(d).upper(), "NULL" if f is None else f"'{f}'") for n, t, d, f in OUTCOMES)
+@query("transient_verdict", f"""WITH steps AS (SELECT {RUN} AS run, o_orderkey AS t, o_totalprice AS c, CASE WHEN o_custkey % 6 > 0 THEN o_totalprice / CASE WHEN o_orderkey % 2 = 0 AND o_custkey % 7 = 3 THEN 1e8 ELSE 1e12 END END AS e FROM orders), runs AS (SELECT DISTINCT run, {RUN_LIMIT} AS lim, CASE WHEN run % 10 = 9 AND run < 90 THEN 'Fatal error' END AS failure FROM steps),
+bad AS (SELECT DISTINCT l_orderkey AS t FROM lineitem WHERE l_returnflag = 'R' AND l_linenumber = 7), late AS (SELECT * FROM steps QUALIFY row_number() OVER (PARTITION BY run ORDER BY t DESC) <= 20),
+health AS (SELECT late.*, coalesce(c <= lim, false) AND e IS NOT NULL AND bad.t IS NULL AS healthy FROM late JOIN runs USING (run) LEFT JOIN bad USING (t)), of AS (SELECT run, count(*) AS n, 100.0 * count(*) FILTER (healthy) / count(*) AS p, max(c) AS c FROM health GROUP BY run),
+seq AS (SELECT run, e, row_number() OVER (PARTITION BY run ORDER BY t) AS i, count(*) OVER (PARTITION BY run) AS m FROM health WHERE e IS NOT NULL), trend AS (SELECT run, median(e) FILTER (i <= m // 2) AS a, median(e) FILTER (i > m // 2) AS b FROM seq GROUP BY run),
+all_of AS (SELECT *, coalesce(b > 5 * a AND b - a > 1e-12, false) AS d FROM runs JOIN of USING (run) LEFT JOIN trend USING (run))
+SELECT run, n AS n_steps, round(CAST(p AS DOUBLE), 6) AS healthy_percent, c AS courant_max, d AS degraded, CASE WHEN failure IS NOT NULL THEN 'failing' WHEN lim IS NULL THEN 'not_configured' WHEN n < 3 THEN 'insufficient_data' WHEN p < 80 THEN 'failing' WHEN p < 95 OR d THEN 'warning' ELSE 'passing' END AS status FROM all_of""")
+def transient_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fifty runs of the customers' orders, and one of two steps."""
+    price = F.col("o_totalprice")
+    scale = F.when((F.col("o_orderkey") % 2 == 0) & (F.col("o_custkey") % 7 == 3), 1e8).otherwise(1e12)
+    error = F.when(F.col("o_custkey") % 6 > 0, price / scale)
+    steps = fx.table(spark, sf_dir, "orders").select(F.expr(RUN).alias("run"), F.lit(0).alias("segment"), F.col("o_orderkey").alias("simulation_time"), price.alias("courant_max"), *[error.alias(f"continuity_{c}") for c in ("local", "global", "cumulative")])
+    solved = ~((F.col("l_returnflag") == "R") & (F.col("l_linenumber") == 7))
+    orders = steps.select("run", "segment", "simulation_time")
+    solves = fx.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("simulation_time"), solved.alias("converged")).join(orders, "simulation_time")
+    runs = steps.select("run").distinct().select("run", F.expr(RUN_LIMIT).alias("limit"), F.expr("CASE WHEN run % 10 = 9 AND run < 90 THEN 'Fatal error' END").alias("failure"))
+    return H.transient_verdicts(steps, solves, runs).withColumn("healthy_percent", F.round("healthy_percent", 6))
+
+
+#: Runs by supplier: of one kind all residuals stand in two groups, others have no target, a declared end or a failure.
+RUN_KINDS = "l_suppkey % 10 AS kind, CASE WHEN l_suppkey % 10 = 7 THEN 0 ELSE l_linenumber END AS segment, CAST(CASE WHEN l_suppkey % 10 = 7 THEN l_orderkey % 2 ELSE l_orderkey % 7 END AS DOUBLE) AS simulation_time"
+RUN_FIELD = "CASE WHEN l_partkey % 2 = 0 THEN 'Ux' ELSE 'Uy' END"
+RUN_TARGETS = ((0, "U", 0.1), (1, "U[xy]", 0.08), (2, "U(", 1.0), (4, "p", 1.0), (5, "U", 0.0), (6, "U", 1.0), (7, "U", 1.0), (8, "Ux", 0.1), (8, "Uy", 0.09), (9, "Uy", 0.05))
+
+
+@query("steady_verdict", f"""WITH r AS (SELECT l_suppkey AS run, {RUN_KINDS}, {RUN_FIELD} AS field, l_discount AS initial FROM lineitem), groups AS (SELECT run, segment, simulation_time, row_number() OVER (PARTITION BY run ORDER BY segment DESC, simulation_time DESC) AS back, count(*) OVER (PARTITION BY run) AS n FROM (SELECT DISTINCT run, segment, simulation_time FROM r)),
+late AS (SELECT run, kind, field, back, max(initial) AS most FROM r JOIN groups USING (run, segment, simulation_time) WHERE back <= 3 GROUP BY ALL), targets AS (SELECT * FROM (VALUES {', '.join(f"({k}, {i}, '{p}', {t})" for i, (k, p, t) in enumerate(RUN_TARGETS) if p != 'U(')}) x(kind, pos, pattern, threshold)),
+hits AS (SELECT run, pos, max(most) AS observed, count(DISTINCT back) AS met, any_value(threshold) AS threshold FROM late JOIN targets USING (kind) WHERE regexp_full_match(field, CASE pattern WHEN 'U' THEN 'U[xyz]?' ELSE pattern END) GROUP BY run, pos),
+met AS (SELECT run, count(*) AS met FROM hits WHERE met = 3 AND observed <= threshold GROUP BY run), runs AS (SELECT run, any_value(kind) AS kind FROM r GROUP BY run), n AS (SELECT run, max(n) AS n FROM groups GROUP BY run), t AS (SELECT kind, count(*) AS targets FROM (SELECT kind FROM targets UNION ALL SELECT 2) GROUP BY kind),
+all_of AS (SELECT run, runs.kind, coalesce(targets, 0) AS targets, coalesce(met, 0) AS met, n FROM runs JOIN n USING (run) LEFT JOIN t USING (kind) LEFT JOIN met USING (run))
+SELECT run, targets, met, CASE WHEN kind = 6 THEN 'failing' WHEN kind = 5 AND run % 3 > 0 THEN 'passing' WHEN targets = 0 THEN 'not_configured' WHEN n < 3 THEN 'insufficient_data' WHEN met = targets THEN 'passing' ELSE 'failing' END AS status FROM all_of""")
+def steady_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fx.table(spark, sf_dir, "lineitem").selectExpr("l_suppkey AS run", *RUN_KINDS.split(", "), f"{RUN_FIELD} AS field", "l_discount AS initial")
+    runs = rows.select("run", "kind").distinct()
+    targets = spark.createDataFrame([(k, i, p, t) for i, (k, p, t) in enumerate(RUN_TARGETS)], "kind long, pos int, pattern string, threshold double")
+    said = runs.select("run", ((F.col("kind") == 5) & (F.col("run") % 3 > 0)).alias("declared"), F.when(F.col("kind") == 6, "Fatal error").alias("failure"))
+    return H.steady_verdicts(rows, runs.join(targets, "kind").drop("kind"), said)
 
 
-@query("steady_verdict", f"""WITH {RESIDUALS}, {LAST3}, runs AS (SELECT * FROM (VALUES {OUTCOME_VALUES}) x(run, threshold, declared, failure)),
-seen AS (SELECT max(initial) AS observed, count(DISTINCT back) AS met, (SELECT count(*) FROM (SELECT DISTINCT segment, simulation_time FROM residuals)) AS groups FROM late WHERE regexp_full_match(field, 'U[xyz]'))
-SELECT run, CASE WHEN failure IS NOT NULL THEN 'failing' WHEN declared THEN 'passing' WHEN threshold IS NULL THEN 'not_configured' WHEN groups < 3 THEN 'insufficient_data' WHEN met = 3 AND observed <= threshold THEN 'passing' ELSE 'failing' END AS status FROM runs, seen""")
-def steady_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Runs of the same residuals with other targets, declarations and failures."""
-    rows, out = residual_rows(spark, sf_dir), None
-    for run, threshold, declared, failure in OUTCOMES:
-        checks = H.target_checks(rows, [] if threshold is None else [("U[xyz]", threshold)])
-        one = H.steady_verdict(checks, F.lit(3), F.lit(declared), F.lit(failure).cast("string")).select(F.lit(run).alias("run"), "status")
-        out = one if out is None else out.unionByName(one)
-    return out
+# Times that still run: the last group of a log that hasn't ended.
+@query("running_excluded", f"WITH {RESIDUALS}, keys AS (SELECT DISTINCT segment, simulation_time FROM residuals), now AS (SELECT * FROM keys ORDER BY segment DESC, simulation_time DESC LIMIT 1), last3 AS (SELECT * FROM keys WHERE (segment, simulation_time) NOT IN (SELECT (segment, simulation_time) FROM now) ORDER BY segment DESC, simulation_time DESC LIMIT 3) SELECT segment, simulation_time, field, initial FROM residuals JOIN last3 USING (segment, simulation_time)")
+def running_excluded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = residual_rows(spark, sf_dir)
+    now = rows.agg(F.max(F.struct("segment", "simulation_time")).alias("m")).first().m
+    current = None if now is None else (F.lit(now.segment), F.lit(now.simulation_time))
+    return H.last_groups(rows, current=current, completed=F.lit(False)).select("segment", "simulation_time", "field", "initial")
 
 
 @query("unhealthy_antijoin", f"WITH {STEP_ROWS}, {UNSOLVED} SELECT simulation_time FROM steps WHERE simulation_time NOT IN (SELECT simulation_time FROM bad)")
@@ -117,16 +143,23 @@ def health_percent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return late.agg(F.count(F.lit(1)).alias("n_steps"), F.round(100.0 * F.count_if("healthy") / F.count(F.lit(1)), 6).alias("healthy_percent"))
 
 
-RUNS = [(0.0, 5.0, 10.0, 50.0, 40.0), (0.0, 12.0, 10.0, 0.0, 60.0), (2.0, 1.0, 10.0, None, None), (1.0, 1.0, 1.0, 3.0, 3.0), (0.0, 3.0, 9.0, 6.0, None)]
-RUN_VALUES = ", ".join("({})".format(", ".join("NULL" if x is None else f"{x}" for x in r)) for r in RUNS)
-
-
-@query("progress_eta", f"""WITH runs AS (SELECT CAST(a AS DOUBLE) AS a, CAST(b AS DOUBLE) AS b, CAST(c AS DOUBLE) AS c, CAST(d AS DOUBLE) AS d, CAST(e AS DOUBLE) AS e FROM (VALUES {RUN_VALUES}) x(a, b, c, d, e)),
+@query("progress_eta", """WITH runs AS (SELECT o_orderkey, CAST(o_orderkey % 3 AS DOUBLE) AS a, CAST(o_custkey % 40 AS DOUBLE) AS b, CAST(o_orderkey % 37 AS DOUBLE) AS c, CASE WHEN o_orderkey % 4 > 0 THEN CAST(o_custkey % 7 AS DOUBLE) END AS d, CASE WHEN o_orderkey % 5 > 0 THEN CAST(o_custkey % 11 AS DOUBLE) END AS e FROM orders),
 wall AS (SELECT *, CASE WHEN d > 0 THEN d ELSE e END AS w FROM runs), rated AS (SELECT *, CASE WHEN w > 0 THEN (b - a) / w END AS rate FROM wall)
-SELECT b AS current, CASE WHEN c > a THEN greatest(0, least(1, (b - a) / (c - a))) END AS fraction, rate, CASE WHEN b < c AND rate > 0 THEN (c - b) / rate END AS eta_seconds FROM rated""")
+SELECT o_orderkey, b AS current, CASE WHEN c > a THEN greatest(0, least(1, (b - a) / (c - a))) END AS fraction, rate, CASE WHEN b < c AND rate > 0 THEN (c - b) / rate END AS eta_seconds FROM rated""")
 def progress_eta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(RUNS, "start double, current double, end double, clock_time double, execution_time double")
-    return H.progress(rows).select("current", "fraction", "rate", "eta_seconds")
+    parts = {"start": "o_orderkey % 3", "current": "o_custkey % 40", "end": "o_orderkey % 37", "clock_time": "CASE WHEN o_orderkey % 4 > 0 THEN o_custkey % 7 END", "execution_time": "CASE WHEN o_orderkey % 5 > 0 THEN o_custkey % 11 END"}
+    rows = fx.table(spark, sf_dir, "orders").select("o_orderkey", *[F.expr(e).cast("double").alias(c) for c, e in parts.items()])
+    return H.progress(rows).select("o_orderkey", "current", "fraction", "rate", "eta_seconds")
+
+
+@query("log_score", """SELECT c_custkey, CAST(CASE WHEN c_custkey % 50 = 0 THEN 1000 ELSE 0 END + CASE WHEN c_custkey % 17 = 0 THEN 900 ELSE 0 END + CASE WHEN c_nationkey % 3 = 0 THEN 200 ELSE 0 END + CASE WHEN c_nationkey % 5 = 0 THEN 50 ELSE 0 END + CASE WHEN c_custkey % 4 = 0 THEN 50 ELSE 0 END
+ + CASE WHEN c_custkey % 200 <= 120 THEN 25 ELSE 0 END + CASE WHEN c_custkey % 3 = 0 THEN 10 ELSE 0 END - CASE WHEN c_mktsegment = 'BUILDING' THEN 300 ELSE 0 END - CASE WHEN c_custkey % 9 = 0 THEN 25 ELSE 0 END AS INT) AS score FROM customer""")
+def log_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = {
+        "explicit": "c_custkey % 50 = 0", "saved": "c_custkey % 17 = 0", "application": "c_nationkey % 3 = 0", "banner": "c_nationkey % 5 = 0", "solver_record": "c_custkey % 4 = 0", "age_seconds": "c_custkey % 200",
+        "at_root": "c_custkey % 3 = 0", "workflow": "CASE WHEN c_mktsegment = 'BUILDING' THEN 'utility' ELSE 'solver' END", "size": "c_custkey % 9",
+    }
+    return C.log_score(fx.table(spark, sf_dir, "customer").select("c_custkey", *[F.expr(e).alias(c) for c, e in parts.items()])).select("c_custkey", "score")
 
 
 @query("staleness", "SELECT event_type, max(epoch_us(ts)) AS newest, 1706572800 - max(epoch_us(ts)) / 1e6 > 3600 AS stale FROM events GROUP BY event_type")

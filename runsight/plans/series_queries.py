@@ -16,7 +16,6 @@ SHIP = "ship AS (SELECT 'ship' AS series_id, CAST(date_diff('day', DATE '1990-01
 FLAG = "flag AS (SELECT 'flag_' || l_returnflag AS series_id, CAST(date_diff('day', DATE '1990-01-01', CAST(l_shipdate AS DATE)) AS DOUBLE) AS t, CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS DOUBLE) AS v FROM lineitem GROUP BY ALL)"
 HOUR = "hour AS (SELECT 'hour' AS series_id, floor(epoch_us(ts) / 3600000000) AS t, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS DOUBLE) / count(*) AS v FROM events GROUP BY ALL)"
 RAW = "raw AS (SELECT 'raw_' || event_type AS series_id, CAST(epoch_us(ts) AS DOUBLE) AS t, value AS v, event_id AS pos FROM events)"
-SINE = "sine AS (SELECT 'made_sine' AS series_id, CAST(i AS DOUBLE) AS t, 4 + 0.8 * sin(2 * pi() * i / 40) AS v FROM range(800) x(i))"
 
 
 def segment(name: str) -> str:
@@ -139,11 +138,16 @@ def autocorr_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digits(S.autocorrelation_time(S.autocorrelation(S.detrended(sized(fx.ship_series(spark, sf_dir, by_flag=True))), S.MOST_LAGS)), "tau")
 
 
-@query("acf_peaks", f"""WITH {SINE}, {segment('sine')}, {REST}, {ACF.format(lags=200)}, near AS (SELECT *, lag(c) OVER (PARTITION BY series_id ORDER BY lag) AS a, lead(c) OVER (PARTITION BY series_id ORDER BY lag) AS b FROM acf)
+WAVE = f"{HOUR}, wave AS (SELECT 'wave' AS series_id, t, v + 3000 * abs(CAST(t AS BIGINT) % 24 - 12) AS v FROM hour)"
+
+
+@query("acf_peaks", f"""WITH {WAVE}, {segment('wave')}, {REST}, {ACF.format(lags=200)}, near AS (SELECT *, lag(c) OVER (PARTITION BY series_id ORDER BY lag) AS a, lead(c) OVER (PARTITION BY series_id ORDER BY lag) AS b FROM acf)
 SELECT series_id, lag, round(c, 6) AS c FROM near WHERE lag >= 2 AND c > 0.5 AND c >= a AND c >= b""")
 def acf_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sine = fx.made_series(spark).where("series_id = 'made_sine'")
-    return digits(S.peaks(S.autocorrelation(S.detrended(sized(sine)), 200)).withColumn("lag", F.col("lag").cast("long")), "c")
+    """The hours' means with a daily wave: peaks at days."""
+    hours = fx.hour_series(spark, sf_dir)
+    wave = hours.select(F.lit("wave").alias("series_id"), "t", (F.col("v") + 3000 * F.abs(F.col("t").cast("long") % 24 - 12)).alias("v"))
+    return digits(S.peaks(S.autocorrelation(S.detrended(sized(wave)), 200)).withColumn("lag", F.col("lag").cast("long")), "c")
 
 
 CYCLES = """cyc AS (SELECT *, max(v) OVER (PARTITION BY series_id, cycle) AS most FROM (SELECT *, (i - (n - n // 37 * 37)) // 37 AS cycle FROM seg WHERE i >= n - n // 37 * 37)),
@@ -194,21 +198,18 @@ def series_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 STATES_SQL = "states AS (SELECT * FROM (VALUES ('a', 'plateau'), ('b', 'periodic'), ('c', 'evolving'), ('d', 'indeterminate')) x(series_id, state))"
 
 
-@query("aggregate_verdict", f"""WITH {STATES_SQL}, chosen AS (SELECT DISTINCT CAST(n_nationkey % 3 AS INT) AS verdict, chr(97 + CAST(n_nationkey % 5 AS INT)) AS series_id FROM nation WHERE n_nationkey % 3 > 0 OR n_nationkey % 5 < 2),
-known AS (SELECT verdict, chosen.series_id, state FROM chosen LEFT JOIN states USING (series_id))
-SELECT verdict, count(*) AS n_selected, coalesce(string_agg(series_id, ',' ORDER BY series_id) FILTER (state IS NULL), '') AS missing, coalesce(string_agg(series_id, ',' ORDER BY series_id) FILTER (state = 'indeterminate'), '') AS indeterminate,
-  coalesce(string_agg(series_id, ',' ORDER BY series_id) FILTER (state = 'evolving'), '') AS rejected,
-  CASE WHEN count(*) FILTER (state IS NULL OR state = 'indeterminate') > 0 THEN 'indeterminate' WHEN count(*) FILTER (state = 'evolving') > 0 THEN 'failing' ELSE 'passing' END AS state
-FROM known GROUP BY verdict""")
+@query("aggregate_verdict", f"""WITH {STATES_SQL}, chosen AS (SELECT DISTINCT n_regionkey AS "case", chr(97 + CAST(n_nationkey % (n_regionkey + 2) AS INT)) AS series_id FROM nation WHERE n_regionkey <> 3),
+known AS (SELECT "case", chosen.series_id, state FROM chosen LEFT JOIN states USING (series_id)),
+of AS (SELECT "case", count(*) AS n, string_agg(series_id, ',' ORDER BY series_id) FILTER (state IS NULL) AS missing, string_agg(series_id, ',' ORDER BY series_id) FILTER (state = 'indeterminate') AS indeterminate, string_agg(series_id, ',' ORDER BY series_id) FILTER (state = 'evolving') AS rejected FROM known GROUP BY "case")
+SELECT r_regionkey AS "case", coalesce(n, 0) AS n_selected, coalesce(missing, '') AS missing, coalesce(indeterminate, '') AS indeterminate, coalesce(rejected, '') AS rejected, CASE WHEN n IS NULL OR missing IS NOT NULL OR indeterminate IS NOT NULL THEN 'indeterminate' WHEN rejected IS NOT NULL THEN 'failing' ELSE 'passing' END AS state
+FROM region LEFT JOIN of ON "case" = r_regionkey""")
 def aggregate_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions as cases, which select series by their nations; one region selects none."""
     states = spark.createDataFrame([("a", "plateau"), ("b", "periodic"), ("c", "evolving"), ("d", "indeterminate")], "series_id string, state string")
-    nation = fx.table(spark, sf_dir, "nation").where("n_nationkey % 3 > 0 OR n_nationkey % 5 < 2")
-    out = None
-    for verdict in range(3):
-        chosen = nation.where(F.col("n_nationkey") % 3 == verdict).select(F.expr("chr(97 + n_nationkey % 5)").alias("series_id"), F.expr("n_nationkey % 5").alias("pos"))
-        one = St.aggregate_verdict(chosen, states).select(F.lit(verdict).alias("verdict"), "n_selected", *[F.array_join(f"{k}_ids", ",").alias(k) for k in ("missing", "indeterminate", "rejected")], "state")
-        out = one if out is None else out.unionByName(one)
-    return out
+    series = F.expr("CASE WHEN n_regionkey <> 3 THEN chr(97 + n_nationkey % (n_regionkey + 2)) END")
+    chosen = fx.table(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("case"), series.alias("series_id"), F.ascii(series).alias("pos")).where("series_id IS NOT NULL")
+    cases = fx.table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("case"))
+    return St.case_verdicts(chosen, states, cases).select("case", "n_selected", *[F.array_join(f"{k}_ids", ",").alias(k) for k in ("missing", "indeterminate", "rejected")], "state")
 
 
 @query("override_settings", f"""WITH {FLAG}, ids AS (SELECT DISTINCT series_id FROM flag), o AS (SELECT * FROM (VALUES ('flag_A', 0.5, NULL), ('flag_N', NULL, 5)) x(series_id, shift, cycles))

@@ -145,3 +145,9 @@ def test_process_states(spark):
     ]
     rows = [(i, *(none | c).values()) for i, (c, _) in enumerate(cases)]
     assert [r.state for r in C.process_state(spark.createDataFrame(rows, kinds)).orderBy("i").collect()] == [s for _, s in cases]
+
+
+def test_log_score(spark):
+    kinds = "explicit boolean, saved boolean, application boolean, banner boolean, solver_record boolean, age_seconds double, at_root boolean, workflow string, size long"
+    rows = [(False, False, True, True, True, 5.0, True, "solver", 9), (None, None, None, None, None, None, None, None, None), (True, True, False, False, False, 121.0, False, "utility", 0)]
+    assert [r.score for r in C.log_score(spark.createDataFrame(rows, kinds)).collect()] == [335, 0, 1575]
