@@ -78,12 +78,12 @@ def continuity_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trend.withColumns({c: F.round(F.col(c) * 1e12, 4) for c in ("earlier", "later")})
 
 
-RUN = "CASE WHEN o_orderkey < 3 THEN 99 ELSE o_custkey % 50 END"
+RUN = "CASE WHEN o_orderkey < 2 THEN 99 ELSE o_custkey % 50 END"
 RUN_LIMIT = "CASE WHEN run % 10 <> 8 THEN CAST(100000 + run % 5 * 100000 AS DOUBLE) END"
 
 
-@query("transient_verdict", f"""WITH steps AS (SELECT {RUN} AS run, o_orderkey AS t, o_totalprice AS c, CASE WHEN o_custkey % 6 > 0 THEN o_totalprice / CASE WHEN o_orderkey % 2 = 0 AND o_custkey % 7 = 3 THEN 1e8 ELSE 1e12 END END AS e FROM orders), runs AS (SELECT DISTINCT run, {RUN_LIMIT} AS lim, CASE WHEN run % 10 = 9 AND run < 90 THEN 'Fatal error' END AS failure FROM steps),
-bad AS (SELECT DISTINCT l_orderkey AS t FROM lineitem WHERE l_returnflag = 'R' AND l_linenumber = 7), late AS (SELECT * FROM steps QUALIFY row_number() OVER (PARTITION BY run ORDER BY t DESC) <= 20),
+@query("transient_verdict", f"""WITH steps AS (SELECT {RUN} AS run, o_orderkey % 1000 * 1000000000 + o_orderkey AS t, o_totalprice AS c, CASE WHEN o_custkey % 60 > 0 THEN o_totalprice / CASE WHEN o_orderkey % 1000 >= 960 AND o_custkey % 50 % 9 = 4 THEN 1e8 ELSE 1e12 END END AS e FROM orders), runs AS (SELECT DISTINCT run, {RUN_LIMIT} AS lim, CASE WHEN run % 10 = 9 AND run < 90 THEN 'Fatal error' END AS failure FROM steps),
+bad AS (SELECT DISTINCT l_orderkey % 1000 * 1000000000 + l_orderkey AS t FROM lineitem WHERE l_returnflag = 'R' AND l_linenumber = 7 AND l_partkey % 9 = 0), late AS (SELECT * FROM steps QUALIFY row_number() OVER (PARTITION BY run ORDER BY t DESC) <= 20),
 health AS (SELECT late.*, coalesce(c <= lim, false) AND e IS NOT NULL AND bad.t IS NULL AS healthy FROM late JOIN runs USING (run) LEFT JOIN bad USING (t)), of AS (SELECT run, count(*) AS n, 100.0 * count(*) FILTER (healthy) / count(*) AS p, max(c) AS c FROM health GROUP BY run),
 seq AS (SELECT run, e, row_number() OVER (PARTITION BY run ORDER BY t) AS i, count(*) OVER (PARTITION BY run) AS m FROM health WHERE e IS NOT NULL), trend AS (SELECT run, median(e) FILTER (i <= m // 2) AS a, median(e) FILTER (i > m // 2) AS b FROM seq GROUP BY run),
 all_of AS (SELECT *, coalesce(b > 5 * a AND b - a > 1e-12, false) AS d FROM runs JOIN of USING (run) LEFT JOIN trend USING (run))
@@ -91,12 +91,16 @@ SELECT run, n AS n_steps, round(CAST(p AS DOUBLE), 6) AS healthy_percent, c AS c
 def transient_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fifty runs of the customers' orders, and one of two steps."""
     price = F.col("o_totalprice")
-    scale = F.when((F.col("o_orderkey") % 2 == 0) & (F.col("o_custkey") % 7 == 3), 1e8).otherwise(1e12)
-    error = F.when(F.col("o_custkey") % 6 > 0, price / scale)
-    steps = fx.table(spark, sf_dir, "orders").select(F.expr(RUN).alias("run"), F.lit(0).alias("segment"), F.col("o_orderkey").alias("simulation_time"), price.alias("courant_max"), *[error.alias(f"continuity_{c}") for c in ("local", "global", "cumulative")])
-    solved = ~((F.col("l_returnflag") == "R") & (F.col("l_linenumber") == 7))
+    scale = F.when((F.col("o_orderkey") % 1000 >= 960) & (F.col("o_custkey") % 50 % 9 == 4), 1e8).otherwise(1e12)
+    error = F.when(F.col("o_custkey") % 60 > 0, price / scale)
+
+    def time(order: str):
+        return F.col(order) % 1000 * 1_000_000_000 + F.col(order)
+
+    steps = fx.table(spark, sf_dir, "orders").select(F.expr(RUN).alias("run"), F.lit(0).alias("segment"), time("o_orderkey").alias("simulation_time"), price.alias("courant_max"), *[error.alias(f"continuity_{c}") for c in ("local", "global", "cumulative")])
+    solved = ~((F.col("l_returnflag") == "R") & (F.col("l_linenumber") == 7) & (F.col("l_partkey") % 9 == 0))
     orders = steps.select("run", "segment", "simulation_time")
-    solves = fx.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("simulation_time"), solved.alias("converged")).join(orders, "simulation_time")
+    solves = fx.table(spark, sf_dir, "lineitem").select(time("l_orderkey").alias("simulation_time"), solved.alias("converged")).join(orders, "simulation_time")
     runs = steps.select("run").distinct().select("run", F.expr(RUN_LIMIT).alias("limit"), F.expr("CASE WHEN run % 10 = 9 AND run < 90 THEN 'Fatal error' END").alias("failure"))
     return H.transient_verdicts(steps, solves, runs).withColumn("healthy_percent", F.round("healthy_percent", 6))
 

@@ -220,7 +220,22 @@ def override_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return St.effective_settings(ids, overrides).select("series_id", "max_mean_shift_fraction", "minimum_cycles", "max_normalized_slope")
 
 
-@query("effective_samples", None)
+@query("effective_samples", f"""WITH {FLAG}, {segment('flag')}, {WINDOWS}, {SHIFT},
+ov AS (SELECT series_id, t, v, n, row_number() OVER (PARTITION BY series_id ORDER BY i) - 1 AS j, count(*) OVER (PARTITION BY series_id) AS m FROM seg WHERE n <= 2048 OR (i * 2047 + n - 2) // (n - 1) * (n - 1) // 2047 = i),
+halves AS (SELECT series_id, h, t, v, j, n, m // 2 AS w FROM ov, (VALUES (0), (1)) x(h) WHERE CASE h WHEN 0 THEN j < m // 2 ELSE j >= m - m // 2 END),
+line AS (SELECT series_id, h, coalesce(regr_slope(v, t), 0) AS slope, avg(t) AS mt, avg(v) AS mv, max(abs(v)) AS most FROM halves GROUP BY ALL),
+rest AS (SELECT series_id, h, j, v - mv - slope * (t - mt) AS r, most FROM halves JOIN line USING (series_id, h)),
+centred AS (SELECT series_id, h, j, r - avg(r) OVER (PARTITION BY series_id, h) AS x FROM rest), variance AS (SELECT series_id, h, avg(x * x) AS s2, count(*) AS k FROM centred GROUP BY ALL),
+acf AS (SELECT a.series_id, a.h, b.j - a.j AS lag, avg(a.x * b.x) / any_value(s2) AS c FROM centred a JOIN centred b ON a.series_id = b.series_id AND a.h = b.h AND b.j > a.j AND b.j - a.j <= 200 JOIN variance ON variance.series_id = a.series_id AND variance.h = a.h GROUP BY ALL),
+pairs AS (SELECT series_id, h, (lag - 1) // 2 AS pair, sum(c) AS s FROM acf GROUP BY ALL), going AS (SELECT *, min(CASE WHEN s > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY series_id, h ORDER BY pair) AS g FROM pairs),
+raw_tau AS (SELECT series_id, h, greatest(1, 1 + 2 * sum(CASE WHEN g = 1 THEN s ELSE 0 END)) AS tau FROM going GROUP BY ALL),
+tau AS (SELECT series_id, h, n // 2 AS half_n, least(200, any_value(tau) * (n // 2) / any_value(w)) AS tau FROM halves JOIN raw_tau USING (series_id, h) GROUP BY series_id, h, n),
+errors AS (SELECT shifted.series_id, window_samples, m0, m1, s1, b.tau, b.half_n, s1 * sqrt(b.tau / b.half_n) AS e1, s0 * sqrt(a.tau / a.half_n) AS e0 FROM shifted JOIN tau a ON a.series_id = shifted.series_id AND a.h = 0 JOIN tau b ON b.series_id = shifted.series_id AND b.h = 1)
+SELECT series_id, CAST(window_samples AS BIGINT) AS window_samples, round(tau, 6) AS autocorrelation_time, round(half_n / tau, 4) AS effective_samples, round(e1, 2) AS standard_error, round(abs(m1 - m0) / sqrt(e1 * e1 + e0 * e0), 6) AS mean_shift_standard_errors FROM errors""")
 def effective_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Independent samples in the latest window, by the autocorrelation time of the whole segment."""
-    return St.classify(fx.ship_series(spark, sf_dir, by_flag=True)).select("series_id", "window_samples", "autocorrelation_time", "effective_samples", "standard_error", "mean_shift_standard_errors")
+    found = St.classify(fx.ship_series(spark, sf_dir, by_flag=True))
+    return found.select(
+        "series_id", "window_samples", F.round("autocorrelation_time", 6).alias("autocorrelation_time"), F.round("effective_samples", 4).alias("effective_samples"),
+        F.round("standard_error", 2).alias("standard_error"), F.round("mean_shift_standard_errors", 6).alias("mean_shift_standard_errors"),
+    )
