@@ -101,6 +101,38 @@ def log_workflow(logs: DataFrame) -> DataFrame:
     return logs.withColumn("workflow", workflow)
 
 
+#: What a log's head says where it is of the toolbox; a log is recent for so many seconds.
+BANNER, RECENT = "openfoam", 120.0
+
+
+def log_candidates(files: DataFrame, cases: DataFrame, now: Column) -> DataFrame:
+    """The candidates for the log of each case: files (case, path, modified_ns, size, head, tail), paths below the case, with
+    workflow, score and rank; cases (case, application, explicit_log, saved_log), the logs as paths below the case.
+
+    head and tail are the first and last 64 KiB (sources/logs.py log_ends). An explicit or saved log that isn't among files
+    is none. A score is the sum of log_score(); the order that of ranked_logs().
+    """
+    named = files.join(cases, "case").withColumn("name", F.element_at(F.split("path", "/"), -1))
+    rows = log_workflow(named)
+    application = F.lower(F.coalesce("application", F.lit("")))
+    word = F.concat(F.lit(r"(?i)\b\Q"), "application", F.lit(r"\E\b"))
+    flags = {
+        "explicit": F.coalesce(F.col("path") == F.col("explicit_log"), F.lit(False)), "saved": F.coalesce(F.col("path") == F.col("saved_log"), F.lit(False)),
+        "applied": (application != "") & (F.contains(F.lower("name"), application) | F.coalesce(F.rlike("head", word), F.lit(False))),
+        "banner": F.contains(F.lower("head"), F.lit(BANNER)), "solver_record": F.col("tail").rlike(SOLVER_RECORD), "at_root": ~F.contains("path", F.lit("/")), "age_seconds": now - F.col("modified_ns") / 1e9,
+    }
+    scored = log_score(rows.withColumns(flags).withColumn("application_name", F.col("application")).withColumn("application", F.col("applied")))
+    kept = [c for c in files.columns if c not in ("head", "tail")]
+    return ranked_logs(scored.select(*kept, "explicit", "saved", "workflow", "score"))
+
+
+def parsed_anything() -> Column:
+    """Whether rows of telemetry (streaming/logs.py) say anything of a run: a time, a residual, a step, a running time, a failure
+    or an end."""
+    said = F.coalesce(F.col("current_time"), F.col("execution_seconds"), F.col("clock_seconds")).isNotNull()
+    return said | (F.col("n_residuals") > 0) | (F.col("n_steps") > 0) | F.col("failure").isNotNull() | F.coalesce(F.col("completed"), F.lit(False))
+
+
 def chosen_log(logs: DataFrame, active: Column | None = None) -> DataFrame:
     """The log of each case that is followed, of ranked_logs() with score: the explicit one, else the saved one, else the first
     whose workflow is active; else the newest mesher's if it is newer than the best solver's (by score, then age), else that,

@@ -44,6 +44,14 @@ def mesh_probe(files: DataFrame, cases: DataFrame) -> DataFrame:
     return out.select("case", "source", "signature", "newest_ns", reason.alias("reason"))
 
 
+def is_case(files: DataFrame) -> DataFrame:
+    """(case, is_case) by files (case, path): a case has a system/controlDict, and something in constant or in a folder that is
+    a time in plain digits."""
+    folder = F.get(F.split("path", "/"), F.lit(0))
+    held = (folder == "constant") | folder.rlike(r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$")
+    return files.groupBy("case").agg((F.bool_or(F.col("path") == "system/controlDict") & F.bool_or(held & F.contains("path", F.lit("/")))).alias("is_case"))
+
+
 @F.pandas_udf(T.BooleanType())
 def inside(path: pd.Series, root: pd.Series) -> pd.Series:
     """Whether a file's real place is below a folder; paths that aren't of a file system with links are."""

@@ -75,6 +75,8 @@ def test_newest_complete_mesh(spark, tmp_path):
         files = one if files is None else files.unionByName(one)
     assert files.where("path LIKE '%link%' OR path LIKE '%outside%'").count() == 0 and files.where("case = 'a'").count() == 19
     cases = spark.createDataFrame([(c,) for c in "abcd"], "case string")
+    more = files.unionByName(spark.createDataFrame([("a", "system/controlDict", 1, 1), ("b", "system/controlDict", 1, 1), ("e", "system/controlDict", 1, 1), ("e", "0.5/U", 1, 1), ("f", "constant/x", 1, 1)], files.schema))
+    assert {r.case: r.is_case for r in M.is_case(more).collect()} == {"a": True, "b": False, "c": False, "e": True, "f": False}
     got = {r.case: r for r in M.mesh_probe(files, cases).collect()}
     assert got["a"].source == "2/polyMesh" and got["a"].reason is None and "owner.gz:5:" in got["a"].signature and got["a"].newest_ns > 10**18
     assert [got[c].reason for c in "bcd"] == [M.DECOMPOSED, M.NONE_YET, M.NONE_YET] and got["b"].signature is None

@@ -3,7 +3,9 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
+from runsight.operators import catalog as C
 from runsight.sources import logs, tail
 
 
@@ -109,3 +111,21 @@ def test_stream_of_many_logs_over_restarts(spark, tmp_path):
         assert r.segment == 0
         got.setdefault(r.path, []).append((r.line_no, r.line))
     assert got == {str(f): plain(text.encode()) for f, text in whole.items()}
+
+
+def test_candidates_by_heads_and_tails(spark, tmp_path):
+    """The ends of logs alone are read; they give workflow, score and choice."""
+    files = {
+        "log.simpleFoam": "OpenFOAM v2412\nTime = 1\n", "log.checkMesh": "OpenFOAM v2412\nMesh OK.\n", "run/log.x": "x" * 200_000 + "\nSolving for U", "log.long": "simpleFoam starts\n" + "y" * 200_000, "log.empty": "",
+    }
+    for name, text in files.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(text)
+    found = logs.log_ends(logs.log_files(spark, str(tmp_path))).withColumn("case", F.lit("c")).withColumn("path", F.substring_index("path", f"{tmp_path}/", -1))
+    assert max(len(r.head) + len(r.tail) for r in found.collect()) == 2 * (64 << 10)
+    cases = spark.createDataFrame([("c", "simpleFoam", None, "log.long")], "case string, application string, explicit_log string, saved_log string")
+    newest = found.agg(F.max("modified_ns")).first()[0]
+    out = {r.path: (r.workflow, r.score, r.saved, r["rank"]) for r in C.log_candidates(found, cases, F.lit(newest / 1e9 + 1)).collect()}
+    assert out["log.simpleFoam"][:2] == ("solver", 335) and out["log.checkMesh"][:2] == ("utility", 50 + 25 + 10 - 300)
+    assert out["log.long"] == ("solver", 900 + 200 + 25 + 10, True, 1) and out["run/log.x"][:2] == ("solver", 50 + 25) and "log.empty" not in out
+    assert logs.log_ends(spark.createDataFrame([("/no/such",)], "path string")).first()[1:] == ("", "")
