@@ -190,7 +190,11 @@ def cycle_periods(of: DataFrame) -> DataFrame:
 def envelope(points: DataFrame, limit: int) -> DataFrame:
     """points of (series_id, t, v, i, n) cut to limit: the first and the last, of each of (limit - 2) div 2 stretches
     between them the least and the largest (the first of equal ones), and as many more of those furthest from the
-    chord as fill it. Works by aggregation and ranks; nothing is collected."""
+    chord as fill it.
+
+    Ends and extremes are aggregates that combine in the map tasks; of those that fill, a task passes on at most limit of a
+    series. Nothing is collected, and no task holds a series.
+    """
     if limit < 1:
         raise ValueError("limit must be positive")
     last = F.col("n") - 1
@@ -198,21 +202,19 @@ def envelope(points: DataFrame, limit: int) -> DataFrame:
         return points.where((F.col("n") <= limit) | (F.col("i") == last) | ((F.col("i") == 0) & F.lit(limit == 2)))
     room = limit - 2
     buckets = room // 2
-    ends = points.groupBy("series_id").agg(F.min_by("v", "i").alias("v0"), F.max_by("v", "i").alias("v1"))
-    rows = points.join(ends, "series_id")
-    inner = F.col("i").between(1, F.col("n") - 2)
+    small, large = points.where(F.col("n") <= limit), points.where(F.col("n") > limit)
+    at_ends = (F.col("i") == 0) | (F.col("i") == last)
+    taken = large.where(at_ends).select("series_id", "i")
     if buckets:
         # the stretch b of i has 1 + b (n - 2) div buckets <= i < 1 + (b + 1) (n - 2) div buckets
         b = F.floor((F.col("i") * buckets - 1) / (F.col("n") - 2))
-        rows = rows.withColumn("b", F.when(inner & (F.col("n") > limit), b))
-        w = Window.partitionBy("series_id", "b")
-        extreme = F.col("b").isNotNull() & ((F.row_number().over(w.orderBy("v", "i")) == 1) | (F.row_number().over(w.orderBy(F.desc("v"), "i")) == 1))
-    else:
-        extreme = F.lit(False)
-    rows = rows.withColumn("kept", (F.col("n") <= limit) | (F.col("i") == 0) | (F.col("i") == last) | extreme)
-    chord = F.col("v0") + (F.col("v1") - F.col("v0")) * F.col("i") / last
-    rows = rows.withColumn("far", F.when(~F.col("kept"), F.abs(F.col("v") - chord)))
-    rank = F.row_number().over(Window.partitionBy("series_id", F.col("far").isNull()).orderBy(F.desc("far"), "i"))
-    have = F.count_if("kept").over(Window.partitionBy("series_id"))
-    rows = rows.withColumn("rank", rank).withColumn("have", have)
-    return rows.where(F.col("kept") | (F.col("rank") <= limit - F.col("have"))).select(*points.columns)
+        of = large.where(~at_ends).groupBy("series_id", b.alias("b")).agg(F.min(F.struct("v", "i"))["i"].alias("least"), F.max(F.struct("v", (-F.col("i")).alias("i")))["i"].alias("most"))
+        taken = taken.unionByName(of.select("series_id", F.explode(F.array_distinct(F.array("least", -F.col("most")))).alias("i")))
+    ends = large.groupBy("series_id").agg(F.max(F.when(F.col("i") == 0, F.col("v"))).alias("v0"), F.max(F.when(F.col("i") == last, F.col("v"))).alias("v1"))
+    have = taken.groupBy("series_id").agg(F.count(F.lit(1)).alias("have"))
+    kept = large.join(taken, ["series_id", "i"], "left_semi")
+    rest = large.join(taken, ["series_id", "i"], "left_anti").join(ends, "series_id")
+    far = F.abs(F.col("v") - (F.col("v0") + (F.col("v1") - F.col("v0")) * F.col("i") / last))
+    ranked = rest.withColumn("far", far).withColumn("rank", F.row_number().over(Window.partitionBy("series_id").orderBy(F.desc("far"), "i"))).where(F.col("rank") <= room)
+    fill = ranked.join(have, "series_id").where(F.col("rank") <= limit - F.col("have"))
+    return small.select(*points.columns).unionByName(kept.select(*points.columns)).unionByName(fill.select(*points.columns))
