@@ -10,22 +10,39 @@ from runsight.llm import common, jaccard, languages, packing, substrings
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is rejected go: no letters, or characters that no learned language puts together."""
+    """Documents whose language is rejected go: no letters, or characters that no learned language puts together.
+
+    A null or empty text has no letters and goes. Long texts are judged whole, repeated rows alike. Null languages teach
+    nothing; an empty table stays empty, and one without any language rejects all. Other columns are kept as they are.
+    """
     return languages.keep_identified(docs)
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near-duplicates, 5-word shingles alike at 0.75 or more over any number of steps, the smallest id stays."""
+    """Of near-duplicates, 5-word shingles alike at 0.75 or more over any number of steps, the smallest id stays.
+
+    Null and empty texts, and those without words, link with nothing and stay. Of rows with one id and text one stays. Long
+    texts are compared whole; an empty table stays empty. Other columns, whatever their names, are kept as they are.
+    """
     return jaccard.one_of_each(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of 35 words or more that occur more than once go; n_chars follows the text that is left."""
+    """Passages of 35 words or more that occur more than once go; n_chars follows the text that is left.
+
+    All of a passage's places lose it, those in one text too. A document that loses all of its words goes; one that loses
+    nothing, a null, empty or wordless text too, stays as it is. Texts are read whole whatever their length, repeated rows
+    are passages of each other; an empty table stays empty. Other columns, whatever their names, are kept as they are.
+    """
     return substrings.with_rest_as_text(docs).withColumn("n_chars", F.char_length("text").cast("long"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of at most 2048 tokens."""
+    """Sequences of at most 2048 tokens, a row for each piece of a document.
+
+    A null or empty text is its end token alone. Longer ones are cut; repeated rows are documents of their own. Of an empty
+    table there are no pieces. The columns are those of pieces, so names of documents can't clash with them.
+    """
     return packing.with_digest(packing.pack_documents(docs, tokenizer=public_tokenizers.path("byte_bpe_50k.json")))
 
 
