@@ -43,6 +43,25 @@ def test_stages_and_run(spark, tmp_path):
     assert all(r.doc_tokens == len(ids[r.doc_id]) for r in out)
 
 
+def test_long_texts_and_clashing_columns(spark, tmp_path):
+    """A text of 400,000 characters and columns with names that operators use pass through every stage."""
+    draw = random.Random(9)
+    rows = [(i, speak(draw, "aa" if i % 2 else "bb", 60)) for i in range(40)] + [(90, speak(draw, "aa", 80_000)), (91, None), (92, "")]
+    more = {c: "x" for c in ("key", "ids", "no", "cid", "component_id", "kept", "n_words", "sequence_id", "c0")}
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in more)
+    spark.createDataFrame([(d, t, None if not t else "aa" if d % 2 or d == 90 else "bb", "s", 1, *more.values()) for d, t in rows], schema).write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    assert len(rows[40][1]) > 200_000
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        stage(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", *more]
+    left = {r.doc_id: r for r in docs.collect()}
+    assert left.keys() == set(range(40)) | {90} and left[90].text == rows[40][1] and all(r.key == "x" and r.c0 == "x" for r in left.values())
+    pieces = corpus_pipeline.packing_stage(spark, docs, str(tmp_path)).where("doc_id = 90").collect()
+    assert len(pieces) > 10 and sum(r.length for r in pieces) == pieces[0].doc_tokens
+
+
 def test_empty_documents(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
@@ -52,4 +71,4 @@ def test_registered():
     import __spark_entry__
 
     names = list(__spark_entry__.queries())
-    assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
+    assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 14))
