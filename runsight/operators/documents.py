@@ -22,7 +22,7 @@ def camel(name: str) -> str:
 def json_safe(value: Column, kind: T.DataType, sets: frozenset[str] = frozenset(), path: str = "") -> Column:
     """value with only what JSON has: names in camel case, non-finite numbers as null, binary as text, other kinds as their
     text; built from the schema, however nested. sets: paths (a.b, without list indices) of arrays that are sets, which
-    come sorted and without repeats. Keys of maps stay as they are."""
+    come sorted and without repeats. Keys of maps and variants stay as they are."""
     if isinstance(kind, (T.DoubleType, T.FloatType)):
         return F.when(finite(value), value)
     if isinstance(kind, T.StructType):
@@ -36,7 +36,7 @@ def json_safe(value: Column, kind: T.DataType, sets: frozenset[str] = frozenset(
         return F.transform_values(texts, lambda _, v: json_safe(v, kind.valueType, sets, path))
     if isinstance(kind, T.BinaryType):
         return F.decode(value, "UTF-8")
-    if isinstance(kind, (T.StringType, T.BooleanType, T.IntegralType)):
+    if isinstance(kind, (T.StringType, T.BooleanType, T.IntegralType, T.VariantType)):
         return value
     return value.cast("string")
 
@@ -136,3 +136,42 @@ def gathered_notices(parts: dict[str, DataFrame], most: int = 300, order: tuple[
     here = Window.partitionBy("case")
     position = F.row_number().over(here.orderBy("seq"))
     return kept.select("case", position.alias("position"), "severity", "source", "message", "total", (F.col("total") - F.count(F.lit(1)).over(here)).alias("omitted"))
+
+
+def configuration_section(read: DataFrame) -> DataFrame:
+    """(case, version, selected_log, selected_series, overrides, accepted_states, error) of configurations as
+    configuration.read_configurations gives them: overrides by series, without the settings that they leave open, states
+    sorted, and the code of the first broken rule."""
+    fields = [f.name for f in read.schema["overrides"].dataType.elementType.fields if f.name != "series_id"]
+
+    def settings(o: Column) -> Column:
+        return F.parse_json(F.to_json(F.struct(*[o.getField(c).alias(camel(c)) for c in fields])))
+
+    overrides = F.map_from_entries(F.transform("overrides", lambda o: F.struct(o["series_id"], settings(o))))
+    return read.select(
+        F.col("path").alias("case"), F.lit(1).alias("version"), "selected_log", "selected_series", overrides.alias("overrides"), F.array_sort("accepted_states").alias("accepted_states"), F.get("problems", F.lit(0))["code"].alias("error")
+    )
+
+
+def snapshot_documents(cases: DataFrame, sections: dict[str, DataFrame], lists: dict[str, tuple[DataFrame, int]], about: dict[str, Column] | None = None) -> DataFrame:
+    """(case, document): one JSON document for each of cases (case).
+
+    about: values that all share. sections: tables with a row for a case, which becomes an object, null for a case without one.
+    lists: tables (case, position, ...) and how many of them; the first rows of a case by position become an array, cut by
+    rank before they are collected. Names come in camel case, in the order given; nothing passes through the driver.
+    """
+    out, parts = cases.select("case").distinct(), [value.alias(name) for name, value in (about or {}).items()]
+    for n, (name, table) in enumerate(sections.items()):
+        of = [c for c in table.columns if c != "case"]
+        out = out.join(table.select("case", F.struct(*of).alias(f"s{n}")), "case", "left")
+        parts.append(F.col(f"s{n}").alias(name))
+    for n, (name, (table, most)) in enumerate(lists.items()):
+        of = [c for c in table.columns if c not in ("case", "position")]
+        first = table.withColumn("rank", F.row_number().over(Window.partitionBy("case").orderBy("position"))).where(F.col("rank") <= most)
+        entry = F.struct(*of)
+        listed_ = first.groupBy("case").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", entry.alias("e"))), lambda a, b: a["rank"] - b["rank"]), lambda x: x["e"]).alias(f"l{n}"))
+        out = out.join(listed_, "case", "left")
+        none = F.array().cast(listed_.schema[f"l{n}"].dataType)
+        parts.append(F.coalesce(f"l{n}", none).alias(name))
+    rows = out.select("case", F.struct(*parts).alias("d"))
+    return rows.select("case", F.to_json(json_safe(F.col("d"), rows.schema["d"].dataType), {"ignoreNullFields": "false"}).alias("document"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runsight.operators import configuration as Cf
+from runsight.operators import documents as D
 from runsight.operators import meshfiles as Mf
 from runsight.plans.registry import query
 from runsight.sources import fixtures as fx
@@ -66,3 +67,21 @@ def mesh_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed = fx.table(spark, sf_dir, "part").select((F.floor(F.col("p_partkey") / 7).cast("long") % 60).alias("case"), F.expr(f"concat({FOLDER}, '/polyMesh/', {NAME})").alias("path"), "p_size", "p_partkey")
     files = listed.groupBy("case", "path").agg(F.max("p_size").alias("size"), F.max("p_partkey").alias("modified_ns"))
     return Mf.mesh_probe(files, listed.select("case").distinct())
+
+
+_OWN = '{"s\' || k || \'":{"absoluteFloor":0.5,"label":"own \' || k || \'","minimumCycles":4}}'
+_FIRST = " ".join(f"WHEN {v} THEN '\"{codes[0]}\"'" for v, (_, codes) in enumerate(VARIANTS) if codes)
+
+
+@query("case_snapshot", f"""WITH c AS (SELECT c_custkey AS k, CAST(c_custkey % {_N} AS INT) AS v, c_acctbal AS bal FROM customer), o AS (SELECT o_custkey AS k, o_orderkey, o_orderstatus, o_totalprice, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS r, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders),
+l AS (SELECT k, string_agg('{{"simulationTime":' || o_orderkey || ',"statusText":"' || o_orderstatus || '"}}', ',' ORDER BY r) AS l, any_value(n) AS n FROM o WHERE r <= 3 GROUP BY k)
+SELECT CAST(k AS VARCHAR) AS "case", '{{"generatedAt":"now","refreshSeconds":2.0,"process":' || CASE WHEN n IS NULL THEN 'null' ELSE '{{"orderCount":' || n || ',"notANumber":null}}' END || ',"configuration":{{"version":1,"selectedLog":' || CASE v WHEN 1 THEN '"logs/log.' || k || '"' ELSE 'null' END
+ || ',"selectedSeries":' || CASE v WHEN 0 THEN '["s' || k || '"]' ELSE '[]' END || ',"overrides":' || CASE v WHEN 1 THEN '{_OWN}' ELSE '{{}}' END || ',"acceptedStates":' || CASE v WHEN 0 THEN '["periodic"]' ELSE '["periodic","plateau","statistically_stationary"]' END || ',"error":' || CASE v {_FIRST} ELSE 'null' END || '}},"timeSteps":[' || coalesce(l, '') || ']}}' AS document FROM c LEFT JOIN l USING (k)""")
+def case_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as cases: their configuration, what their orders say, and the last three of those."""
+    orders = fx.table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("case"), (-F.col("o_orderkey")).alias("position"), F.col("o_orderkey").alias("simulation_time"), F.col("o_orderstatus").alias("status_text"))
+    process = orders.groupBy("case").agg(F.count(F.lit(1)).alias("order_count")).withColumn("not_a_number", F.lit(float("nan")))
+    files = configurations(spark, sf_dir)[0]
+    sections = {"process": process, "configuration": D.configuration_section(Cf.read_configurations(files))}
+    about = {"generated_at": F.lit("now"), "refresh_seconds": F.lit(2.0)}
+    return D.snapshot_documents(files.select(F.col("path").alias("case")), sections, {"time_steps": (orders, 3)}, about)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from runsight.operators import documents as D
 from runsight.operators import tablenames
+from runsight.operators.configuration import read_configurations
 from runsight.sources import tables
 
 DECLARED = [("flow", "volFieldValue", ["Q"], "air", "sum"), ("drag", "forces", [], None, None)]
@@ -122,3 +123,18 @@ def test_notices_of_all_sources(spark):
         ("c", "case", "one", 8, 3), ("c", "case", "two", 8, 3), ("c", "solver_log", "log 4", 8, 3), ("c", "solver_log", "log 5", 8, 3), ("c", "mesh_quality", "mesh", 8, 3), ("d", "solver_log", "only", 1, 0)]
     with pytest.raises(ValueError):
         D.gathered_notices({"other": case})
+
+
+def test_snapshot_of_cases(spark):
+    cases = spark.createDataFrame([("a",), ("b",), ("a",)], "case string")
+    state = spark.createDataFrame([("a", "running", math.inf, "x")], "case string, run_state string, end_time double, case_name string")
+    steps = spark.createDataFrame([("a", i, float(i)) for i in (3, 1, 2)] + [("z", 1, 1.0)], "case string, position int, time_value double")
+    text = json.dumps({"version": 1, "selectedLog": "l", "overrides": {"s": {"label": "x", "units": None, "minimumCycles": 2}}, "acceptedStates": ["plateau", "evolving"]})
+    read = read_configurations(spark.createDataFrame([("a", text), ("b", "{")], "path string, text string"))
+    out = D.snapshot_documents(cases, {"process": state, "configuration": D.configuration_section(read)}, {"last_steps": (steps, 2)}, {"refresh_seconds": F.lit(2)})
+    got = {r.case: json.loads(r.document) for r in out.collect()}
+    assert got["a"] == {
+        "refreshSeconds": 2, "process": {"runState": "running", "endTime": None, "caseName": "x"}, "lastSteps": [{"timeValue": 1.0}, {"timeValue": 2.0}],
+        "configuration": {"version": 1, "selectedLog": "l", "selectedSeries": [], "overrides": {"s": {"label": "x", "minimumCycles": 2}}, "acceptedStates": ["evolving", "plateau"], "error": None},
+    }
+    assert got["b"]["process"] is None and got["b"]["lastSteps"] == [] and got["b"]["configuration"]["error"] == "not_json" and got.keys() == {"a", "b"}
