@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from runsight.functions.columns import at_most, finite
+from runsight.operators import series as S
 
 #: Groups of residuals that must meet the targets, and steps whose health counts.
 LAST_GROUPS, LAST_STEPS, LEAST_STEPS = 3, 20, 3
@@ -79,6 +80,14 @@ def steady_verdict(checks: DataFrame, groups: Column, declared: Column, failure:
     return n.select(status.when(F.col("all"), "passing").otherwise("failing").alias("status"))
 
 
+def plotted(residuals: DataFrame, limit: int = 1000) -> DataFrame:
+    """(field, t, v): what a plot of residuals shows: those with a finite time and a finite initial residual above zero, of each
+    field, and of the same time the last by line, cut to the envelope of limit points."""
+    shown = residuals.where(finite(F.col("simulation_time")) & finite(F.col("initial")) & (F.col("initial") > 0))
+    points = shown.groupBy(F.col("field").alias("series_id"), F.col("simulation_time").alias("t")).agg(F.max_by("initial", "line_no").alias("v"))
+    return S.envelope(S.gaps(points), limit).select(F.col("series_id").alias("field"), "t", "v")
+
+
 def healthy_steps(steps: DataFrame, residuals: DataFrame, limit: float, last: int = LAST_STEPS, current: tuple[Column, Column] | None = None, completed: Column | None = None) -> DataFrame:
     """The last finalized() steps (segment, simulation_time, courant_max, continuity_local, continuity_global,
     continuity_cumulative, ...) with healthy: Courant number within the limit, all three continuity errors there and finite,

@@ -34,6 +34,13 @@ def restart_upsert(rows: DataFrame) -> DataFrame:
     return rows.groupBy("series_id", "t").agg(F.max_by("v", F.struct("start", "path", "row_no")).alias("v"))
 
 
+def points_of(rows: DataFrame, times: str = "times", values: str = "values") -> DataFrame:
+    """(series_id, t, v, pos) of rows (series_id, times, values): the arrays place by place, as far as the shorter one goes."""
+    both = F.least(F.size(times), F.size(values))
+    pairs = F.arrays_zip(F.slice(times, F.lit(1), both).alias("t"), F.slice(values, F.lit(1), both).alias("v"))
+    return rows.where(both > 0).select("series_id", F.posexplode(pairs).alias("pos", "p")).select("series_id", F.col("p.t").cast("double").alias("t"), F.col("p.v").cast("double").alias("v"), F.col("pos").cast("long").alias("pos"))
+
+
 def gaps(points: DataFrame) -> DataFrame:
     """points (series_id, t, v) with i from 0 in order of t, n and gap, the time since the sample in front; staged. A series
     is dealt over as many tasks as its size asks for."""

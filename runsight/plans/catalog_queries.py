@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runsight.operators import documents as D
+from runsight.operators import health as H
+from runsight.operators import series as S
 from runsight.operators import tablenames
 from runsight.plans.registry import query
 from runsight.sources import fixtures as fx
@@ -133,3 +135,21 @@ SELECT c AS "case", CAST(row_number() OVER (PARTITION BY c ORDER BY pl) AS INT)
 def notices_of_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = {s: fx.table(spark, sf_dir, t).selectExpr(f"CAST({c} AS INT) AS case", f"CAST({n} AS LONG) AS seq", f"{SEVERITY.format(n)} AS severity", f"CAST({m} AS STRING) AS message") for s, t, c, n, m in NOTICES}
     return D.gathered_notices(parts, most=60)
+
+
+# Positive discounts of the line items as residuals of three fields, a time each day.
+@query("residual_plot", f"""WITH r AS (SELECT 'U' || substr('xyz', CAST(l_partkey % 3 AS INT) + 1, 1) AS id, CAST(date_diff('day', DATE '1990-01-01', CAST(l_shipdate AS DATE)) AS DOUBLE) AS t, l_discount * 100 + l_tax AS v, ((l_orderkey * 100000 + l_partkey) * 10000 + l_suppkey) * 10 + l_linenumber AS line_no FROM lineitem WHERE l_linenumber <> 3),
+pts AS (SELECT id, t, arg_max(v, line_no) AS v FROM (SELECT id, t, line_no, max(v) AS v FROM r WHERE v > 0 GROUP BY ALL) GROUP BY id, t), seg AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY t) - 1 AS i, count(*) OVER (PARTITION BY id) AS n FROM pts), {envelope(200)}
+SELECT id AS field, unnest(times) AS t, unnest(values) AS v FROM cut""")
+def residual_plot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    value = F.when(F.col("l_linenumber") == 3, float("nan")).otherwise(F.col("l_discount") * 100 + F.col("l_tax"))
+    rows = fx.table(spark, sf_dir, "lineitem").select(F.expr("concat('U', substr('xyz', CAST(l_partkey % 3 AS INT) + 1, 1))").alias("field"), fx.days("l_shipdate").alias("simulation_time"), value.alias("initial"), (((F.col("l_orderkey") * 100_000 + F.col("l_partkey")) * 10_000 + F.col("l_suppkey")) * 10 + F.col("l_linenumber")).alias("line_no"))
+    once = rows.groupBy("field", "simulation_time", "line_no").agg(F.max("initial").alias("initial"))
+    return H.plotted(once, 200)
+
+
+@query("zipped_points", "SELECT vec_id AS series_id, CAST(k AS DOUBLE) AS t, CAST(embedding[k + 1] AS DOUBLE) AS v FROM embeddings, range(70) x(k) WHERE k < least(len(embedding), vec_id % 70)")
+def zipped_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors as values of series whose times are as many as their number says."""
+    rows = fx.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("series_id"), F.expr("CASE WHEN vec_id % 70 = 0 THEN array() ELSE sequence(0, CAST(vec_id % 70 AS INT) - 1) END").alias("times"), F.col("embedding").alias("values"))
+    return S.points_of(rows).drop("pos")
