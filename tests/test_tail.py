@@ -129,3 +129,25 @@ def test_candidates_by_heads_and_tails(spark, tmp_path):
     assert out["log.simpleFoam"][:2] == ("solver", 335) and out["log.checkMesh"][:2] == ("utility", 50 + 25 + 10 - 300)
     assert out["log.long"] == ("solver", 900 + 200 + 25 + 10, True, 1) and out["run/log.x"][:2] == ("solver", 50 + 25) and "log.empty" not in out
     assert logs.log_ends(spark.createDataFrame([("/no/such",)], "path string")).first()[1:] == ("", "")
+
+
+def test_available_now_over_a_replaced_log(spark, tmp_path):
+    """Segments and places go on over restarts of a stream that ends by itself, also behind a log that was replaced."""
+    tail.register(spark)
+    f = tmp_path / "log.a"
+
+    def run():
+        stream = spark.readStream.format("log_tail").load(str(tmp_path)).writeStream.format("parquet").option("path", f"{tmp_path}/out")
+        assert stream.option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start().awaitTermination(100)
+
+    f.write_text("one\ntwo\n")
+    run()
+    (tmp_path / "new").write_text("three\nlonger than before\n")
+    (tmp_path / "new").replace(f)
+    run()
+    for more in ("four\n", "five\n"):
+        with open(f, "a") as out:
+            out.write(more)
+        run()
+    rows = spark.read.schema(tail.SCHEMA).parquet(f"{tmp_path}/out").collect()
+    assert sorted((r.segment, r.line_no, r.line) for r in rows) == [(0, 0, "one"), (0, 4, "two"), (1, 0, "three"), (1, 6, "longer than before"), (1, 25, "four"), (1, 30, "five")]
