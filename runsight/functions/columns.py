@@ -14,6 +14,11 @@ def finite(x: Column) -> Column:
     return F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False))
 
 
+def once(**columns: Column) -> Column:
+    """The columns, computed once for a row: what reads or filters them later doesn't compute them again."""
+    return F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()])))
+
+
 def at_most(x: Column, limit: Column) -> Column:
     """x <= limit; false for a null or non-finite x."""
     return finite(x) & F.coalesce(x <= limit, F.lit(False))

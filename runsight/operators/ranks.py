@@ -8,6 +8,22 @@ from pyspark.sql import functions as F
 from runsight.functions.staging import staged, unstage
 
 
+def placed(dealt: DataFrame, key: str, order: str) -> DataFrame:
+    """dealt, in ranges of key and order, with i, the rows in front of each within its key, and n, the rows of the key.
+
+    A range is one task's, in order, so a row's place in it is known as it is written; the rows of a range and key have one
+    number in front of them, from a table of a row for each. Nothing is shuffled or ordered again. Values of order must
+    differ within a key.
+    """
+    written = staged(dealt.sortWithinPartitions(key, order).withColumn("written", F.monotonically_increasing_id()), "ranges")
+    # the number's upper bits are the task's, the lower 33 count its rows
+    ranged = written.withColumn("range", F.shiftright("written", 33))
+    sizes = ranged.groupBy(key, "range").agg(F.count(F.lit(1)).alias("size"), F.min("written").alias("first"))
+    front = F.sum("size").over(Window.partitionBy(key).orderBy("range")) - F.col("size")
+    starts = staged(sizes.select(key, "range", (front - F.col("first")).alias("shift"), F.sum("size").over(Window.partitionBy(key)).alias("n")), "starts")
+    return ranged.join(starts, [key, "range"]).select(*dealt.columns, (F.col("written") + F.col("shift")).alias("i"), "n")
+
+
 def numbered(rows: DataFrame, key: str, order: str, *, weight: str | None = None, previous: bool = False) -> DataFrame:
     """rows with i, the weight of the rows in front of each within its key by order (from 0; a row weighs 1 without a
     weight), n, the weight of all of the key, and with previous before, the value of order in front; staged.
@@ -16,6 +32,8 @@ def numbered(rows: DataFrame, key: str, order: str, *, weight: str | None = None
     own; what is in front of a range comes from a table of a row for each range and key. So a key of any size is the work
     of as many tasks as it has ranges. Values of order must differ within a key.
     """
+    if weight is None and not previous:
+        return placed(rows.repartitionByRange(key, order), key, order)
     dealt = staged(rows.repartitionByRange(key, order).withColumn("range", F.spark_partition_id()), "ranges")
     w: Column = F.col(weight) if weight else F.lit(1)
     ranges = Window.partitionBy(key).orderBy("range")

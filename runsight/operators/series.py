@@ -199,29 +199,42 @@ def envelope(points: DataFrame, limit: int) -> DataFrame:
     between them the least and the largest (the first of equal ones), and as many more of those furthest from the
     chord as fill it.
 
-    Ends and extremes are aggregates that combine in the map tasks; of those that fill, a task passes on at most limit of a
-    series. Nothing is collected, and no task holds a series.
+    Ends and extremes are sums of numbers that combine in the map tasks without being put in order. The points that may
+    fill are those at least as far from the chord as the 2 * limit-th of the largest distances in parts of a series; a task
+    passes on at most limit of them. Nothing is collected, and no task holds a series.
     """
     if limit < 1:
         raise ValueError("limit must be positive")
     last = F.col("n") - 1
     if limit <= 2:
         return points.where((F.col("n") <= limit) | (F.col("i") == last) | ((F.col("i") == 0) & F.lit(limit == 2)))
-    room = limit - 2
-    buckets = room // 2
-    small, large = points.where(F.col("n") <= limit), points.where(F.col("n") > limit)
+    buckets = (limit - 2) // 2
     at_ends = (F.col("i") == 0) | (F.col("i") == last)
-    taken = large.where(at_ends).select("series_id", "i")
-    if buckets:
-        # the stretch b of i has 1 + b (n - 2) div buckets <= i < 1 + (b + 1) (n - 2) div buckets
-        b = F.floor((F.col("i") * buckets - 1) / (F.col("n") - 2))
-        of = large.where(~at_ends).groupBy("series_id", b.alias("b")).agg(F.min(F.struct("v", "i"))["i"].alias("least"), F.max(F.struct("v", (-F.col("i")).alias("i")))["i"].alias("most"))
-        taken = taken.unionByName(of.select("series_id", F.explode(F.array_distinct(F.array("least", -F.col("most")))).alias("i")))
-    ends = large.groupBy("series_id").agg(F.max(F.when(F.col("i") == 0, F.col("v"))).alias("v0"), F.max(F.when(F.col("i") == last, F.col("v"))).alias("v1"))
-    have = taken.groupBy("series_id").agg(F.count(F.lit(1)).alias("have"))
-    kept = large.join(taken, ["series_id", "i"], "left_semi")
-    rest = large.join(taken, ["series_id", "i"], "left_anti").join(ends, "series_id")
+    # the stretch b of i has 1 + b (n - 2) div buckets <= i < 1 + (b + 1) (n - 2) div buckets
+    inner = F.floor((F.col("i") * buckets - 1) / (F.col("n") - 2)) if buckets else F.lit(0).cast("long")
+    rows = points.withColumn("b", F.when(at_ends, F.lit(-1).cast("long")).otherwise(inner))
+    large = rows.where(F.col("n") > limit)
     far = F.abs(F.col("v") - (F.col("v0") + (F.col("v1") - F.col("v0")) * F.col("i") / last))
-    ranked = rest.withColumn("far", far).withColumn("rank", F.row_number().over(Window.partitionBy("series_id").orderBy(F.desc("far"), "i"))).where(F.col("rank") <= room)
-    fill = ranked.join(have, "series_id").where(F.col("rank") <= limit - F.col("have"))
-    return small.select(*points.columns).unionByName(kept.select(*points.columns)).unionByName(fill.select(*points.columns))
+    # written, so that their size is known before the points meet them
+    chord = staged(large.where(at_ends).groupBy("series_id").agg(F.max(F.when(F.col("i") == 0, F.col("v"))).alias("v0"), F.max(F.when(F.col("i") == last, F.col("v"))).alias("v1")), "chord")
+    parts = large.join(chord, "series_id").groupBy("series_id", "b", F.floor(F.col("i") * (4 * limit) / F.col("n")).alias("part")).agg(
+        F.min("v").alias("lo"), F.max("v").alias("hi"), F.bool_or(F.col("v").isNull()).alias("gap"), F.max(far).alias("far"), F.max("v0").alias("v0"), F.max("v1").alias("v1")
+    )
+    # so many points are as far as that part's, so many are left without those that are taken anyway
+    rank = F.row_number().over(Window.partitionBy("series_id").orderBy(F.desc("far")))
+    bound = F.max(F.when(F.col("rank") == 2 * limit, F.col("far"))).over(Window.partitionBy("series_id"))
+    bounds = parts.withColumn("rank", rank).withColumn("bound", bound).groupBy("series_id", "b").agg(
+        F.when(~F.bool_or("gap"), F.min("lo")).alias("lo"), F.max("hi").alias("hi"), *[F.max(c).alias(c) for c in ("bound", "v0", "v1")]
+    )
+    bounds = staged(bounds, "bounds")
+    firsts = large.join(bounds, ["series_id", "b"]).where(F.col("v").eqNullSafe(F.col("lo")) | F.col("v").eqNullSafe(F.col("hi"))).groupBy("series_id", "b").agg(
+        *[F.min(F.when(F.col("v").eqNullSafe(F.col(c)), F.col("i"))).alias(name) for c, name in (("lo", "least"), ("hi", "most"))], *[F.max(c).alias(c) for c in ("bound", "v0", "v1")]
+    )
+    firsts = staged(firsts, "firsts")
+    taken = (F.col("n") <= limit) | at_ends
+    if buckets:
+        taken = taken | F.coalesce((F.col("i") == F.col("least")) | (F.col("i") == F.col("most")), F.lit(False))
+    near = rows.join(firsts, ["series_id", "b"], "left").withColumns({"taken": taken, "far": far}).where(F.col("taken") | F.col("bound").isNull() | (F.col("far") >= F.col("bound")))
+    ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("series_id", "taken").orderBy(F.desc("far"), "i"))).where(F.col("rank") <= limit)
+    have = F.count_if("taken").over(Window.partitionBy("series_id"))
+    return ranked.withColumn("have", have).where(F.col("taken") | (F.col("rank") <= limit - F.col("have"))).select(*points.columns)

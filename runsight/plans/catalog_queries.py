@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from runsight.functions.staging import staged
 from runsight.operators import documents as D
 from runsight.operators import health as H
 from runsight.operators import series as S
@@ -32,7 +33,7 @@ def table_lines(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
     folder, file = (F.element_at(F.array(*[F.lit(p[i]) for p in PLACES]), F.col("k") + 1) for i in (0, 1))
     path = F.concat_ws("/", folder, F.col("n").cast("string"), file)
     rows = items.select(path.alias("path"), ((F.col("q") * 1000 + F.col("p")) * 10_000_000 + F.col("s") + 10).alias("line_no"), fx.made(F.expr(TEXT)).alias("line"))
-    restarts = items.select("k", "n", path.alias("path")).distinct()
+    restarts = staged(items.select("k", "n").distinct(), "restarts").select("k", "n", path.alias("path"))
     heads = F.element_at(F.array(*[F.array(*map(F.lit, h)) for h in HEADS]), F.col("k") + 1)
     headers = restarts.select("path", F.posexplode(heads).alias("line_no", "line")).select("path", F.col("line_no").cast("long").alias("line_no"), "line")
     cut_off = restarts.select("path", F.lit(5).cast("long").alias("line_no"), F.lit("77 (1 2").alias("line"))
@@ -42,7 +43,7 @@ def table_lines(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
 
 def case_series(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     lines, files = table_lines(spark, sf_dir)
-    return tables.discovered(tables.rows_of_lines(lines), files, tablenames.function_specs(spark, DECLARED))
+    return tables.discovered(tables.parsed_rows(lines), files, tablenames.function_specs(spark, DECLARED), tables.table_heads(lines))
 
 
 _V = "xyz"

@@ -5,6 +5,7 @@ import hashlib
 import json
 import math
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -138,3 +139,23 @@ def test_snapshot_of_cases(spark):
         "configuration": {"version": 1, "selectedLog": "l", "selectedSeries": [], "overrides": {"s": {"label": "x", "minimumCycles": 2}}, "acceptedStates": ["evolving", "plateau"], "error": None},
     }
     assert got["b"]["process"] is None and got["b"]["lastSteps"] == [] and got["b"]["configuration"]["error"] == "not_json" and got.keys() == {"a", "b"}
+
+
+def test_plain_lines_are_read_as_columns():
+    lines = ["1 2", "0 (2 3 4)", "5\t((1 2 3) (4 5 6)  (7 8 9))", "+1 2", "1 1e999", "1 2.", "1 .5e+3", "e 1", "1 -2.5E-3", "77 (1 2", "1", "nan 2", "1_0 2", "1 ()", "1(2 3)", "1 (2)(3)", "(1) 2", "(1 2) 3", "1 1-2", ")1 2(", "(((1))) 2", "0x1 2", ""]
+    batch = pa.RecordBatch.from_pydict({"path": ["a"] * len(lines), "line_no": list(range(len(lines))), "line": lines})
+    rows, others = tables.plain_rows(batch)
+    got = {r["row_no"]: (r["t"], r["v"], r["widths"]) for r in rows.to_pylist()}
+    judged = {r["line_no"]: row for r in others.to_pylist() if (row := tables.row_of(r["line"]))}
+    assert got | judged == {i: row for i, x in enumerate(lines) if (row := tables.row_of(x))}
+    assert {0, 1, 2, 5, 6, 8} <= set(got) and set(judged) == {3, 12}
+
+
+def test_points_come_numbered_and_rows_are_met_once(spark):
+    """A source's times are put in order once for all of its series, in the tasks that merge them."""
+    lines = spark.createDataFrame([("a/0/x", i, f"{i % 90} ({i} 2 3)") for i in range(200)] + [("a/0/x", 500, "# Time U")], "path string, line_no long, line string")
+    files = spark.createDataFrame([("a/0/x", 5)], "path string, modified_ns long")
+    points, series = tables.discovered(tables.parsed_rows(lines), files, tablenames.function_specs(spark, DECLARED), tables.table_heads(lines))
+    assert points.columns == ["series_id", "t", "v", "i", "n"] and series.count() == 4
+    rows = points.join(series.where("component = 'x'"), "series_id").collect()
+    assert sorted((r.t, r.v, r.i, r.n) for r in rows) == [(float(k), float(k + 180 if k < 20 else k + 90), k, 90) for k in range(90)]

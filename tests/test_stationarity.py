@@ -107,3 +107,33 @@ def test_nothing_selected(spark):
     none = spark.createDataFrame([], "pos int, series_id string")
     (row,) = St.aggregate_verdict(none, spark.createDataFrame([("a", "plateau")], "series_id string, state string")).collect()
     assert row.state == "indeterminate" and row.n_selected == 0
+
+
+def test_envelope_fills_like_one_sort(spark):
+    """Ties, flat stretches and few far points are cut as by one task that puts all of them in order."""
+    draw = random.Random(5)
+    signals = {"ties": [float(draw.randrange(3)) for _ in range(700)], "flat": [2.0] * 500, "spikes": [9.0 if i % 97 == 5 else 0.0 for i in range(900)], "noise": [draw.gauss(0, 1) for _ in range(641)], "short": [1.0, 2.0] * 9}
+    rows = [(k, float(i), x, i, len(v)) for k, v in signals.items() for i, x in enumerate(v)]
+    table = spark.createDataFrame(rows, "series_id string, t double, v double, i long, n long").repartition(5)
+    for limit in (3, 4, 21, 50):
+        want = set()
+        for name, v in signals.items():
+            n, buckets = len(v), (limit - 2) // 2
+            taken = set(range(n)) if n <= limit else {0, n - 1}
+            if n > limit:
+                for b in range(buckets):
+                    inside = [i for i in range(1, n - 1) if (i * buckets - 1) // (n - 2) == b]
+                    taken |= {min(inside, key=lambda i: (v[i], i)), min(inside, key=lambda i: (-v[i], i))}
+                far = sorted((i for i in range(n) if i not in taken), key=lambda i: (-abs(v[i] - (v[0] + (v[-1] - v[0]) * i / (n - 1))), i))
+                taken |= set(far[: limit - len(taken)])
+            want |= {(name, i) for i in taken}
+        assert {(r.series_id, r.i) for r in S.envelope(table, limit).collect()} == want
+
+
+def test_envelope_puts_no_whole_series_in_order(spark):
+    """Points meet only written tables of bounds, and those far from every bound aren't put in order."""
+    points = spark.range(200_000).selectExpr("'a' AS series_id", "CAST(id AS DOUBLE) AS t", "CAST(xxhash64(id) % 1000003 AS DOUBLE) AS v", "id AS i", "200000L AS n")
+    out = S.envelope(points, 50)
+    assert out.count() == 50
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "bound" in plan and plan.count("Join LeftAnti") == plan.count("Join LeftSemi") == 0
