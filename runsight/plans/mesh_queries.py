@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runsight.operators import catalog as C
 from runsight.operators import meshcheck as M
 from runsight.operators import series as S
+from runsight.operators.ranks import numbered
 from runsight.plans.registry import query
 from runsight.sources import fixtures as fx
 
@@ -165,9 +166,7 @@ def record_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
     price = F.when(F.col("o_custkey") % 7 != 0, F.col("o_totalprice").cast("double")).otherwise(float("nan"))
     signal = C.record_signal(price, (F.col("o_custkey") % 10).cast("double"))
     records = fx.table(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("series_id"), F.col("o_orderkey").alias("t"), signal.alias("v"))
-    w = Window.partitionBy("series_id")
-    placed = records.withColumns({"i": F.row_number().over(w.orderBy("t")) - 1, "n": F.count(F.lit(1)).over(w)})
-    return S.envelope(placed, 50).select(F.col("series_id").alias("seg"), "t", "v")
+    return S.envelope(numbered(records, "series_id", "t"), 50).select(F.col("series_id").alias("seg"), "t", "v")
 
 
 @query("missing_selected", "SELECT c_custkey * 2 AS id FROM customer WHERE c_custkey * 2 NOT IN (SELECT o_custkey FROM orders)")

@@ -50,3 +50,9 @@ def test_entry(spark):
     import __spark_entry__
 
     assert __spark_entry__.entry(spark).count() > 0 and set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_records_are_numbered_without_a_task_that_holds_a_status(spark):
+    """record_envelope has no window over all orders of a status."""
+    plan = registry.QUERIES["record_envelope"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "o_orderstatus" not in plan and "row_number() windowspecdefinition(series_id#" not in plan.split("taken")[0]
