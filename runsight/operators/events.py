@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from runsight.functions.columns import NUMBER
+from runsight.functions.columns import NUMBER, once
 
 _REGION = r"(?:([A-Za-z_][\w.-]*)\s*:\s*)?"
 _RANK = r"(?:\[\d+\]\s*)?"
@@ -50,11 +50,13 @@ def extract(lines: DataFrame) -> DataFrame:
     """
     line = F.col("line")
     label = F.coalesce(*[F.when(line.rlike(p), F.lit(name)) for name, p in FATAL])
-    kind = F.when(label.isNotNull(), "fatal")
+    kind = F.when(F.col("label").isNotNull(), "fatal")
     for name, pattern in FORMATS:
         kind = kind.when(line.rlike(pattern), name)
     kind = kind.when(line.rlike(CONVERGED) & ~line.rlike(NOT_CONVERGED), "converged").when(line.rlike(END), "end")
-    rows = lines.withColumns({"label": label, "warning": F.coalesce(label.isNull() & line.rlike(WARNING), F.lit(False)), "kind": kind})
+    # patterns are tried once a line, whatever filters or reads their outcome later
+    warning = F.coalesce(F.col("label").isNull() & line.rlike(WARNING), F.lit(False))
+    rows = lines.select("*", once(label=label)).select("*", once(kind=kind, warning=warning))
 
     def group(n_of: int) -> Column:
         out = F.lit(None).cast("double")
@@ -93,8 +95,8 @@ def in_steps(events: DataFrame) -> DataFrame:
 
 def residuals(events: DataFrame) -> DataFrame:
     """(path, segment, line_no, step, simulation_time, field, initial, final, iterations, converged, region, outer_corrector):
-    a row for each linear solve behind the first Time record."""
-    rows = in_steps(events).where("kind = 'solve' AND step > 0")
+    a row for each linear solve behind the first Time record. events may be in_steps() already."""
+    rows = (events if "step" in events.columns else in_steps(events)).where("kind = 'solve' AND step > 0")
     return rows.select(
         "path", "segment", "line_no", "step", "simulation_time", "field", F.col("x").alias("initial"), F.col("y").alias("final"), F.col("z").cast("int").alias("iterations"),
         "converged", F.coalesce("region", "region_so_far").alias("region"), F.col("corrector_so_far").alias("outer_corrector"),
@@ -102,12 +104,12 @@ def residuals(events: DataFrame) -> DataFrame:
 
 
 def time_steps(events: DataFrame) -> DataFrame:
-    """A row for each Time record, with the last value in the step of what its lines report."""
+    """A row for each Time record, with the last value in the step of what its lines report. events may be in_steps() already."""
 
     def latest(kind: str, c: str) -> Column:
         return F.max_by(c, F.when(F.col("kind") == kind, F.col("line_no")))
 
-    rows = in_steps(events).where("step > 0")
+    rows = (events if "step" in events.columns else in_steps(events)).where("step > 0")
     return rows.groupBy("path", "segment", "step").agg(
         latest("time", "x").alias("simulation_time"), latest("delta_t", "x").alias("delta_t"),
         latest("courant", "x").alias("courant_mean"), latest("courant", "y").alias("courant_max"),

@@ -56,3 +56,10 @@ def test_records_are_numbered_without_a_task_that_holds_a_status(spark):
     """record_envelope has no window over all orders of a status."""
     plan = registry.QUERIES["record_envelope"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "o_orderstatus" not in plan and "row_number() windowspecdefinition(series_id#" not in plan.split("taken")[0]
+
+
+@pytest.mark.parametrize("name", ["log_telemetry", "mesher_progress"])
+def test_lines_are_tried_once(spark, name):
+    """What is written of the lines is read by all that follows; no pattern is tried on a line again."""
+    plan = registry.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "RLIKE" not in plan and "regexp" not in plan
