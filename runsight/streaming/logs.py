@@ -5,6 +5,7 @@
 
 from __future__ import annotations
 
+from collections import namedtuple
 from collections.abc import Iterator
 
 import pandas as pd
@@ -12,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from runsight.functions.staging import staged
 from runsight.operators import events as E
 
 #: Residuals, warnings and notices that are kept of a log; residuals and time steps that a row shows.
@@ -42,6 +44,7 @@ OUT = (
     f"failure struct<{FAILURE}>, region string, n_residuals long, n_steps long, residuals array<struct<{_struct(RESIDUAL)}>>, time_steps array<struct<{_struct(STEP)}>>, warnings array<string>, notices array<string>"
 )
 STEP_NAMES, RUN_NAMES, OUT_NAMES = names(STEP), names(RUN), [c.split()[0] for c in OUT.split(", ")]
+Event = namedtuple("Event", "selection segment line_no line kind label region field x y z converged warning")
 #: A run before its first line, and the fields that a new segment starts anew.
 EMPTY = dict.fromkeys(RUN_NAMES) | {"selection": 0, "segment": 0, "last_line": -1, "completed": False, "declared_converged": False, "n_residuals": 0, "n_steps": 0}
 PER_SEGMENT = ("current_time", "current_delta_t", "execution_seconds", "clock_seconds", "completed", "declared_converged", "failure_label", "failure_line", "failure_segment", "failure_time", "region")
@@ -74,7 +77,7 @@ class Fold:
             self.close_step()
             run |= {c: EMPTY[c] for c in PER_SEGMENT} | {"segment": int(e.segment)}
         run["last_line"] = int(e.line_no)
-        numbers = [None if pd.isna(x) else float(x) for x in (e.x, e.y, e.z)]
+        numbers = [None if x is None or x != x else float(x) for x in (e.x, e.y, e.z)]
         if e.warning:
             self.warnings.append(e.line)
         if e.kind in STEP_FIELDS and self.step is not None:
@@ -94,7 +97,7 @@ class Fold:
         elif e.kind == "corrector" and self.step is not None:
             self.step["outer_correctors"] = max(self.step["outer_correctors"], int(numbers[0]))
         elif e.kind == "solve" and self.step is not None:
-            converged = None if pd.isna(e.converged) else bool(e.converged)
+            converged = None if e.converged is None or e.converged != e.converged else bool(e.converged)
             self.residuals.append((int(e.segment), run["current_time"], e.field, numbers[0], numbers[1], int(numbers[2]), converged, e.region or run["region"], self.step["outer_correctors"]))
             run["n_residuals"] += 1
         elif e.kind == "timing":
@@ -140,33 +143,39 @@ class LogProcessor(StatefulProcessor):
         last = new if len(new) >= min(self.shown, held) else list(state.get())
         return last[max(0, len(last) - min(self.shown, most)) :], held
 
-    def _messages(self, fold: Fold) -> tuple[list[str], list[str]]:
+    def _messages(self, fold: Fold, known: bool) -> tuple[list[str], list[str]]:
         """The last warnings, and the first different notices."""
-        warnings = ([line for (line,) in self.warnings.get()] + fold.warnings)[-self.most_messages :]
-        notices = list(dict.fromkeys([line for (line,) in self.notices.get()] + fold.notices))[: self.most_messages]
+        before = [[line for (line,) in state.get()] if known else [] for state in (self.warnings, self.notices)]
+        warnings = (before[0] + fold.warnings)[-self.most_messages :]
+        notices = list(dict.fromkeys(before[1] + fold.notices))[: self.most_messages]
         for state, lines, new in ((self.warnings, warnings, fold.warnings), (self.notices, notices, fold.notices)):
             if new:
                 state.put([(line,) for line in lines])
         return warnings, notices
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        events = pd.concat([f for f in rows])  # those of one trigger come in any order
-        run = dict(zip(RUN_NAMES, self.run.get(), strict=True)) if self.run.exists() else dict(EMPTY)
-        newest = int(events["selection"].max())
-        if newest > run["selection"] or not self.run.exists():
+        # those of one trigger come in any order; most logs have a few, so frames cost more than lists
+        events = [Event._make(e) for f in rows for e in zip(*(f[c].tolist() for c in Event._fields), strict=True)]
+        known = self.run.exists()
+        run = dict(zip(RUN_NAMES, self.run.get(), strict=True)) if known else dict(EMPTY)
+        newest = int(max(e.selection for e in events))
+        if known and newest > run["selection"]:
             self._forget()
+            known = False
+        if not known:
             run = EMPTY | {"selection": newest}
-        step = dict(zip(STEP_NAMES, self.step.get(), strict=True)) if self.step.exists() else None
+        step = dict(zip(STEP_NAMES, self.step.get(), strict=True)) if known and self.step.exists() else None
         fold = Fold(run, step)
-        for e in events[events["selection"] == run["selection"]].sort_values(["segment", "line_no"]).itertuples(index=False):
+        for e in sorted((e for e in events if e.selection == run["selection"]), key=lambda e: (e.segment, e.line_no)):
             fold.take(e)
-        held = self.held.get() if self.held.exists() else (0, 0)
+        held = self.held.get() if known else (0, 0)
         residuals, n_residuals = self._append(self.residuals, fold.residuals, held[0], self.most_residuals)
         steps, n_steps = self._append(self.steps, fold.steps, held[1], self.shown)
         self.held.update((n_residuals, n_steps))
-        warnings, notices = self._messages(fold)
+        warnings, notices = self._messages(fold, known)
         self.run.update(tuple(fold.run.values()))
-        self.step.clear()
+        if step is not None and fold.step is None:
+            self.step.clear()
         if fold.step is not None:
             self.step.update(tuple(fold.step.values()))
             steps = [*steps, tuple(fold.step.values())][-self.shown :]
@@ -183,7 +192,7 @@ class LogProcessor(StatefulProcessor):
             "path": path, "failure": failure, "n_steps": run["n_steps"] + (fold.step is not None), "warnings": warnings, "notices": notices,
             "residuals": [dict(zip(names(RESIDUAL), r, strict=True)) for r in residuals], "time_steps": [dict(zip(STEP_NAMES, s, strict=True)) for s in steps],
         }
-        return pd.DataFrame({c: pd.Series([row[c]], dtype=object) for c in OUT_NAMES})
+        return pd.DataFrame([[row[c] for c in OUT_NAMES]], columns=OUT_NAMES, dtype=object)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self._forget()
@@ -220,8 +229,12 @@ def telemetry(lines: DataFrame, *, shown: int = SHOWN, most_messages: int = MOST
     """The rows of OUT with which a stream of the same lines ends, by windows and aggregates: only arrays that are bounded
     are collected, each cut by rank before."""
     newest = Window.partitionBy("path")
-    events = folded_events(lines).withColumn("newest", F.max("selection").over(newest)).where("selection = newest").drop("newest")
-    stepped = E.in_steps(events).withColumn("latest", F.max("segment").over(newest))
+    events = folded_events(lines)
+    if "selection" in lines.columns:
+        events = events.withColumn("newest", F.max("selection").over(newest)).where("selection = newest").drop("newest")
+    # lines are read and put in order once; all below reads what was written
+    events = staged(E.in_steps(events), "log-events")
+    stepped = events.withColumn("latest", F.max("segment").over(newest))
     now = F.col("segment") == F.col("latest")
     last_step = F.max("step").over(Window.partitionBy("path", "segment"))
     stepped = stepped.withColumn("open", F.col("step") == last_step)
