@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from runsight.functions.columns import NUMBER
+from runsight.functions.columns import NUMBER, once
+from runsight.functions.staging import staged
 
 # The line formats of mesh-check reports; each metric with its pattern, the group of its value, and whether
 # an OK in the line passes it.
@@ -190,11 +191,10 @@ def mesher_progress(lines: DataFrame, relax: Column, most_warnings: int = 200) -
     of relax morph iterations; the last line that says what is worked on; warnings without immediate repeats, the last
     most_warnings of them and how many there were. A failure's line says nothing else.
     """
-    if "segment" in lines.columns:
-        lines = lines.withColumn("latest", F.max("segment").over(Window.partitionBy("path"))).where("segment = latest").drop("latest")
-    rows = lines.withColumn("line", F.regexp_replace("line", r"^\s+|\s+$", "")).where("line <> ''")
+    told_of = ["path", *[c for c in ("segment",) if c in lines.columns]]
+    rows = lines.select(*told_of, "line_no", once(line=F.regexp_replace("line", r"^\s+|\s+$", "")))
     failure = F.coalesce(*[F.when(F.col("line").rlike(p), F.lit(label)) for label, p in FAILURES])
-    rows = rows.withColumn("failure", failure)
+    rows = rows.select("*", once(failure=failure))
     told = F.when(F.col("failure").isNull(), F.col("line"))
     rank = F.lit(0)
     for _, n, pattern in reversed(STAGES):
@@ -204,14 +204,19 @@ def mesher_progress(lines: DataFrame, relax: Column, most_warnings: int = 200) -
     def number(pattern: str, kind: str = "int", group: int = 1) -> Column:
         return F.when(going, F.regexp_extract(told, pattern, group).try_cast(kind))
 
-    rows = rows.withColumns({
-        "rank": rank, "morph": number(MORPH), "smoothing": F.coalesce(number(SMOOTHING), number(DISPLACEMENT)), "execution_seconds": number(TIMING, "double"), "clock_seconds": number(TIMING, "double", 2),
+    # every line is read once, and only those that say something go on
+    rows = rows.select("*", once(
+        rank=rank, morph=number(MORPH), smoothing=F.coalesce(number(SMOOTHING), number(DISPLACEMENT)), execution_seconds=number(TIMING, "double"), clock_seconds=number(TIMING, "double", 2),
         **{c: F.when(going, F.try_element_at(F.regexp_extract_all(told, F.lit(rf"(?i)\b{c}\s*:\s*(\d+)\b"), F.lit(1)), F.lit(-1)).try_cast("int")) for c in ("cells", "faces", "points")},
-        "full": F.coalesce(told.rlike(MOST_CELLS), F.lit(False)), "warns": F.coalesce(told.rlike(WARNING), F.lit(False)),
-    })
-    order = Window.partitionBy("path").orderBy("line_no")
-    # only lines that say something are put in order
+        full=F.coalesce(told.rlike(MOST_CELLS), F.lit(False)), warns=F.coalesce(told.rlike(WARNING), F.lit(False)),
+    ))
     rows = rows.where((F.col("rank") > 0) | F.col("failure").isNotNull() | F.col("full") | F.col("warns") | F.coalesce("morph", "smoothing", "cells", "faces", "points").isNotNull() | F.col("clock_seconds").isNotNull())
+    paths = lines.groupBy("path").agg(F.max("segment").alias("latest")) if "segment" in lines.columns else lines.select("path").distinct()
+    rows = staged(rows, "mesher-lines")
+    if "segment" in lines.columns:
+        paths = staged(paths, "mesher-logs")
+        rows = rows.join(paths, "path").where("segment = latest").drop("latest")
+    order = Window.partitionBy("path").orderBy("line_no")
     rows = rows.withColumn("before", F.coalesce(F.max("rank").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     work = F.when(F.col("rank") == 5, F.lit(DONE)).when(((F.col("rank") > 0) & (F.col("rank") >= F.col("before"))) | F.col("morph").isNotNull() | F.col("smoothing").isNotNull(), F.col("line"))
     rows = rows.withColumn("work", work)
@@ -224,7 +229,7 @@ def mesher_progress(lines: DataFrame, relax: Column, most_warnings: int = 200) -
         return F.max_by(name, F.when(F.col(name).isNotNull(), F.col("line_no"))).alias(name)
 
     of = rows.groupBy("path").agg(F.max("rank").alias("rank"), *[last(c) for c in ("morph", "smoothing", "cells", "faces", "points", "execution_seconds", "clock_seconds", "failure", "work")], F.bool_or("full").alias("most_cells"))
-    of = lines.select("path").distinct().join(of, "path", "left").join(warned, "path", "left")
+    of = paths.select("path").join(of, "path", "left").join(warned, "path", "left")
     stage = F.lit("initialization")
     for name, n, _ in STAGES:
         stage = F.when(F.col("rank") == n, name).otherwise(stage)
