@@ -155,25 +155,26 @@ def log_telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return said(stream.telemetry(log_lines(spark, sf_dir), shown=5, most_messages=3))
 
 
-#: Files that the stream below takes one after another.
+#: Parts of the lines that the stream below takes one after another.
 CHUNKS = 3
 
 
 @query("stream_log_equality", TELEMETRY)
 def stream_log_equality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The lines as a stream of files, a chunk of each log in each; the last row that the stream gives for a log."""
+    """The lines as a stream of chunks, each dealt over files by log; the last row that the stream gives for a log."""
     at = f"{scratch(spark)}/log-stream-{uuid.uuid4().hex}"
     lines = log_lines(spark, sf_dir)
-    order = F.col("segment") * (1 << 40) + F.col("line_no")
-    ends = lines.agg(F.min("line_no").alias("a"), F.max("line_no").alias("b")).first()
+    ends = fx.table(spark, sf_dir, "events").agg(F.min("event_id").alias("a"), F.max("event_id").alias("b")).first()
     if ends.a is None:
         return log_telemetry(spark, sf_dir)
     step = (ends.b - ends.a) // CHUNKS + 1
+    # a log's lines of a chunk are in one file, and a chunk's files older than the next one's, whichever files a trigger takes
+    files = int(spark.conf.get("spark.sql.shuffle.partitions"))
     for i in range(CHUNKS):
         # line numbers grow with the segments here, so chunks by number come in order
         part = lines.where(F.col("line_no").between(ends.a + i * step, ends.a + (i + 1) * step - 1))
-        part.orderBy(order).coalesce(1).write.mode("append").parquet(f"{at}/in")
-    source = spark.readStream.schema(lines.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
+        part.repartition(files, "path").write.mode("append").parquet(f"{at}/in")
+    source = spark.readStream.schema(lines.schema).option("maxFilesPerTrigger", files).parquet(f"{at}/in")
 
     def keep(batch: DataFrame, number: int) -> None:
         batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{at}/out/batch_number={number}")

@@ -135,3 +135,14 @@ def test_silent_logs_expire_in_a_stream(spark, tmp_path):
     run(rows_of(["Time = 7"], "b"), 1)  # "a" has been silent for over a millisecond
     run(rows_of(["Time = 3"], at=100), 1)
     assert [s["a"] for s in seen if "a" in s] == [2, 1]
+
+
+def test_a_new_log_asks_little_of_its_state(spark, monkeypatch):
+    """Most logs of a trigger may be new ones: theirs is neither cleared nor read."""
+    handle, processor = Handle(), logs.LogProcessor(shown=5, most_residuals=20, most_messages=3, keep_ms=None)
+    processor.init(handle)
+    asked = []
+    for name in ("clear", "get"):
+        monkeypatch.setattr(f"tests.fakes.Held.{name}", lambda self, n=name, f=getattr(type(handle.states["run"]), name): (asked.append(n), f(self))[1])
+    (out,) = processor.handleInputRows(("a",), iter([events(spark, rows_of(LOG))]), Clock(0))
+    assert out.iloc[0].n_steps == 3 and asked == []
